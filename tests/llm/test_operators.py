@@ -1,0 +1,378 @@
+"""Each operator against a brute-force version, and on odd inputs: nulls, empties, ties, repeats, clashing names."""
+
+import itertools
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from sluice.llm import html_extraction, jaccard_join, mixing, nearest_neighbours, packing, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity
+from sluice.llm.queries import tokenizer_path
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, h long, n string, copies int"
+
+
+def words(t):
+    return WORD.findall(t or "")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Copies, near copies, a shared passage, short, empty, null and long texts, a hot source, repeated rows."""
+    r = random.Random(4)
+    vocabulary = ["".join(r.choice("aeioutnrs") for _ in range(r.randrange(2, 7))) for _ in range(900)] + ["Été", "naïve.", "X#%", "don't", "中文"]
+    text = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    passage = text(70)
+    rows = []
+    for i in range(60):
+        t = text(r.randrange(60, 200))
+        rows.append(t)
+        if i % 6 == 0:  # near copies, some chained
+            w = t.split()
+            for _ in range(4):
+                w = list(w)
+                w[r.randrange(len(w))] = "changed"
+                rows.append(" ".join(w))
+        if i % 10 == 1:
+            rows += [t, t]
+        if i % 7 == 2:
+            rows.append(text(40) + "\n" + passage + " " + text(40))
+    rows += [None, "", " \n\t ", "one", "one", "two words", "Two WORDS", "a b c d", "a b c d e", "\x0b\x1c x", "<|endoftext|> end", text(3000), "same\nsame\nsame\n\nother"]
+    out = [(i, t, None if i % 9 == 0 else "en", None if i % 11 == 0 else f"s{0 if i % 3 else i % 5}", None if t is None else len(t), 7, 7, "clash", 3) for i, t in enumerate(rows)]
+    return spark.createDataFrame(out, DOCS).repartition(5)
+
+
+def rows_of(docs):
+    return {r.doc_id: r for r in docs.collect()}
+
+
+def test_quality_rules(docs):
+    src = rows_of(docs)
+    got = {r.doc_id: r for r in quality_rules.host_quality(docs).collect()}
+    assert got.keys() == src.keys()
+    failed, n = defaultdict(int), defaultdict(int)
+    for k, s in src.items():
+        w, t = words(s.text), s.text or ""
+        windows = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        cover = {j for i in range(len(w) - 2) if windows[tuple(w[i : i + 3])] > 1 for j in range(i, i + 3)}
+        lines = [x for x in t.split("\n") if words(x)]
+        want = (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(cover))
+        assert tuple(got[k][1:6]) == want, k
+        assert got[k].base_failed == (len(w) < 50 or 100 * len(cover) > 50 * len(w))
+        failed[s.source] += got[k].base_failed
+        n[s.source] += 1
+    p = np.array([failed[h] / n[h] for h in n])
+    m, v = p.mean(), p.var()
+    s = min(1000, max(1, m * (1 - m) / v - 1)) if v > 1e-12 else 1000
+    for k, x in src.items():
+        rate = (failed[x.source] + m * s) / (n[x.source] + s)
+        assert got[k].host_rate == pytest.approx(rate, abs=2e-6)
+        assert got[k].kept == (not got[k].base_failed and rate < quality_rules.HOST_REJECT)
+
+
+def test_host_verdict_rejects_a_bad_host(spark):
+    good = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, "short", "bad") for i in range(300)] + [(1000, good, "bad"), (1001, good, "few"), (1002, "short", "few")] + [(2000 + i, good, "good") for i in range(300)]
+    got = {r.doc_id: r.kept for r in quality_rules.host_quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert not got[1000] and got[1001] and got[2000]
+
+
+def test_packing(docs):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    ids = {k: [*t.encode(s.text or "", add_special_tokens=False).ids, 1] for k, s in rows_of(docs).items()}
+    pieces = packing.pack(docs, tokenizer_path("word_bpe_49k.json"), with_ids=True).collect()
+    by_doc, by_seq = defaultdict(list), defaultdict(list)
+    for p in pieces:
+        part = np.array(ids[p.doc_id][p.start : p.start + p.length], "<u4").tobytes()
+        assert p.doc_tokens == len(ids[p.doc_id]) and p.ids_crc32 == zlib.crc32(part) and p.ids == part
+        by_doc[p.doc_id].append((p.start, p.length))
+        by_seq[p.sequence_id].append((p.offset, p.length))
+    for spans, total in [(by_doc[k], len(v)) for k, v in ids.items()] + [(v, sum(n for _, n in v)) for v in by_seq.values()]:
+        at = 0
+        for s, n in sorted(spans):
+            assert s == at
+            at += n
+        assert at == total
+    lengths = sorted(sum(n for _, n in v) for v in by_seq.values())
+    assert all(x == 2048 for x in lengths[1:]) and sorted(by_seq) == list(range(len(by_seq)))
+    assert packing.padded_length(1000) == 2048 and packing.padded_length(1024) == 1024
+
+
+def test_deficit_round_robin_order_matches_a_step_by_step_queue(spark):
+    r = random.Random(2)
+    rows = [(i, i, r.choice("abbbcc"), r.randrange(1, 900)) for i in range(300)]
+    df = spark.createDataFrame(rows, "_row long, id long, source string, n long")
+    weights = {"a": 0.2, "b": 0.5, "c": 0.3}
+    got = {x._row: x.start for x in packing.queue_order(df, 512, weights).collect()}
+    place = {x._row: x.p for x in df.selectExpr("_row", "xxhash64(11, cast(id as string)) p").collect()}
+    queues = {s: sorted((x for x in rows if x[2] == s), key=lambda x: (place[x[0]], x[0])) for s in "abc"}
+    deficit, at, want, done = dict.fromkeys("abc", 0.0), 0, {}, 0
+    total = sum(weights.values())
+    sent = dict.fromkeys("abc", 0)
+    rounds = 0
+    while done < len(rows):
+        rounds += 1
+        for s in "abc":
+            deficit[s] = rounds * 512 * weights[s] / total  # carried in full
+            while queues[s] and sent[s] + queues[s][0][3] <= deficit[s]:
+                x = queues[s].pop(0)
+                sent[s] += x[3]
+                want[x[0]] = at
+                at += x[3]
+                done += 1
+    assert got == want
+
+
+def test_substring_dedup(spark, docs):
+    r = random.Random(9)
+    text = lambda n: " ".join("".join(r.choice("bcdfgaeiou") for _ in range(6)) for _ in range(n))
+    passage = text(60).split()
+    fuzzy = [w if i % 13 else "other" for i, w in enumerate(passage)]
+    rows = [(1, text(100) + " " + " ".join(passage) + " " + text(30)), (2, text(300)), (3, text(50) + " " + " ".join(passage)), (4, " ".join(fuzzy) + " " + text(80)), (5, None), (6, ""), (7, text(200)), (8, text(20) + " " + " ".join(passage[:25]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x for x in substring_dedup.repeated_passages(df).collect()}
+    assert got.keys() == {3, 4}
+    assert (got[3].ref_id, got[3].start_word, got[3].end_word, got[3].ref_start, got[3].aligned_words) == (1, 50, 110, 100, 60)
+    assert got[4].ref_id == 1 and got[4].start_word <= 1 and got[4].end_word >= 59
+    left = {x.doc_id: x.text for x in substring_dedup.drop_passages(df, substring_dedup.repeated_passages(df)).collect()}
+    assert left[3] == " ".join(rows[2][1].split()[:50]) and left[2] == rows[1][1] and len(left) == 8
+    assert substring_dedup.repeated_passages(docs).count() > 20
+    assert substring_dedup.repeated_passages(docs.limit(0)).count() == 0
+
+
+def test_chains_are_best_by_brute_force():
+    r = random.Random(3)
+    for _ in range(200):
+        a = [(r.randrange(60), r.randrange(60), r.randrange(6, 9)) for _ in range(r.randrange(1, 7))]
+        a = list({x[0]: x for x in a}.values())
+        apart = lambda p: all(y[0] >= x[0] + x[2] and y[1] >= x[1] + x[2] for x, y in itertools.pairwise(p))
+        value = lambda p: sum(x[2] for x in p) - 0.25 * sum(y[0] - x[0] - x[2] + y[1] - x[1] - x[2] for x, y in itertools.pairwise(p))
+        want = max(value(p) for k in range(1, len(a) + 1) for p in itertools.combinations(sorted(a), k) if apart(p))
+        best = substring_dedup.chains(a)[0]
+        assert apart(best) and value(best) == pytest.approx(want)
+
+
+def shingles(t):
+    w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in words(t)]
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_jaccard_join(docs):
+    src = {k: shingles(v.text) for k, v in rows_of(docs).items()}
+    root = {k: k for k in src}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(src), 2):
+        x, y = src[a], src[b]
+        if x and y and 100 * len(x & y) >= 80 * len(x | y):
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs).collect()}
+    assert got == {k: (len(v), find(k)) for k, v in src.items()}
+    assert jaccard_join.jaccard_components(docs.limit(0)).count() == 0
+
+
+def test_jaccard_join_chained_links(spark):
+    """Links that only hold between neighbours of a chain, and a passage common to many unlike documents."""
+    base = [f"w{i}" for i in range(104)]
+    rows = [(k, " ".join([f"n{k}_{i}" for i in range(6 * k)] + base[6 * k :])) for k in range(9)]
+    common = " ".join(f"c{i}" for i in range(30))
+    r = random.Random(8)
+    rows += [(100 + k, common + " " + " ".join(f"u{r.randrange(10**6)}" for _ in range(25))) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    src = {k: shingles(t) for k, t in rows}
+    links = {(a, b) for a, b in itertools.combinations(sorted(src), 2) if 100 * len(src[a] & src[b]) >= 80 * len(src[a] | src[b])}
+    got = {x.doc_id: x.component_id for x in jaccard_join.jaccard_components(df).collect()}
+    assert all(got[a] == got[b] for a, b in links)
+    assert len({got[k] for k in src if k >= 100}) == 40
+
+
+def test_walk_trie_is_exact():
+    r = np.random.default_rng(1)
+    for _ in range(60):
+        x = np.unique(r.integers(0, 300, 100).astype(np.uint64))
+        sets = [np.unique(np.concatenate([r.choice(x, r.integers(1, len(x) + 1), replace=False), r.integers(0, 300, r.integers(0, 20)).astype(np.uint64)])) for _ in range(8)] + [x, np.empty(0, np.uint64)]
+        want = [len(s) > 0 and 100 * len(np.intersect1d(x, s)) >= 80 * len(np.union1d(x, s)) for s in sets]
+        assert jaccard_join.walk_trie(x, sets) == want
+
+
+def test_toxicity(spark):
+    r = random.Random(6)
+    benign = [f"word{i}" for i in range(300)]
+    rows, labels = [], []
+    for i in range(900):
+        w = [r.choice(benign) for _ in range(r.randrange(0, 60))]
+        toxic = i % 4 == 0
+        if toxic:
+            w += [r.choice(["vile", "vileness", "awful"]), r.choice(["nasty", "nastily"])]
+        r.shuffle(w)
+        rows.append((i, " ".join(w), "x"))
+        if i % 2 == 0 or i % 3 == 0:
+            labels.append((i, int(toxic)))
+    rows += [(5000, None, "x"), (5001, "", "x"), (0, "repeat", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = toxicity.score_toxicity(docs, model).collect()
+    assert len(got) == len(rows)
+    wrong = [g.doc_id for g in got if g.doc_id < 900 and (g.score >= 0.5) != (g.doc_id % 4 == 0) and g.doc_id]
+    assert len(wrong) < 10
+    empty = [g.score for g in got if g.doc_id in (5000, 5001)]
+    assert empty[0] == empty[1] < 0.5
+    none = toxicity.score_toxicity(docs, toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int")))
+    assert {g.score for g in none.collect()} == {0.0}
+
+
+def test_factorization_machine_learns_an_interaction():
+    r = random.Random(1)
+    rows, y = [], []
+    for _ in range(3000):
+        a, b = r.random() < 0.5, r.random() < 0.5
+        rows.append([1] * a + [2] * b + [100 + r.randrange(50)])
+        y.append(int(a and b))
+    m = toxicity.fit_machine(rows, np.array(y))
+    both, one, other = m.scores([[0, 1], [0], [1]])
+    assert both > 0.9 and one < 0.5 and other < 0.5
+    i = {int(b): k for k, b in enumerate(m.buckets)}
+    assert float(m.v[i[1]] @ m.v[i[2]]) > 0
+
+
+def test_main_text_of_marked_and_unmarked_pages(spark):
+    w = " ".join(f"word{i}" for i in range(30))
+    page = f'<html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Home</a></li></ul></nav><div class="ad">Buy now</div><article><h1>Head &amp; more</h1><p>{w}<br>x <b>bo</b>ld\n  y<p>second&nbsp;part<aside>not this</aside><div class="comments"><p>reader says</p></div></article><footer>&copy; 2020</footer>'
+    plain = f'<div id="menu"><a>Home</a> <a>About</a></div><div><h1>Title</h1><p>{w}</p><p>{w}</p></div><div><a>more</a> <a>links</a></div>'
+    df = spark.createDataFrame([(i, "u", page) for i in range(8)] + [(90, "u", None), (91, "u", ""), (92, None, "<p"), (93, "u", plain), (94, "u", "a < b <\"' x"), (95, "u", "<div class=\"" * 50)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in html_extraction.extract_pages(df, html_extraction.learn_weights(df)).collect()}
+    assert got[0].text == f"Head & more {w} x bold y second part" and got[0].n_chars == len(got[0].text)
+    assert got[93].text == f"Title {w} {w}"
+    assert got[90].text == got[91].text == "" and len(got) == 14
+
+
+def test_maximum_scoring_stretch_by_brute_force():
+    r = random.Random(7)
+    for _ in range(300):
+        x = [r.choice([-3, -1, 0, 1, 2]) for _ in range(r.randrange(12))]
+        s, e = html_extraction.best_stretch(x)
+        assert sum(x[s:e]) == max([0] + [sum(x[i:j]) for i in range(len(x)) for j in range(i + 1, len(x) + 1)])
+
+
+def test_quality_classifier(spark):
+    r = random.Random(2)
+    good = lambda: " ".join("".join(r.choice("abcdef") for _ in range(5)) for _ in range(80))
+    bad = lambda: " ".join("".join(r.choice("abcdef") for _ in range(5)) + r.choice(["###", "%%%"]) for _ in range(80))
+    rows = [(i, bad() if i % 5 == 0 else good(), r.choice(["en", None]), "site1" if i % 5 == 0 else r.choice(["site2", "site3"]), 500) for i in range(600)]
+    docs = spark.createDataFrame([*rows, (9000, None, None, None, None), (9001, "", "xx", "new", -1)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, int(i % 5 != 0)) for i in range(0, 600, 3)], "doc_id long, quality int")
+    got = {x.doc_id: x for x in quality_classifier.score_quality(docs, quality_classifier.train(docs, labels)).collect()}
+    assert len(got) == 602 and sum(got[i].kept != (i % 5 != 0) for i in range(600)) < 6
+    assert all(0 <= x.score <= 1 for x in got.values())
+    none = quality_classifier.score_quality(docs, quality_classifier.train(docs, labels.limit(0))).collect()
+    assert all(x.kept for x in none)
+
+
+def test_token_counts(docs):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    got = {r.doc_id: r for r in token_counts.count_tokens(docs, tokenizer_path("byte_bpe_50k.json")).collect()}
+    for k, s in rows_of(docs).items():
+        n = len(t.encode(s.text or "", add_special_tokens=False).ids)
+        assert (got[k].n_bytes, got[k].n_tokens, got[k].over_limit) == (len((s.text or "").encode()), n, n > 512)
+
+
+@pytest.mark.parametrize("chunk", [5, 17, 1 << 16])
+def test_chunk_maps_compose(monkeypatch, chunk):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_counts, "CHUNK_CHARS", chunk)
+    t, c, r = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json")), token_counts.counter(tokenizer_path("byte_bpe_50k.json")), random.Random(chunk)
+    letters = [*" \n\t 　abcthe'stion12.,!é😀中\x1c\r", "<|endoftext|>", " the", "  "]
+    for _ in range(400):
+        x = "".join(r.choice(letters) for _ in range(r.randrange(120)))
+        assert c.count(x) == len(t.encode(x, add_special_tokens=False).ids), x
+
+
+def test_nearest_neighbours(spark):
+    r = np.random.default_rng(0)
+    x = r.normal(size=(3000, 64)) + r.normal(size=(20, 64))[r.integers(0, 20, 3000)] * 2
+    x[500:900] = x[500]
+    rows = [(i, [float(v) for v in e]) for i, e in enumerate(x.astype(np.float32))]
+    odd = [(5000, None), (5100, [0.0] * 64), (5200, [float("nan")] + [1.0] * 63), (5300, [None] + [1.0] * 63), (5400, [1.0] * 3), (5500, [float("inf")] * 64)]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for g in nearest_neighbours.nearest(df).orderBy("query_id", "rank").collect():
+        got[g.query_id].append((g.vec_id, g.score))
+        assert g["rank"] == len(got[g.query_id])
+    assert set(got) == set(range(0, 3000, 100))
+    y, hit = np.array([e for _, e in rows]), 0
+    for q, found in got.items():
+        d = np.sqrt(((y - y[q]) ** 2).sum(1))
+        best = [i for i in np.lexsort((np.arange(3000), d)) if i != q][:10]
+        hit += len(set(best) & {v for v, _ in found})
+        assert all(abs(d[v] - s) < 1e-12 for v, s in found)
+        assert found == sorted(found, key=lambda f: (f[1], f[0]))
+    assert hit >= 0.9 * 300
+    assert [v for v, _ in got[500]] == list(range(501, 511))
+    few = spark.createDataFrame(rows[:4], "vec_id long, embedding array<float>")
+    assert nearest_neighbours.nearest(few).count() == 3
+    assert nearest_neighbours.nearest(df.limit(0)).count() == 0
+
+
+def targets(sizes):
+    order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    w = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    pool, free, out = 1.5 * sum(sizes.values()), set(order), {}
+    while free:
+        level = (pool - sum(out.values())) / sum(w[s] for s in free)
+        over = [s for s in free if w[s] * level > 2 * sizes[s]]
+        if not over:
+            return out | {s: w[s] * level for s in free}
+        for s in over:
+            out[s] = 2.0 * sizes[s]
+            free.remove(s)
+    return out
+
+
+def test_mixing(docs, monkeypatch):
+    src = rows_of(docs)
+    sizes = defaultdict(int)
+    for s in src.values():
+        sizes[s.source] += len(words(s.text))
+    want = targets(sizes)
+    got = {r.doc_id: r for r in mixing.mix_sources(docs).collect()}
+    taken = defaultdict(int)
+    for k, s in src.items():
+        g, n = got[k], len(words(s.text))
+        assert g["size"] == n and g.source_size == sizes[s.source] and g.target == pytest.approx(want[s.source])
+        assert g.taken == n * g.copies and 0 <= g.taken <= 2 * n
+        taken[s.source] += g.taken
+    largest = max(len(words(s.text)) for s in src.values())
+    assert all(abs(taken[s] - want[s]) <= largest for s in want)
+    again = {r.doc_id: r.taken for r in mixing.mix_sources(docs.repartition(3)).collect()}
+    assert again == {k: g.taken for k, g in got.items()}
+    mixed = mixing.take_copies(docs, mixing.mix_sources(docs))
+    assert mixed.columns == docs.columns and mixed.count() == sum(g.copies for g in got.values())
+
+
+def test_mixing_tree_of_many_buckets(spark):
+    rows = spark.range(4000).selectExpr("unhex(md5(cast(id as string))) key", "concat('s', id % 2) grp", "cast(10 + id % 50 as long) size", "0.3D + (id % 2) * 0.4D fraction", "pmod(xxhash64(id, 1), 1000003) / 1000003D draw", "shiftrightunsigned(xxhash64(id), 1) mix")
+    got = mixing.pivotal_round(rows, fan_in=4, bucket_docs=50)
+    assert got.count() == 4000 and got.select("key").distinct().count() == 4000
+    total = rows.join(got, "key").selectExpr("grp", "size * extra t", "size * fraction f").groupBy("grp").sum("t", "f").collect()
+    assert all(abs(r[1] - r[2]) <= 60 for r in total)
+
+
+def test_empty_tables(docs):
+    none = docs.limit(0)
+    assert quality_rules.host_quality(none).count() == 0
+    assert packing.pack(none, tokenizer_path("word_bpe_49k.json")).count() == 0
+    assert mixing.mix_sources(none).count() == 0
+    assert token_counts.count_tokens(none, tokenizer_path("byte_bpe_50k.json")).count() == 0
