@@ -20,7 +20,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm._common import discard, join_bounded, map_arrow, stage
@@ -141,10 +141,14 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent
     return map_arrow(attach_texts(pairs, docs), run, f"doc {types[0]}, ref {types[1]}")
 
 
-def _sized(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose set sizes allow the similarity."""
-    n = pairs.join(sizes.select(F.col("id").alias("doc"), F.col("n").alias("n_doc")), "doc").join(sizes.select(F.col("id").alias("ref"), F.col("n").alias("n_ref")), "ref")
-    return n.where(100 * F.least("n_doc", "n_ref") >= percent * F.greatest("n_doc", "n_ref")).select("doc", "ref").distinct()
+def _may_link(n_a: Column, n_b: Column, shared: Column, percent: int) -> Column:
+    """Whether two sets can be similar, by their sizes and the number of members that both first parts hold.
+
+    Up to where the first of the two parts ends in the global order, all common members are among those shared; from
+    there on that set has at most ceil(0.8 n) - 1 members left. Whichever ends first, the larger set's rest bounds it."""
+    need = F.ceil(F.lit(percent) * (n_a + n_b) / F.lit(100.0 + percent) - 1e-9)
+    rest = F.ceil(F.lit(percent) * F.greatest(n_a, n_b) / F.lit(100.0) - 1e-9) - 1
+    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (shared >= need - rest)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -161,7 +165,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = stage(members.groupBy("h").agg(F.min("id").alias("ref"), F.max("id").alias("last")).where("ref < last").select("h", "ref"), "shared")
     posts = stage(members.join(shared, "h").select("h", F.col("id").alias("doc"), "ref"), "posts")
     sizes = filled.select("id", "n")
-    first = stage(_sized(posts.where("doc <> ref").select("doc", "ref").distinct(), sizes, percent), "first")
+    stars = posts.where("doc <> ref").groupBy("doc", "ref").agg(F.count(F.lit(1)).alias("c"))
+    stars = stars.join(sizes.select(F.col("id").alias("doc"), F.col("n").alias("n_doc")), "doc").join(sizes.select(F.col("id").alias("ref"), F.col("n").alias("n_ref")), "ref")
+    first = stage(stars.where(_may_link(F.col("n_doc"), F.col("n_ref"), F.col("c"), percent)).select("doc", "ref").distinct(), "first")
     links = stage(similar_pairs(first, base.where("id is not null"), words, percent), "links")
     labels = components(links, "star")
     discard(shared)
@@ -169,8 +175,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     marked = stage(marked, "marked")
     mixed = stage(marked.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h"), "mixed")
     left = stage(marked.join(mixed, "h").join(sizes.withColumnRenamed("id", "doc"), "doc").select("h", "doc", "c", "n"), "left")
+    # components differ, so all members that both first parts share are still here and count
     pairs = left.alias("a").join(left.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.c") < F.col("b.c")) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")))
-    pairs = pairs.select(F.greatest("a.doc", "b.doc").alias("doc"), F.least("a.doc", "b.doc").alias("ref")).where("doc <> ref").distinct()
+    pairs = pairs.select(F.greatest("a.doc", "b.doc").alias("doc"), F.least("a.doc", "b.doc").alias("ref"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"))
+    pairs = pairs.groupBy("doc", "ref").agg(F.count(F.lit(1)).alias("c"), F.min("n_a").alias("n_a"), F.min("n_b").alias("n_b"), F.max("n_a").alias("m_a"), F.max("n_b").alias("m_b"))
+    repeated = (F.col("n_a") != F.col("m_a")) | (F.col("n_b") != F.col("m_b"))  # ids with several texts are all tried
+    pairs = pairs.where(repeated | _may_link(F.col("n_a"), F.col("n_b"), F.col("c"), percent)).select("doc", "ref")
     discard(posts)
     second = stage(pairs.join(first, ["doc", "ref"], "left_anti"), "second")
     more = stage(similar_pairs(second, base.where("id is not null"), words, percent), "more")
