@@ -88,6 +88,18 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
     return df.mapInArrow(run, schema)
 
 
+_MEMO: dict = {}
+
+
+def memo(key, make):
+    """A worker's one memo of words: made at first use, dropped when a task of another operator asks for its own, so
+    that what operators keep doesn't add up in reused Python workers."""
+    if key not in _MEMO:
+        _MEMO.clear()
+        _MEMO[key] = make()
+    return _MEMO[key]
+
+
 def prefix_sum(df: DataFrame, group: list[str], order: list[str], value: str, out: str, partitions: int, name: str) -> DataFrame:
     """Exclusive running sum of ``value`` in the order of ``order`` within ``group``, without putting a group
     into one task: rows are range-partitioned and sorted, each partition sums on its own, and the sums of the

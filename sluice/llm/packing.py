@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm._common import join_bounded, map_arrow, prefix_sum, stage
+from sluice.llm._common import join_bounded, map_arrow, memo, prefix_sum, stage
 
 WINDOW, END_ID = 2048, 1
 #: Words in a worker's memo of token ids; when full it starts anew.
-MEMO = 1_000_000
+MEMO = 600_000
 #: Text whose unknown words are encoded in one call.
 LEARN_BYTES = 2 << 20
 #: Rows of a range partition in the running sums.
@@ -82,22 +82,13 @@ class WordIds(dict):
         return out
 
 
-_WORDS: dict[str, WordIds] = {}
-
-
-def words_of(path: str) -> WordIds:
-    if path not in _WORDS:
-        _WORDS[path] = WordIds(path)
-    return _WORDS[path]
-
-
 def tokenize(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """_row, id, source, n (tokens with the end) and ids (little-endian uint32) of every document."""
     id_type = docs.schema[id_col].dataType.simpleString()
     end = END_ID.to_bytes(4, "little")
 
     def run(b):
-        ids = words_of(vocabulary).texts(b.column(3).cast(pa.binary()).to_pylist(), end)
+        ids = memo(("words", vocabulary), lambda: WordIds(vocabulary)).texts(b.column(3).cast(pa.binary()).to_pylist(), end)
         return pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["_row", "id", "source", "n", "ids"])
 
     src = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("t"))

@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm._common import map_arrow
+from sluice.llm._common import map_arrow, memo
 
 TRAIN_ROWS, POOL_ROWS, ROUNDS, SHAPES, METAS = 4_000, 4_000, 3, 512, 256
-MEMO = 1_000_000
+MEMO = 400_000
 _RUNS = re.compile(r"(.)\1+")
 
 
@@ -125,14 +125,10 @@ def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, ut: np.ndarray, um:
     return CoTrained(w[0], w[1], platt, both)
 
 
-_SHAPES: list[Shapes] = []
-
-
 def _features(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Of a batch whose first columns are text, lang, source, n_chars."""
-    if not _SHAPES:
-        _SHAPES.append(Shapes())
-    xt = np.stack([_SHAPES[0].vector(t) for t in b.column(0).cast(pa.binary()).to_pylist()])
+    shapes = memo("shapes", Shapes)
+    xt = np.stack([shapes.vector(t) for t in b.column(0).cast(pa.binary()).to_pylist()])
     xm = np.stack([meta_vector(*m) for m in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True)])
     return xt, xm
 

@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm._common import map_arrow
+from sluice.llm._common import map_arrow, memo
 
 CHUNK_CHARS, LIMIT_TOKENS = 1 << 16, 512
 #: Entries of the memo of words and of the transition table; when full they start anew.
-MEMO, TRANSITIONS = 1_000_000, 1_500_000
+MEMO, TRANSITIONS = 700_000, 800_000
 #: Fixed value: the split pattern of byte-level BPE vocabularies of this family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: ASCII marks that the pattern never joins to a word before them.
@@ -210,14 +210,9 @@ class Counter:
         return sum(map(self.plain, parts)) + len(parts) - 1
 
 
-_COUNTERS: dict[str, Counter] = {}
-
-
 def counter(path: str) -> Counter:
     """The compiled tokenizer of a vocabulary file, once a worker."""
-    if path not in _COUNTERS:
-        _COUNTERS[path] = Counter(path)
-    return _COUNTERS[path]
+    return memo(("counter", path), lambda: Counter(path))
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT_TOKENS) -> DataFrame:

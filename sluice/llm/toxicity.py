@@ -14,6 +14,7 @@ are scored alike; an empty label table gives every document the score 0.0; repea
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from dataclasses import dataclass
 
@@ -21,12 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sluice.llm._common import map_arrow
+from sluice.llm._common import discard, map_arrow, memo, stage
 
 TRAIN_ROWS, BUCKETS, FACTORS, MAX_FEATURES = 20_000, 1 << 18, 8, 8192
 PREFIXES = (4, 5, 6)
-MEMO = 1_000_000
+MEMO = 400_000
 #: Marks cut off a word's ends.
 _STRIP = b".,;:!?\"'()[]{}<>#%&$*|~_-"
 
@@ -83,31 +85,25 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit_machine(rows: list, labels: np.ndarray, factors: int = FACTORS, epochs: int = 12, rate: float = 0.15, l2: float = 1e-4, seed: int = 5) -> FactorizationMachine:
-    """rows: buckets of each labelled text. Features: buckets in 3 texts or more whose shares differ by 3.5 standard
-    errors between the classes, the largest differences first. Fitted by AdaGrad on logistic loss."""
-    y = labels.astype(float)
-    nt, nn = max(1.0, y.sum()), max(1.0, (1 - y).sum())
-    n = np.array([len(r) for r in rows])
-    ids = np.concatenate([np.asarray(r, np.int32) for r in rows])
-    at = np.repeat(np.arange(len(rows), dtype=np.int32), n)
-    dt, dn = np.bincount(ids, y[at], BUCKETS), np.bincount(ids, 1 - y[at], BUCKETS)
+def choose_features(dt: np.ndarray, dn: np.ndarray, nt: float, nn: float) -> np.ndarray:
+    """Places of the buckets that become features, given the toxic and other texts that hold each: held by 3 texts or
+    more, shares of the classes 3.5 standard errors apart or more; the largest differences first, MAX_FEATURES at most."""
     p = (dt + dn) / (nt + nn)
     z = np.abs(dt / nt - dn / nn) / np.sqrt(np.maximum(p * (1 - p) * (1 / nt + 1 / nn), 1e-12))
     z[(dt + dn < 3) | (z < 3.5)] = 0
-    chosen = np.sort(np.argsort(-z, kind="stable")[: min(MAX_FEATURES, int((z > 0).sum()))])
-    keep = np.full(BUCKETS, -1)
-    keep[chosen] = np.arange(len(chosen))
+    return np.sort(np.argsort(-z, kind="stable")[: min(MAX_FEATURES, int((z > 0).sum()))])
+
+
+def fit_features(data: list[np.ndarray], y: np.ndarray, buckets: np.ndarray, log_odds: np.ndarray, factors: int = FACTORS, epochs: int = 12, rate: float = 0.15, l2: float = 1e-4, seed: int = 5) -> FactorizationMachine:
+    """data: each text's features. AdaGrad on logistic loss, from a part of the features' log-odds."""
+    y = y.astype(float)
     bias = float(np.log((y.sum() + 0.5) / ((1 - y).sum() + 0.5)))
-    log_odds = np.log((dt[chosen] + 0.5) / (nt + 1)) - np.log((dn[chosen] + 0.5) / (nn + 1))
     w = 0.3 * log_odds
     rng = np.random.default_rng(seed)
-    v = rng.normal(0, 0.02, (len(chosen), factors))
+    v = rng.normal(0, 0.02, (len(w), factors))
     gw, gv, gb = np.full(len(w), 1e-2), np.full(v.shape, 1e-2), 1e-2
-    data = [keep[np.asarray(r, np.int64)] for r in rows]
-    data = [r[r >= 0] for r in data]
     for _ in range(epochs):
-        for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 64)):
+        for part in np.array_split(rng.permutation(len(data)), max(1, len(data) // 64)):
             m = np.array([len(data[i]) for i in part])
             k, who = np.concatenate([data[i] for i in part]) if m.sum() else np.empty(0, np.int64), np.repeat(np.arange(len(part)), m)
             vs = v[k]
@@ -131,29 +127,66 @@ def fit_machine(rows: list, labels: np.ndarray, factors: int = FACTORS, epochs:
             gv[used] += dv * dv
             w[used] -= rate * dw / np.sqrt(gw[used])
             v[used] -= rate * dv / np.sqrt(gv[used])
-    return FactorizationMachine(chosen, bias, w, v)
+    return FactorizationMachine(buckets, bias, w, v)
+
+
+def _log_odds(dt: np.ndarray, dn: np.ndarray, nt: float, nn: float) -> np.ndarray:
+    return np.log((dt + 0.5) / (nt + 1)) - np.log((dn + 0.5) / (nn + 1))
+
+
+def fit_machine(rows: list, labels: np.ndarray) -> FactorizationMachine:
+    """The machine of texts given as lists of buckets."""
+    nt, nn = max(1.0, labels.sum()), max(1.0, (1 - labels).sum())
+    ids = np.concatenate([np.asarray(r, np.int64) for r in rows])
+    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    dt, dn = (np.bincount(ids, x[at], BUCKETS) for x in (labels, 1 - labels))
+    chosen = choose_features(dt, dn, nt, nn)
+    keep = np.full(BUCKETS, -1)
+    keep[chosen] = np.arange(len(chosen))
+    data = [keep[np.asarray(r, np.int64)] for r in rows]
+    return fit_features([r[r >= 0] for r in data], labels, chosen, _log_odds(dt[chosen], dn[chosen], nt, nn))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS, held_out_mod: int | None = 5) -> FactorizationMachine | None:
-    """Fits on at most ``rows`` labelled documents, in the order of a hash of their ids."""
+    """Fits on at most ``rows`` labelled documents, in the order of a hash of their ids. The texts' buckets stay in a
+    scratch table; the driver sees counts of the buckets that differ and the sample's features alone."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     if held_out_mod:
         known = known.where(F.crc32(F.col(id_col).cast("string").cast("binary")) % held_out_mod != 0)
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(rows)
 
-    def run(b):
-        terms = Terms()
-        t = [np.array(terms.of(x), np.uint32).tobytes() for x in b.column(0).cast(pa.binary()).to_pylist()]
-        return pa.RecordBatch.from_arrays([pa.array(t, pa.binary()), b.column(1)], names=["t", "y"])
+    def buckets(b):
+        terms = memo("buckets", Terms)
+        return pa.RecordBatch.from_arrays([pa.array([terms.of(x) for x in b.column(0).cast(pa.binary()).to_pylist()], pa.list_(pa.int32())), b.column(1)], names=["t", "y"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "id").select("text", "y")
-    got = map_arrow(texts, run, "t binary, y int").toArrow()
-    if not got.num_rows:
+    sample = stage(map_arrow(texts, buckets, "t array<int>, y int"), "labelled")
+    total = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("t")).first()
+    if not total.n:
         return None
+    nt, nn = max(1.0, float(total.t)), max(1.0, float(total.n - total.t))
+    stats = sample.select("y", F.explode("t").alias("b")).groupBy("b").agg(F.sum("y").alias("dt"), F.sum(1 - F.col("y")).alias("dn"))
+    share = (F.col("dt") + F.col("dn")) / (nt + nn)
+    apart = F.abs(F.col("dt") / nt - F.col("dn") / nn) >= 3.4 * F.sqrt(share * (1 - share) * (1 / nt + 1 / nn))
+    stats = stats.where((F.col("dt") + F.col("dn") >= 3) & apart).orderBy("b").toPandas()
+    dt, dn = stats["dt"].to_numpy(float), stats["dn"].to_numpy(float)
+    at = choose_features(dt, dn, nt, nn)
+    chosen = stats["b"].to_numpy(np.int64)[at]
+
+    def features(b):
+        flat = b.column(0).flatten().to_numpy(zero_copy_only=False)
+        place = np.searchsorted(chosen, flat)
+        hit = np.zeros(len(flat), bool) if not len(chosen) else chosen[np.minimum(place, len(chosen) - 1)] == flat
+        ends = np.cumsum([len(x) if x is not None else 0 for x in b.column(0).to_pylist()])
+        rows = [p[h].astype("<i4").tobytes() for p, h in zip(np.split(place, ends[:-1]), np.split(hit, ends[:-1]), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), b.column(1)], names=["t", "y"])
+
+    got = map_arrow(sample, features, "t binary, y int").toArrow()
     # in the order of contents, so that the fit doesn't depend on the order of arrival
-    rows_ = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
-    return fit_machine([np.frombuffer(t, np.uint32) for t, _ in rows_], np.array([y for _, y in rows_]))
+    data = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
+    discard(sample)
+    return fit_features([np.frombuffer(t, "<i4").astype(np.int64) for t, _ in data], np.array([y for _, y in data]), chosen, _log_odds(dt[at], dn[at], nt, nn))
 
 
 def score_toxicity(docs: DataFrame, model: FactorizationMachine | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -162,26 +195,14 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine | None, id_col:
     if model is None:
         return src.select(id_col, F.lit(0.0).alias("score"), *keep)
     ctx = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_FEATURES features
+    tag = uuid.uuid4().hex
     fields = [src.schema[id_col], *(src.schema[c] for c in keep)]
-    from pyspark.sql import types as T
-
     schema = T.StructType([fields[0], T.StructField("score", T.DoubleType()), *fields[1:]])
 
     def run(b):
-        m, terms = ctx.value, _terms(ctx)
+        m = ctx.value
+        terms = memo(("features", tag), lambda: Terms({int(x): i for i, x in enumerate(m.buckets)}))
         s = m.scores([terms.of(t) for t in b.column(1).cast(pa.binary()).to_pylist()])
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(s), *b.columns[2:]], names=schema.names)
 
     return map_arrow(src, run, schema)
-
-
-_KNOWN: dict[int, Terms] = {}
-
-
-def _terms(ctx) -> Terms:
-    """The memo of words, once a worker and model."""
-    key = ctx.id if hasattr(ctx, "id") else id(ctx.value)
-    if key not in _KNOWN:
-        _KNOWN.clear()
-        _KNOWN[key] = Terms({int(b): i for i, b in enumerate(ctx.value.buckets)})
-    return _KNOWN[key]
