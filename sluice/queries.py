@@ -548,9 +548,9 @@ def price_apply(spark, d):
     return O.channel_prices(channels, _prices(spark, d)[0].select("model", "prompt"))
 
 
-@query("SELECT p_partkey FROM part WHERE regexp_full_match(lower(p_type), 'a.*el|.*tin')")
+@query("SELECT p_partkey FROM part WHERE regexp_full_match(lower(p_name), 'red.*|.*bolt')")
 def model_pattern_filter(spark, d):
-    return A.table(spark, d, "part").where(X.model_pattern(F.col("p_type"), "(?i)a.*el|.*tin")).select("p_partkey")
+    return A.table(spark, d, "part").where(X.model_pattern(F.col("p_name"), "(?i)RED.*|.*bolt")).select("p_partkey")
 
 
 @query("SELECT 'k' || c_custkey AS path FROM customer WHERE c_custkey % 10 = 0 OR c_custkey % 7 = 0")
