@@ -26,7 +26,7 @@ from sluice.llm._common import join_bounded, map_arrow, memo, prefix_sum, stage
 
 WINDOW, END_ID = 2048, 1
 #: Words in a worker's memo of token ids; when full it starts anew.
-MEMO = 600_000
+MEMO = 1_400_000
 #: Text whose unknown words are encoded in one call.
 LEARN_BYTES = 2 << 20
 #: Rows of a range partition in the running sums.
