@@ -73,6 +73,14 @@ def join_bounded(big: DataFrame, small: DataFrame, on: list[str], how: str = "le
     return big.join(F.broadcast(small) if small.count() <= limit else small, on, how)
 
 
+def hash_sample(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """About 1.2 times ``rows`` rows by a hash of their keys; all, if there are fewer. What is then sorted and cut to the
+    exact bound is small at any size."""
+    n = df.count()
+    share = min(1.0, (1.2 * rows + 50) / max(1, n))
+    return df if share == 1.0 else df.where(F.pmod(F.xxhash64(F.lit(29), *keys), F.lit(1 << 40)) < int(share * (1 << 40)))
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
     """mapInArrow with a function of one batch."""
 

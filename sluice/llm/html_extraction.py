@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm._common import map_arrow
+from sluice.llm._common import hash_sample, map_arrow
 
 #: Labelled pages counted at most (by a hash of the id).
 SAMPLE_PAGES = 5_000
@@ -173,7 +173,8 @@ def extract(page: str | None, w: dict[str, float]) -> str:
 
 def learn_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", rows: int = SAMPLE_PAGES) -> dict[str, float]:
     """Weights from at most ``rows`` pages, in the order of a hash of their ids."""
-    sample = pages.select(F.col(html_col).cast("string").alias("h"), F.xxhash64(F.col(id_col)).alias("o")).where("h is not null").orderBy("o", F.xxhash64("h")).limit(rows).select("h")
+    known = hash_sample(pages.where(F.col(html_col).isNotNull()), [id_col], rows)
+    sample = known.select(F.col(html_col).cast("string").alias("h"), F.xxhash64(F.col(id_col)).alias("o")).orderBy("o", F.xxhash64("h")).limit(rows).select("h")
 
     def run(b):
         out: dict[str, list[int]] = {}

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm._common import stage
+from sluice.llm._common import hash_sample, stage
 
 SAMPLE_ROWS, CENTRES, SUB, THRESHOLD = 8_000, 16, 2, 0.2
 #: Vectors and queries that meet in a task, and candidates of a block that are reranked.
@@ -144,7 +144,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
     if not dims:
         return spark.createDataFrame([], schema)
     src, n = src.where(F.col("dim") == dims[0]["dim"]).select("id", "v"), dims[0]["count"]
-    sample = np.array([r.v for r in src.orderBy(F.xxhash64("id"), "id", "v").limit(sample_rows).collect()])
+    sample = np.array([r.v for r in hash_sample(src, ["id"], sample_rows).orderBy(F.xxhash64("id"), "id", "v").limit(sample_rows).collect()])
     books = fit_codebooks(sample)
     blocks = -(-n // BLOCK_ROWS)
     data = src.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm._common import map_arrow, memo
+from sluice.llm._common import hash_sample, map_arrow, memo
 
 TRAIN_ROWS, POOL_ROWS, ROUNDS, SHAPES, METAS = 4_000, 4_000, 3, 512, 256
 MEMO = 400_000
@@ -137,9 +137,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     """Fits on at most ``rows`` labelled documents outside the held-out fold and ``pool`` others outside it."""
     fold = F.crc32(F.col("id").cast("string").cast("binary")) % held_out_mod != 0
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y is not null and id is not null").groupBy("id").agg(F.max("y").alias("y"))
-    mine = known.where(fold).orderBy(F.xxhash64("id"), "id").limit(rows)
+    mine = hash_sample(known.where(fold), ["id"], rows).orderBy(F.xxhash64("id"), "id").limit(rows)
     base = docs.select(F.col(id_col).alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
-    others = base.select("id").where(fold & F.col("id").isNotNull()).join(known, "id", "left_anti").distinct().orderBy(F.xxhash64("id"), "id").limit(pool).withColumn("y", F.lit(-1))
+    others = base.select("id").where(fold & F.col("id").isNotNull())
+    # twice the pool before labelled rows leave it
+    others = hash_sample(others, ["id"], 2 * pool).join(known, "id", "left_anti").distinct().orderBy(F.xxhash64("id"), "id").limit(pool).withColumn("y", F.lit(-1))
     chosen = mine.unionByName(others)
 
     def run(b):

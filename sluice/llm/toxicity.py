@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm._common import discard, map_arrow, memo, stage
+from sluice.llm._common import discard, hash_sample, map_arrow, memo, stage
 
 TRAIN_ROWS, BUCKETS, FACTORS, MAX_FEATURES = 20_000, 1 << 18, 8, 8192
 PREFIXES = (4, 5, 6)
@@ -154,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if held_out_mod:
         known = known.where(F.crc32(F.col(id_col).cast("string").cast("binary")) % held_out_mod != 0)
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
-    known = known.orderBy(F.xxhash64("id"), "id").limit(rows)
+    known = hash_sample(known, ["id"], rows).orderBy(F.xxhash64("id"), "id").limit(rows)
 
     def buckets(b):
         terms = memo("buckets", Terms)
