@@ -30,7 +30,7 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_passages(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return substring_dedup.merge_passages(substring_dedup.repeated_passages(read(spark, sf_dir, "documents", "doc_id", "text")))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,7 +142,11 @@ def test_substring_dedup(spark, docs):
     assert got[4].ref_id == 1 and got[4].start_word <= 1 and got[4].end_word >= 59
     left = {x.doc_id: x.text for x in substring_dedup.drop_passages(df, substring_dedup.repeated_passages(df)).collect()}
     assert left[3] == " ".join(rows[2][1].split()[:50]) and left[2] == rows[1][1] and len(left) == 8
-    assert substring_dedup.repeated_passages(docs).count() > 20
+    found = substring_dedup.repeated_passages(docs)
+    cover = lambda rows: {(x.doc_id, i) for x in rows for i in range(x.start_word, x.end_word)}
+    raw, merged = found.collect(), substring_dedup.merge_passages(found).collect()
+    assert len(raw) > 20 and cover(raw) == cover(merged) and {(x.doc_id, x.ref_id) for x in raw} == {(x.doc_id, r) for x in merged for r in x.ref_ids}
+    assert sum(x.end_word - x.start_word for x in merged) == len(cover(merged))
     assert substring_dedup.repeated_passages(docs.limit(0)).count() == 0
 
 
