@@ -1,0 +1,135 @@
+"""Messages, responses, streams and channels on small hand-made rows."""
+
+import json
+
+from pyspark.sql import functions as F
+
+from sluice.functions import rules as R
+from sluice.operators import channels as C
+from sluice.operators import traffic as T
+
+KEY = "sk-" + "aB3" * 8
+
+
+def bodies(spark, *rows):
+    return spark.createDataFrame([(i, r if r is None or isinstance(r, str) else json.dumps(r)) for i, r in enumerate(rows)], "k long, body string")
+
+
+def test_texts_and_tool_carriers(spark):
+    messages = [
+        {"role": "user", "content": "hi"},
+        {"role": "user", "content": [{"type": "text", "text": "part"}, {"type": "image_url", "image_url": {}}, "odd"]},
+        {"role": "assistant", "content": None, "tool_calls": [{"function": {"arguments": {"a": [1, "x, y: \"z\""], "b": "中"}}}, {"function": {"arguments": "raw"}}, 5]},
+        {"role": "user", "content": [{"type": "tool_use", "input": {"k": KEY}}, {"type": "tool_result", "content": "res"}, {"type": "tool_result", "content": [{"text": "deep"}, {"x": 1}]}]},
+        7,
+    ]
+    df = bodies(spark, messages, "not json {", None, {"a": 1}, [])
+    got = [r.t for r in df.select("k", T.chat_text(F.col("body")).alias("t")).orderBy("k").collect()]
+    assert got == ["\n".join(["hi", "part", json.dumps(messages[2]["tool_calls"][0]["function"]["arguments"], ensure_ascii=False), "raw", json.dumps({"k": KEY}), "res", "deep"]), "not json {", None, "", ""]
+    assert [(r.k, r.codes) for r in T.carrier_secrets(df, "k", "body").collect()] == [(0, ["secrets.openai_sk"])]
+    said = bodies(spark, [{"role": "user", "content": KEY}])
+    assert T.carrier_secrets(said, "k", "body").count() == 0
+
+
+def test_screened_responses(spark):
+    body = {"choices": [{"message": {"content": f"key {KEY} and call 13812345678", "reasoning_content": "fine", "tool_calls": [{"function": {"arguments": "the plan"}}]}}, {"delta": {"content": ""}}]}
+    got = {(r.choice, r.place): (r.text, r.codes) for r in T.screened_responses(bodies(spark, body, None, "x", {"choices": 3}), "k", "body", terms=[R.Term("plan", "t.plan")]).collect()}
+    assert got == {
+        (0, "message.content"): ("【应答含敏感内容已屏蔽（ZH_PHONE, secrets.openai_sk）】", ["ZH_PHONE", "secrets.openai_sk"]),
+        (0, "message.reasoning_content"): ("fine", []),
+        (0, "message.tool_calls"): ("【应答含敏感内容已屏蔽（t.plan）】", ["t.plan"]),
+    }
+
+
+def test_conversations_of_every_shape(spark):
+    shapes = [
+        {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a", "tool_calls": [{"id": "1", "function": {"name": "f", "arguments": "{}"}}]}, {"role": "tool", "tool_call_id": "1", "content": "r"}]},
+        {"system": [{"text": "be"}, {"text": " kind"}], "messages": [{"role": "user", "content": [{"type": "text", "text": "q"}]}, {"role": "assistant", "content": [{"type": "thinking", "thinking": "hm"}, {"type": "text", "text": "a"}, {"type": "tool_use", "id": "2", "name": "g", "input": {"x": 1}}]}]},
+        {"contents": [{"role": "user", "parts": [{"text": "q"}]}, {"role": "model", "parts": [{"text": "why", "thought": True}, {"text": "a"}, {"functionCall": {"name": "h", "args": {}}}]}]},
+        {"messages": [{"role": "assistant", "parts": [{"type": "reasoning", "text": "so"}, {"type": "text", "text": "a"}, {"type": "tool-result", "toolCallId": "3", "result": {"y": 2}}]}]},
+        {"input": "just text", "instructions": "short"},
+        {"other": 1},
+        "junk",
+        None,
+    ]
+    rows = T.conversations(bodies(spark, *shapes), "k", "body").orderBy("k", "index").collect()
+    got = [(r.k, r["shape"], r.role, r.content, r.reasoning, [tuple(c) for c in r.calls], [tuple(c) for c in r.results]) for r in rows]
+    assert got == [
+        (0, "openai", "user", "q", "", [], []), (0, "openai", "assistant", "a", "", [("1", "f", "{}")], []), (0, "openai", "tool", "r", "", [], [("1", "r")]),
+        (1, "anthropic", "system", "be kind", "", [], []), (1, "anthropic", "user", "q", "", [], []), (1, "anthropic", "assistant", "a", "hm", [("2", "g", '{"x": 1}')], []),
+        (2, "gemini", "user", "q", "", [], []), (2, "gemini", "assistant", "a", "why", [(None, "h", "{}")], []),
+        (3, "ai_sdk", "assistant", "a", "so", [], [("3", '{"y": 2}')]),
+        (4, "responses", "system", "short", "", [], []), (4, "responses", "user", "just text", "", [], []),
+    ]
+
+
+def test_streams_are_put_together(spark):
+    chat = lambda **d: {"choices": [{"delta": d}]}
+    streams = {
+        "chat": [chat(content="he"), chat(content="llo"), chat(reasoning_content="r"), chat(tool_calls=[{"index": 1, "id": "b", "function": {"name": "g", "arguments": "{"}}]), chat(tool_calls=[{"index": 0, "id": "a", "function": {"name": "f", "arguments": ""}}, {"index": 1, "function": {"arguments": "}"}}])],
+        "blocks": [{"type": "message_start"}, {"type": "content_block_start", "index": 0, "content_block": {"type": "thinking"}}, {"type": "content_block_delta", "index": 0, "delta": {"type": "thinking_delta", "thinking": "hm"}}, {"type": "content_block_delta", "index": 2, "delta": {"type": "text_delta", "text": "late"}}, {"type": "content_block_delta", "index": 1, "delta": {"type": "text_delta", "text": "early "}}, {"type": "content_block_start", "index": 10, "content_block": {"type": "tool_use", "id": "t", "name": "f"}}, {"type": "content_block_delta", "index": 10, "delta": {"type": "input_json_delta", "partial_json": "{}"}}],
+        "answer": [{"type": "response.output_text.delta", "delta": "ab"}, {"type": "response.function_call_arguments.delta", "item_id": "none", "delta": "lost"}, {"type": "response.output_item.added", "item": {"type": "function_call", "id": "i", "call_id": "c", "name": "f"}}, {"type": "response.function_call_arguments.delta", "item_id": "i", "delta": "{}"}, {"type": "response.reasoning_summary_text.delta", "delta": "why"}],
+        "sdk": [{"type": "text-delta", "delta": "a"}, {"type": "reasoning-delta", "delta": "b"}],
+        "old": [{"choices": [{"text": "x"}]}, {"choices": [{"text": "y"}]}],
+        "gemini": [{"candidates": [{"content": {"parts": [{"text": "t", "thought": True}, {"text": "c"}, {"functionCall": {"name": "f", "args": {"a": 1}}}]}}]}],
+        "nothing": [{"type": "ping"}],
+    }
+    rows = [(k, i, json.dumps(e)) for k, es in streams.items() for i, e in enumerate(es)] + [("nothing", 1, None), ("nothing", 2, "[DONE]")]
+    out = T.assembled(spark.createDataFrame(rows[::-1], "k string, seq long, data string"), "k", "seq", "data").collect()
+    assert {r.k: (r.content, r.reasoning, [tuple(c) for c in r.calls]) for r in out} == {
+        "chat": ("hello", "r", [("a", "f", ""), ("b", "g", "{}")]), "blocks": ("early late", "hm", [("t", "f", "{}")]), "answer": ("ab", "why", [("c", "f", "{}")]),
+        "sdk": ("a", "b", []), "old": ("xy", "", []), "gemini": ("c", "t", [("f_2", "f", '{"a": 1}')]), "nothing": ("", "", []),
+    }
+
+
+def test_segments(spark):
+    tree = {"id": "a", "children": [{"id": "b", "children": [{"id": "c"}]}, {"id": "d", "children": None}]}
+    got = sorted(tuple(r) for r in T.segments(bodies(spark, tree, "junk", None), "k", "body").collect())
+    assert [(d, i, p) for _, d, i, p in got] == [(0, "a", None), (1, "b", "a"), (1, "d", "a"), (2, "c", "b")]
+    assert T.segments(bodies(spark, "junk"), "k", "body").count() == 0
+
+
+def test_price_modes(spark):
+    tiers = "array(named_struct('up_to', 1000D, 'price', 4D), named_struct('up_to', 3000D, 'price', 2D), named_struct('up_to', CAST(NULL AS DOUBLE), 'price', 1D))"
+    modes = ["flat_fee", "usage_per_unit", "usage_tiered", "usage_volume", "other"]
+    df = spark.createDataFrame([(m, u) for m in modes for u in (0, 1000, 4000)], "mode string, units long")
+    got = {(r.mode, r.units): r.c for r in df.select("*", C.price_cost(F.col("mode"), F.col("units"), F.lit(0.5), F.lit(3.0), F.expr(tiers)).alias("c")).collect()}
+    million = {k: None if v is None else round(v * 1e6) for k, v in got.items()}
+    assert [million["flat_fee", u] for u in (0, 4000)] == [500000, 500000] and [million["usage_per_unit", u] for u in (0, 1000)] == [0, 3000]
+    assert [million["usage_tiered", u] for u in (0, 1000, 4000)] == [0, 4000, 9000] and [million["usage_volume", u] for u in (1000, 4000)] == [4000, 4000] and million["other", 0] is None
+
+
+def test_provider_limits(spark):
+    at = lambda d: f"2024-01-{d:02d}T00:00:00Z"
+    limit = lambda ratio, **k: {"_limits": [{"usageRatio": ratio, "periodStart": at(1), "nextResetAt": at(11), **k}]}
+    df = bodies(spark, limit(0.6), limit(0.4), limit(0.6, status="exhausted"), limit(0.6, window="credits"), limit("0.9"), {"_limits": [5, {"ready": "yes"}]}, {"_limits": {}}, "junk", None)
+    rows = df.select("k", C.quota_limits(F.col("body")).alias("l")).withColumn("p", C.window_pressure(F.col("l"), F.lit("2024-01-06 00:00:00").cast("timestamp"))).orderBy("k").collect()
+    assert [r.p for r in rows] == [True, False, False, False, False, False, False, False, False]
+    assert [(x.type, x.status, x.usage_ratio, x.ready, x.window) for x in rows[5].l] == [("", "unknown", 0.0, False, None)] and rows[6].l == []
+    b = spark.createDataFrame([(99.0, "ok"), (85.0, "ok"), (50.0, "ok"), (10.0, "ok"), (10.0, "exhausted")], "u double, s string").select(C.battery_level(F.col("u"), F.col("s")).alias("b"))
+    assert [r.b for r in b.collect()] == ["empty", "low", "medium", "full", "warning"]
+    q = bodies(spark, {"windows": {"5h": {"utilization": 0.25}, "7d": {"utilization": 0.5}}}, "junk", None)
+    assert [r.u for r in q.select("k", C.used_percent(F.lit("claudecode"), F.col("body")).alias("u")).orderBy("k").collect()] == [50.0, 0.0, 0.0]
+
+
+def test_overrides_and_prompt_rules(spark):
+    ops = lambda *o: [(a, p, v) for a, p, v in o]
+    old = ops(("set", "A", "1"), ("copy", "x", ""), ("delete", "b", ""), ("set", "A", "2"))
+    new = ops(("set", "a", "9"), ("delete", "b", "8"), ("set", "b", "7"), ("set", "c", "6"))
+    df = spark.createDataFrame([(old, new)], f"e array<{C.OPERATION}>, t array<{C.OPERATION}>")
+    r = df.select(C.merged_headers(F.col("e"), F.col("t")).alias("h"), C.merged_operations(F.col("e"), F.col("t")).alias("o")).first()
+    assert [tuple(x) for x in r.h] == [old[1], old[2], *new]
+    assert [tuple(x) for x in r.o] == [old[0], old[1], new[1], new[2], old[3], new[0], new[3]]
+    p = spark.createDataFrame([('{"a":{"b":1,"c":2},"d":[1]}', '{"a":{"b":3},"d":[2]}'), ("[1]", "{}"), (None, '{"a":1}'), ("{", "x")], "e string, t string")
+    assert [x.m for x in p.select(C.merged_parameters(F.col("e"), F.col("t")).alias("m")).collect()] == ['{"a":{"b":3,"c":2},"d":[2]}', "{}", '{"a":1}', "x"]
+    rules = [C.PromptRule("[0-9]+", "mask", "$#"), C.PromptRule("secret", "reject", scopes=("user",)), C.PromptRule("never", "reject", enabled=False)]
+    x = bodies(spark, "pin 123 secret never", "plain", None).select("k", C.prompt_preview(F.col("body"), rules, "user").alias("x")).orderBy("k").collect()
+    assert [tuple(r.x) for r in x] == [("pin $# secret never", True, True), ("plain", False, False), (None, False, False)]
+
+
+def test_probe_series_and_retention(spark):
+    rows = spark.createDataFrame([("a", "2024-01-02 05:00:00", True, 10.0, 1.0), ("a", "2024-01-01 05:00:00", False, None, 3.0), ("a", "2024-01-02 06:00:00", False, 20.0, None)], "c string, at string, ok boolean, tps double, ttft double").withColumn("at", F.col("at").cast("timestamp"))
+    p = C.probe_series(rows, "c", "at", F.col("ok"), "tps", "ttft").first().points
+    assert [(x.total, x.success, x.tokens_per_second, x.ttft_ms) for x in p] == [(1, 0, None, 3.0), (2, 1, 15.0, 1.0)]
+    r = C.retention_preview({"requests": (rows, "at", 1), "traces": (rows, "at", 30)}, F.lit("2024-01-03 00:00:00").cast("timestamp")).collect()
+    assert [(x.resource, x.retention_days, x.estimated_count) for x in r] == [("requests", 1, 1), ("traces", 30, 0)]
