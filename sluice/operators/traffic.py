@@ -44,7 +44,7 @@ def string(v: Column) -> Column:
 
 def dumped(v: Column) -> Column:
     """A string as it is, an object or array as JSON; null of numbers, flags and nulls."""
-    spaced = F.regexp_replace(F.to_json(v), rf"((?:{_LITERAL}|[^\",:]++)*+)([,:])", "$1$2 ")
+    spaced = F.regexp_replace(F.to_json(v), rf"\G((?:{_LITERAL}|[^\",:]++)*+)([,:])", "$1$2 ")
     return F.when(kind(v) == "text", v.cast("string")).when(kind(v) == "tree", spaced)
 
 

@@ -31,6 +31,13 @@ def test_texts_and_tool_carriers(spark):
     assert T.carrier_secrets(said, "k", "body").count() == 0
 
 
+def test_objects_are_written_with_spaces_outside_of_strings(spark):
+    values = [{"q": "a, b: c,d"}, {"q": "x,\n\"" * 20_000}, [1, {"k": [True, None, "\\"]}, ",:"], {}, [], "as, it:is"]
+    df = bodies(spark, *[json.dumps({"v": v}) for v in values])
+    got = [r.d for r in df.select("k", T.dumped(T.field(F.try_parse_json("body"), "v")).alias("d")).orderBy("k").collect()]
+    assert got == [v if isinstance(v, str) else json.dumps(v) for v in values]
+
+
 def test_screened_responses(spark):
     body = {"choices": [{"message": {"content": f"key {KEY} and call 13812345678", "reasoning_content": "fine", "tool_calls": [{"function": {"arguments": "the plan"}}]}}, {"delta": {"content": ""}}]}
     got = {(r.choice, r.place): (r.text, r.codes) for r in T.screened_responses(bodies(spark, body, None, "x", {"choices": 3}), "k", "body", terms=[R.Term("plan", "t.plan")]).collect()}
