@@ -157,3 +157,22 @@ def prompt_preview(text: Column, rules: list[PromptRule], scope: str | None = No
             else:
                 rejected = rejected | hit
     return F.struct(result.alias("result"), matched.alias("matched"), rejected.alias("rejected"))
+
+
+# --- key profiles -----------------------------------------------------------------------------------------------------
+def profile_of_template(name: Column, profile: Column) -> Column:
+    """The profile that a key template (JSON) sets: no mappings and the match mode "any" where it has none, a monthly
+    calendar period unless it names another kind, costs as text, and every other field null where it is missing. Text that
+    isn't a JSON object gives the defaults alone."""
+    v = F.try_parse_json(profile)
+    texts = lambda path: field(v, path, "array<string>")
+    period = F.coalesce(field(v, "quota.period.type", "string"), F.lit("calendar_duration"))
+    month = F.when(period == "calendar_duration", F.struct(F.lit("month").alias("unit")))
+    return F.struct(
+        name.alias("name"), items(field(v, "modelMappings")).alias("modelMappings"), texts("channelIDs").alias("channelIDs"), texts("channelTags").alias("channelTags"),
+        F.coalesce(F.nullif(field(v, "channelTagsMatchMode", "string"), F.lit("")), F.lit("any")).alias("channelTagsMatchMode"), texts("modelIDs").alias("modelIDs"), field(v, "loadBalanceStrategy", "string").alias("loadBalanceStrategy"),
+        F.struct(
+            field(v, "quota.requests", "long").alias("requests"), field(v, "quota.totalTokens", "long").alias("totalTokens"), field(v, "quota.cost", "string").alias("cost"),
+            F.struct(period.alias("type"), field(v, "quota.period.pastDuration", "struct<value:long,unit:string>").alias("pastDuration"), F.coalesce(field(v, "quota.period.calendarDuration", "struct<unit:string>"), month).alias("calendarDuration")).alias("period"),
+        ).alias("quota"),
+    )

@@ -3,7 +3,9 @@ applying spans are array expressions."""
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -13,6 +15,11 @@ from sluice.functions import rules as R
 from sluice.functions import text as X
 
 SPAN = "array<struct<start:int,end:int,replacement:string,entity:string>>"
+#: What may stand between digits, dropped by normalization; and characters that are several signs in compatibility form.
+_BETWEEN = r"[\s\p{Z}_\-\x{200B}-\x{200D}\x{FEFF}\x{FE33}\x{FE34}\x{FE4D}-\x{FE4F}\x{FE63}\x{FF0D}\x{FF3F}]"
+_COMPOUND = r"[\p{No}\p{Nl}\x{3200}-\x{33FF}]"
+#: Parts that pass something to or from a tool, and where they hold it.
+CARRIERS = {"tool_use": "input", "tool_result": "content"}
 
 
 def mask_text(text: str | None, rules: list[R.FormatRule], fold: dict[str, str], compiled: list | None = None) -> tuple[str | None, list[str]]:
@@ -51,7 +58,7 @@ def masked(df: DataFrame, text: str, rules: list[R.FormatRule] = R.FORMAT_RULES,
     """Adds masked_text and entities. Rows without a run of 11 digits (separators aside) can't match the default rules and
     skip Python; with ``only_digits`` off every row goes."""
     table = X.folding(fold)
-    may = F.col(text).rlike(r"(?U)(?:\d[ \t\r\n_\-\x{200B}-\x{200D}\x{FEFF}]*){11}") if only_digits else F.lit(True)
+    may = F.col(text).rlike(rf"(?U)(?:\d{_BETWEEN}*){{11}}|{_COMPOUND}") if only_digits else F.lit(True)
     may = F.coalesce(may, F.lit(False))
     place = df.columns.index(text)
     no = df.where(~may).withColumn("masked_text", F.col(text)).withColumn("entities", F.array().cast("array<string>"))
@@ -95,3 +102,94 @@ def apply_spans(text: Column, spans: Column) -> Column:
 
 def entities_of(spans: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["entity"])))
+
+
+# --- messages ---------------------------------------------------------------------------------------------------------
+def recognized_text(text: str, known: list[tuple[R.Recognizer, re.Pattern]]) -> tuple[str, list[str]]:
+    """Masks what recognizers find; where spans overlap the longest stays, the earlier at ties."""
+    found = [(m.start(), m.end(), r) for r, p in known for m in p.finditer(text)]
+    kept: list[tuple[int, int, R.Recognizer]] = []
+    for s in sorted(found, key=lambda x: (x[0] - x[1], x[0])):
+        if all(s[1] <= k[0] or k[1] <= s[0] for k in kept):
+            kept.append(s)
+    for start, end, r in sorted(kept, key=lambda x: -x[0]):
+        text = text[:start] + r.replacement + text[end:]
+    return text, [r.entity for *_, r in kept]
+
+
+def map_strings(value, fn: Callable[[str], str]):
+    """A JSON value with fn applied to its strings, however deep; keys stay."""
+    if isinstance(value, str):
+        return fn(value)
+    if isinstance(value, list):
+        return [map_strings(x, fn) for x in value]
+    return {k: map_strings(x, fn) for k, x in value.items()} if isinstance(value, dict) else value
+
+
+def map_message(message, fn: Callable[[str], str]):
+    """A chat message with fn applied to its content, its parts' texts and the strings of its tool carriers."""
+    if not isinstance(message, dict):
+        return message
+
+    def call(c):
+        held = c.get("function") if isinstance(c, dict) else None
+        return c | {"function": held | {"arguments": map_strings(held["arguments"], fn)}} if isinstance(held, dict) and "arguments" in held else c
+
+    def part(p):
+        if not isinstance(p, dict):
+            return p
+        at = CARRIERS.get(p["type"]) if isinstance(p.get("type"), str) else None
+        new = {at: map_strings(p[at], fn)} if at in p else {}
+        return p | new | ({"text": fn(p["text"])} if isinstance(p.get("text"), str) else {})
+
+    change = {"tool_calls": lambda v: [call(c) for c in v] if isinstance(v, list) else v, "content": lambda v: fn(v) if isinstance(v, str) else [part(p) for p in v] if isinstance(v, list) else v}
+    return {k: change[k](v) if k in change else v for k, v in message.items()}
+
+
+def masked_messages(df: DataFrame, messages: str, rules: list[R.FormatRule] = R.FORMAT_RULES, recognizers: list[R.Recognizer] = R.RECOGNIZERS, fold: dict[str, str] | None = None, only_digits: bool = True) -> DataFrame:
+    """Adds masked_messages and entities (sorted) to rows of chat messages, a JSON array as text.
+
+    The rules mask first; only where they find nothing in any message the recognizers do. Either list may be empty. Rows
+    in which nothing is found keep their text; what isn't a JSON array is masked as one text; null stays null. Rows that
+    can't hold 11 digits skip Python, as in ``masked``."""
+    table = X.folding(fold)
+    may = F.col(messages).rlike(rf"(?U)(?:\d(?:{_BETWEEN}|\\[nrt])*){{11}}|{_COMPOUND}|\\u") if only_digits else F.col(messages).isNotNull()
+    may = F.coalesce(may, F.lit(False))
+    place = df.columns.index(messages)
+    no = df.where(~may).withColumn("masked_messages", F.col(messages)).withColumn("entities", F.array().cast("array<string>"))
+
+    def parsed(text: str):
+        try:
+            v = json.loads(text)
+        except (ValueError, RecursionError):
+            return None
+        return v if isinstance(v, list) else None
+
+    def written(value) -> str:
+        out = json.dumps(value, ensure_ascii=False)
+        return out if out.isascii() or not re.search("[\ud800-\udfff]", out) else json.dumps(value)
+
+    def run(batches):
+        compiled, known = compile_rules(rules), [(r, re.compile(r.regex)) for r in recognizers]
+        layers = [lambda t: mask_text(t, rules, table, compiled)] * bool(rules) + [lambda t: recognized_text(t, known)] * bool(recognizers)
+
+        def mask(text):
+            value = parsed(text)
+            for layer in layers:
+                found: set[str] = set()
+
+                def one(t, layer=layer, found=found):
+                    new, entities = layer(t)
+                    found.update(entities)
+                    return new
+
+                new = one(text) if value is None else [map_message(m, one) for m in value]
+                if found:
+                    return new if value is None else written(new), sorted(found)
+            return text, []
+
+        for b in batches:
+            rows = [mask(t) for t in b.column(place).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.string()))], names=[*b.schema.names, "masked_messages", "entities"])
+
+    return no.unionByName(df.where(may).mapInArrow(run, no.schema))

@@ -255,3 +255,37 @@ def segments(df: DataFrame, key: str, root: str) -> DataFrame:
         levels.append(level.select(key, "depth", field(F.col("v"), "id", "string").alias("id"), "parent_id"))
         level = level.select(key, (F.col("depth") + 1).alias("depth"), F.explode(items(field(F.col("v"), "children"))).alias("c"), field(F.col("v"), "id", "string").alias("parent_id")).select(key, "depth", F.col("c").alias("v"), "parent_id")
     return reduce(DataFrame.unionByName, levels) if levels else level.select(key, "depth", F.lit(None).cast("string").alias("id"), "parent_id")
+
+
+# Names of span types.
+SPAN_TYPES = (
+    "userQuery", "userImageUrl", "userVideoUrl", "userInputAudio", "text", "thinking", "imageUrl", "videoUrl", "audio", "functionCall", "functionResult", "toolUse", "toolResult",
+    "message", "retrieve", "embedding", "synthesize", "chunking", "templating", "llm", "systemInstruction", "compaction", "compactionSummary",
+)
+
+
+def span_type(t: Column) -> Column:
+    """Trimmed, in lower case, with _ for hyphens and white space; "default" of null and empty."""
+    return F.when(F.coalesce(t, F.lit("")) == "", "default").otherwise(F.regexp_replace(F.lower(F.regexp_replace(t, r"(?U)^\s+|\s+$", "")), r"(?U)[-\s]+", "_"))
+
+
+def span_type_name(t: Column) -> Column:
+    """The known type that t writes, in any of its spellings; else "default"."""
+    known = F.create_map(*[F.lit(x) for name in SPAN_TYPES for x in (name.lower(), name)])
+    return F.coalesce(F.try_element_at(known, F.replace(span_type(t), F.lit("_"), F.lit(""))), F.lit("default"))
+
+
+def span_labels(t: Column, value: Column, labels: dict[str, str] | None = None) -> Column:
+    """(primary, secondary) of a span, its value given as JSON: a tool's name or a result's id leads, with the type second;
+    else the type leads, with a compaction's summary second. ``labels`` holds texts by type name; a type without one is
+    written in words."""
+    words = F.filter(F.split(t, "[_-]+"), lambda w: w != "")
+    spelled = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))), " ")
+    spelled = F.when(F.coalesce(t, F.lit("")) == "", "Span").otherwise(spelled)
+    label = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in labels.items() for x in kv]), span_type_name(t)), spelled) if labels else spelled
+    v = F.try_parse_json(value)
+    some = lambda path: F.nullif(field(v, path, "string"), F.lit(""))
+    custom = F.when(span_type(field(v, "toolUse.type", "string")) == "responses_custom_tool", F.concat(label, F.lit(" · responses_custom_tool"))).otherwise(label)
+    lead = F.when((span_type(t) == "tool_use"), some("toolUse.name")).when(span_type(t) == "tool_result", some("toolResult.toolCallID"))
+    second = F.when(lead.isNull(), some("compaction.summary")).when(span_type(t) == "tool_use", custom).otherwise(label)
+    return F.struct(F.coalesce(lead, label).alias("primary"), second.alias("secondary"))

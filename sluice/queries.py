@@ -586,6 +586,41 @@ def tool_carrier_codes(spark, d):
     return T.carrier_secrets(df, "doc_id", "messages", AWS).select("doc_id", F.array_join("codes", ",").alias("codes"))
 
 
+@query(ORACLE_SQL["mask_bank_card"])
+def mask_message_leaves(spark, d):
+    """As mask_bank_card, with the texts deep inside of a tool call's input."""
+    rules = [r for r in R.FORMAT_RULES if r.code == "pii.bank_card"]
+    part = F.struct(F.lit("tool_use").alias("type"), F.struct(F.array(F.struct(F.col("text").alias("q"))).alias("a")).alias("input"))
+    df = docs(spark, d).select("doc_id", "text", F.to_json(F.array(F.struct(F.array(part).alias("content")))).alias("messages"))
+    df = masking.masked_messages(df, "messages", rules, []).where("size(entities) > 0")
+    found = lambda t: F.regexp_extract_all(t, F.lit(rules[0].norm[0]), F.lit(0))
+    leaf = F.try_variant_get(F.try_parse_json("masked_messages"), "$[0].content[0].input.a[0].q", "string")
+    return df.where(found(F.col("text")) == found(F.translate("text", R.SEPARATORS, ""))).select("doc_id", leaf.alias("masked_text"))
+
+
+@query("""SELECT CASE WHEN event_id % 3 = 0 THEN event_type WHEN event_id % 6 = 1 THEN CAST(user_id AS VARCHAR) WHEN event_id % 3 = 1 THEN 'Tool Result' ELSE 'User ' || upper(event_type[1]) || event_type[2:] END AS label,
+  CASE WHEN event_id % 3 = 0 THEN 'Tool Use' WHEN event_id % 6 = 1 THEN 'Tool Result' END AS detail, count(*) AS spans FROM events GROUP BY 1, 2""")
+def span_labels(spark, d):
+    """Events as spans: tool calls, results with or without an id, and other types."""
+    n = F.col("event_id")
+    kind = F.when(n % 3 == 0, "tool-use").when(n % 3 == 1, "tool_result").otherwise(F.concat(F.lit("user_"), "event_type"))
+    use = F.to_json(F.struct(F.struct(F.col("event_type").alias("name")).alias("toolUse")))
+    result = F.to_json(F.struct(F.struct(F.col("user_id").cast("string").alias("toolCallID")).alias("toolResult")))
+    labels = T.span_labels(kind, F.when(n % 3 == 0, use).when(n % 6 == 1, result))
+    return A.table(spark, d, "events").select(labels.alias("x")).groupBy(F.col("x.primary").alias("label"), F.col("x.secondary").alias("detail")).agg(F.count(F.lit(1)).alias("spans"))
+
+
+@query("""SELECT c_custkey AS key_id, CASE WHEN c_custkey % 3 = 0 THEN 'all' ELSE 'any' END AS match_mode, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey AS VARCHAR) END AS cost,
+  CASE WHEN c_custkey % 4 = 0 THEN 'past_duration' ELSE 'calendar_duration' END AS period, CASE WHEN c_custkey % 4 <> 0 THEN 'month' END AS calendar_unit FROM customer""")
+def template_profiles(spark, d):
+    """Customers as key templates, of which every other one has a quota."""
+    n = F.col("c_custkey")
+    quota = F.when(n % 2 == 0, F.struct(n.alias("cost"), F.when(n % 4 == 0, F.struct(F.lit("past_duration").alias("type"))).alias("period")))
+    p = C.profile_of_template(n.cast("string"), F.to_json(F.struct(F.when(n % 3 == 0, "all").when(n % 3 == 1, "").alias("channelTagsMatchMode"), quota.alias("quota"))))
+    x = A.table(spark, d, "customer").select(n.alias("key_id"), p.alias("p"))
+    return x.select("key_id", F.col("p.channelTagsMatchMode").alias("match_mode"), F.col("p.quota.cost").alias("cost"), F.col("p.quota.period.type").alias("period"), F.col("p.quota.period.calendarDuration.unit").alias("calendar_unit"))
+
+
 @query(f"SELECT doc_id, concat_ws(',', CASE WHEN {_CARD} THEN 'ZH_BANK_CARD' END, CASE WHEN {_AWS} THEN 'secrets.aws_key' END) AS codes FROM documents WHERE codes <> ''")
 def response_screening(spark, d):
     body = F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"))).alias("choices"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions import rules as R
 from sluice.operators import channels as C
+from sluice.operators import masking
 from sluice.operators import traffic as T
 
 KEY = "sk-" + "aB3" * 8
@@ -140,3 +141,62 @@ def test_probe_series_and_retention(spark):
     assert [(x.total, x.success, x.tokens_per_second, x.ttft_ms) for x in p] == [(1, 0, None, 3.0), (2, 1, 15.0, 1.0)]
     r = C.retention_preview({"requests": (rows, "at", 1), "traces": (rows, "at", 30)}, F.lit("2024-01-03 00:00:00").cast("timestamp")).collect()
     assert [(x.resource, x.retention_days, x.estimated_count) for x in r] == [("requests", 1, 1), ("traces", 30, 0)]
+
+
+PHONE, MASK = "13812345678", "【PII:手机号】"
+
+
+def test_masked_messages(spark):
+    messages = [
+        {"role": "user", "content": f"call {PHONE}"},
+        {"role": "user", "content": [{"type": "text", "text": PHONE}, {"type": "image_url", "n": PHONE}, {"type": "tool_use", "input": {"a": [1, {"b": PHONE}, None]}}, {"type": "tool_result", "content": [{"text": PHONE}]}, "odd"]},
+        {"role": "assistant", "content": None, "tool_calls": [{"function": {"name": PHONE, "arguments": {"q": PHONE}}}, {"function": 3}, 4]},
+        5,
+    ]
+    spaced = [{"role": "user", "content": "id 1101011990 0307663X"}]
+    df = bodies(spark, messages, spaced, f"plain {PHONE} {{", [{"content": "none 1234567890123"}], None, "", {"content": PHONE}, '[{"content": "138\\n1234\\u0035678 \\ud800"}]', [{"content": "a"}])
+    got = {r.k: (r.masked_messages, r.entities) for r in masking.masked_messages(df, "body").collect()}
+    want = json.loads(json.dumps(messages))
+    want[0]["content"] = f"call {MASK}"
+    parts = want[1]["content"]
+    parts[0]["text"] = parts[2]["input"]["a"][1]["b"] = parts[3]["content"][0]["text"] = want[2]["tool_calls"][0]["function"]["arguments"]["q"] = MASK
+    assert json.loads(got[0][0]) == want and got[0][1] == ["ZH_PHONE"]
+    assert json.loads(got[1][0])[0]["content"] == "id 【PII:身份证号】" and got[1][1] == ["ZH_ID_CARD"]
+    assert got[2] == (f"plain {MASK} {{", ["ZH_PHONE"]) and got[3][1] == [] and got[4] == (None, []) and got[5] == ("", [])
+    assert MASK in got[6][0] and json.loads(got[7][0])[0]["content"] == f"{MASK} \ud800" and got[8][1] == []
+    second = {r.k: r.entities for r in masking.masked_messages(df, "body", rules=[]).collect()}
+    assert second[0] == ["ZH_PHONE"] and second[1] == ["ZH_ID_CARD"]
+    assert all(not r.entities for r in masking.masked_messages(df, "body", rules=[], recognizers=[]).collect())
+
+
+def test_rows_that_skip_python_hold_nothing(spark):
+    """Every character that normalization drops, or that has a digit in its compatibility form, within a number."""
+    import unicodedata
+
+    dropped = set(R.SEPARATORS + R.ZERO_WIDTH)
+    forms = {c: unicodedata.normalize("NFKC", c) for c in map(chr, range(1, 0x110000)) if not 0xD800 <= ord(c) < 0xE000}
+    rows = [f"138{c}12345678" for c, f in forms.items() if set(f) <= dropped] + [t for c, f in forms.items() if any("0" <= x <= "9" for x in f) for t in (f"138123456{c}", f"1381234567{c}", f"138{c}2345678")]
+    df = masking.masked(spark.createDataFrame(list(enumerate(rows)), "k long, text string"), "text")
+    got = {r.k: r.masked_text for r in df.collect()}
+    assert [got[i] for i in range(len(rows))] == [masking.mask_text(t, R.FORMAT_RULES, {})[0] for t in rows]
+
+
+def test_span_labels(spark):
+    cases = {
+        ("user_query", None): ("User Query", None), ("UserQuery", None): ("Userquery", None), (None, None): ("Span", None), ("", "x"): ("Span", None),
+        ("tool-use", '{"toolUse":{"name":"f"}}'): ("f", "Tool Use"), ("tool_use", '{"toolUse":{"name":"f","type":"responses-custom tool"}}'): ("f", "Tool Use · responses_custom_tool"),
+        ("tool_use", '{"toolUse":{"name":""}}'): ("Tool Use", None), ("tool_result", '{"toolResult":{"toolCallID":"c1"}}'): ("c1", "Tool Result"), ("compaction", '{"compaction":{"summary":"s"}}'): ("Compaction", "s"),
+    }
+    df = spark.createDataFrame(list(cases), "t string, v string")
+    assert [tuple(r.x) for r in df.select(T.span_labels(F.col("t"), F.col("v")).alias("x")).collect()] == list(cases.values())
+    names = spark.createDataFrame([(" User Query ",), ("llm",), ("else",), (None,)], "t string").select(T.span_type_name(F.col("t")).alias("n"), T.span_labels(F.col("t"), F.lit(None), {"llm": "Model", "default": "Span!"}).alias("x"))
+    assert [(r.n, r.x.primary) for r in names.collect()] == [("userQuery", " user query "), ("llm", "Model"), ("default", "Span!"), ("default", "Span!")]
+
+
+def test_profile_of_template(spark):
+    df = bodies(spark, {"modelMappings": [{"from": "a"}], "channelTagsMatchMode": "", "quota": {"cost": 5, "requests": 7, "period": {"type": "past_duration", "pastDuration": {"value": 3, "unit": "day"}}}}, {}, None, {"channelTagsMatchMode": "all", "modelIDs": ["m"], "quota": {"cost": "1.50", "period": {"calendarDuration": {"unit": "day"}}}})
+    a, b, c, d = [r.p.asDict(True) for r in df.select("k", C.profile_of_template(F.lit("n"), F.col("body")).alias("p")).orderBy("k").collect()]
+    assert len(a["modelMappings"]) == 1 and a["channelTagsMatchMode"] == "any"
+    assert a["quota"] == {"requests": 7, "totalTokens": None, "cost": "5", "period": {"type": "past_duration", "pastDuration": {"value": 3, "unit": "day"}, "calendarDuration": None}}
+    assert b == c and b["modelMappings"] == [] and b["quota"] == {"requests": None, "totalTokens": None, "cost": None, "period": {"type": "calendar_duration", "pastDuration": None, "calendarDuration": {"unit": "month"}}}
+    assert (d["channelTagsMatchMode"], d["modelIDs"], d["quota"]["cost"], d["quota"]["period"]["calendarDuration"]) == ("all", ["m"], "1.50", {"unit": "day"})
