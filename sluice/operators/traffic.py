@@ -244,6 +244,45 @@ def assembled(events: DataFrame, key: str, seq: str, data: str) -> DataFrame:
     return out.select(key, texts("c").alias("content"), texts("r").alias("reasoning"), calls.alias("calls"))
 
 
+# --- final responses --------------------------------------------------------------------------------------------------
+def _listed(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False))
+
+
+def final_responses(df: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, content, reasoning, calls) of whole response bodies: parts, a message, candidates, output items, completions or
+    a bare content. A form is only read where those before it gave nothing of what it holds. Calls without a name are
+    "unknown"; bodies that aren't JSON objects have empty texts."""
+    v, none = F.col("_v"), F.array().cast("array<struct<id:string,name:string,arguments:string>>")
+    text = lambda parts, of: F.array_join(F.transform(parts, of), "")
+    typed = lambda p, *names: field(p, "type", "string").isin(*names)
+    named = lambda p, at: F.coalesce(F.nullif(field(p, at, "string"), F.lit("")), F.lit("unknown"))
+    call = lambda i, name, arguments: F.struct(i.alias("id"), name.alias("name"), F.coalesce(F.nullif(arguments, F.lit("")), F.lit("{}")).alias("arguments"))
+    rows = df.select(key, F.try_parse_json(body).alias("_v"))
+    inner, bare = field(v, "choices[0].message"), (field(v, "role", "string") != "") & field(v, "content").isNotNull()
+    rows = rows.withColumn("m", F.when(kind(inner) == "tree", inner).when(bare, v))
+    rows = rows.select("*", items(field(F.col("m"), "content")).alias("blocks"), items(field(v, "parts")).alias("parts"), items(field(v, "candidates[0].content.parts")).alias("gemini"), F.concat(items(field(v, "output")), F.when(~_listed(field(v, "output")), items(field(v, "response.output"))).otherwise(F.array().cast("array<variant>"))).alias("output"))
+    said = F.concat(text("parts", lambda p: F.when(typed(p, "text"), string(field(p, "text")))), text("blocks", lambda p: F.when(typed(p, "text"), string(field(p, "text")))))
+    thought = F.concat(
+        text("parts", lambda p: F.when(typed(p, "reasoning"), string(field(p, "text")))),
+        text("blocks", lambda p: F.when(typed(p, "thinking"), string(field(p, "thinking"))).when(typed(p, "reasoning"), F.coalesce(F.nullif(string(field(p, "text")), F.lit("")), string(field(p, "reasoning"))))),
+    )
+    used = F.filter("blocks", lambda p: field(p, "type", "string").rlike("(^|_)tool_use$"))
+    own = F.transform(items(field(F.col("m"), "tool_calls")), lambda c: call(field(c, "id", "string"), named(c, "function.name"), dumped(field(c, "function.arguments"))))
+    rows = rows.withColumn("calls", F.when(_listed(field(F.col("m"), "tool_calls")), own).otherwise(F.transform(used, lambda p: call(field(p, "id", "string"), named(p, "name"), dumped(field(p, "input"))))))
+    first = lambda *texts: F.coalesce(*[F.nullif(t, F.lit("")) for t in texts], F.lit(""))
+    rows = rows.select("*", first(said, string(field(F.col("m"), "content"))).alias("c"), first(thought, string(field(F.col("m"), "reasoning_content"))).alias("r"))
+    silent = (F.col("c") == "") & (F.col("r") == "")
+    deep = lambda p: F.coalesce(field(p, "thought", "boolean"), F.lit(False))
+    rows = rows.select(key, "_v", "output", "calls", F.when(silent, text("gemini", lambda p: F.when(~deep(p), string(field(p, "text"))))).otherwise(F.col("c")).alias("c"), F.when(silent, text("gemini", lambda p: F.when(deep(p), string(field(p, "text"))))).otherwise(F.col("r")).alias("r"))
+    silent = silent & (F.size("calls") == 0)
+    of = lambda i, name, at, t: F.when(typed(i, name), text(items(field(i, at)), lambda x: F.when(typed(x, t), string(field(x, "text")))))
+    asked = F.transform(F.filter("output", lambda i: typed(i, "function_call")), lambda i: call(F.coalesce(F.nullif(field(i, "call_id", "string"), F.lit("")), field(i, "id", "string")), named(i, "name"), dumped(field(i, "arguments"))))
+    answer = F.when(silent, text("output", lambda i: of(i, "message", "content", "output_text"))).otherwise(F.col("c"))
+    why = F.when(silent, text("output", lambda i: of(i, "reasoning", "summary", "summary_text"))).otherwise(F.col("r"))
+    return rows.select(key, first(answer, field(v, "choices[0].text", "string"), string(field(v, "content"))).alias("content"), why.alias("reasoning"), F.coalesce(F.when(silent, asked).otherwise(F.col("calls")), none).alias("calls"))
+
+
 # --- traces -----------------------------------------------------------------------------------------------------------
 def segments(df: DataFrame, key: str, root: str) -> DataFrame:
     """(key, depth, id, parent_id): a segment tree, given as JSON, level by level until no segment has children. Text that

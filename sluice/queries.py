@@ -656,6 +656,21 @@ def chat_stream(spark, d):
     return T.assembled(e.withColumn("data", data), "k", "seq", "data").select("k.conv_id", "k.turn", "content")
 
 
+@query("SELECT conv_id, turn, coalesce(text, '') AS content FROM conversations")
+def final_responses(spark, d):
+    """Texts as whole response bodies, in one of four forms by turn."""
+    c = A.table(spark, d, "conversations")
+    shapes = [
+        F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"))).alias("choices")),
+        F.struct(F.lit("assistant").alias("role"), F.array(F.struct(F.lit("text").alias("type"), "text")).alias("content")),
+        F.struct(F.array(F.struct(F.struct(F.array(F.struct("text")).alias("parts")).alias("content"))).alias("candidates")),
+        F.struct(F.array(F.struct(F.lit("message").alias("type"), F.array(F.struct(F.lit("output_text").alias("type"), "text")).alias("content"))).alias("output")),
+    ]
+    body = F.coalesce(*[F.when(F.col("turn") % 4 == i, F.to_json(s)) for i, s in enumerate(shapes)])
+    out = T.final_responses(c.select(F.struct("conv_id", "turn").alias("k"), body.alias("body")), "k", "body")
+    return out.select("k.conv_id", "k.turn", "content")
+
+
 @query("SELECT conv_id, 0 AS depth, CAST(1 AS BIGINT) AS segments FROM conversations GROUP BY 1 UNION ALL SELECT conv_id, 1, count(*) FROM conversations GROUP BY 1")
 def segment_tree(spark, d):
     c = A.table(spark, d, "conversations")

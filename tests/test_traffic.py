@@ -200,3 +200,17 @@ def test_profile_of_template(spark):
     assert a["quota"] == {"requests": 7, "totalTokens": None, "cost": "5", "period": {"type": "past_duration", "pastDuration": {"value": 3, "unit": "day"}, "calendarDuration": None}}
     assert b == c and b["modelMappings"] == [] and b["quota"] == {"requests": None, "totalTokens": None, "cost": None, "period": {"type": "calendar_duration", "pastDuration": None, "calendarDuration": {"unit": "month"}}}
     assert (d["channelTagsMatchMode"], d["modelIDs"], d["quota"]["cost"], d["quota"]["period"]["calendarDuration"]) == ("all", ["m"], "1.50", {"unit": "day"})
+
+
+def test_final_responses(spark):
+    wanted = [
+        ({"choices": [{"message": {"content": "a", "reasoning_content": "r", "tool_calls": [{"id": "1", "function": {"name": "f", "arguments": "{}"}}]}}]}, ("a", "r", [("1", "f", "{}")])),
+        ({"role": "assistant", "content": [{"type": "thinking", "thinking": "hm"}, {"type": "text", "text": "a"}, {"type": "text", "text": "b"}, {"type": "tool_use", "id": "2", "name": "g", "input": {"x": 1}}, {"type": "server_tool_use", "id": "3"}]}, ("ab", "hm", [("2", "g", '{"x": 1}'), ("3", "unknown", "{}")])),
+        ({"parts": [{"type": "text", "text": "p"}, {"type": "reasoning", "text": "q"}]}, ("p", "q", [])),
+        ({"candidates": [{"content": {"parts": [{"text": "t", "thought": True}, {"text": "c"}]}}]}, ("c", "t", [])),
+        ({"response": {"output": [{"type": "reasoning", "summary": [{"type": "summary_text", "text": "s"}]}, {"type": "message", "content": [{"type": "output_text", "text": "o"}]}, {"type": "function_call", "id": "i", "name": "f", "arguments": ""}]}}, ("o", "s", [("i", "f", "{}")])),
+        ({"choices": [{"text": "old"}]}, ("old", "", [])), ({"content": "bare"}, ("bare", "", [])), ({"choices": [{"message": None}], "content": "bare"}, ("bare", "", [])),
+        ({"choices": 3}, ("", "", [])), ("junk", ("", "", [])), (None, ("", "", [])),
+    ]
+    rows = T.final_responses(bodies(spark, *[b for b, _ in wanted]), "k", "body").orderBy("k").collect()
+    assert [(r.content, r.reasoning, [tuple(c) for c in r.calls]) for r in rows] == [w for _, w in wanted]
