@@ -380,3 +380,43 @@ def test_empty_tables(docs):
     assert packing.pack(none, tokenizer_path("word_bpe_49k.json")).count() == 0
     assert mixing.mix_sources(none).count() == 0
     assert token_counts.count_tokens(none, tokenizer_path("byte_bpe_50k.json")).count() == 0
+
+
+def test_passages_apart_in_one_pair():
+    """Two and three passages shared by one pair, apart by unshared words in both texts or in one, are all found."""
+    r = random.Random(31)
+    text = lambda n: " ".join(f"w{r.randrange(10**9)}" for _ in range(n)).split()
+    for sizes in ((60, 60), (200, 200), (45, 90, 60)):
+        for gap in (0, 5, 20, 60, 100, 300, 500):
+            for apart in ((1, 1), (0, 1), (1, 0)):
+                parts = [text(n) for n in sizes]
+                made = []
+                for side in apart:
+                    words, at = text(30), []
+                    for k, p in enumerate(parts):
+                        words += text(gap * side) if k else []
+                        at.append((len(words), len(words) + len(p)))
+                        words += p
+                    made.append((" ".join([*words, *text(30)]).encode(), at))
+                (doc, want), (ref, _) = made
+                got = substring_dedup.passages(doc, ref)
+                covered = {x for s, e, *_ in got for x in range(s, e)}
+                assert all(set(range(s, e)) <= covered for s, e in want), (sizes, gap, apart)
+                assert all(h >= substring_dedup.MIN_IDENTITY * max(e - s, f - t) for s, e, t, f, h in got)
+
+
+def test_long_gaps_are_aligned():
+    """A gap of more than 10,000 cells whose words match one by one but never six in a row counts its matches."""
+    r = random.Random(37)
+    w = lambda: f"w{r.randrange(10**9)}"
+    doc = [w() for _ in range(520)]
+    ref = [x if not 200 <= k < 320 or k % 6 else w() for k, x in enumerate(doc)]
+    got = substring_dedup.passages(" ".join(doc).encode(), " ".join(ref).encode())
+    assert [(s, e) for s, e, *_ in got] == [(0, 520)]
+    for _ in range(200):
+        a, b = [[r.randrange(5) for _ in range(r.randrange(30))] for _ in "ab"]
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        assert substring_dedup._common(a, b) == t[-1][-1]
