@@ -43,13 +43,13 @@ def shingle_set(text: bytes | None, k: int = 5) -> np.ndarray:
     return np.unique(window_hashes(word_hashes(text), k))
 
 
-def attach_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs: staged (doc, ref); docs: (id, text). Returns ref, doc, ref_text, doc_text, rows of a ref together
+def attach_texts(pairs: DataFrame, docs: DataFrame, *keep: str) -> DataFrame:
+    """pairs: staged (doc, ref, keep); docs: (id, text). Returns ref, doc, ref_text, doc_text, keep, rows of a ref together
     where Spark merges; hot refs are split by adaptive execution."""
     ids = stage(pairs.select(F.col("doc").alias("id")).unionByName(pairs.select(F.col("ref").alias("id"))).distinct(), "ids")
     texts = docs.join(F.broadcast(ids), "id", "left_semi") if ids.count() <= BROADCAST_IDS else docs
     one = pairs.join(texts.select(F.col("id").alias("doc"), F.col("text").alias("doc_text")), "doc")
-    return one.join(texts.select(F.col("id").alias("ref"), F.col("text").alias("ref_text")), "ref").select("ref", "doc", "ref_text", "doc_text")
+    return one.join(texts.select(F.col("id").alias("ref"), F.col("text").alias("ref_text")), "ref").select("ref", "doc", "ref_text", "doc_text", *keep)
 
 
 def components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:

@@ -420,3 +420,31 @@ def test_long_gaps_are_aligned():
             for j, y in enumerate(b):
                 t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
         assert substring_dedup._common(a, b) == t[-1][-1]
+
+
+def test_fuzzy_passages_are_compared(spark):
+    """A passage of 60 words of which every k-th is changed, in two unrelated texts, is found down to an identity of 0.8,
+    and one whose parts smaller ids hold is found between the documents that hold the whole."""
+    r = random.Random(41)
+    w = lambda: f"w{r.randrange(10**9)}"
+    text = lambda n: [w() for _ in range(n)]
+    rows, pairs = [], []
+    for k in range(5, 21):
+        for _ in range(20):
+            p, at = text(60), len(rows)
+            changed = [w() if i % k == k - 1 else x for i, x in enumerate(p)]
+            rows += [(at, " ".join(text(80) + p + text(40))), (at + 1, " ".join(text(30) + changed + text(90)))]
+            pairs.append((k, at))
+    parts = []
+    for _ in range(20):
+        p, at = text(60), len(rows)
+        rows += [(at + n, " ".join(text(30) + x + text(30))) for n, x in enumerate((p[:30], p[30:], p, p))]
+        parts.append(at)
+    found = defaultdict(set)
+    for x in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found[x.doc_id, x.ref_id] |= set(range(x.start_word, x.end_word))
+    for k in range(5, 21):
+        share = sum(len(found[at + 1, at] & set(range(30, 90))) >= 54 for j, at in pairs if j == k) / 20
+        assert share == 1 if k > 5 else share >= 0.9, (k, share)
+    assert all(set(range(30, 90)) <= found[at + 3, at + 2] for at in parts)
+    assert all(abs(d - e) < 4 for d, e in found if found[d, e])
