@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from sluice.llm._common import hash_sample, stage
 
 SAMPLE_ROWS, CENTRES, SUB, THRESHOLD = 8_000, 16, 2, 0.2
-#: Vectors and queries that meet in a task, and candidates of a block that are reranked.
+#: Vectors and queries that meet in a task, and candidates of a block that are reranked before the bound is known.
 BLOCK_ROWS, QUERY_ROWS, RERANK = 8_192, 2_048, 120
 
 
@@ -114,6 +114,10 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarra
     codes = encode(x, books)
     packed = np.ascontiguousarray((codes[:, ::2].astype(np.uint8) << 4 | codes[:, 1::2]).T)
     half = (0.5 * (x * x).sum(1)).astype(np.float32)
+    coded = books[np.arange(codes.shape[1]), codes].reshape(len(x), -1)
+    off = np.linalg.norm(_padded(x) - coded, axis=1)
+    # single precision of the scan's sums
+    slack_q, slack = 1e-5 * float(np.linalg.norm(coded, axis=1).max()), 1e-5 * float(half.max())
     out = []
     for start in range(0, len(q), 64):
         t = tables(q[start : start + 64], books)
@@ -123,6 +127,10 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarra
                 bar = np.partition(s, -rerank)[-rerank]
                 over = np.flatnonzero(s > bar)
                 at = np.concatenate([over, np.flatnonzero(s == bar)[: rerank - len(over)]])
+                d2 = ((x[at[ids[at] != qid]] - qv) ** 2).sum(1)
+                norm = float(np.linalg.norm(qv))
+                kth = 0.5 * (norm * norm - np.partition(d2, k - 1)[k - 1]) if len(d2) >= k else -np.inf
+                at = np.flatnonzero(s + norm * (off + slack_q) + slack >= kth)
             else:
                 at = np.arange(len(s))
             at = at[ids[at] != qid]

@@ -448,3 +448,23 @@ def test_fuzzy_passages_are_compared(spark):
         assert share == 1 if k > 5 else share >= 0.9, (k, share)
     assert all(set(range(30, 90)) <= found[at + 3, at + 2] for at in parts)
     assert all(abs(d - e) < 4 for d, e in found if found[d, e])
+
+
+def test_nearest_neighbours_beside_copies(spark):
+    """Queries beside a group of copies, and of near copies, that fill all reranked places: equal to brute force."""
+    r = np.random.default_rng(5)
+    unit = lambda n: (lambda v: v / np.linalg.norm(v, axis=1, keepdims=True))(r.normal(size=(n, 64)))
+    x = r.normal(size=(3000, 64))
+    for start, jitter in ((0, 0.0), (1500, 1e-3)):
+        centre = r.normal(size=64)
+        x[start : start + 1000] = centre + jitter * unit(1000)
+        for q in range(start + 1000, start + 1500, 100):
+            x[q] = centre + unit(1)[0]
+            x[q + 1 : q + 21] = x[q] + 0.95 * unit(20)
+    df = spark.createDataFrame([(i, [float(v) for v in e]) for i, e in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for g in nearest_neighbours.nearest(df).orderBy("query_id", "rank").collect():
+        got[g.query_id].append(g.vec_id)
+    for q in range(0, 3000, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        assert got[q] == [i for i in np.lexsort((np.arange(3000), d)) if i != q][:10], q
