@@ -215,3 +215,21 @@ def test_injection_queries_read_whole_texts(spark, tmp_path):
     got = {x.doc_id: set(x.groups.split(",")) for x in Q.injection_decoded(spark, str(tmp_path)).collect()}
     for i, h in want.items():
         assert {f"{g}@b64L{1 + i % 2}" for g in h.split(",") if g} <= got.get(i, set())
+
+
+def test_masking_and_gap_queries_keep_all_rows(spark, tmp_path):
+    """Cards written with separators are masked and returned; gaps are filled over all requests."""
+    import datetime
+
+    from sluice import queries as Q
+
+    card, mark = "4123456789012345", "【PII:银行卡号】"
+    rows = [(1, f"pay {card}."), (2, "pay 4123-4567-8901-2345."), (3, "pay 4123 4567 8901 2345."), (4, "nothing"), (5, None), (6, f"pay {card}, or 4123_4567_8901_2345.")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {1: f"pay {mark}.", 2: f"pay {mark}.", 3: f"pay {mark}.", 6: f"pay {mark}, or {mark}."}
+    for q in (Q.mask_bank_card, Q.mask_message_leaves):
+        assert {x.doc_id: x.masked_text for x in q(spark, str(tmp_path)).collect()} == want
+    orders = [(k, datetime.date(1995, m, 3), k, "F", s) for k, (m, s) in enumerate([(1, "a"), (1, "a"), (3, "a"), (2, "b"), (4, "b")])]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderdate date, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {(x.source, x.month.month): x.n for x in Q.perf_gap_fill(spark, str(tmp_path)).collect()}
+    assert got == {("a", 1): 2, ("a", 2): None, ("a", 3): 1, ("a", 4): 0, ("b", 1): 0, ("b", 2): 1, ("b", 3): None, ("b", 4): 1}
