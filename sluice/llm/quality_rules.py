@@ -1,8 +1,10 @@
 """Operator 1: host-level quality rules.
 
-Each document gets its counts and a base verdict. Failures are summed by host, each host's failure rate is
-shrunk towards the rate of all hosts by a beta prior fitted to the hosts' own rates (method of moments), and
-hosts whose shrunk rate is too high lose the rest of their documents.
+Each document gets its counts and fails or passes each rule of RULES. Failures are summed by host and rule. For each rule
+the hosts' own rates give a beta prior (method of moments); a host's rate is shrunk towards its mean, and the host is
+rejected when its posterior lies above the rule's limit: mean - Z standard deviations of the posterior over
+min(2 m + 0.1, (1 + m) / 2), m the prior's mean. Few documents, or a rate that is usual among hosts, never reject one.
+Verdicts are joined back: documents of a rejected host go, whatever they are like themselves.
 
 Defined results: a null text counts as empty; a null host is a host of its own; repeated rows count each.
 An empty table gives an empty result. Columns besides the three inputs are ignored.
@@ -11,15 +13,15 @@ An empty table gives an empty result. Columns besides the three inputs are ignor
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm._common import join_bounded, map_arrow, stage
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: A host is rejected when its shrunk failure rate reaches this. Most of such a host's documents fail already.
-HOST_REJECT = 0.8
+#: Standard deviations of its posterior by which a host must pass a limit.
+Z = 2.0
 _METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
@@ -67,22 +69,40 @@ def document_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return map_arrow(src, run, f"id {id_type}, host string, {_METRICS}")
 
 
-def host_verdicts(counts: DataFrame, threshold: float = HOST_REJECT) -> DataFrame:
-    """One row per host: documents, failures, shrunk failure rate and verdict.
-
-    With rates p_i of hosts of n_i documents, mean m and variance v of the rates (each host weighs the same),
-    the prior is Beta(m s, (1 - m) s) with s = m (1 - m) / v - 1, held to 1..1000 (1000 where v is 0)."""
-    hosts = counts.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failed"))
-    rate = F.col("host_failed") / F.col("host_docs")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v")).select("m", F.when(F.col("v") > 1e-12, F.least(F.lit(1000.0), F.greatest(F.lit(1.0), F.col("m") * (1 - F.col("m")) / F.col("v") - 1))).otherwise(1000.0).alias("s"))
-    shrunk = (F.col("host_failed") + F.col("m") * F.col("s")) / (F.col("host_docs") + F.col("s"))
-    return hosts.join(F.broadcast(prior), F.lit(True)).select("host", "host_docs", "host_failed", shrunk.alias("host_rate"), (shrunk >= threshold).alias("host_rejected"))
-
-
-def host_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT, threshold: float = HOST_REJECT) -> DataFrame:
-    """Counts, base verdict, host rate and final verdict of every document."""
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    counts = stage(document_counts(docs, id_col, text_col, host_col).withColumn("base_failed", failed), "rules")
-    hosts = stage(host_verdicts(counts, threshold).withColumn("h", F.coalesce(F.concat(F.lit("="), "host"), F.lit("")) ).drop("host"), "hosts")
-    rows = join_bounded(counts.withColumn("h", F.coalesce(F.concat(F.lit("="), "host"), F.lit(""))), hosts, ["h"])
-    return rows.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept"), F.round("host_rate", 6).alias("host_rate"))
+def rules(min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT) -> dict[str, Column]:
+    """Rules by name, true where a document fails. The first two are the base verdict's."""
+    return {
+        "short": F.col("n_words") < min_words,
+        "repetitive": 100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"),
+        "symbols": 10 * F.col("n_symbols") > F.col("n_words"),
+        "lines": F.col("n_dup_lines") > 3,
+    }
+
+
+def host_rates(counts: DataFrame, failed: dict[str, Column], z: float = Z) -> DataFrame:
+    """One row per host and rule: documents, failures, shrunk rate, limit, and whether the rule rejects the host.
+
+    With rates p_i of a rule over hosts, mean m and variance v (each host weighs the same), the prior is
+    Beta(m s, (1 - m) s) with s = m (1 - m) / v - 1, held to 1..1000 (1000 where v is 0)."""
+    hosts = counts.groupBy("host").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(f"_{r}") for r, c in failed.items()])
+    per = hosts.select("host", "n", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"_{r}").alias("f")) for r in failed])).alias("x")).select("host", "n", "x.rule", "x.f")
+    per = stage(per, "host-rules")
+    m, v, n, f, s = (F.col(c) for c in "mvnfs")
+    prior = per.groupBy("rule").agg(F.avg(f / n).alias("m"), F.var_pop(f / n).alias("v"))
+    prior = prior.select("rule", "m", F.when(v > 1e-12, F.least(F.lit(1000.0), F.greatest(F.lit(1.0), m * (1 - m) / v - 1))).otherwise(1000.0).alias("s"))
+    rate = (f + m * s) / (n + s)
+    low = F.col("rate") - z * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (n + s + 1))
+    limit = F.least(2 * m + 0.1, (1 + m) / 2)
+    rows = per.join(F.broadcast(prior), "rule").withColumn("rate", rate)  # one row a rule
+    return rows.select("host", "rule", F.col("n").alias("host_docs"), F.col("f").alias("host_failed"), "rate", limit.alias("limit"), (low > limit).alias("rejects"))
+
+
+def host_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT, z: float = Z) -> DataFrame:
+    """Counts, base verdict, final verdict and the rules that reject the host (comma-separated) of every document."""
+    failed = rules(min_words, max_repeat_percent)
+    counts = stage(document_counts(docs, id_col, text_col, host_col), "rules")
+    key = F.coalesce(F.concat(F.lit("="), "host"), F.lit("")).alias("h")
+    hosts = host_rates(counts, failed, z).groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("rejects"), F.col("rule")))), ",").alias("host_rules"))
+    rows = join_bounded(counts.select("*", key), stage(hosts, "hosts"), ["h"])
+    base = failed["short"] | failed["repetitive"]
+    return rows.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & (F.col("host_rules") == "")).alias("kept"), "host_rules")
