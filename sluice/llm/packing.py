@@ -1,25 +1,33 @@
 """Operator 2: mixture-controlled packing by deficit round-robin over source queues.
 
-Each source is a queue of its documents in hash order. A round adds a quantum of tokens, window x target share,
-to every queue's deficit, and the queue sends documents while the deficit covers them; what is left carries to
-the next round. A document whose last token is the e-th of its queue is therefore sent in round ceil(e / quantum):
-running sums over the queues give each round, and a running sum over (round, queue, place) gives the place of each
-document in the one long stream that is cut into windows. Both sums are made over range partitions, so no source
-and no window order stands in one task, and deficits carry over windows and partitions exactly.
+Each source is a queue of its documents' tokens, documents in hash order. A round adds a quantum of tokens, round x target
+share, to every queue's deficit; the queue sends whole units of LEAST tokens of it, cutting documents, and what is left of
+the deficit carries to the next round. A queue that runs dry leaves its share to the others, so that rounds stay as long as
+windows. All this is arithmetic on a common clock: at time v a queue of weight w has been due w v tokens, the corpus
+C(v) = sum of min(tokens, w v), and round r ends at C(v) = 2048 r. A unit is sent in the round in which its middle is due,
+so deficits carry over windows and partitions exactly. Rounds follow each other in one long stream that is cut into windows;
+rounding moves a round's edges by less than LEAST tokens a source and doesn't add up.
+
+C is piecewise linear with a knot where queues run dry; queues that do so within about 1 % of each other share a knot, which
+bounds the knots at some thousands for any number of sources. The place of a token in its queue is a running sum over range
+partitions, as is the place of a round in the stream; a round's parts, about a window of tokens, are ordered together. No
+source and no window order stands in one task.
 
 The stream is cut every 2048 tokens wherever that falls; only the last window can be short. It is padded unless
 its length is a power of two.
 
-Defined results: a null or empty text is its end token alone; equal ids give their pieces each; a null source is
-a queue of its own; an empty table gives no pieces.
+Defined results: a null or empty text is its end token alone; equal ids and repeated rows give their pieces each, at places
+of their own, for the hash covers id and row; a null source is a queue of its own; sources without a given weight
+get the smallest one; an empty table gives no pieces.
 """
 
 from __future__ import annotations
 
 import os
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.llm._common import join_bounded, map_arrow, memo, prefix_sum, stage
@@ -31,6 +39,8 @@ MEMO = 1_400_000
 LEARN_BYTES = 2 << 20
 #: Rows of a range partition in the running sums.
 ROWS_PER_PARTITION = 20_000
+#: Tokens that a queue sends at least, but for its last ones.
+LEAST = 8
 _MARKS = b".,!?;:#%&$*"
 
 
@@ -55,8 +65,6 @@ class WordIds(dict):
 
     def learn(self, words: set[bytes]) -> None:
         """Adds the words that aren't known, encoding their parts in one call."""
-        import numpy as np
-
         if len(self) + len(words) > MEMO:
             self.clear()
         new = {w: self.parts(w) for w in words if w not in self}
@@ -95,50 +103,106 @@ def tokenize(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, sourc
     return map_arrow(src, run, f"_row long, id {id_type}, source string, n long, ids binary")
 
 
-def queue_order(rows: DataFrame, window: int = WINDOW, weights: dict[str | None, float] | None = None, seed: int = 11) -> DataFrame:
-    """rows: staged (_row, id, source, n). Adds the place of each document's first token in the packed stream.
+def source_weights(sources: DataFrame, weights: tuple[int, ...], name: str = "source") -> DataFrame:
+    """(q, w): weights repeated over the sources by code point, null last. sources: distinct names."""
+    key = F.coalesce(F.concat(F.lit("="), name), F.lit("")).alias("q")
+    k = F.row_number().over(Window.orderBy(F.col(name).asc_nulls_last())) - 1
+    return sources.select(key, F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (k % len(weights) + 1).cast("int")).alias("w"))
 
-    weights: target share of each source; without them each source's share of all tokens, so that all queues end
-    together and every window keeps the same mixture. A queue that ends early leaves its share to the others."""
-    rows = rows.withColumn("q", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
-    per = rows.groupBy("q").agg(F.sum("n").alias("q_tokens"))
-    if weights:
+
+def queue_weights(rows: DataFrame, weights: dict[str | None, float] | tuple[int, ...] | None) -> DataFrame:
+    """(q, tokens, w) of each queue."""
+    per = rows.groupBy("q").agg(F.sum("n").alias("tokens"))
+    if isinstance(weights, dict):
         table = F.create_map(*[x for k, v in weights.items() for x in (F.lit("" if k is None else f"={k}"), F.lit(float(v)))])
-        per = per.withColumn("w", F.coalesce(F.try_element_at(table, F.col("q")), F.lit(float(min(weights.values())))))
-    else:
-        per = per.withColumn("w", F.col("q_tokens").cast("double"))
-    total = per.agg(F.sum("w").alias("w_all"))
-    quanta = stage(per.join(F.broadcast(total), F.lit(True)).select("q", (F.lit(float(window)) * F.col("w") / F.col("w_all")).alias("quantum")), "quanta")
-    parts = max(1, -(-rows.count() // ROWS_PER_PARTITION))
-    place = F.xxhash64(F.lit(seed), F.col("id").cast("string"))
-    queued = prefix_sum(rows.select("_row", "q", "n", place.alias("place")), ["q"], ["place", "_row"], "n", "before", parts, "queues")
-    sent = join_bounded(queued, quanta, ["q"]).withColumn("round", F.ceil((F.col("before") + F.col("n")) / F.col("quantum")).cast("long"))
-    sent = stage(sent.select("_row", "q", "n", "before", "round"), "rounds")
-    return prefix_sum(sent, [], ["round", "q", "before", "_row"], "n", "start", parts, "stream").select("_row", "start", "round")
+        return per.withColumn("w", F.coalesce(F.try_element_at(table, F.col("q")), F.lit(float(min(weights.values())))))
+    if weights:
+        names = per.select(F.when(F.col("q") != "", F.expr("substring(q, 2)")).alias("name"))
+        return per.join(source_weights(names, weights, "name"), "q")
+    return per.withColumn("w", F.col("tokens").cast("double"))
 
 
-def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", window: int = WINDOW, weights: dict[str | None, float] | None = None, with_ids: bool = False) -> DataFrame:
+def clock(queues: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Knots (v, C(v)), ascending. queues: (q, tokens, w)."""
+    dry = F.col("tokens") / F.col("w")
+    rows = queues.groupBy(F.floor(F.log2(dry) * 64).alias("k")).agg(F.max(dry).alias("v"), F.sum("tokens").alias("t"), F.sum("w").alias("w")).orderBy("k").collect()
+    v, t, w = (np.array([0.0, *(float(r[c]) for r in rows)]) for c in ("v", "t", "w"))
+    return v, np.cumsum(t) + v * (w.sum() - np.cumsum(w))
+
+
+def stream_places(rows: DataFrame, window: int = WINDOW, weights: dict[str | None, float] | tuple[int, ...] | None = None, least: int = LEAST, seed: int = 11) -> DataFrame:
+    """rows: staged (_row, id, source, n). Parts of documents in the order sent: _row, source, from (the part's first token
+    in its document), len, pos (its place in the packed stream).
+
+    weights: target share by source, or numbers repeated over the sources by code point; without them each source's share
+    of all tokens, so that all queues end together."""
+    rows = rows.withColumn("q", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    queues = stage(queue_weights(rows, weights), "queues")
+    v, c = clock(queues)
+    parts = max(1, -(-rows.count() // ROWS_PER_PARTITION))
+    place = F.xxhash64(F.lit(seed), F.col("id").cast("string"), "_row")
+    queued = prefix_sum(rows.select("_row", "q", "n", place.alias("place")), ["q"], ["place", "_row"], "n", "before", parts, "places")
+    queued = join_bounded(queued.select("_row", "q", "n", "before"), queues.select("q", "w"), ["q"]).select("_row", "q", "n", "before", "w")
+
+    def cut(b):
+        n, before, w = (b.column(i).to_numpy() for i in (2, 3, 4))
+        first, last = before // least, (before + n - 1) // least
+        many = last - first + 1
+        row = np.repeat(np.arange(len(n)), many)
+        unit = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        sent = np.ceil(np.interp((unit + 0.5) * least / w[row], v, c) / window).astype(np.int64)
+        new = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(sent) != 0)])
+        row, end = row[new], np.r_[new[1:], len(unit)] - 1
+        begin, end = np.maximum(unit[new] * least, before[row]), np.minimum((unit[end] + 1) * least, (before + n)[row])
+        at = pa.array(row)
+        return pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *map(pa.array, (sent[new], begin, begin - before[row], end - begin))], names=["_row", "q", "round", "e", "from", "len"])
+
+    sent = stage(map_arrow(queued, cut, "_row long, q string, round long, e long, from long, len long"), "parts")
+    rounds = stage(sent.groupBy("round").agg(F.sum("len").alias("tokens")), "rounds")
+    starts = prefix_sum(rounds, [], ["round"], "tokens", "start", max(1, -(-rounds.count() // ROWS_PER_PARTITION)), "stream").select("round", "start")
+    # rows of about a window of tokens
+    inside = Window.partitionBy("round").orderBy(F.xxhash64("round", "q"), "q", "e").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sent.withColumn("inside", F.coalesce(F.sum("len").over(inside), F.lit(0)))
+    placed = join_bounded(placed, stage(starts, "starts"), ["round"])
+    return placed.select("_row", F.when(F.col("q") != "", F.expr("substring(q, 2)")).alias("source"), "from", "len", (F.col("start") + F.col("inside")).alias("pos"))
+
+
+def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", window: int = WINDOW, weights: dict[str | None, float] | tuple[int, ...] | None = None, with_ids: bool = False) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with_ids its ids (binary)."""
     id_type = docs.schema[id_col].dataType.simpleString()
     tokens = stage(tokenize(docs, vocabulary, id_col, text_col, source_col), "tokens")
-    places = queue_order(tokens.select("_row", "id", "source", "n"), window, weights)
-    placed = tokens.select("_row", "id", "n", "ids").join(places.select("_row", "start"), "_row").select("id", "n", "ids", "start")
+    places = stream_places(tokens.select("_row", "id", "source", "n"), window, weights)
+    # a document's parts, as many as its tokens at most
+    places = places.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("from", "len", "pos"))).alias("parts"))
+    placed = tokens.select("_row", "id", "n", "ids").join(places, "_row").select("id", "n", "ids", "parts.from", "parts.len", "parts.pos")
 
     def run(b):
         import zlib
 
         out = []
-        for k, n, ids, start in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            at = 0
-            while at < n:
-                seq, off = divmod(start + at, window)
-                take = min(n - at, window - off)
-                piece = ids[4 * at : 4 * (at + take)]
-                out.append((k, at, take, zlib.crc32(piece), n, seq, off, piece if with_ids else None))
-                at += take
-        for i in range(0, len(out), 10_000):
-            cols = list(zip(*out[i : i + 10_000], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), *(pa.array(c, pa.int64()) for c in cols[1:7]), *([pa.array(cols[7], pa.binary())] if with_ids else [])], names=names)
+        lists = [b.column(i) for i in (3, 4, 5)]
+        flat = [x.flatten().to_pylist() for x in lists]
+        ends = lists[0].value_lengths().to_pylist()
+        at = 0
+        for k, n, ids, many in zip(*(b.column(i).to_pylist() for i in range(3)), ends, strict=True):
+            for i in range(at, at + many):
+                begin, left, pos = flat[0][i], flat[1][i], flat[2][i]
+                while left:
+                    seq, off = divmod(pos, window)
+                    take = min(left, window - off)
+                    piece = ids[4 * begin : 4 * (begin + take)]
+                    out.append((k, begin, take, zlib.crc32(piece), n, seq, off, piece if with_ids else None))
+                    begin, left, pos = begin + take, left - take, pos + take
+            at += many
+            if len(out) > 10_000:
+                yield batch(out, b)
+                out = []
+        if out:
+            yield batch(out, b)
+
+    def batch(out, b):
+        cols = list(zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), *(pa.array(c, pa.int64()) for c in cols[1:7]), *([pa.array(cols[7], pa.binary())] if with_ids else [])], names=names)
 
     schema = f"{id_col} {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
     names = [x.split()[0] for x in schema.split(", ")]

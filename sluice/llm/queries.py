@@ -26,7 +26,7 @@ def op1_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read(spark, sf_dir, "documents", "doc_id", "text", "source"), tokenizer_path("word_bpe_49k.json"))
+    return packing.pack(read(spark, sf_dir, "documents", "doc_id", "text", "source"), tokenizer_path("word_bpe_49k.json"), weights=mixing.WEIGHTS)
 
 
 def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,12 +80,14 @@ counts AS (
     CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
   FROM w LEFT JOIN cov ON w.doc_id = cov.doc_id),
 base AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM counts),
-hosts AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS f FROM base GROUP BY source),
-mv AS (SELECT avg(f / n) AS m, var_pop(f / n) AS v FROM hosts),
-prior AS (SELECT m, CASE WHEN v > 1e-12 THEN least(1000.0, greatest(1.0, m * (1 - m) / v - 1)) ELSE 1000.0 END AS s FROM mv),
-rates AS (SELECT source, (f + m * s) / (n + s) AS r FROM hosts, prior)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND r < 0.8) AS kept, round(CAST(r AS DOUBLE), 6) AS host_rate
-FROM base JOIN rates ON base.source IS NOT DISTINCT FROM rates.source
+failed AS (SELECT source, unnest([{'rule': 'short', 'f': n_words < 50}, {'rule': 'repetitive', 'f': 100 * n_repeat_words > 50 * n_words}, {'rule': 'symbols', 'f': 10 * n_symbols > n_words}, {'rule': 'lines', 'f': n_dup_lines > 3}]) AS x FROM base),
+hosts AS (SELECT source, x.rule AS rule, count(*) AS n, count(*) FILTER (WHERE x.f) AS f FROM failed GROUP BY 1, 2),
+mv AS (SELECT rule, avg(f / n) AS m, var_pop(f / n) AS v FROM hosts GROUP BY 1),
+prior AS (SELECT rule, m, CASE WHEN v > 1e-12 THEN least(1000.0, greatest(1.0, m * (1 - m) / v - 1)) ELSE 1000.0 END AS s FROM mv),
+rates AS (SELECT source, rule, n, s, m, (f + m * s) / (n + s) AS r FROM hosts JOIN prior USING (rule)),
+verdicts AS (SELECT source, coalesce(string_agg(rule, ',' ORDER BY rule) FILTER (WHERE r - 2.0 * sqrt(r * (1 - r) / (n + s + 1)) > least(2 * m + 0.1, (1 + m) / 2)), '') AS host_rules FROM rates GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND host_rules = '') AS kept, host_rules
+FROM base JOIN verdicts ON base.source IS NOT DISTINCT FROM verdicts.source
 """
 
 _OP5 = r"""
