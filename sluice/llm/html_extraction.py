@@ -1,23 +1,31 @@
 """Operator 6: main text of pages by a maximum-scoring subsequence.
 
-A page is read as a sequence of tags and text nodes. Each word scores by where it stands (block, link, container,
-inside or beside an article element), each tag scores negative; the weights are log-odds counted on labelled pages,
-those whose publisher marked exactly one article or main element. One linear scan finds the contiguous stretch of the
-highest sum; its text, without the boilerplate elements inside, is the result.
+A page is read as a sequence of tags and text nodes. A text node has features: the elements it stands in, the words of
+their class, id and role, its innermost block, and its block's length and share of links. A logistic model of these gives
+every word a score, positive for main text; every tag scores negative. One linear scan finds the contiguous stretch of the
+highest sum; its text, without the nodes in it whose containers score negative, is the result.
+
+Weights are fitted on labelled pages, those whose publisher marked exactly one article or main element: words inside against
+words outside. The mark is a label only; no feature says whether a node stands in one, so pages without it are read alike.
+The fit starts from PRIOR (what common element and class names usually hold) and departs from it as far as pages say
+otherwise; nodes inside a marked element that the prior calls boilerplate (adverts and comments within articles) have no sure
+label and aren't fitted. A tag costs more the more often it stands outside.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one space.
 
-Defined results: a null or empty page, or one without visible words, has empty text; a page without an article
-element is judged by blocks, links and containers alone; elements left open end with their parent or at the next
-article; equal scores go to the first stretch; repeated rows each give a row.
+Defined results: a null or empty page, or one without visible words, has empty text; a page on which the fitted weights find
+nothing is read by PRIOR alone; elements left open end with their parent or at the next article; equal scores go to the
+first stretch; repeated rows each give a row; without labelled pages PRIOR holds; columns that clash with the result's names
+are no inputs.
 """
 
 from __future__ import annotations
 
 import html
-import math
 import re
+import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,43 +41,51 @@ _NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^'
 _WORDS = re.compile(r"[a-z]+")
 #: Elements that are part of a running line.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+#: Blocks of running text; what a node stands in is told by the elements around them.
+TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption br hr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements, and words in class, id and role, that hold no main text.
-BOILERPLATE = frozenset("nav footer aside form button menu dialog select head".split())
-BOILERPLATE_NAMES = frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent disqus footer masthead menu menubar modal nav navbar navigation newsletter notice popup promo promoted promotion related reply replies search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+#: Elements, and words in class, id and role, that seldom hold main text.
+BOILERPLATE = "nav footer aside form button menu dialog select header".split()
+BOILERPLATE_NAMES = "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent disqus footer masthead menu menubar modal nav navbar navigation newsletter notice popup promo promoted promotion related reply replies search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
+#: Weights before any page is seen.
+BOILER = 8.0
+PRIOR = {"bias": 0.3, "block:p": 1.5, "block:li": -0.5, "links:most": -5.0, "links:some": -0.3, "short": -0.3, "nested": -BOILER, "heading": BOILER} | {f"in:{t}": -BOILER for t in BOILERPLATE} | {f"name:{w}": -BOILER for w in BOILERPLATE_NAMES}
+#: Words that the labelled pages weigh together; the prior's precision is that of one.
+EVIDENCE = 10_000.0
+MOST = 4.0
 
 
 class Node:
-    __slots__ = ("tag", "boiler", "article", "link")
+    __slots__ = ("tag", "features", "article", "link", "header")
 
-    def __init__(self, tag: str, boiler: bool, article: bool, link: bool):
-        self.tag, self.boiler, self.article, self.link = tag, boiler, article, link
+    def __init__(self, tag: str, features: frozenset[str], article: bool, link: bool, header: bool):
+        self.tag, self.features, self.article, self.link, self.header = tag, features, article, link, header
 
 
-def tokens(page: str):
-    """(kind, value, features): kind 't' a tag with its name, 'w' a text node, 'b' a block's edge with no features.
+def _name(word: str) -> str:
+    return f"name:{word if len(word) <= 32 else format(zlib.crc32(word.encode()), '08x')}"
+
 
-    A text node's features: innermost block, boilerplate container or not, inside an article, inside a link."""
-    root = Node("body", False, False, False)
+def tokens(page: str):
+    """(kind, value, node, block): kind 't' a tag with its name, 'w' a text node with where it stands, 'b' a block's edge."""
+    root = Node("body", frozenset(), False, False, False)
     stack = [root]
     for m in _TOKEN.finditer(page):
         s = m.group()
         if s[0] != "<" or s == "<":
-            top = stack[-1]
-            block = next((n.tag for n in reversed(stack) if n.tag not in INLINE), "body")
-            yield "w", s, (block, top.boiler, top.article, top.link)
+            yield "w", s, stack[-1], next((n.tag for n in reversed(stack) if n.tag not in INLINE), "body")
             continue
         tag = m[3] or m[6]
         if tag is None:
             if m[1]:
-                yield "t", m[1].lower(), None
+                yield "t", m[1].lower(), None, None
                 if m[1].lower() not in INLINE:
-                    yield "b", "", None
+                    yield "b", "", None, None
             continue
         tag, closing, attrs = tag.lower(), bool(m[2] or m[5]), m[4] or m[7] or ""
         if tag not in INLINE:
-            yield "b", "", None
-        yield "t", tag, None
+            yield "b", "", None, None
+        yield "t", tag, None, None
         if closing:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
@@ -86,43 +102,87 @@ def tokens(page: str):
         elif tag not in INLINE and stack[-1].tag == "p" or tag in ("li", "tr", "td", "th", "dd", "dt", "option") and stack[-1].tag == tag:
             stack.pop()
         top = stack[-1]
-        names = {w for g in _NAMES.findall(attrs) for w in _WORDS.findall("".join(g).lower())} if attrs else ()
-        nested = tag == "article" and top.article and any(n.tag == "article" for n in stack)  # reader comments
-        boiler = top.boiler or nested or tag in BOILERPLATE or tag == "header" and not top.article or tag not in ("body", "html", "main") and not BOILERPLATE_NAMES.isdisjoint(names)
-        stack.append(Node(tag, boiler, top.article or tag in ("article", "main"), top.link or tag == "a"))
+        new = set()
+        if tag not in INLINE and tag not in TEXT_BLOCKS and tag not in ("html", "body", "article", "main"):
+            new.add(f"in:{tag}")
+        if attrs and tag not in ("html", "body"):
+            new.update(_name(w) for g in _NAMES.findall(attrs) for w in _WORDS.findall("".join(g).lower()))
+        if tag == "article" and any(n.tag == "article" for n in stack):  # reader comments
+            new.add("nested")
+        stack.append(Node(tag, top.features | new if new else top.features, top.article or tag in ("article", "main"), top.link or tag == "a", top.header or tag == "header"))
+
+
+def read_blocks(page: str) -> list[tuple]:
+    """The page as a sequence: ('t', tag), ('w', text, words, features, in a marked article) and ('b',) at blocks' edges."""
+    out, held = [], []
+
+    def close():
+        total = sum(n for _, n, _, _ in held)
+        linked = sum(n for _, n, node, _ in held if node.link)
+        shape = () if not linked else ("links:most",) if 2 * linked > total else ("links:some",)
+        shape += ("short",) if total < 4 else ()
+        for at, n, node, block in held:
+            extra = (f"block:{block}", *shape, *(("heading",) if node.header and block in ("h1", "h2") else ()))
+            out[at] = ("w", out[at], n, (node.features, extra), node.article)
+        held.clear()
+
+    for kind, value, node, block in tokens(page):
+        if kind == "w":
+            held.append((len(out), len(value.split()), node, block))
+            out.append(value)
+        elif kind == "b":
+            close()
+            out.append(("b",))
+        else:
+            out.append(("t", value))
+    close()
+    return out
 
 
 def page_counts(page: str) -> dict[str, list[int]] | None:
-    """Words inside and outside the marked article by feature, and tags likewise; None for an unlabelled page."""
+    """Words inside and outside the marked article by their features, and tags likewise; None for an unlabelled page."""
     if len(re.findall(r"<article\b", page, re.I)) + len(re.findall(r"<main\b", page, re.I)) != 1:
         return None
     out: dict[str, list[int]] = {}
     inside = False
-    for kind, value, f in tokens(page):
-        if kind == "w":
-            n = len(value.split())
-            label = f[2] and not f[1]
-            for key in (f"block:{f[0]}", f"boiler:{f[1]}", f"article:{f[2]}", f"link:{f[3]}") if n else ():
-                out.setdefault(key, [0, 0])[not label] += n
-        elif kind == "t":
-            if value in ("article", "main"):
+    for x in read_blocks(page):
+        if x[0] == "w" and x[2]:
+            features = [*x[3][0], *x[3][1]]
+            if x[4] and any(PRIOR.get(f, 0) <= -BOILER for f in features) and "heading" not in features:
+                continue
+            out.setdefault("w " + " ".join(sorted(features)), [0, 0])[not x[4]] += x[2]
+        elif x[0] == "t":
+            if x[1] in ("article", "main"):
                 inside = not inside
-            out.setdefault(f"tag:{value}", [0, 0])[not inside] += 1
+            out.setdefault(f"t {x[1]}", [0, 0])[not inside] += 1
     return out
 
 
-def weights_of(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
-    """Log-odds against the mean of all words, within -4..4; tags cost 0.1 to 1.1, more the more often they stand outside."""
-    all_in, all_out = counts.get("boiler:False", (0, 0))[0] + 1, counts.get("boiler:False", (0, 0))[1] + counts.get("boiler:True", (0, 0))[1] + 1
-    w = {}
-    for key, (i, o) in counts.items():
-        w[key] = -(0.1 + (o + 0.5) / (i + o + 1)) if key.startswith("tag:") else max(-4.0, min(4.0, math.log((i + 0.5) / all_in) - math.log((o + 0.5) / all_out)))
-    w["boiler:True"] = min(w.get("boiler:True", -4.0), -2.0)
-    return w
-
-
-#: Used where no labelled page says otherwise.
-PRIOR = {"block:p": 1.5, "block:li": -0.5, "block:div": 0.3, "block:body": 0.0, "link:True": -2.0, "link:False": 0.5, "boiler:True": -4.0, "boiler:False": 0.5, "article:True": 2.0, "article:False": -2.0}
+def fit_weights(counts: dict[str, tuple[int, int]], steps: int = 400) -> dict[str, float]:
+    """Weights of features, 'bias' and 'tag:' costs. Minimises the logistic loss of the words plus half the squared distance
+    from PRIOR, by accelerated gradient steps under a diagonal bound of the curvature."""
+    rows = sorted((k[2:].split(), *v) for k, v in counts.items() if k[0] == "w")
+    names = sorted({f for r in rows for f in r[0]} | {"bias"})
+    place = {f: i for i, f in enumerate(names)}
+    prior = np.array([PRIOR.get(f, 0.0) for f in names])
+    weights = dict(PRIOR)
+    if rows:
+        at = np.concatenate([np.full(len(r[0]) + 1, i) for i, r in enumerate(rows)])
+        ids = np.concatenate([[*(place[f] for f in r[0]), place["bias"]] for r in rows]).astype(np.int64)
+        hit, miss = (np.array([r[k] for r in rows], float) for k in (1, 2))
+        scale = EVIDENCE / max(1.0, (hit + miss).sum())
+        hit, miss = hit * scale, miss * scale
+        size = np.bincount(at)
+        bound = 1 + 0.25 * np.bincount(ids, ((hit + miss) * size)[at], len(names))
+        w = v = prior.copy()
+        for k in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(at, v[ids], len(rows)), -35, 35)))
+            g = np.bincount(ids, ((hit + miss) * p - hit)[at], len(names)) + v - prior
+            new = v - g / bound
+            v, w = new + k / (k + 3) * (new - w), new
+        weights |= {f: float(w[i]) for f, i in place.items()}
+    tags = {k[2:]: v for k, v in counts.items() if k[0] == "t"}
+    return weights | {f"tag:{t}": -(0.1 + (o + 0.5) / (i + o + 1)) for t, (i, o) in tags.items()}
 
 
 def best_stretch(scores: list[float]) -> tuple[int, int]:
@@ -138,37 +198,41 @@ def best_stretch(scores: list[float]) -> tuple[int, int]:
     return span
 
 
-def extract(page: str | None, w: dict[str, float]) -> str:
+def extract(page: str | None, weights: dict[str, float] | None = None) -> str:
     """The main text of one page."""
     if not page:
         return ""
-    seq = list(tokens(page))
-    has_article = any(k == "w" and f[2] and not f[1] and v.strip() for k, v, f in seq)
-    get = lambda key, default=0.0: w.get(key, PRIOR.get(key, default))
-    scores = []
-    for kind, value, f in seq:
-        score = 0.0
-        if kind == "w" and (n := len(value.split())):
-            if f[1]:
-                score = -0.05 * n if f[2] else get("boiler:True") * n  # boilerplate inside an article is cut out, not a gap
-            else:
-                score = n * (get(f"article:{f[2]}") if has_article else max(-2.0, get(f"block:{f[0]}") + get(f"link:{f[3]}")) + (0.3 if not f[3] and n > 5 else 0))
-        elif kind == "t":
-            score = get(f"tag:{value}", -0.3) * (0.05 if has_article else 1.0)
+    w = PRIOR if weights is None else weights
+    seq = read_blocks(page)
+    scores, container, known = [], [], {}
+    for x in seq:
+        score = z = 0.0
+        if x[0] == "w":
+            inherited, own = x[3]
+            base = known.get(inherited)
+            if base is None:
+                base = known[inherited] = w["bias"] + sum(w.get(f, 0.0) for f in inherited)
+            z = base + sum(w.get(f, 0.0) for f in own)
+            score = x[2] * max(-MOST, min(MOST, z))
+            z -= w["short"] if "short" in own else 0.0  # a short line in a good place is text
+        elif x[0] == "t":
+            score = w.get(f"tag:{x[1]}", -0.3)
         scores.append(score)
+        container.append(z)
     span = best_stretch(scores)
     blocks, line = [], []
-    for kind, value, f in seq[span[0] : span[1]]:
-        if kind == "b":
+    for x, z in zip(seq[span[0] : span[1]], container[span[0] : span[1]], strict=True):
+        if x[0] == "b":
             blocks.append("".join(line))
             line = []
-        elif kind == "w" and not f[1]:
-            line.append(value)
-        elif kind == "t" and value == "br":
+        elif x[0] == "w":
+            if z > 0 or not x[2]:
+                line.append(x[1])
+        elif x[1] == "br":
             line.append(" ")
     blocks.append("".join(line))
     text = " ".join(x for x in (" ".join(html.unescape(b).split()) for b in blocks) if x)
-    return text if text or not w else extract(page, {})  # nothing like the labelled pages: general weights
+    return text if text or weights is None else extract(page)
 
 
 def learn_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", rows: int = SAMPLE_PAGES) -> dict[str, float]:
@@ -186,7 +250,7 @@ def learn_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
         return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), *(pa.array([c[k] for c in out.values()], pa.int64()) for k in (0, 1))], names=["k", "i", "o"])
 
     got = map_arrow(sample, run, "k string, i long, o long").groupBy("k").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
-    return weights_of({r.k: (r.i, r.o) for r in got.where(F.length("k") < 40).orderBy((F.col("i") + F.col("o")).desc(), "k").limit(1000).collect()})
+    return fit_weights({r.k: (r.i, r.o) for r in got.collect()})  # of at most ``rows`` pages
 
 
 def extract_pages(pages: DataFrame, weights: dict[str, float], id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:

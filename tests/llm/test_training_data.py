@@ -330,6 +330,61 @@ def test_main_text_of_marked_and_unmarked_pages(spark):
     assert got[90].text == got[91].text == "" and len(got) == 14
 
 
+def labelled_pages(n=60, seed=3):
+    r = random.Random(seed)
+    w = lambda k: " ".join(r.choice(["stone", "river", "late", "cold", "ring", "path", "glow"]) + str(r.randrange(90)) for _ in range(k))
+    pages, texts = [], []
+    for _ in range(n):
+        head, parts = w(8), [w(r.randrange(15, 60)) for _ in range(r.randrange(1, 6))]
+        menu = "".join(f"<li><a href='/x'>{w(1)}</a></li>" for _ in range(r.randrange(3, 9)))
+        pages.append(f"<html><body><nav><ul>{menu}</ul></nav><div class='ad'>{w(7)}.</div><article><h1>{head}</h1>" + "".join(f"<p>{p}</p>" for p in parts) + f"</article><footer>&copy; {w(9)}.</footer></body></html>")
+        texts.append(" ".join([head, *parts]))
+    return pages, texts
+
+
+def test_main_text_without_the_mark(spark):
+    """Pages from which article elements are stripped, or renamed, give the same text; labels are only used for fitting."""
+    pages, texts = labelled_pages()
+    df = spark.createDataFrame([(i, "u", p, "clash") for i, p in enumerate(pages)], "page_id long, url string, html string, text string")
+    weights = html_extraction.learn_weights(df)
+    for old, new in (("article", "article"), ("<article>", ""), ("article", "div"), ("article", "section")):
+        for p, t in zip(pages, texts, strict=True):
+            assert html_extraction.extract(p.replace(old, new).replace("</article>", "</article>" if new == "article" else ""), weights) == t, new
+    got = html_extraction.extract_pages(df, weights).collect()
+    assert [r.text for r in sorted(got, key=lambda r: r.page_id)] == texts and got[0].asDict().keys() == {"page_id", "url", "text", "n_chars"}
+    twice = html_extraction.extract_pages(df.unionByName(df), weights)
+    assert twice.count() == 2 * len(pages) and twice.distinct().count() == len(pages)
+    none = df.limit(0)
+    assert html_extraction.extract_pages(none, html_extraction.learn_weights(none)).count() == 0
+
+
+def test_main_text_differs_from_the_mark():
+    """The stretch decides, not the mark: teasers that are marked as articles lose against the longer unmarked text."""
+    pages, texts = labelled_pages()
+    counts = defaultdict(lambda: [0, 0])
+    for p in pages:
+        for k, v in html_extraction.page_counts(p).items():
+            counts[k] = [counts[k][0] + v[0], counts[k][1] + v[1]]
+    weights = html_extraction.fit_weights(counts)
+    body = "".join(f"<p>{t}</p>" for t in texts[:4])
+    page = f"<article><a href='/1'>read more of it here</a></article><article><a href='/2'>and this one too</a></article><section>{body}</section><article class='comment'><p>nice one</p></article>"
+    assert html_extraction.extract(page, weights) == " ".join(texts[:4])
+    assert weights["in:nav"] < 0 < weights["block:p"] and weights["name:ad"] < 0
+
+
+def test_main_text_by_brute_force():
+    """The chosen stretch has the highest sum of all stretches of the page's words and tags."""
+    pages, _ = labelled_pages(12, 9)
+    for page in pages:
+        seq = html_extraction.read_blocks(page)
+        z = lambda x: max(-4.0, min(4.0, html_extraction.PRIOR["bias"] + sum(html_extraction.PRIOR.get(f, 0) for part in x[3] for f in part)))
+        score = [x[2] * z(x) if x[0] == "w" else -0.3 if x[0] == "t" else 0.0 for x in seq]
+        spans = [(sum(score[i:j]), -i, i, j) for i in range(len(seq)) for j in range(i + 1, len(seq) + 1)]
+        _, _, i, j = max(spans)
+        want = " ".join(" ".join(x[1].split()) for x in seq[i:j] if x[0] == "w" and z(x) > 0 and x[2])
+        assert html_extraction.extract(page) == want.replace("&copy;", "©")
+
+
 def test_maximum_scoring_stretch_by_brute_force():
     r = random.Random(7)
     for _ in range(300):
