@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sluice.llm import html_extraction, jaccard_join, mixing, nearest_neighbours, packing, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity
 from sluice.llm.queries import tokenizer_path
@@ -215,7 +216,7 @@ def test_substring_dedup(spark, docs):
     found = substring_dedup.repeated_passages(docs)
     cover = lambda rows: {(x.doc_id, i) for x in rows for i in range(x.start_word, x.end_word)}
     raw, merged = found.collect(), substring_dedup.merge_passages(found).collect()
-    assert len(raw) > 20 and cover(raw) == cover(merged) and {(x.doc_id, x.ref_id) for x in raw} == {(x.doc_id, r) for x in merged for r in x.ref_ids}
+    assert len(raw) > 20 and cover(raw) == cover(merged) and {(x.doc_id, x.ref_id) for x in raw} == {(x.doc_id, r.ref_id) for x in merged for r in x.refs}
     assert sum(x.end_word - x.start_word for x in merged) == len(cover(merged))
     assert substring_dedup.repeated_passages(docs.limit(0)).count() == 0
 
@@ -575,6 +576,42 @@ def test_fuzzy_passages_are_compared(spark):
     assert all(abs(d - e) < 4 for d, e in found if found[d, e])
 
 
+def test_halves_held_by_smaller_ids(spark):
+    """An exact passage of two documents whose halves also stand in two others: found every time."""
+    r = random.Random(11)
+    text = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for t in range(12):
+        p = text(44)
+        rows += [(10 * t + n, " ".join(text(30) + x + text(30))) for n, x in enumerate((p[:22], p[22:], p, p))]
+    got = {x.doc_id: x for x in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got.keys() == {10 * t + 3 for t in range(12)} and all(x.start_word <= 31 and x.end_word >= 73 for x in got.values())
+
+
+def test_common_seeds_are_dealt(spark, monkeypatch):
+    """A passage that many documents hold gives each but the first a link, with the common seeds dealt over groups."""
+    monkeypatch.setattr(substring_dedup, "SEED_SAMPLE", 300)
+    monkeypatch.setattr(substring_dedup, "SALTS", 5)
+    r = random.Random(12)
+    text = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    p = text(50)
+    df = spark.createDataFrame([(i, " ".join(text(20) + p + text(10))) for i in range(300)], "doc_id long, text string")
+    assert len(substring_dedup.common_seeds(df.select(F.col("doc_id").alias("id"), "text"))) > 10
+    got = substring_dedup.merge_passages(substring_dedup.repeated_passages(df)).collect()
+    assert sorted(x.doc_id for x in got) == list(range(1, 300)) and all(x.start_word <= 20 and x.end_word >= 70 for x in got)
+
+
+def test_repeated_ids_and_rows_lose_their_own_passages(spark):
+    """Each text of an id loses its own words; repeated rows, whole copies, null ids, ties and string ids have defined results."""
+    r = random.Random(13)
+    text = lambda n: " ".join(f"w{r.randrange(10**9)}" for _ in range(n))
+    p, a, b, c = text(100), text(30), text(150), text(60)
+    rows = [("1", p + " " + text(20), 1), ("2", p + " " + a, 2), ("2", b, 3), ("2", b, 4), ("3", c, 5), ("4", c, 6), ("4", c, 7), (None, c, 8), ("5", None, 9), ("6", " ", 10)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, least long")
+    left = {x.least: x.text for x in substring_dedup.drop_passages(df, substring_dedup.repeated_passages(df)).collect()}
+    assert left == {1: rows[0][1], 2: a if left[2] == a else " " + a, 3: b, 4: b, 5: c, 8: c, 9: None, 10: " "}
+
+
 def test_nearest_neighbours_beside_copies(spark):
     """Queries beside a group of copies, and of near copies, that fill all reranked places: equal to brute force."""
     r = np.random.default_rng(5)
