@@ -54,34 +54,55 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-
-    def parts(self, word: bytes) -> tuple[bytes, ...]:
-        """Lower-cased core and marks, to be looked up on their own; special strings are matched as they are written."""
-        if b"<|" in word:
-            return (word,)
-        key = word.lower()
-        core = key.rstrip(_MARKS)
-        return (core, key[len(core) :]) if core and core != key and core.decode().lower()[-1].isalnum() else (key,)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a pre-token
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def encode(self, words: list[bytes]) -> None:
+        """Adds the ids of words. Words of letters alone are one pre-token each: they are encoded as one text and told apart
+        by the tokens that end a pre-token; if these aren't as many as the words, and for all other words, one by one."""
+        texts = [w.decode() for w in words]
+        letters = [i for i, t in enumerate(texts) if t.isalpha()]
+        if letters:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in letters])], add_special_tokens=False)[0].ids, "<u4")
+            ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(ends) == len(letters) and ends[-1] == 4 * len(ids):
+                raw, at = ids.tobytes(), 0
+                for i, end in zip(letters, ends.tolist(), strict=True):
+                    self[words[i]] = raw[at:end]
+                    at = end
+        rest = [i for i, w in enumerate(words) if w not in self]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            self[words[i]] = np.array(e.ids, "<u4").tobytes()
 
     def learn(self, words: set[bytes]) -> None:
-        """Adds the words that aren't known, encoding their parts in one call."""
+        """Adds the words that aren't known: lower-cased ones, or such as hold a special string, as they are written."""
         if len(self) + len(words) > MEMO:
             self.clear()
-        new = {w: self.parts(w) for w in words if w not in self}
-        todo = list({p for ps in new.values() for p in ps if p not in self})
-        for p, e in zip(todo, self.tokenizer.encode_batch_fast([p.decode() for p in todo], add_special_tokens=False), strict=True):
-            self[p] = np.array(e.ids, "<u4").tobytes()
-        for w, ps in new.items():
-            if len(ps) > 1:
-                self[w] = self[ps[0]] + self[ps[1]]
-            elif ps[0] != w:
-                self[w] = self[ps[0]]
+        whole, parted = set(), []
+        for w in words:
+            if w in self:
+                continue
+            core = w.rstrip(_MARKS)
+            if len(core) == len(w) or not core or b"<|" in w or not (core[-1:].isalnum() if core[-1] < 128 else core.decode().lower()[-1].isalnum()):
+                whole.add(w)
+            else:
+                marks = w[len(core) :]
+                parted.append((w, core, marks))
+                whole.add(core)
+                whole.add(marks)
+        self.encode([w for w in whole if w not in self])
+        for w, core, marks in parted:
+            self[w] = self[core] + self[marks]
 
     def texts(self, texts: list[bytes | None], end: bytes) -> list[bytes]:
         """Ids of whole texts, each with the end id."""
         out, held, size = [], [], 0
         for i, t in enumerate(texts):
-            held.append(t.split() if t else [])
+            if not t:
+                held.append([])
+            else:
+                held.append(t.lower().split() if b"<|" not in t else [w if b"<|" in w else w.lower() for w in t.split()])
             size += len(t or b"")
             if size > LEARN_BYTES or i + 1 == len(texts):
                 self.learn(set().union(*held))
