@@ -25,17 +25,20 @@ _LOCAL: list[str] = []
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Bounds Arrow batches for long texts."""
+    """Bounds the session's Arrow batches for long texts; Spark reads these settings when a query runs, so they stay set."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set, as in tests."""
+    """The cluster's shared folder. Where none is set, as in tests, a temporary one, in local mode only: on a cluster each
+    executor would write to its own disk."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="sluice-"))
     return "file://" + _LOCAL[0]
@@ -112,8 +115,12 @@ def prefix_sum(df: DataFrame, group: list[str], order: list[str], value: str, ou
     """Exclusive running sum of ``value`` in the order of ``order`` within ``group``, without putting a group
     into one task: rows are range-partitioned and sorted, each partition sums on its own, and the sums of the
     partitions before it are joined back. ``order`` must end in a unique column. ``df`` should be a staged
-    table, for range partitioning samples it first."""
+    table, for range partitioning samples it first. With one partition, for tables that the caller has counted, the sum is
+    a window."""
     keys = [*group, *order]
+    if partitions == 1:
+        before = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(out, F.coalesce(F.sum(value).over(before), F.lit(0)).cast("long"))
     schema = T.StructType([*df.schema.fields, T.StructField("_pid", T.IntegerType()), T.StructField("_in", T.LongType())])
 
     def run(batches):

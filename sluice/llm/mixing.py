@@ -2,25 +2,29 @@
 
 Every document of a source asks for the same real number of copies, target / source size. Its whole part is
 taken; the fractions are rounded by the pivotal method: two documents pass mass (words) to each other, at odds
-that keep each one's expectation, until one fraction is 0 or 1. Buckets of a source do this on their own and
-hand their one open fraction up a tree of coarser buckets, so a source's total differs from its target by less
-than one document. Buckets and draws come from hashes of the row's contents, not from the cluster's layout.
+that keep each one's expectation, until one fraction is 0 or 1. Buckets of a source do this on their own, largest
+documents first, and hand their one open fraction, now a small document's, up a tree of coarser buckets, so a source's
+total differs from its target by less than one small document. Buckets and draws come from hashes of the row's contents,
+not from the cluster's layout.
 
 Defined results: a null or wordless text has size 0 and takes 0; a null source sorts last and is a source of
-its own; a source without words has target 0; equal ids are told apart by their order among equal rows.
+its own; a source without words has target 0; null ids are documents; rows of equal id, source and size are told apart by
+their place in the table, so that only which of them is taken depends on it; repeated rows count each.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm._common import join_bounded, stage
+from sluice.llm._common import join_bounded, prefix_sum, stage
 
 WEIGHTS, SHARE, MAX_COPIES = (3, 1, 2), 1.5, 2
 #: Documents of a bucket, and buckets that meet in one of the next level.
 BUCKET_DOCS, FAN_IN = 2048, 64
+#: Sources of a range partition in the running sums.
+SOURCES_PER_PARTITION = 20_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = MAX_COPIES) -> DataFrame:
@@ -29,20 +33,22 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
     Water filling in closed form: sources are capped in the order of cap x size / weight; the level of a source
     says whether it is still capped when all before it are."""
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    k = F.row_number().over(order) - 1
-    weighted = per.withColumn("w", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (k % len(weights) + 1).cast("int")))
-    ratio = F.col("source_size") * cap / F.col("w")
-    by_level = Window.orderBy(ratio, F.col("source").asc_nulls_last())
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    x = weighted.select("*", (F.sum("source_size").over(whole) * share).alias("pool"), F.coalesce(F.sum(F.col("source_size") * cap).over(before), F.lit(0.0)).alias("spent"), (F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0.0))).alias("w_left"), ratio.alias("ratio"))
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("none", F.col("source").isNull())
+    per = stage(per, "sources")
+    parts = max(1, -(-per.count() // SOURCES_PER_PARTITION))
+    ranked = prefix_sum(per.withColumn("one", F.lit(1).cast("long")), [], ["none", "source"], "one", "k", parts, "ranks")
+    ranked = ranked.select("source", "none", "source_size", F.element_at(F.array(*[F.lit(int(x)).cast("long") for x in weights]), (F.col("k") % len(weights) + 1).cast("int")).alias("w"))
+    ranked = stage(ranked.withColumn("ratio", F.col("source_size") * cap / F.col("w")), "ratios")
+    x = prefix_sum(ranked, [], ["ratio", "none", "source"], "source_size", "size_before", parts, "spent")
+    if parts > 1:
+        x = stage(x, "spent-sums")
+    x = prefix_sum(x, [], ["ratio", "none", "source"], "w", "w_before", parts, "weights")
+    whole = ranked.agg((F.sum("source_size") * share).alias("pool"), F.sum("w").alias("w_all"))
     # what each unit of weight would get if all sources of lower ratio are capped; capped while that is above the ratio
-    x = x.withColumn("level", (F.col("pool") - F.col("spent")) / F.col("w_left"))
-    x = x.withColumn("final", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(whole))
-    x = x.withColumn("final", F.coalesce("final", F.lit(float("inf"))))
-    return x.select("source", "source_size", F.least(F.col("source_size") * cap, F.col("w") * F.col("final")).alias("target"))
+    level = (F.col("pool") - F.col("size_before") * cap) / (F.col("w_all") - F.col("w_before"))
+    x = x.join(F.broadcast(whole), F.lit(True)).withColumn("level", level)  # one row
+    final = x.agg(F.coalesce(F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))), F.lit(float("inf"))).alias("final"))
+    return x.join(F.broadcast(final), F.lit(True)).select("source", "source_size", F.least(F.col("source_size") * cap, F.col("w") * F.col("final")).alias("target"))
 
 
 def _round_bucket(rows: list[tuple], last: bool) -> tuple[list[tuple], tuple | None]:
@@ -119,7 +125,7 @@ def pivotal_round(rows: DataFrame, fan_in: int = FAN_IN, bucket_docs: int = BUCK
                 yield emit(out)
 
         src = open_rows.withColumn("bucket", F.shiftrightunsigned("mix", 63 - bits) if bits else F.lit(0).cast("long")).select("key", "grp", "size", "fraction", "draw", "mix", "bucket")
-        res = stage(src.repartition("grp", "bucket").sortWithinPartitions("grp", "bucket", "mix", "key").mapInArrow(run, "key binary, extra int, grp string, size long, fraction double, draw double, mix long"), "pivot")
+        res = stage(src.repartition("grp", "bucket").sortWithinPartitions("grp", "bucket", F.desc("size"), "mix", "key").mapInArrow(run, "key binary, extra int, grp string, size long, fraction double, draw double, mix long"), "pivot")
         outs.append(res.where("extra is not null").select("key", "extra"))
         if last:
             break
@@ -131,28 +137,34 @@ def pivotal_round(rows: DataFrame, fan_in: int = FAN_IN, bucket_docs: int = BUCK
     return out
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_copies: int = MAX_COPIES) -> DataFrame:
-    """id, size, source_size, target, taken (words, repeats counted) and copies of every row."""
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_copies: int = MAX_COPIES, row_col: str | None = None) -> DataFrame:
+    """id, size, source_size, target, taken (words, repeats counted) and copies of every row; and its row_col, if named: a
+    unique long of docs, a staged table."""
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    rows = stage(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.monotonically_increasing_id().alias("_row")), "mix")
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    rows = stage(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), row.alias("_row")), "mix")
     targets = stage(source_targets(rows, weights, share, max_copies).withColumn("grp", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source"), "targets")
     rows = rows.withColumn("grp", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source")
-    # equal ids: numbered, so that each row has a key that doesn't depend on the layout where contents differ
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("id", "grp", "size").orderBy("_row")))
-    rows = join_bounded(rows, targets, ["grp"])
+    same = F.concat_ws("|", F.lit(seed), F.coalesce(F.concat(F.lit("="), F.col("id").cast("string")), F.lit("null")), "size", "grp")
+    rows = rows.withColumn("_same", F.md5(same))
+    again = stage(rows.groupBy("_same").count().where("count > 1").select("_same", F.lit(True).alias("_again")), "repeated")
+    rows = join_bounded(join_bounded(rows, again, ["_same"]), targets, ["grp"])
     p = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     base = F.floor(p + 1e-12)
-    ident = F.concat_ws("|", F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("null")), "grp", "size", "nth")
-    rows = rows.select("id", "size", "source_size", "target", "grp", base.alias("base"), F.greatest(F.lit(0.0), p - base).alias("fraction"), F.unhex(F.md5(ident)).alias("key"), F.xxhash64(ident).alias("h1"))
+    ident = F.when(F.col("_again"), F.concat_ws("|", "_same", "_row")).otherwise(F.col("_same"))
+    rows = rows.select("_row", "id", "size", "source_size", "target", "grp", base.alias("base"), F.greatest(F.lit(0.0), p - base).alias("fraction"), F.unhex(F.md5(ident)).alias("key"), F.xxhash64(ident).alias("h1"))
     rows = rows.withColumn("mix", F.shiftrightunsigned("h1", 1)).withColumn("draw", F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52))
     rows = stage(rows.drop("h1"), "mix-rows")
     todo = rows.where((F.col("size") > 0) & (F.col("fraction") > 0)).select("key", "grp", "size", "fraction", "draw", "mix")
     extra = pivotal_round(todo)
     copies = F.col("base") + F.coalesce("extra", F.lit(0))
-    return rows.join(extra, "key", "left").select(F.col("id").alias(id_col), "size", "source_size", "target", F.when(F.col("size") > 0, F.col("size") * copies).otherwise(0).cast("long").alias("taken"), F.when(F.col("size") > 0, copies).otherwise(0).cast("int").alias("copies"))
+    own = [F.col("_row").alias(row_col)] if row_col else []
+    return rows.join(extra, "key", "left").select(F.col("id").alias(id_col), *own, "size", "source_size", "target", F.when(F.col("size") > 0, F.col("size") * copies).otherwise(0).cast("long").alias("taken"), F.when(F.col("size") > 0, copies).otherwise(0).cast("int").alias("copies"))
 
 
-def take_copies(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The mixed corpus: every document as often as ``mix`` takes it. mix: of mix_sources over docs of distinct ids."""
-    copies = mix.where("copies > 0").select(id_col, F.col("copies").alias("_sluice_n"))
-    return docs.join(copies, id_col).withColumn("_sluice_copy", F.explode(F.sequence(F.lit(1), F.col("_sluice_n")))).select(*docs.columns)
+def mixed_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
+    """The mixed corpus: every row of docs, also of null and repeated ids, as often as mix_sources takes it. Rows without words
+    have no copies and go."""
+    rows = stage(docs.withColumn("_sluice_row", F.monotonically_increasing_id()), "mixed")
+    copies = mix_sources(rows, id_col, text_col, source_col, row_col="_sluice_row", **settings).where("copies > 0").select("_sluice_row", F.col("copies").alias("_sluice_n"))
+    return rows.join(copies, "_sluice_row").withColumn("_sluice_copy", F.explode(F.sequence(F.lit(1), F.col("_sluice_n")))).select(*docs.columns)

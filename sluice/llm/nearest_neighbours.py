@@ -9,8 +9,10 @@ candidates of each block of vectors are reranked by exact distance in double pre
 Centroids are fitted on a bounded sample (SAMPLE_ROWS, by a hash of the id); every vector is coded and scanned.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or whose length differs from the most
-common one take no part, as queries or candidates; a query with fewer candidates gets all; rows with a query's own id
-aren't its candidates; ties go to the smaller id; an empty table gives no rows.
+common one take no part, as queries or candidates; repeated rows of one id and vector count once; an id with several vectors
+is as near as its nearest one, as query and as candidate, and is listed once; rows with a query's own id aren't its
+candidates; a query with fewer candidates gets all; ties go to the smaller id; an empty table gives no rows; other columns
+are no inputs.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm._common import hash_sample, stage
+from sluice.llm._common import hash_sample, map_arrow, stage
 
 SAMPLE_ROWS, CENTRES, SUB, THRESHOLD = 8_000, 16, 2, 0.2
 #: Vectors and queries that meet in a task, and candidates of a block that are reranked before the bound is known.
@@ -109,34 +111,44 @@ def scan(packed: np.ndarray, table: np.ndarray, half_norm: np.ndarray) -> np.nda
     return score
 
 
-def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, books: np.ndarray, k: int, rerank: int = RERANK) -> list[tuple[int, int, float]]:
-    """(query, id, distance) of each query's k best of a block; ids ascending."""
-    codes = encode(x, books)
+def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, books: np.ndarray, k: int, rerank: int | None = None) -> list[tuple[int, int, float]]:
+    """(query, id, distance) of each query's k best ids of a block; ids ascending. The best by code are measured; then all
+    whose code's error lets them be nearer than the k-th of these."""
+    rerank = rerank or RERANK
     packed = np.ascontiguousarray((codes[:, ::2].astype(np.uint8) << 4 | codes[:, 1::2]).T)
     half = (0.5 * (x * x).sum(1)).astype(np.float32)
     coded = books[np.arange(codes.shape[1]), codes].reshape(len(x), -1)
     off = np.linalg.norm(_padded(x) - coded, axis=1)
     # single precision of the scan's sums
     slack_q, slack = 1e-5 * float(np.linalg.norm(coded, axis=1).max()), 1e-5 * float(half.max())
+    twice = len(ids) > 1 and bool((ids[1:] == ids[:-1]).any())
     out = []
+
+    def nearest_ids(at, qid, qv):
+        at = at[ids[at] != qid]
+        d = np.sqrt(((x[at] - qv) ** 2).sum(1))
+        order = np.lexsort((ids[at], d))
+        at, d = at[order], d[order]
+        if twice:
+            first = np.sort(np.unique(ids[at], return_index=True)[1])
+            at, d = at[first], d[first]
+        return at[:k], d[:k]
+
     for start in range(0, len(q), 64):
         t = tables(q[start : start + 64], books)
         for a, (qid, qv) in enumerate(zip(q_ids[start : start + 64].tolist(), q[start : start + 64], strict=True)):
             s = scan(packed, t[a], half)
+            at = np.arange(len(s))
             if len(s) > rerank:
                 bar = np.partition(s, -rerank)[-rerank]
                 over = np.flatnonzero(s > bar)
-                at = np.concatenate([over, np.flatnonzero(s == bar)[: rerank - len(over)]])
-                d2 = ((x[at[ids[at] != qid]] - qv) ** 2).sum(1)
+                some = np.concatenate([over, np.flatnonzero(s == bar)[: rerank - len(over)]])
+                _, d = nearest_ids(some, qid, qv)
                 norm = float(np.linalg.norm(qv))
-                kth = 0.5 * (norm * norm - np.partition(d2, k - 1)[k - 1]) if len(d2) >= k else -np.inf
-                at = np.flatnonzero(s + norm * (off + slack_q) + slack >= kth)
-            else:
-                at = np.arange(len(s))
-            at = at[ids[at] != qid]
-            d = np.sqrt(((x[at] - qv) ** 2).sum(1))
-            best = np.lexsort((ids[at], d))[:k]
-            out += [(qid, int(i), float(v)) for i, v in zip(ids[at][best], d[best], strict=True)]
+                if len(d) == k:
+                    at = np.flatnonzero(s + norm * (off + slack_q) + slack >= 0.5 * (norm * norm - float(d[-1]) ** 2))
+            best, d = nearest_ids(at, qid, qv)
+            out += [(qid, int(i), float(v)) for i, v in zip(ids[best], d, strict=True)]
     return out
 
 
@@ -154,24 +166,35 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
     src, n = src.where(F.col("dim") == dims[0]["dim"]).select("id", "v"), dims[0]["count"]
     sample = np.array([r.v for r in hash_sample(src, ["id"], sample_rows).orderBy(F.xxhash64("id"), "id", "v").limit(sample_rows).collect()])
     books = fit_codebooks(sample)
+    src = src.dropDuplicates(["id", "v"])
+
+    def code(b):
+        x = np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, -1)
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in encode(x, books)], pa.binary())], names=["id", "v", "codes"])
+
     blocks = -(-n // BLOCK_ROWS)
-    data = src.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)))
-    queries = src.where(F.col("id") % every == 0)
+    data = map_arrow(src, code, "id long, v array<double>, codes binary").withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)))
+    data = stage(data, "coded")
+    queries = data.where(F.col("id") % every == 0).select("id", "v")
     q_blocks = -(-max(1, queries.count()) // QUERY_ROWS)
     # a stated query set against all rows, in blocks: each block of vectors meets each block of queries
     queries = queries.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(q_blocks))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("block", F.col("block").cast("long"))
     data = data.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))).withColumn("part", F.col("part").cast("long"))
 
-    def of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def of(t: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Table]:
         t = t.sort_by("id")
-        return t.column("id").to_numpy(), np.array(t.column("v").to_pylist(), float).reshape(t.num_rows, -1)
+        return t.column("id").to_numpy(), np.array(t.column("v").to_pylist(), float).reshape(t.num_rows, -1), t
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        out = search_block(*of(a), *of(b), books, k) if a.num_rows and b.num_rows else []
+        out = []
+        if a.num_rows and b.num_rows:
+            (q_ids, q, _), (ids, x, t) = of(a), of(b)
+            codes = np.frombuffer(b"".join(t.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
+            out = search_block(q_ids, q, ids, x, codes, books, k)
         cols = list(zip(*out, strict=True)) or [[]] * 3
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
     got = queries.groupBy("block", "part").cogroup(data.groupBy("block", "part")).applyInArrow(run, "query_id long, id long, score double")
-    got = stage(got, "neighbours")
-    w = Window.partitionBy("query_id").orderBy("score", "id")
+    got = stage(got.groupBy("query_id", "id").agg(F.min("score").alias("score")), "neighbours")
+    w = Window.partitionBy("query_id").orderBy("score", "id")  # k rows a block
     return got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")

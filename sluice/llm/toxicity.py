@@ -5,11 +5,13 @@ stem); each is hashed to a bucket. Buckets that differ between labelled classes
 linear weights an inner product of two learned vectors for every pair of present terms, so that pairs, such as an
 insult with the mention of a group, weigh more than their parts.
 
-The model is fitted on a bounded sample of labelled rows (TRAIN_ROWS, in the order of a hash of the id); every
-document is scored over its whole text. Labels, language, source and id are never inputs of a score.
+The model is fitted on a bounded sample of labelled documents (TRAIN_ROWS, in the order of a hash of the id) and has at most
+MAX_FEATURES features, those whose classes differ most; every document is scored over its whole text. Labels, language, source
+and id are never inputs of a score.
 
 Defined results: null, empty and wordless texts get the score of a document without terms; rows without a label
-are scored alike; an empty label table gives every document the score 0.0; repeated rows each give a row.
+are scored alike; an empty label table gives every document the score 0.0; an id with several labels has the largest, one
+with several texts is learned from the first in code point order; repeated rows each give a row; null ids are scored.
 """
 
 from __future__ import annotations
@@ -160,7 +162,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         terms = memo("buckets", Terms)
         return pa.RecordBatch.from_arrays([pa.array([terms.of(x) for x in b.column(0).cast(pa.binary()).to_pylist()], pa.list_(pa.int32())), b.column(1)], names=["t", "y"])
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "id").select("text", "y")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "id")  # ``rows`` ids at most
+    texts = texts.groupBy("id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("y").alias("y")).select("text", "y")
     sample = stage(map_arrow(texts, buckets, "t array<int>, y int"), "labelled")
     total = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("t")).first()
     if not total.n:

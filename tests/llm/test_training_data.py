@@ -320,6 +320,25 @@ def test_factorization_machine_learns_an_interaction():
     assert float(m.v[i[1]] @ m.v[i[2]]) > 0
 
 
+def test_factorization_machine_scores_by_brute_force():
+    """Scores against the explicit sum over all pairs of features."""
+    r = np.random.default_rng(2)
+    m = toxicity.FactorizationMachine(np.arange(30), -0.4, r.normal(size=30), r.normal(size=(30, 5)) / 3)
+    rows = [sorted(r.choice(30, r.integers(0, 12), replace=False).tolist()) for _ in range(50)]
+    for row, got in zip(rows, m.scores(rows), strict=True):
+        z = m.bias + sum(m.w[i] for i in row) + sum(float(m.v[i] @ m.v[j]) for i, j in itertools.combinations(row, 2))
+        assert got == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_toxicity_on_empty_and_repeated(spark):
+    """Empty tables, an id of many texts, clashing columns, null ids and labels."""
+    docs = spark.createDataFrame([(1, f"vile text{i}", "y") for i in range(50)] + [(k, "good words here", "n") for k in range(2, 40)] + [(None, "vile", "n")], "doc_id long, text string, y string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (3, None), *((k, 0) for k in range(2, 40))], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert toxicity.score_toxicity(docs, model, keep=("y",)).count() == docs.count()
+    assert toxicity.score_toxicity(docs.limit(0), model).count() == 0 and toxicity.train(docs.limit(0), labels) is None
+
+
 def test_main_text_of_marked_and_unmarked_pages(spark):
     w = " ".join(f"word{i}" for i in range(30))
     page = f'<html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Home</a></li></ul></nav><div class="ad">Buy now</div><article><h1>Head &amp; more</h1><p>{w}<br>x <b>bo</b>ld\n  y<p>second&nbsp;part<aside>not this</aside><div class="comments"><p>reader says</p></div></article><footer>&copy; 2020</footer>'
@@ -456,6 +475,26 @@ def test_nearest_neighbours(spark):
     assert nearest_neighbours.nearest(df.limit(0)).count() == 0
 
 
+def test_nearest_neighbours_over_many_blocks(spark, monkeypatch):
+    """Small blocks and few reranked places: recall against brute force; repeated ids, repeated rows and clashing columns."""
+    for name, value in (("BLOCK_ROWS", 200), ("QUERY_ROWS", 7), ("RERANK", 12)):
+        monkeypatch.setattr(nearest_neighbours, name, value)
+    r = np.random.default_rng(3)
+    x = r.normal(size=(2000, 32)) + r.normal(size=(15, 32))[r.integers(0, 15, 2000)]
+    rows = [(i, [float(v) for v in e], i, "c") for i, e in enumerate(x)]
+    rows += [(100, [float(v) for v in x[7] + 0.01], 0, "c"), (7, [float(v) for v in x[300] + 0.001], 0, "c")] + [(8, [float(v) for v in x[400] + 0.001], k, "c") for k in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id long, v string")
+    got = defaultdict(list)
+    for g in nearest_neighbours.nearest(df).orderBy("query_id", "rank").collect():
+        got[g.query_id].append(g.vec_id)
+    vectors = defaultdict(list)
+    for i, e, *_ in rows:
+        vectors[i].append(np.array(e))
+    for q in range(0, 2000, 100):
+        d = {i: min(float(np.sqrt(((a - b) ** 2).sum())) for a in vs for b in vectors[q]) for i, vs in vectors.items() if i != q}
+        assert got[q] == sorted(d, key=lambda i: (d[i], i))[:10], q
+
+
 def targets(sizes):
     order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
     w = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
@@ -488,10 +527,36 @@ def test_mixing(docs, monkeypatch):
     assert all(abs(taken[s] - want[s]) <= largest for s in want)
     again = {r.doc_id: r.taken for r in mixing.mix_sources(docs.repartition(3)).collect()}
     assert again == {k: g.taken for k, g in got.items()}
-    mixed = mixing.take_copies(docs, mixing.mix_sources(docs))
+    mixed = mixing.mixed_corpus(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(g.copies for g in got.values())
 
 
+def test_mixing_meets_targets_closely_and_keeps_odd_rows(spark):
+    """The open document of each source is a small one; null and repeated ids keep their copies, one by one."""
+    r = random.Random(3)
+    rows = [(None if i % 7 == 0 else i // 2, " ".join(["w"] * (1 + int(r.expovariate(1 / 300)))), f"s{i % 5}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = mixing.mix_sources(df).collect()
+    total = defaultdict(int)
+    for (_, t, s) in rows:
+        total[s] += len(t.split())
+    by = {s: sum(g.taken for g in got if g.source_size == n) for s, n in total.items()}
+    want = {s: next(g.target for g in got if g.source_size == n) for s, n in total.items()}
+    assert len(got) == 3000 and len(set(total.values())) == 5
+    assert all(abs(by[s] - want[s]) <= 60 for s in total), (by, want)
+    mixed = mixing.mixed_corpus(df)
+    assert mixed.where("doc_id is null").count() > 300 and mixed.select(F.sum(F.size(F.split("text", " ")))).first()[0] == sum(by.values())
+
+
+def test_targets_over_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SOURCES_PER_PARTITION", 7)
+    r = random.Random(4)
+    sizes = {f"host{i}": r.randrange(1, 5000) for i in range(60)} | {None: 40}
+    df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long")
+    got = {x.source: x.target for x in mixing.source_targets(df).collect()}
+    assert got == pytest.approx(targets(sizes))
+
+
 def test_mixing_tree_of_many_buckets(spark):
     rows = spark.range(4000).selectExpr("unhex(md5(cast(id as string))) key", "concat('s', id % 2) grp", "cast(10 + id % 50 as long) size", "0.3D + (id % 2) * 0.4D fraction", "pmod(xxhash64(id, 1), 1000003) / 1000003D draw", "shiftrightunsigned(xxhash64(id), 1) mix")
     got = mixing.pivotal_round(rows, fan_in=4, bucket_docs=50)
