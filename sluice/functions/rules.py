@@ -51,7 +51,7 @@ RECOGNIZERS = [
     Recognizer("zh_id_card", "ZH_ID_CARD", r"(?<!\d)(?:\d ?){17}[\dXx](?!\d)", "【PII:身份证号】", 0.7, ("身份证", "证件号", "公民身份")),
     Recognizer("zh_bank_card", "ZH_BANK_CARD", r"(?<!\d)(?:62\d{14,17}|[45]\d{15,18})(?!\d)", "【PII:银行卡号】", 0.6, ("银行卡", "卡号", "账号", "借记卡", "信用卡")),
 ]
-#: Characters dropped before matching, and characters that are written differently for the same reading.
+# Characters dropped before matching, and characters that are written differently for the same reading.
 SEPARATORS = " \t\r\n-_"
 ZERO_WIDTH = "\u200b\u200c\u200d\ufeff"
 INVISIBLE = "\u200b\u200c\u200d\ufeff\u00ad\u2060\u034f\u115f\u1160\u180e\u17b4\u17b5\u202a\u202b\u202c\u202d\u202e"
@@ -59,13 +59,17 @@ TRADITIONAL = "鳳計劃鯨藍號話統雲網內級現在個沒無視開關審
 SIMPLIFIED = "凤计划鲸蓝号话统云网内级现在个没无视开关审规则让们"
 
 
-def near(a: str, b: str, width: int = 30) -> str:
+@dataclass(frozen=True)
+class Near:
     """Both patterns in either order, at most ``width`` characters apart."""
-    gap = f".{{0,{width}}}"
-    return f"(?:{a}){gap}(?:{b})|(?:{b}){gap}(?:{a})"
+
+    a: str
+    b: str
+    width: int = 30
 
 
-# Groups of prompt-injection patterns for lower-case text without separators.
+# Groups of prompt-injection patterns for lower-case text without separators; a group is hit by any of its
+# patterns.
 INJECTION_GROUPS = {
     "override-en": r"ignore(?:all|any|every|the|your)?(?:previous|prior|above|preceding)(?:instructions?|directives?|rules?|prompts?)|disregard(?:all|any|your|the)?(?:previous|prior)?(?:instructions?|guidelines|safety)",
     "override-zh": r"(?:忽略|无视|不管|抛弃)(?:之前|先前|以上|前面|所有|全部|前述).{0,8}(?:指令|指示|命令|规则|限制)",
@@ -73,11 +77,11 @@ INJECTION_GROUPS = {
     "roleplay": r"actasdan|doanythingnow|stayincharacter|pretendtobe|没有任何限制的|没有内容审查|不受任何规则约束|无审查的",
     "indirect-en": r"howtobypass.{0,24}(?:gateway|dlp|filter|safety)|replyasthecharacter",
     "extract-en": r"(?:print|repeat|reveal|output|show|display|dump)(?:your|the|all|any|full|own|exact)*(?:systemprompt|instructions?|initialprompt|internalrules?|blocklist|confidentialterms?)(?!files?)|(?:systemprompt|yourinstructions?).{0,25}(?:verbatim|print|repeat|reveal|output|show)|(?:first|second|next)wordofyour(?:instructions?|systemprompt)|onewordatatime",
-    "extract-zh": near("系统提示词|提示词原文|第一段指令|全部指令|指令内容|拦截规则|内部规则|规则全文|系统消息|系统提示", "逐字|原样|原文|不.{0,2}省略|输出|复述|导出|贴出|发给|告诉|打印|展示|附在"),
-    "extract-ja-ko": near("システムプロンプト", "出力|省略|そのまま|監査") + "|" + near("시스템프롬프트", "출력|빠뜨리|감사"),
-    "authority": near("管理员|安全团队|系统运维|审计|合规|备案|工单|上级|ceo|老板|董事长", "立刻|马上|紧急|特批|授权|否则|责任|必须|直接输出|原样|逐字", 40) + "|" + near("auditor|authorized|redteam|securityteam", "disable|output|reveal|print|bypass", 40),
+    "extract-zh": Near("系统提示词|提示词原文|第一段指令|全部指令|指令内容|拦截规则|内部规则|规则全文|系统消息|系统提示", "逐字|原样|原文|不.{0,2}省略|输出|复述|导出|贴出|发给|告诉|打印|展示|附在"),
+    "extract-ja-ko": (Near("システムプロンプト", "出力|省略|そのまま|監査"), Near("시스템프롬프트", "출력|빠뜨리|감사")),
+    "authority": (Near("管理员|安全团队|系统运维|审计|合规|备案|工单|上级|ceo|老板|董事长", "立刻|马上|紧急|特批|授权|否则|责任|必须|直接输出|原样|逐字", 40), Near("auditor|authorized|redteam|securityteam", "disable|output|reveal|print|bypass", 40)),
     "safety-disable": r"(?:disable|turnoff|bypass|remove|suspend)(?:your|the|all|any)?(?:contentfilters?|safetyfilters?|safetyguidelines|guardrails?|restrictions?)|(?:关闭|禁用|解除|绕过)(?:内容审查|审查|过滤|安全限制|限制|拦截)",
-    "coercion": near("开除|跳楼|自杀|失业|一家老小|担不起|丢工作", "提示词|告诉|输出|证明|规则|指令", 40),
+    "coercion": Near("开除|跳楼|自杀|失业|一家老小|担不起|丢工作", "提示词|告诉|输出|证明|规则|指令", 40),
     "delimiter": r"</?[a-z]+><system>|<system>|【系统消息】|【系统提示】|【系统通知】|(?:(={2,6})[^=]{1,20}\1|——[^—]{1,20}——).{0,60}(?:新指令|新任务|管理员已授权|忽略|改为)|endof(?:summary|text|document|section).{0,40}(?:system:|newdirective|newtask)",
     "pinyin": r"xitongtishici|tishiciyuanwen|meiyoushencha|buyunxujujue",
     "maintenance-mode": r"maintenancemode|维护模式",
@@ -85,4 +89,4 @@ INJECTION_GROUPS = {
 #: Hit when all three are found.
 EMOTION = ("奶奶|爷爷|外婆|外公|孩子|父亲|母亲|儿子|女儿|爸爸|妈妈", "去世|重病|住院|临终|癌症|生前|唯一.{0,2}愿望|最后.{0,2}愿望", "激活码|扮演|关闭|绕过|过滤|审查|限制|哄我|念给|给我念|讲故事")
 #: Hit when some match of the first holds no match of the second.
-KEY_EXFIL = (near("apikeys?|api密钥|密钥原文|sessiontoken|会话token", "print|output|reveal|append|email|附|发给|告诉|输出"), "打码|脱敏|掩码|mask|redact")
+KEY_EXFIL = (Near("apikeys?|api密钥|密钥原文|sessiontoken|会话token", "print|output|reveal|append|email|附|发给|告诉|输出"), "打码|脱敏|掩码|mask|redact")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,37 @@ def shingles(text: Column, size: int = SHINGLE) -> Column:
     return F.when(F.length(n) >= size, F.regexp_extract_all(n, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))).when(F.length(n) > 0, F.array(n)).otherwise(F.array().cast("array<string>"))
 
 
+def let(value: Column, fn) -> Column:
+    """fn(value), with value computed once however often fn uses it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+_MASK, _BASE = (1 << 64) - 1, 0x9E3779B97F4A7C15
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of ``shingles`` of an already normalized text: sums of code points times powers of an
+    odd base, taken as differences of running sums, so the cost doesn't depend on ``size``."""
+    c = np.frombuffer((text or "").encode("utf-32-le"), "<u4").astype(np.uint64)
+    n = len(c)
+    if not n:
+        return c
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(2 * n, base, np.uint64)
+            steps[0] = 1
+            _POWERS[k] = np.multiply.accumulate(steps)
+    w = min(size, n)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(c * np.uint64(_BASE)) * _POWERS[0][:n], dtype=np.uint64)])
+    return np.unique(_mixed(_mixed((sums[w:] - sums[:-w]) * _POWERS[1][: n - w + 1] ^ np.uint64(w))))
+
+
 def long_lines(text: Column, min_length: int = MIN_LINE) -> Column:
     """Distinct normalized lines of min_length characters or more."""
     lines = F.transform(F.split(text, r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"), fp_normalize)
@@ -40,8 +72,10 @@ def _half_width() -> tuple[str, str]:
 
 def rule_normalize(text: Column) -> Column:
     """For injection rules: invisible characters out, full width to half, traditional to simplified, separators out, lower."""
-    wide, half = _half_width()
-    return F.lower(F.translate(F.translate(F.translate(text, R.INVISIBLE, ""), wide + R.TRADITIONAL, half + R.SIMPLIFIED), R.SEPARATORS, ""))
+    pairs = dict(zip(*_half_width(), strict=True)) | dict(zip(R.TRADITIONAL, R.SIMPLIFIED, strict=True))
+    kept = {a: b for a, b in pairs.items() if b not in R.SEPARATORS}
+    gone = "".join(dict.fromkeys([*R.INVISIBLE, *R.SEPARATORS, *(a for a in pairs if a not in kept)]))
+    return F.lower(F.translate(text, "".join(kept) + gone, "".join(kept.values())))
 
 
 def folding(extra: dict[str, str] | None = None) -> dict[str, str]:

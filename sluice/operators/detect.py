@@ -1,9 +1,12 @@
 """Secrets, terms, protected texts and injection patterns: text against small rule tables.
 
-Rules become expressions on the driver, so detectors are projections in generated code and add no shuffle."""
+Rules become expressions on the driver, so detectors are projections and add no shuffle. A pattern is only tried on texts
+that hold a literal which it requires. Shingles are hashed in Arrow batches, by running sums over a text."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,43 +43,179 @@ def term_hits(norm_lower: Column, raw_lower: Column, terms: list[R.Term], normal
     return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
 
 
+def required(pattern: str) -> tuple[str, ...]:
+    """Literals of which every match of a pattern holds one; () if there are none to tell."""
+    parts, depth, start, i = [], 0, 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif c == "[":
+            i = pattern.index("]", i + 2)
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and not depth:
+            parts.append(pattern[start:i])
+            start = i + 1
+        i += 1
+    out = []
+    for part in [*parts, pattern[start:]]:
+        best = _literal(part)
+        if not best:
+            return ()
+        out += best
+    return tuple(dict.fromkeys(out))
+
+
+def _literal(part: str) -> tuple[str, ...]:
+    """Of one alternative: the longest run outside groups, or the literals of the group whose shortest is longest."""
+    found, run, i = [], "", 0
+    while i <= len(part):
+        c = part[i : i + 1]
+        if c and c not in "\\[](){}.?*+|^$":
+            run += c
+        else:
+            found.append((run[:-1] if c and c in "?*{" else run,))
+            run = ""
+            if c == "\\":
+                i += 1
+            elif c == "[":
+                i = part.index("]", i + 2)
+            elif c == "{":
+                i = part.index("}", i)
+            elif c == "(":
+                end, depth = i, 0
+                while True:
+                    depth += {"(": 1, ")": -1}.get(part[end], 0)
+                    if not depth:
+                        break
+                    end += 1
+                body = part[i + 1 : end]
+                if part[end + 1 : end + 2] not in ("?", "*", "{") and not body.startswith(("?!", "?<", "?=")):
+                    found.append(required(body.removeprefix("?:")))
+                i = end
+        i += 1
+    return max(found, key=lambda x: min(map(len, x), default=0), default=())
+
+
+#: Characters without which no literal of the Chinese, Japanese and Korean patterns can stand in a text.
+_WIDE = r"[\x{2010}-\x{2027}\x{3000}-\x{9FFF}\x{AC00}-\x{D7A3}]"
+
+
+def _holds(norm: Column, wide: Column, literals: tuple[str, ...]) -> Column:
+    """Whether a text holds one of the literals; those outside ASCII are only looked for in texts with wide characters."""
+    plain, other = [x for x in literals if x.isascii()], [x for x in literals if not x.isascii()]
+    hit = F.lit(False)
+    for x in plain:
+        hit = hit | norm.contains(x)
+    rest = F.lit(False)
+    for x in other:
+        rest = rest | norm.contains(x)
+    return hit | (wide & rest) if other else hit
+
+
+def near_pattern(n: R.Near) -> str:
+    gap = f".{{0,{n.width}}}"
+    return f"(?:{n.a}){gap}(?:{n.b})|(?:{n.b}){gap}(?:{n.a})"
+
+
+def _found(norm: Column, wide: Column, rule: str | R.Near) -> Column:
+    """A pattern, tried only on texts that hold what it requires."""
+    if isinstance(rule, R.Near):
+        return _holds(norm, wide, required(rule.a)) & _holds(norm, wide, required(rule.b)) & norm.rlike(near_pattern(rule))
+    needs = required(rule)
+    return _holds(norm, wide, needs) & norm.rlike(rule) if needs else norm.rlike(rule)
+
+
 def injection_groups(norm: Column) -> Column:
     """Sorted groups of injection patterns found in rule-normalized text."""
-    pairs = [(norm.rlike(p), name) for name, p in R.INJECTION_GROUPS.items()]
-    family, misfortune, demand = R.EMOTION
-    pairs.append((norm.rlike(family) & norm.rlike(misfortune) & norm.rlike(demand), "emotion"))
-    pattern, masking = R.KEY_EXFIL
-    pairs.append((F.exists(F.regexp_extract_all(norm, F.lit(pattern), F.lit(0)), lambda m: ~m.rlike(masking)), "apikey-exfil"))
-    return _codes(pairs)
+
+    def codes(n: Column, wide: Column) -> Column:
+        pairs = [(_found(n, wide, p), name) for name, ps in R.INJECTION_GROUPS.items() for p in (ps if isinstance(ps, tuple) else (ps,))]
+        family, misfortune, demand = R.EMOTION
+        pairs.append((_found(n, wide, family) & _found(n, wide, misfortune) & _found(n, wide, demand), "emotion"))
+        leak, masking = R.KEY_EXFIL
+        may = _holds(n, wide, required(leak.a)) & _holds(n, wide, required(leak.b))
+        pairs.append((may & F.exists(F.regexp_extract_all(n, F.lit(near_pattern(leak)), F.lit(0)), lambda m: ~m.rlike(masking)), "apikey-exfil"))
+        return _codes(pairs)
+
+    return X.let(norm, lambda n: X.let(F.coalesce(n.rlike(_WIDE), F.lit(False)), lambda wide: codes(n, wide)))
 
 
 def injection_match(text: Column) -> Column:
     """struct(hit, groups, depth): groups of the text and, marked with their level, of what it hides in base64."""
-    first, second = X.decode_layers(text)
     level = lambda texts, d: F.flatten(F.transform(texts, lambda t: F.transform(injection_groups(X.rule_normalize(t)), lambda g: F.concat(g, F.lit(f"@b64L{d}")))))
-    one, two = level(first, 1), level(second, 2)
-    groups = F.array_sort(F.array_distinct(F.concat(injection_groups(X.rule_normalize(text)), one, two)))
-    depth = F.when(F.size(two) > 0, 2).when(F.size(one) > 0, 1).otherwise(0)
-    return F.struct((F.size(groups) > 0).alias("hit"), groups.alias("groups"), depth.alias("depth"))
+
+    def match(first: Column) -> Column:
+        pair = F.struct(level(first, 1).alias("one"), level(F.flatten(F.transform(first, X.decode_base64)), 2).alias("two"))
+        return X.let(pair, lambda p: F.struct(F.array_sort(F.array_distinct(F.concat(injection_groups(X.rule_normalize(text)), p["one"], p["two"]))).alias("groups"), F.when(F.size(p["two"]) > 0, 2).when(F.size(p["one"]) > 0, 1).otherwise(0).alias("depth")))
+
+    m = X.let(X.decode_base64(text), match)
+    return X.let(m, lambda x: F.struct((F.size(x["groups"]) > 0).alias("hit"), x["groups"].alias("groups"), x["depth"].alias("depth")))
+
+
+def _with_hashes(df: DataFrame, text: Column, out: str) -> DataFrame:
+    """Adds struct(s, l): hashes of a text's distinct shingles and long lines."""
+    lines = F.transform(X.long_lines(text), lambda x: F.xxhash64(x))
+    src = df.withColumns({"_sluice_norm": X.fp_normalize(text), "_sluice_lines": lines})
+    kind = pa.struct([("s", pa.list_(pa.int64())), ("l", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for b in batches:
+            found = [X.shingle_hashes(t).view(np.int64) for t in b.column(b.num_columns - 2).to_pylist()]
+            made = pa.StructArray.from_arrays([pa.array(found, pa.list_(pa.int64())), b.column(b.num_columns - 1).cast(pa.list_(pa.int64()))], fields=[kind.field(0), kind.field(1)])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], made], names=[*b.schema.names[:-2], out])
+
+    schema = df.withColumn(out, F.lit(None).cast("struct<s:array<bigint>,l:array<bigint>>")).schema
+    return src.mapInArrow(run, schema)
 
 
 def fingerprint_store(corpus: DataFrame, name: str, text: str) -> DataFrame:
     """(doc, kind, fp): distinct shingles (s) and lines (l) of a protected corpus."""
-    kind = lambda k, arr: F.transform(arr, lambda x: F.struct(F.lit(k).alias("kind"), F.xxhash64(x).alias("fp")))
-    rows = F.explode(F.concat(kind("s", F.array_distinct(X.shingles(F.col(text)))), kind("l", X.long_lines(F.col(text)))))
-    return corpus.select(F.col(name).alias("doc"), rows.alias("x")).select("doc", "x.kind", "x.fp").distinct()
+    rows = _with_hashes(corpus.select(F.col(name).alias("doc"), F.col(text).alias("t")).select("doc", "t"), F.col("t"), "x").select("doc", "x")
+    kind = lambda k: F.transform(f"x.{k}", lambda v: F.struct(F.lit(k).alias("kind"), v.alias("fp")))
+    return rows.select("doc", F.explode(F.concat(kind("s"), kind("l"))).alias("x")).select("doc", "x.kind", "x.fp").distinct()
 
 
-def fingerprint_matches(docs: DataFrame, store: DataFrame, id_col: str, text: str, min_hits: int = 2, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """Documents sharing min_hits or more distinct shingles, or lines, with the store (all its documents together).
+def with_fingerprint_hits(df: DataFrame, text: Column, store: DataFrame, store_rows: int = 2_000_000) -> DataFrame:
+    """Adds shingle_hits and line_hits: a row's distinct shingles and long lines that the store holds (all its documents
+    together). A null text has none.
 
-    Only 8-byte hashes travel. The store is broadcast while its counted rows are within the bound, else hashes shuffle."""
+    The store's hashes go to the tasks while they are within the bound, and rows stay where they are; beyond it the rows'
+    hashes shuffle to the store's and their counts back, by the row's number in its partition."""
     fps = store.select("kind", "fp").distinct()
-    fps = F.broadcast(fps) if fps.count() <= broadcast_rows else fps
-    kind = lambda k, arr: F.transform(arr, lambda x: F.struct(F.lit(k).alias("kind"), F.xxhash64(x).alias("fp")))
-    probe = docs.select(F.col(id_col), F.explode(F.concat(kind("s", X.shingles(F.col(text))), kind("l", X.long_lines(F.col(text))))).alias("x")).select(id_col, "x.kind", "x.fp")
-    hits = probe.join(fps, ["kind", "fp"], "left_semi").groupBy(id_col).agg(F.count_distinct(F.when(F.col("kind") == "s", F.col("fp"))).alias("shingle_hits"), F.count_distinct(F.when(F.col("kind") == "l", F.col("fp"))).alias("line_hits"))
-    return hits.withColumn("hits", F.greatest("shingle_hits", "line_hits")).where(F.col("hits") >= min_hits)
+    held = fps.limit(store_rows + 1).toPandas()
+    if len(held) <= store_rows:
+        known = {k: np.sort(held.loc[held["kind"] == k, "fp"].to_numpy(np.int64)) for k in "sl"}
+        ctx = df.sparkSession.sparkContext.broadcast(known)
+        src = df.withColumns({"_sluice_norm": X.fp_normalize(text), "_sluice_lines": F.transform(X.long_lines(text), lambda x: F.xxhash64(x))})
+
+        def count(found: np.ndarray, kept: np.ndarray) -> int:
+            if not len(kept) or not len(found):
+                return 0
+            return int((kept[np.minimum(np.searchsorted(kept, found), len(kept) - 1)] == found).sum())
+
+        def run(batches):
+            known = ctx.value
+            for b in batches:
+                s = [count(X.shingle_hashes(t).view(np.int64), known["s"]) for t in b.column(b.num_columns - 2).to_pylist()]
+                lines = [count(np.unique(np.array(x or [], np.int64)), known["l"]) for x in b.column(b.num_columns - 1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(s, pa.int64()), pa.array(lines, pa.int64())], names=[*b.schema.names[:-2], "shingle_hits", "line_hits"])
+
+        schema = df.withColumns({"shingle_hits": F.lit(0).cast("long"), "line_hits": F.lit(0).cast("long")}).schema
+        return src.mapInArrow(run, schema)
+    rows = _with_hashes(df, text, "_sluice_x").withColumn("_sluice_row", F.monotonically_increasing_id())
+    one = lambda k: rows.select("_sluice_row", F.explode(f"_sluice_x.{k}").alias("fp")).join(fps.where(F.col("kind") == k).select("fp"), "fp", "left_semi").groupBy("_sluice_row").agg(F.count(F.lit(1)).alias("n"))
+    out = rows.drop("_sluice_x")
+    for k, name in (("s", "shingle_hits"), ("l", "line_hits")):
+        out = out.join(one(k).withColumnRenamed("n", name), "_sluice_row", "left").fillna(0, [name])
+    return out.select(*df.columns, "shingle_hits", "line_hits")
+
+
+def fingerprint_matches(docs: DataFrame, store: DataFrame, id_col: str, text: str, min_hits: int = 2, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """Rows sharing min_hits or more distinct shingles, or lines, with the store: id, shingle_hits, line_hits, hits."""
+    rows = with_fingerprint_hits(docs.select(F.col(id_col), F.col(text).alias("_t")), F.col("_t"), store, broadcast_rows)
+    return rows.select(id_col, "shingle_hits", "line_hits", F.greatest("shingle_hits", "line_hits").alias("hits")).where(F.col("hits") >= min_hits)
 
 
 def store_summary(store: DataFrame) -> DataFrame:

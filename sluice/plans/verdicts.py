@@ -49,10 +49,12 @@ def verdicts(docs: DataFrame, id_col: str, text: str, layers: Layers, store: Dat
     hidden = F.when((F.size("_pre") == 0) & encoded, X.decoded_texts(F.col("_t"))).otherwise(none)
     # decoded payloads are matched raw and with separators dropped
     squeezed = lambda t: F.translate(t, R.SEPARATORS + R.ZERO_WIDTH, "")
-    df = df.withColumn("_pre", F.when(F.size("_pre") > 0, F.col("_pre")).otherwise(F.array_sort(F.array_distinct(F.flatten(F.transform(hidden, lambda t: direct(t, squeezed(t))))))))
+    found = F.flatten(F.transform(hidden, lambda t: X.let(squeezed(t), lambda n: direct(t, n))))
+    df = df.withColumn("_pre", F.when(F.size("_pre") > 0, F.col("_pre")).otherwise(F.array_sort(F.array_distinct(found))))
     if layers.fingerprints and store is not None:
-        hits = detect.fingerprint_matches(docs, store, id_col, text, layers.min_hits).select(F.col(id_col), F.lit(True).alias("_fp"))
-        df = df.join(hits, id_col, "left").withColumn("_pre", F.when((F.size("_pre") == 0) & F.col("_fp") & on("edm"), F.array(F.lit("edm.fingerprint"))).otherwise(F.col("_pre")))
+        still_open = F.when((F.size("_pre") == 0) & on("edm"), F.col("_t"))  # blocked texts aren't probed
+        df = detect.with_fingerprint_hits(df.select(id_col, "_t", "_off", "_pre"), still_open, store)
+        df = df.withColumn("_pre", F.when(F.greatest("shingle_hits", "line_hits") >= layers.min_hits, F.array(F.lit("edm.fingerprint"))).otherwise(F.col("_pre")))
     groups = F.when((F.size("_pre") == 0) & on("rules"), detect.injection_match(F.col("_t"))["groups"]).otherwise(none) if layers.injection else none
     df = df.withColumn("groups", F.coalesce(groups, none))
     df = masking.masked(df.select(id_col, "_t", "_pre", "groups"), "_t", layers.rules)
