@@ -6,10 +6,13 @@ start and the tokens counted there; reading a byte moves to the next state and e
 Adjacent tokens must be a pair that BPE itself would leave apart, which makes the last token of every prefix
 unique. States and transitions are made when first met and kept.
 
-A text is cut into chunks. The map of a chunk is what it does to the state before it: an open head, the count of
-what surely stands between two safe cuts, and an open tail. A space between two characters that are not white
-space is a safe cut, for no word of the tokenizer's pattern reaches over it from the left. Maps compose
-associatively, so they are folded pairwise in a tree.
+The map of a stretch of bytes is what it does to the transducer: state before it -> (state after it, tokens emitted). Maps
+compose associatively and are scanned. Texts are cut at safe cuts, where the tokenizer's pattern surely ends one pre-token and
+begins another: before a space between two characters that aren't white space, and between letters, digits and marks. A piece
+between safe cuts takes the start state to the start state, so its map is one count (kept for pieces that come again) and
+scanning is adding. A pre-token longer than CHUNK_BYTES is cut into chunks; each chunk's map is made for the state that the
+LOOK_BACK bytes before it lead to, maps are composed pairwise in a tree, and one that is asked for another state reads its
+chunk from there, so that counts are exact and long texts without spaces take linear time.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; the special string counts as its one token,
 the library's default; repeated rows each give a row.
@@ -26,14 +29,17 @@ from pyspark.sql import functions as F
 
 from sluice.llm._common import map_arrow, memo
 
-CHUNK_CHARS, LIMIT_TOKENS = 1 << 16, 512
+CHUNK_BYTES, LOOK_BACK, LIMIT_TOKENS = 1 << 12, 1 << 8, 512
 #: Entries of the memo of words and of the transition table; when full they start anew.
 MEMO, TRANSITIONS = 700_000, 800_000
 #: Fixed value: the split pattern of byte-level BPE vocabularies of this family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: ASCII marks that the pattern never joins to a word before them.
 _MARKS = ".,!?;:#%&$*"
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Safe cuts. A mark ' is none before a letter, for it may begin a contraction.
+SAFE = r"(?<=\S)(?= \S)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])"
+#: Characters of a piece that is kept, at most; longer ones hardly come again.
+KEPT_CHARS = 64
 
 
 def byte_symbols() -> dict[str, int]:
@@ -70,8 +76,7 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        start = ((0, b"", 0),)
-        self.states, self.ids, self.move = [start], {start: 0}, {}
+        self.states, self.ids, self.move = [START], {START: 0}, {}
 
     def bpe(self, word: bytes) -> list[bytes]:
         parts = [bytes([b]) for b in word]
@@ -119,35 +124,84 @@ class Transducer:
         self.move[state << 8 | byte] = (to, emitted)
         return to, emitted
 
-    def count(self, word: bytes) -> int:
+    def run(self, start: tuple, word: bytes) -> tuple[tuple, int]:
+        """The map of a word at one state: (state after it, tokens emitted)."""
         if len(self.move) > TRANSITIONS:
             self._reset()
-        state = total = 0
+        state, total = self.ids.get(start), 0
+        if state is None:
+            state = self.ids[start] = len(self.states)
+            self.states.append(start)
         move = self.move
         for b in word:
             at = move.get(state << 8 | b)
             state, emitted = at if at is not None else self._step(state, b)
             total += emitted
-        return total
+        return self.states[state], total
+
+    def count(self, word: bytes) -> int:
+        if len(word) <= CHUNK_BYTES:
+            return self.run(START, word)[1]
+        maps: list[StateMap] = []
+        for i in range(0, len(word), CHUNK_BYTES):
+            m = StateMap(lambda s, part=word[i : i + CHUNK_BYTES]: self.run(s, part))
+            m(self.run(START, word[max(0, i - LOOK_BACK) : i])[0])  # every chunk on its own
+            maps.append(m)
+        while len(maps) > 1:  # the scan's up-sweep
+            maps = [compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        return maps[0](START)[1]
+
+
+#: The state before a pre-token: one open entry at the trie's root, no token before it.
+START = ((0, b"", 0),)
+
+
+class StateMap(dict):
+    """state -> (state, count) for the states asked for so far."""
+
+    def __init__(self, at):
+        super().__init__()
+        self.at = at
+
+    def __call__(self, state: tuple) -> tuple[tuple, int]:
+        got = self.get(state)
+        if got is None:
+            got = self[state] = self.at(state)
+        return got
+
+
+def compose(first: StateMap, then: StateMap) -> StateMap:
+    """The map of two stretches in a row, at the states that the first one has."""
+
+    def at(state):
+        middle, n = first(state)
+        end, m = then(middle)
+        return end, n + m
+
+    out = StateMap(at)
+    for state in list(first):
+        out(state)
+    return out
 
 
 class _Words(dict):
-    """Tokens of ' ' + piece for pieces between safe cuts; -1 for a piece that a cut beside it isn't safe for."""
+    """Tokens of ' ' + word for words between spaces; -1 for one that a cut beside it isn't safe for."""
 
     def __init__(self, segment):
         super().__init__()
         self.segment = segment
 
-    def __missing__(self, piece: str) -> int:
+    def __missing__(self, word: str) -> int:
         if len(self) >= MEMO:
             self.clear()
-        if not piece or piece[0].isspace() or piece[-1].isspace():
+        if not word or word[0].isspace() or word[-1].isspace():
             n = -1
         else:
-            core = piece.rstrip(_MARKS)
+            core = word.rstrip(_MARKS)
             # a run of marks after a letter or digit is a pre-token of its own
-            n = self[core] + self.segment(piece[len(core) :]) if core and core != piece and core[-1].isalnum() else self.segment(" " + piece)
-        self[piece] = n
+            n = self[core] + self.segment(word[len(core) :]) if core and core != word and core[-1].isalnum() else self.segment(" " + word)
+        if len(word) <= KEPT_CHARS:
+            self[word] = n
         return n
 
 
@@ -162,44 +216,19 @@ class Counter:
         self.transducer = Transducer(spec["model"]["vocab"], spec["model"]["merges"])
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.split_special = re.compile("|".join(map(re.escape, self.special))) if self.special else None
-        self.pretokens = regex.compile(PATTERN).findall
+        self.pretokens, self.cut = regex.compile(PATTERN).findall, regex.compile(SAFE).split
         self.words = _Words(self.segment)
 
     def segment(self, text: str) -> int:
         return sum(self.transducer.count(p.encode()) for p in self.pretokens(text))
 
-    def between(self, text: str) -> int:
-        """Tokens of a text that begins and ends at safe cuts or at the text's ends."""
-        return sum(self.segment(s if not i else " " + s) for i, s in enumerate(_CUT.split(text)))
-
-    def chunk_map(self, text: str) -> tuple[str, int, str] | str:
-        """(open head, count, open tail), or the text itself if it has no safe cut."""
-        pieces = text.split(" ")
-        if len(pieces) > 2:
-            counts = list(map(self.words.__getitem__, pieces[1:-1]))
-            head, tail = pieces[0], pieces[-1]
-            if min(counts) >= 0 and head and tail and not head[-1].isspace() and not tail[0].isspace():
-                return head, sum(counts), " " + tail
-        parts = _CUT.split(text)
-        return text if len(parts) == 1 else (parts[0], sum(self.segment(" " + p) for p in parts[1:-1]), " " + parts[-1])
-
-    def compose(self, a, b):
-        if isinstance(a, str) and isinstance(b, str):
-            return a + b
-        if isinstance(a, str):
-            return a + b[0], b[1], b[2]
-        if isinstance(b, str):
-            return a[0], a[1], a[2] + b
-        return a[0], a[1] + self.between(a[2] + b[0]) + b[1], b[2]
-
     def plain(self, text: str) -> int:
-        maps = [self.chunk_map(text[i : i + CHUNK_CHARS]) for i in range(0, len(text), CHUNK_CHARS)]
-        while len(maps) > 1:  # pairwise, as a scan's up-sweep does
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        if not maps:
-            return 0
-        m = maps[0]
-        return self.between(m) if isinstance(m, str) else self.between(m[0]) + m[1] + self.between(m[2])
+        words = text.split(" ")
+        if len(words) > 2:
+            counts = list(map(self.words.__getitem__, words[1:-1]))
+            if min(counts) >= 0 and words[0] and words[-1] and not words[0][-1].isspace() and not words[-1][0].isspace():
+                return self.segment(words[0]) + sum(counts) + self.segment(" " + words[-1])
+        return sum(map(self.segment, self.cut(text)))
 
     def count(self, text: str | None) -> int:
         if not text:

@@ -437,16 +437,31 @@ def test_token_counts(docs):
         assert (got[k].n_bytes, got[k].n_tokens, got[k].over_limit) == (len((s.text or "").encode()), n, n > 512)
 
 
-@pytest.mark.parametrize("chunk", [5, 17, 1 << 16])
-def test_chunk_maps_compose(monkeypatch, chunk):
+@pytest.mark.parametrize(("chunk", "back"), [(3, 0), (5, 4), (17, 16), (1 << 12, 1 << 8)])
+def test_chunk_maps_compose(monkeypatch, chunk, back):
+    """Texts of all kinds and long pre-tokens, cut into chunks of a few bytes whose look-back is often wrong."""
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(token_counts, "CHUNK_CHARS", chunk)
+    monkeypatch.setattr(token_counts, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(token_counts, "LOOK_BACK", back)
     t, c, r = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json")), token_counts.counter(tokenizer_path("byte_bpe_50k.json")), random.Random(chunk)
-    letters = [*" \n\t 　abcthe'stion12.,!é😀中\x1c\r", "<|endoftext|>", " the", "  "]
-    for _ in range(400):
+    letters = [*" \n\t 　abcthe'stion12.,!é😀中\x1c\rⅧ²ª'", "<|endoftext|>", " the", "  ", "'re", "''s"]
+    for _ in range(600):
         x = "".join(r.choice(letters) for _ in range(r.randrange(120)))
         assert c.count(x) == len(t.encode(x, add_special_tokens=False).ids), x
+    for alphabet in ("thetioning", "0123", "-=*", " ", "中文的", "e"):
+        x = "".join(r.choice(alphabet) for _ in range(9000 if chunk > 100 else 700))
+        assert c.count(x) == len(t.encode(x, add_special_tokens=False).ids), alphabet
+
+
+def test_state_maps_are_associative():
+    t = token_counts.counter(tokenizer_path("byte_bpe_50k.json")).transducer
+    r = random.Random(5)
+    for _ in range(50):
+        parts = ["".join(r.choice("theionsr") for _ in range(r.randrange(1, 9))).encode() for _ in range(3)]
+        a, b, c = (token_counts.StateMap(lambda s, p=p: t.run(s, p)) for p in parts)
+        left, right = token_counts.compose(token_counts.compose(a, b), c), token_counts.compose(a, token_counts.compose(b, c))
+        assert left(token_counts.START) == right(token_counts.START) == t.run(token_counts.START, b"".join(parts))
 
 
 def test_nearest_neighbours(spark):
