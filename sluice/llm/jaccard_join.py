@@ -5,13 +5,16 @@ global order of all windows, sets of similarity 0.8 or more share one of their f
 Windows that many documents share come last in that order (by counts over the whole corpus in a fixed number of
 buckets; any order gives the same links), so that common passages aren't candidates.
 
-Candidates are first tried against the smallest id that shares a member; what that connects needs no further pairs.
-Members that still join different components give their remaining pairs. Every candidate is decided exactly: the sets
-tried against one document are walked as a trie in a common order, frequent members first; a shared path's overlap is
-counted once, and a subtree ends where what remains cannot reach the needed overlap.
+The sets that share a first member with one reference set are a partition of the join: the reference is the smallest id that
+holds the member, and what it connects needs no further pairs; members that still join different components give their
+remaining pairs as partitions of a second round. A partition's sets, members in the global order, are stored in a trie whose
+unbranched paths are one node. The reference traverses it from the root: a node's overlap with it is counted once for all
+sets below, and a subtree is left as soon as the members that remain, of its largest set or of the reference, can't reach the
+overlap that its smallest set needs. So every pair is decided exactly.
 
 Defined results: null, empty and wordless texts have 0 shingles and are linked with nothing; texts of 1 to 4 words
-are one shingle; rows of equal id count as one document with each of their texts; a null id keeps a null component.
+are one shingle; rows of equal id count as one document with each of their texts; a null id keeps a null component; an empty
+table gives no rows; columns that clash with inner names are no inputs.
 """
 
 from __future__ import annotations
@@ -30,8 +33,6 @@ WORDS = 5
 #: Similarity as a ratio: 100 * intersection >= 80 * union.
 PERCENT = 80
 BUCKET_BITS = 16
-#: Members of a set walked between two looks at the bound.
-STRIDE = 64
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -46,9 +47,7 @@ def bucket_counts(docs: DataFrame, words: int = WORDS) -> np.ndarray:
         for b in batches:
             for t in b.column(0).cast(pa.binary()).to_pylist():
                 if t:
-                    total += np.bincount((shingle_set(t, words) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(total)) if len(t) > 200_000 else 0
-                    if len(t) <= 200_000:
-                        np.add.at(total, (shingle_set(t, words) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
+                    np.add.at(total, (shingle_set(t, words) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], names=["bucket", "n"])
 
@@ -86,55 +85,90 @@ def signatures(docs: DataFrame, late: np.ndarray, words: int = WORDS, percent: i
     return map_arrow(docs.select("id", "text"), run, f"id {id_type}, n long, digest binary, sig array<long>")
 
 
-def walk_trie(x: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[bool]:
-    """Which of the sets are similar to x. Sets are put in one order, members that most of them hold first, and walked
-    in lexicographic order, which visits the trie's paths depth first: what a set shares with the one before it keeps
-    its overlap. A walk stops when the overlap so far and the members left, of the set or of x, can't reach the need."""
-    members, inverse = np.unique(np.concatenate([x, *sets]), return_inverse=True)
-    held = np.bincount(inverse[len(x) :], minlength=len(members))
-    rank = np.empty(len(members), np.int64)
-    rank[np.lexsort((members, -held))] = np.arange(len(members))
-    in_x = np.zeros(len(members), bool)
-    in_x[rank[inverse[: len(x)]]] = True
-    paths, at = [], len(x)
-    for s in sets:
-        paths.append(np.sort(rank[inverse[at : at + len(s)]]))
-        at += len(s)
+def in_order(s: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """A sorted set's members in the global order: by their bucket's weight, then by value."""
+    return s[np.argsort(late[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)], kind="stable")]
+
+
+class Trie:
+    """Prefix tree of sets given as ascending places in one order; a node is a path without branches.
+
+    Nodes are tuples (path, depth at its end, smallest and largest size of the sets below, sets that end here, children)."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        keys = [s.astype(">u4").tobytes() for s in sets]
+        order = sorted(range(len(sets)), key=keys.__getitem__)
+        self.roots: list[tuple] = []
+        todo = [(0, len(order), 0, self.roots)]
+        while todo:
+            lo, hi, depth, out = todo.pop()
+            while lo < hi:
+                # the sets that share the member at this depth stand together
+                first = sets[order[lo]]
+                end = lo + 1
+                while end < hi and len(sets[order[end]]) > depth and len(first) > depth and sets[order[end]][depth] == first[depth]:
+                    end += 1
+                last = sets[order[end - 1]]
+                m = min(len(first), len(last))
+                differ = np.flatnonzero(first[depth:m] != last[depth:m])
+                stop = depth + int(differ[0]) if len(differ) else m
+                below = order[lo:end]
+                sizes = [len(sets[k]) for k in below]
+                own = 0
+                while own < len(below) and sizes[own] == stop:
+                    own += 1
+                children: list[tuple] = []
+                out.append((first[depth:stop], stop, min(sizes), max(sizes), below[:own], children))
+                if own < len(below):
+                    todo.append((lo + own, end, stop, children))
+                lo = end
+
+    def similar(self, x: np.ndarray, percent: int = PERCENT) -> list[int]:
+        """Numbers of the sets that are similar to x, whose places are in the same order."""
+        found, todo = [], [(node, 0) for node in self.roots]
+        n = len(x)
+        while todo:
+            (path, depth, least, most, own, children), overlap = todo.pop()
+            if len(path):
+                at = np.searchsorted(x, path)
+                overlap += int((x[np.minimum(at, n - 1)] == path).sum())
+                rest = n - int(np.searchsorted(x, path[-1], "right"))
+            else:
+                rest = n
+            if overlap + min(most - depth, rest) < -(-percent * (n + least) // (100 + percent)):
+                continue
+            found += [k for k in own if overlap >= -(-percent * (n + depth) // (100 + percent))]
+            todo += [(child, overlap) for child in children]
+        return found
+
+
+def trie_links(x: np.ndarray, sets: list[np.ndarray], late: np.ndarray, percent: int = PERCENT) -> list[bool]:
+    """Which of the sets are similar to x, by a trie of them in the global order."""
     found = [False] * len(sets)
-    before = np.empty(0, np.int64)
-    overlap = np.zeros(1, np.int64)  # of the path's first d members, as far as walked
-    for i in sorted(range(len(sets)), key=lambda k: paths[k].tobytes() if len(sets) == 1 else tuple(paths[k][:256])):
-        y = paths[i]
-        need = -(-percent * (len(x) + len(y)) // (100 + percent))
-        if not len(y) or min(len(x), len(y)) < need:
-            continue
-        m = min(len(before), len(y), len(overlap) - 1)
-        differ = np.flatnonzero(before[:m] != y[:m])
-        depth = int(differ[0]) if len(differ) else m
-        parts, total, d = [overlap[: depth + 1]], int(overlap[depth]), depth
-        while d < len(y) and total + min(len(y) - d, len(x) - total) >= need:
-            step = total + np.cumsum(in_x[y[d : d + STRIDE]])
-            parts.append(step)
-            total, d = int(step[-1]), min(len(y), d + STRIDE)
-        overlap, before = np.concatenate(parts), y
-        found[i] = d == len(y) and total >= need
+    filled = [k for k, s in enumerate(sets) if len(s)]
+    if len(x) and filled:
+        members = np.unique(np.concatenate([x, *(sets[k] for k in filled)]))
+        rank = np.empty(len(members), np.int64)
+        rank[np.searchsorted(members, in_order(members, late))] = np.arange(len(members))
+        places = lambda s: np.sort(rank[np.searchsorted(members, s)])
+        for k in Trie([places(sets[k]) for k in filled]).similar(places(x), percent):
+            found[filled[k]] = True
     return found
 
 
-def similar_pairs(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def similar_pairs(pairs: DataFrame, docs: DataFrame, late: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Those of the staged pairs (doc, ref) whose sets are similar."""
     types = [pairs.schema[c].dataType.simpleString() for c in ("doc", "ref")]
+    ctx = docs.sparkSession.sparkContext.broadcast(late)  # 2**BUCKET_BITS numbers
 
     def run(b):
-        refs, ids, ref_texts, texts = b.column(0).to_pylist(), b.column(1), b.column(2).cast(pa.binary()), b.column(3).cast(pa.binary())
-        keep, start = np.zeros(b.num_rows, bool), 0
-        while start < len(refs):
-            end = start + 1
-            while end < len(refs) and refs[end] == refs[start]:
-                end += 1
-            x = shingle_set(ref_texts[start].as_py(), words)
-            keep[start:end] = walk_trie(x, [shingle_set(texts[k].as_py(), words) for k in range(start, end)], percent)
-            start = end
+        ids, ref_texts, texts = b.column(1), b.column(2).cast(pa.binary()), b.column(3).cast(pa.binary())
+        parts: dict[tuple, list[int]] = {}
+        for k, key in enumerate(zip(b.column(0).to_pylist(), ref_texts.to_pylist(), strict=True)):
+            parts.setdefault(key, []).append(k)
+        keep = np.zeros(b.num_rows, bool)
+        for (_, ref_text), rows in parts.items():
+            keep[rows] = trie_links(shingle_set(ref_text, words), [shingle_set(texts[k].as_py(), words) for k in rows], ctx.value, percent)
         at = pa.array(np.flatnonzero(keep))
         return pa.RecordBatch.from_arrays([ids.take(at), b.column(0).take(at)], names=["doc", "ref"])
 
@@ -152,9 +186,10 @@ def _may_link(n_a: Column, n_b: Column, shared: Column, percent: int) -> Column:
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """id, n_shingles, component_id and n_links (of its class's representative, as found while joining)."""
+    """id, n_shingles, component_id of every row. Links inside a component that the first round made aren't listed."""
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = stage(signatures(base, late_buckets(bucket_counts(base, words)), words, percent), "sets")
+    late = late_buckets(bucket_counts(base, words))
+    sets = stage(signatures(base, late, words, percent), "sets")
     filled = sets.where("n > 0 and id is not null")
     classes = stage(filled.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     copies = stage(filled.select("id", "digest").join(classes.where("copies > 1"), "digest").select("id", "rep"), "copies").where("id <> rep")
@@ -168,7 +203,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stars = posts.where("doc <> ref").groupBy("doc", "ref").agg(F.count(F.lit(1)).alias("c"))
     stars = stars.join(sizes.select(F.col("id").alias("doc"), F.col("n").alias("n_doc")), "doc").join(sizes.select(F.col("id").alias("ref"), F.col("n").alias("n_ref")), "ref")
     first = stage(stars.where(_may_link(F.col("n_doc"), F.col("n_ref"), F.col("c"), percent)).select("doc", "ref").distinct(), "first")
-    links = stage(similar_pairs(first, base.where("id is not null"), words, percent), "links")
+    links = stage(similar_pairs(first, base.where("id is not null"), late, words, percent), "links")
     labels = components(links, "star")
     discard(shared)
     marked = posts.select("h", "doc").join(labels.withColumnRenamed("id", "doc"), "doc", "left").select("h", "doc", F.coalesce("component", "doc").alias("c"))
@@ -183,7 +218,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = pairs.where(repeated | _may_link(F.col("n_a"), F.col("n_b"), F.col("c"), percent)).select("doc", "ref")
     discard(posts)
     second = stage(pairs.join(first, ["doc", "ref"], "left_anti"), "second")
-    more = stage(similar_pairs(second, base.where("id is not null"), words, percent), "more")
+    more = stage(similar_pairs(second, base.where("id is not null"), late, words, percent), "more")
     # every row of a class is linked to its representative
     all_links = links.unionByName(more).unionByName(copies.select(F.col("id").alias("doc"), F.col("rep").alias("ref")))
     final = stage(components(all_links, "all"), "final")

@@ -271,13 +271,24 @@ def test_jaccard_join_chained_links(spark):
     assert len({got[k] for k in src if k >= 100}) == 40
 
 
-def test_walk_trie_is_exact():
+def test_trie_join_is_exact():
+    """Links by traversal against set arithmetic, in a global order with common members last; equal sets, empty sets."""
     r = np.random.default_rng(1)
-    for _ in range(60):
-        x = np.unique(r.integers(0, 300, 100).astype(np.uint64))
-        sets = [np.unique(np.concatenate([r.choice(x, r.integers(1, len(x) + 1), replace=False), r.integers(0, 300, r.integers(0, 20)).astype(np.uint64)])) for _ in range(8)] + [x, np.empty(0, np.uint64)]
+    for case in range(80):
+        late = np.where(r.random(1 << 16) < 0.3, r.integers(1, 50, 1 << 16), 0)
+        values = r.integers(0, 1 << 63, 300).astype(np.uint64) * np.uint64(2)
+        x = np.unique(r.choice(values, 100, replace=False))
+        sets = [np.unique(np.concatenate([r.choice(x, r.integers(70 if case % 2 else 1, len(x) + 1), replace=False), r.choice(values, r.integers(0, 20))])) for _ in range(12)] + [x, x, x[:90], x[5:], np.empty(0, np.uint64)]
         want = [len(s) > 0 and 100 * len(np.intersect1d(x, s)) >= 80 * len(np.union1d(x, s)) for s in sets]
-        assert jaccard_join.walk_trie(x, sets) == want
+        assert jaccard_join.trie_links(x, sets, late) == want
+    assert jaccard_join.trie_links(np.empty(0, np.uint64), [x], late) == [False]
+
+
+def test_trie_shares_paths():
+    sets = [np.array(s) for s in ([1, 2, 3, 4], [1, 2, 3, 5], [1, 2, 3], [7, 8], [1, 2, 3, 5])]
+    t = jaccard_join.Trie(sets)
+    assert [(n[0].tolist(), n[1:5]) for n in t.roots] == [([1, 2, 3], (3, 3, 4, [2])), ([7, 8], (2, 2, 2, [3]))]
+    assert sorted((n[0].tolist(), sorted(n[4])) for n in t.roots[0][5]) == [([4], [0]), ([5], [1, 4])]
 
 
 def test_toxicity(spark):
