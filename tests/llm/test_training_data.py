@@ -436,6 +436,32 @@ def test_quality_classifier(spark):
     assert all(0 <= x.score <= 1 for x in got.values())
     none = quality_classifier.score_quality(docs, quality_classifier.train(docs, labels.limit(0))).collect()
     assert all(x.kept for x in none)
+    empty = docs.limit(0)
+    assert quality_classifier.train(empty, labels) is None and quality_classifier.score_quality(empty, quality_classifier.train(docs, labels)).count() == 0
+    twice = docs.unionByName(docs).withColumn("score", F.lit("clash"))
+    assert quality_classifier.score_quality(twice, quality_classifier.train(twice, labels)).count() == 1204
+
+
+def test_pool_sums_by_brute_force(spark):
+    """Thresholds and gradients over the unlabelled rows against a loop; and a step goes down the whole loss."""
+    r = np.random.default_rng(4)
+    n, sizes = 400, (quality_classifier.SHAPES + 1, quality_classifier.METAS)
+    x = [np.where(r.random((n, k)) < 0.02, r.random((n, k)), 0).astype(np.float32) for k in sizes]
+    x[1] = (x[1] > 0).astype(np.float32)
+    rows = [tuple(bytearray(v) for v in (np.flatnonzero(a).astype("<u2").tobytes(), a[a != 0].astype("<f4").tobytes(), np.flatnonzero(b).astype("<u2").tobytes())) for a, b in zip(*x, strict=True)]
+    pool = quality_classifier.Pool(spark.createDataFrame(rows, "ti binary, tv binary, mi binary").repartition(3))
+    w = tuple(r.normal(size=k + 1) for k in sizes)
+    z = [a.astype(float) @ v[:-1] + v[-1] for a, v in zip(x, w, strict=True)]
+    cuts = pool.thresholds(w, 0.2, 0.3)
+    for m, (lo, hi) in zip(z, cuts, strict=True):
+        assert abs((m <= lo).mean() - 0.2) < 0.02 and abs((m >= hi).mean() - 0.3) < 0.02
+    now = tuple(v * 0.5 for v in w)
+    for i, g in enumerate(pool.gradients(w, cuts, now)):
+        other, (lo, hi) = z[1 - i], cuts[1 - i]
+        y = [0.0 if m <= lo + 1e-9 and m < 0 else 1.0 if m >= hi - 1e-9 and m > 0 else None for m in other]
+        sure = [k for k in range(n) if y[k] is not None]
+        want = sum((1 / (1 + np.exp(-(x[i][k].astype(float) @ now[i][:-1] + now[i][-1]))) - y[k]) * np.append(x[i][k].astype(float), 1) for k in sure) / len(sure)
+        assert g == pytest.approx(want, abs=1e-6)
 
 
 def test_token_counts(docs):
