@@ -226,3 +226,8 @@ def ingest(store: DataFrame, corpus: DataFrame, name: str, text: str) -> DataFra
     """The store with the fingerprints of new documents; known names and texts under the shortest line are left out."""
     new = corpus.where(F.length(X.fp_normalize(F.col(text))) >= X.MIN_LINE).join(store.select(F.col("doc").alias(name)).distinct(), name, "left_anti")
     return store.unionByName(fingerprint_store(new, name, text))
+
+
+def forget(store: DataFrame, names: DataFrame) -> DataFrame:
+    """The store without the documents of some names; unknown names change nothing."""
+    return store.join(names.select("doc").distinct(), "doc", "left_anti")

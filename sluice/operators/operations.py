@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.operators.ordering import literal, nth
+
 
 # --- verdict log ---------------------------------------------------------------------------------------------------
 def last_n(log: DataFrame, n: int, layer: str = "layer") -> DataFrame:
@@ -33,9 +35,10 @@ def flips(cycles: DataFrame, key: str, order: str, bad: str = "bad") -> DataFram
     return cycles.withColumn("action", action).where("action is not null")
 
 
-def pending(log: DataFrame, cursor: Column, newest: int = 100, most: int = 10) -> DataFrame:
-    """The oldest ``most`` rows after the cursor among the newest ``newest``."""
-    return log.orderBy(F.desc("seq")).limit(newest).where(F.col("ts") > cursor).orderBy("seq").limit(most)
+def pending(log: DataFrame, cursor: DataFrame, newest: int = 100, most: int = 10) -> DataFrame:
+    """The oldest ``most`` rows after the cursor, a table of one row, among the newest ``newest``."""
+    rows = log.orderBy(F.desc("seq")).limit(newest)
+    return rows.join(F.broadcast(cursor.select("cursor")), F.col("ts") > F.col("cursor")).drop("cursor").orderBy("seq").limit(most)
 
 
 def tail(log: DataFrame, n: int, layer: str | None = None) -> DataFrame:
@@ -45,9 +48,12 @@ def tail(log: DataFrame, n: int, layer: str | None = None) -> DataFrame:
 
 
 def retained(log: DataFrame) -> DataFrame:
-    """The newer half of the rows, the larger one of an odd count. Positions come from counts by range, not one sorted task."""
+    """The newer half of the rows, the larger one of an odd count: those from the middle seq on, which is found by narrowing
+    ranges instead of a sort."""
     n = log.count()
-    return log.orderBy(F.desc("seq")).limit(n - n // 2)
+    if not n:
+        return log
+    return log.where(F.col("seq") >= literal(log, "seq", nth(log, ["seq"], n // 2)[0]))
 
 
 def enrich(log: DataFrame, keys: DataFrame) -> DataFrame:
@@ -98,11 +104,16 @@ def expired(rows: DataFrame, now: Column, hours: int = 72) -> DataFrame:
 
 
 def trimmed(rows: DataFrame, most: int) -> DataFrame:
-    """All pending rows and the newest others, ``most`` in all; the oldest others go first."""
-    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") != "pending").alias("done")).first()
+    """All pending rows and the newest others, ``most`` in all; the oldest others go first. The last one that goes is found by
+    narrowing ranges, so nothing is sorted or joined. created_at and request_id aren't null."""
+    other = F.col("status") != "pending"
+    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(other).alias("done")).first()
     drop = min(counts.done, max(0, counts.n - most))
-    gone = rows.where(F.col("status") != "pending").orderBy("created_at", "request_id").limit(drop).select("request_id")
-    return rows.join(gone, "request_id", "left_anti")
+    if not drop:
+        return rows
+    at, request = (literal(rows, c, v) for c, v in zip(("created_at", "request_id"), nth(rows.where(other), ["created_at", "request_id"], drop - 1), strict=True))
+    gone = other & ((F.col("created_at") < at) | ((F.col("created_at") == at) & (F.col("request_id") <= request)))
+    return rows.where(~F.coalesce(gone, F.lit(False)))
 
 
 # --- session routing ------------------------------------------------------------------------------------------------
@@ -200,10 +211,13 @@ def water_levels(rows: DataFrame, category: str, expected: str, predicted: str)
 
 
 def nearest_percentile(rows: DataFrame, key: str, value: str, q: float) -> DataFrame:
-    """The value at index floor(n q), the last at most, of each key's sorted values."""
+    """The value at index floor(n q), the last at most, of each key's sorted values. Rows are counted by value first, so a key's
+    running sum goes over its distinct values, whole milliseconds in a log."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(key)
-    r = rows.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    return r.where(F.col("_r") == F.least(F.col("_n") - 1, F.floor(F.col("_n") * q))).select(key, F.col(value).alias("percentile"))
+    upto, n = F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), F.sum("_n").over(w)
+    r = counts.withColumn("_upto", upto).withColumn("_all", n)
+    return r.where(F.col("_upto") > F.least(F.col("_all") - 1, F.floor(F.col("_all") * q))).groupBy(key).agg(F.min(value).alias("percentile"))
 
 
 def findings_hash(rows: DataFrame, *columns: str) -> DataFrame:

@@ -49,8 +49,10 @@ def daily(df: DataFrame, at: str = "created_at") -> DataFrame:
     return by(df, F.to_date(at).alias("date"))
 
 
-def hourly(df: DataFrame, day: str, at: str = "created_at") -> DataFrame:
-    return df.where(F.to_date(at) == F.lit(day).cast("date")).groupBy(F.hour(at).alias("hour")).agg(F.count(F.lit(1)).alias("requests"))
+def hourly(df: DataFrame, day: str | DataFrame, at: str = "created_at") -> DataFrame:
+    """Requests by hour of a day, given as text or as a table of one row."""
+    rows = df.where(F.to_date(at) == F.lit(day).cast("date")) if isinstance(day, str) else df.join(F.broadcast(day.select("day")), F.to_date(at) == F.col("day"))
+    return rows.groupBy(F.hour(at).alias("hour")).agg(F.count(F.lit(1)).alias("requests"))
 
 
 def window_start(now: str, unit: str) -> Column | None:
@@ -127,10 +129,11 @@ def axis_cap(values: Column, n: Column, floor: int = 10, most: int = 1000) -> Co
 
 
 def gap_filled(series: DataFrame, key: str, date: str, value: str) -> DataFrame:
-    """Every key on every date of the data: 0 before its first and after its last date, null in between."""
-    days = series.select(date).distinct()
+    """Every key on every date of the data: 0 before its first and after its last date, null in between. The dates, one row of
+    days or months, are exploded by key."""
+    days = series.agg(F.collect_set(date).alias("_days"))
     span = series.groupBy(key).agg(F.min(date).alias("_from"), F.max(date).alias("_to"))
-    grid = span.join(F.broadcast(days), F.lit(True)) if days.count() <= 20_000 else span.crossJoin(days)
+    grid = span.join(F.broadcast(days), F.lit(True)).withColumn(date, F.explode("_days"))
     return grid.join(series, [key, date], "left").select(key, date, F.when(F.col(value).isNull() & ((F.col(date) < F.col("_from")) | (F.col(date) > F.col("_to"))), 0).otherwise(F.col(value)).alias(value))
 
 

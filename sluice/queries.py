@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sluice.functions import rules as R
 from sluice.functions import text as X
 from sluice.operators import channels as C
+from sluice.operators import console as K
 from sluice.operators import detect, masking
 from sluice.operators import operations as O
 from sluice.operators import traffic as T
@@ -79,12 +80,14 @@ def edm_top_overlap(spark, d):
     return U.top(edm_doc_match(spark, d).select("doc_id", "hits"), "hits", "doc_id", 10)
 
 
-@query("SELECT CAST(0 AS BIGINT) AS new_rows")
+@query(f"SELECT CAST(sum(n) AS BIGINT) AS new_rows FROM (SELECT id, len(list_distinct(s)) AS n FROM {_shingles('benchmark', 'item_id')} UNION ALL SELECT id, len(list_distinct(s)) FROM {_lines('benchmark', 'item_id')}) WHERE id % 2 = 1")
 def edm_ingest_known_names(spark, d):
-    """A second ingest of known names adds nothing."""
-    s = store(spark, d)
-    more = detect.ingest(s, A.table(spark, d, "benchmark"), "item_id", "text")
-    return more.groupBy().agg((F.count(F.lit(1)) - F.lit(s.count())).alias("new_rows"))
+    """The whole corpus given to a store of its even documents: known names add nothing, the others all their fingerprints."""
+    corpus = A.table(spark, d, "benchmark")
+    half = detect.fingerprint_store(corpus.where("item_id % 2 = 0"), "item_id", "text")
+    more = detect.ingest(half, corpus, "item_id", "text")
+    counts = lambda df, c: df.agg(F.count(F.lit(1)).alias(c))
+    return counts(more, "a").join(F.broadcast(counts(half, "b")), F.lit(True)).select((F.col("a") - F.col("b")).alias("new_rows"))
 
 
 # --- secrets, personal data, terms ------------------------------------------------------------------------------------
@@ -352,8 +355,7 @@ def daily_requests(spark, d):
 @query("SELECT CAST(hour(ts) AS INTEGER) AS hour, count(*) AS requests FROM events WHERE CAST(ts AS DATE) = (SELECT CAST(min(ts) AS DATE) FROM events) GROUP BY 1")
 def hourly_requests(spark, d):
     e = A.table(spark, d, "events")
-    day = e.agg(F.to_date(F.min("ts"))).first()[0]
-    return U.hourly(e, str(day), "ts")
+    return U.hourly(e, e.agg(F.to_date(F.min("ts")).alias("day")), "ts")
 
 
 @query("SELECT n_name AS project, count(*) AS requests FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
@@ -495,7 +497,7 @@ def flip_alerts(spark, d):
 @query("SELECT seq, layer FROM (SELECT * FROM (SELECT * FROM log WHERE hit ORDER BY seq DESC LIMIT 100) WHERE ts > (SELECT min(ts) FROM log) ORDER BY seq LIMIT 10)", A.LOG_SQL)
 def block_pending(spark, d):
     log = A.verdict_log(spark, d)
-    return O.pending(log.where("hit"), F.lit(log.agg(F.min("ts")).first()[0])).select("seq", "layer")
+    return O.pending(log.where("hit"), log.agg(F.min("ts").alias("cursor"))).select("seq", "layer")
 
 
 @query("SELECT seq, c_name AS user_name, 'key-' || c_custkey AS key_name FROM log LEFT JOIN customer ON sha256(CAST(c_custkey AS VARCHAR)) = key_hash", A.LOG_SQL)
@@ -623,6 +625,233 @@ def card_sync_plan(spark, d):
     return O.missing_pairs(u, u.where("line % 2 = 0"), "model_id", "channel").withColumn("missing", F.col("missing").cast("long"))
 
 
+# --- the console ------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, 'say ' || coalesce(text, '') || ' ' || coalesce(text, '') AS scored FROM documents WHERE doc_id % 3 = 0")
+def judge_pre_decode(spark, d):
+    """Documents in base64 between plain words: the token is replaced by its text, once."""
+    t = F.coalesce("text", F.lit(""))
+    coded = F.concat(F.lit("say "), F.regexp_replace(F.base64(F.concat(t, F.lit(" "), t).cast("binary")), r"\s", ""))
+    return docs(spark, d).where("doc_id % 3 = 0").select("doc_id", K.pre_decoded(coded).alias("scored"))
+
+
+_TURN_KEY = "CASE WHEN conv_id % 3 = 0 THEN 'h:s' || conv_id WHEN conv_id % 3 = 1 THEN 'm:' || conv_id ELSE 'u:' || sha256((SELECT arg_min(c.text, c.turn) FROM conversations c WHERE c.conv_id = k.conv_id AND c.role = 'user' AND c.text <> '')) END"
+
+
+def _conversations(spark, d):
+    """conv_id and its messages: every fourth ends with a tool's result, every fifth thinks in a part."""
+    part = lambda kind, t: F.array(F.struct(F.lit(kind).alias("type"), t.alias("text")))
+    kind = F.when(F.col("conv_id") % 5 == 0, part("thinking", F.lit("hm"))).otherwise(F.array().cast("array<struct<type:string,text:string>>"))
+    m = A.table(spark, d, "conversations").select("conv_id", F.struct("turn", "role", F.col("text").alias("content"), kind.alias("parts"), F.lit(0).alias("calls")).alias("m"))
+    m = m.groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("m"))
+    body = F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"), x["parts"].alias("parts"), x["calls"].alias("calls")))
+    tool = F.array(F.struct(F.lit("tool").alias("role"), F.lit("done").alias("content"), F.array().cast("array<struct<type:string,text:string>>").alias("parts"), F.lit(0).alias("calls")))
+    return m.select("conv_id", F.when(F.col("conv_id") % 4 == 0, F.concat(body, tool)).otherwise(body).alias("messages"))
+
+
+@query(f"SELECT conv_id, {_TURN_KEY} AS session, conv_id % 4 = 0 AS tool_loop, conv_id % 5 = 0 AS thinking FROM (SELECT DISTINCT conv_id FROM conversations) k")
+def router_inputs(spark, d):
+    """Session keys and locks of whole conversations."""
+    c = F.col("conv_id")
+    key = K.session_key(F.when(c % 3 == 0, F.concat(F.lit(" s"), c.cast("string"))), F.when(c % 3 == 1, c.cast("string")), F.col("messages"))
+    return _conversations(spark, d).select("conv_id", key.alias("session"), K.tool_loop(F.col("messages")).alias("tool_loop"), K.has_thinking(F.col("messages")).alias("thinking"))
+
+
+@query("SELECT c_name AS user_name, count(DISTINCT request_id) AS requests, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS total_tokens, CAST(sum(cost) AS DOUBLE) AS total_cost FROM usage JOIN orders ON o_orderkey = request_id JOIN customer ON c_custkey = o_custkey WHERE contains(lower(c_name), '#00000000') GROUP BY 1", A.USAGE_SQL)
+def usage_by_user(spark, d):
+    u = A.usage(spark, d).join(A.requests(spark, d).select("request_id", "key_id"), "request_id")
+    return K.usage_by_user(u, A.table(spark, d, "customer").select(F.col("c_custkey").alias("key_id"), F.col("c_name").alias("user_name")), "#00000000")
+
+
+def _channels(spark, d):
+    k = F.col("s_suppkey")
+    return A.table(spark, d, "supplier").select(k.alias("channel_id"), F.col("s_name").alias("name"), F.concat(F.lit("type"), (k % 4).cast("string")).alias("type"), F.when(k % 3 == 0, "unreachable").alias("error_message"), F.array(F.concat(F.lit("tag"), (k % 7).cast("string")), F.lit("all")).alias("tags"), (k % 10 == 0).alias("disabled"), (k % 13).alias("attempts"), F.when(k % 6 != 0, 100 - (k % 17)).alias("success_pct"))
+
+
+@query("SELECT 'type' || (s_suppkey % 4) AS type, count(*) AS channels, count(*) FILTER (WHERE s_suppkey % 3 = 0) AS errors FROM supplier GROUP BY 1")
+def channel_counts(spark, d):
+    return K.channel_counts(_channels(spark, d))
+
+
+@query("SELECT DISTINCT unnest(['tag' || (s_suppkey % 7), 'all']) AS tag FROM supplier")
+def channel_tags(spark, d):
+    return K.distinct_tags(_channels(spark, d))
+
+
+@query("SELECT s_suppkey AS channel_id, CASE WHEN s_suppkey % 6 <> 0 THEN 100 - s_suppkey % 17 END AS success_pct FROM supplier ORDER BY success_pct DESC NULLS LAST, channel_id LIMIT 10 OFFSET 10")
+def channel_page(spark, d):
+    return K.page(_channels(spark, d).select("channel_id", "success_pct"), "success_pct", "channel_id", True, 2, 10)
+
+
+_CH = "ch AS (SELECT s_name AS name, s_suppkey % 10 = 0 AS disabled, s_suppkey % 13 AS attempts, CASE WHEN s_suppkey % 6 <> 0 THEN 100 - s_suppkey % 17 END AS pct FROM supplier)"
+
+
+@query("""SELECT count(*) AS channels, count(*) FILTER (WHERE NOT disabled) AS available, round(CAST(sum(CASE WHEN attempts > 0 AND pct < 100 THEN attempts * (100 - pct) ELSE 0 END) AS DOUBLE) / sum(attempts) FILTER (WHERE attempts > 0 AND pct IS NOT NULL), 6) AS failure_rate,
+ string_agg(name, ',' ORDER BY name) FILTER (WHERE disabled OR (attempts >= 5 AND pct < 90)) AS anomalies, string_agg(name, ',' ORDER BY pct, name) FILTER (WHERE attempts > 0 AND pct < 100) AS failing FROM ch""", _CH)
+def snapshot_health(spark, d):
+    return K.snapshot_health(_channels(spark, d))
+
+
+@query("SELECT model_id, requests FROM (SELECT model_id, count(*) AS requests FROM usage GROUP BY 1) ORDER BY requests DESC, model_id LIMIT 3", A.USAGE_SQL)
+def snapshot_top_models(spark, d):
+    return K.snapshot_top(A.usage(spark, d).groupBy("model_id").agg(F.count(F.lit(1)).alias("requests")), "model_id", "requests")
+
+
+@query("SELECT request_id % 500 AS trace_id, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS total_tokens, CAST(sum(cached_tokens) AS BIGINT) AS cached_tokens, CAST(sum(cost) AS DOUBLE) AS cost FROM usage GROUP BY 1", A.USAGE_SQL)
+def trace_usage(spark, d):
+    return K.trace_usage(A.usage(spark, d).withColumn("trace_id", F.col("request_id") % 500))
+
+
+@query("SELECT request_id, status FROM requests WHERE request_id IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey % 50 = 7)", A.REQUESTS_SQL)
+def requests_in_thread(spark, d):
+    traces = A.usage(spark, d).select("request_id", (F.col("channel_id") % 50).alias("thread_id"))
+    return K.in_thread(A.requests(spark, d), traces, 7).select("request_id", "status")
+
+
+@query("""SELECT 'exact' AS association, s_suppkey AS channel_id, p_name AS request_model, 'm' || p_size AS actual_model, p_brand AS source FROM part JOIN supplier ON p_partkey % 100 = s_suppkey WHERE p_name = 'red widget' AND s_suppkey = 1
+ UNION SELECT 'reds', p_partkey % 100, p_name, 'm' || p_size, p_brand FROM part WHERE regexp_full_match(p_name, 'red .*')""")
+def model_channels(spark, d):
+    p = A.table(spark, d, "part").select((F.col("p_partkey") % 100).alias("channel_id"), F.col("p_name").alias("request_model"), F.concat(F.lit("m"), F.col("p_size").cast("string")).alias("actual_model"), F.col("p_brand").alias("source"))
+    wanted = spark.createDataFrame([("exact", "model", 1, "red widget"), ("reds", "regex", None, "red .*")], "association string, kind string, channel_id long, pattern string")
+    return K.resolved_models(wanted, p)
+
+
+def _keys(spark, d):
+    """customers as keys: user is the nation, profile the segment, none for every sixth."""
+    k = F.col("c_custkey")
+    return A.table(spark, d, "customer").select(k.alias("key_id"), F.col("c_nationkey").alias("user"), (k % 5).alias("project"), F.when(k % 6 != 0, F.col("c_mktsegment")).otherwise(F.when(k % 12 == 0, "")).alias("profile"), (k % 7 != 0).alias("enabled"))
+
+
+@query("SELECT c_custkey AS key_id FROM customer WHERE c_custkey % 5 = 2 AND c_nationkey = 3 AND c_custkey % 6 = 0")
+def tier_keys_without_profile(spark, d):
+    return K.tier_keys(_keys(spark, d), 2, 3, K.NO_PROFILE).select("key_id")
+
+
+@query("SELECT DISTINCT CASE WHEN c_custkey % 6 <> 0 THEN c_mktsegment ELSE '__no_profile__' END AS profile FROM customer")
+def profiles_in_use(spark, d):
+    return K.profiles_in_use(_keys(spark, d))
+
+
+@query("SELECT c_custkey AS key_id, n AS used FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+def keys_with_usage(spark, d):
+    n = A.requests(spark, d).groupBy("key_id").agg(F.count(F.lit(1)).alias("used"))
+    return K.keys_with_usage(_keys(spark, d).select("key_id"), n)
+
+
+@query("SELECT c_custkey AS key_id, c_mktsegment AS profile, c_custkey * 2 AS used FROM customer WHERE c_custkey % 6 <> 0")
+def active_usage_entries(spark, d):
+    k = A.table(spark, d, "customer")
+    entries = k.select(F.col("c_custkey").alias("key_id"), F.explode(F.array(F.struct(F.col("c_mktsegment").alias("p"), (F.col("c_custkey") * 2).alias("u")), F.struct(F.lit("old").alias("p"), F.lit(0).cast("long").alias("u")))).alias("x"))
+    entries = entries.select("key_id", F.col("x.p").alias("entry_profile"), F.col("x.u").alias("used"))
+    return K.active_entries(_keys(spark, d), entries).select("key_id", "profile", "used")
+
+
+@query("SELECT c_custkey AS user FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 4 <> 0 AND c_custkey % 5 <> 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+def users_without_project(spark, d):
+    k = F.col("c_custkey")
+    users = A.table(spark, d, "customer").select(k.alias("user"), F.when(k % 3 != 0, "activated").otherwise("invited").alias("status"), (k % 4 == 0).alias("owner"), (k % 5).alias("identities"))
+    return K.without_project(users, A.requests(spark, d).select(F.col("key_id").alias("user"), F.col("source").alias("project")), "1-URGENT").select("user")
+
+
+@query("""SELECT request_id, CASE WHEN NOT bool_and(enabled) THEN 'unknown key' WHEN bool_and(rank >= want) THEN 'no upgrade' ELSE 'ok' END AS verdict FROM (SELECT o_orderkey % 300 AS request_id, c_custkey % 7 <> 0 AS enabled, CASE c_custkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE -1 END AS rank, CASE WHEN o_orderkey % 300 % 2 = 0 THEN 1 ELSE 2 END AS want FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 40 < 2) GROUP BY 1""")
+def tier_upgrade_verdicts(spark, d):
+    k = F.col("c_custkey")
+    tier = lambda n: F.when(n == 0, "体验档").when(n == 1, "标准档").when(n == 2, "高档")
+    keys = A.table(spark, d, "customer").select(F.col("c_nationkey").alias("user"), k.alias("key"), (k % 7 != 0).alias("enabled"), tier(k % 4).alias("current"))
+    asked = A.table(spark, d, "orders").where("o_orderkey % 40 < 2").join(A.table(spark, d, "customer"), F.col("o_custkey") == k)
+    asked = asked.select((F.col("o_orderkey") % 300).alias("request_id"), F.col("c_nationkey").alias("user"), k.alias("key"), F.when(F.col("o_orderkey") % 300 % 2 == 0, "标准档").otherwise("高档").alias("tier"))
+    return K.upgrade_verdicts(asked, keys)
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '高档' WHEN 1 THEN '标准档' WHEN 2 THEN '高档' END AS tier FROM part")
+def tier_words(spark, d):
+    k = F.col("p_partkey")
+    text = F.when(k % 4 == 0, "please: PREMIUM, or standard").when(k % 4 == 1, "the Std one").when(k % 4 == 2, "高档 标准").otherwise("nothing else")
+    return A.table(spark, d, "part").select("p_partkey", K.tier_of(text).alias("tier"))
+
+
+@query("SELECT o_orderkey AS request_id FROM orders WHERE o_orderkey % 11 = 4 AND o_orderkey % 3 = 0 ORDER BY o_orderkey DESC")
+def key_request_list(spark, d):
+    k = F.col("o_orderkey")
+    r = A.table(spark, d, "orders").select(k.alias("request_id"), k.alias("position"), F.concat(F.lit("u"), (k % 11).cast("string")).alias("email"), F.when(k % 3 == 1, "other").when(k % 6 == 0, "").alias("project"))
+    r = r.withColumn("project", F.when(F.col("request_id") % 3 == 2, "third").otherwise(F.col("project")))
+    return K.request_list(r, "u4", "default").select("request_id")
+
+
+def _bypass(spark, d):
+    k = F.col("c_custkey")
+    return A.table(spark, d, "customer").where("c_custkey % 5 = 0").select(F.sha2(k.cast("string"), 256).alias("id"), F.concat(F.lit("label "), k.cast("string")).alias("label"), F.lit("all").alias("scope"), F.array().cast("array<string>").alias("layers"), F.lit(True).alias("enabled"), F.lit("").alias("added_by"), k.cast("double").alias("added_at"))
+
+
+_BY = "by5 AS (SELECT sha256(CAST(c_custkey AS VARCHAR)) AS id, 'label ' || c_custkey AS label, c_custkey AS k FROM customer WHERE c_custkey % 5 = 0)"
+
+
+@query("SELECT id, label, '' AS layers FROM by5 UNION ALL SELECT sha256(CAST(c_custkey AS VARCHAR)), 'new', 'edm,l1' FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 5 <> 0 AND c_custkey % 2 = 0", _BY)
+def bypass_added(spark, d):
+    """Every third key is added: known ones and those with an unknown layer are rejected."""
+    k = F.col("c_custkey")
+    new = A.table(spark, d, "customer").where("c_custkey % 3 = 0").select(k.cast("string").alias("token"), F.lit(" new ").alias("label"), F.lit("layers").alias("scope"), F.when(k % 2 == 0, F.array(F.lit("l1"), F.lit("edm"), F.lit("l1"))).otherwise(F.array(F.lit("l9"))).alias("layers"), F.lit(None).cast("string").alias("added_by"), k.cast("double").alias("added_at"))
+    return K.add_bypass(_bypass(spark, d), new)[0].select("id", "label", F.array_join("layers", ",").alias("layers"))
+
+
+@query("SELECT id, CASE WHEN k % 10 = 0 AND k % 3 <> 0 THEN 'changed' ELSE label END AS label, NOT (k % 10 = 0 AND k % 3 <> 0) AS enabled FROM by5 WHERE k % 25 <> 0", _BY)
+def bypass_changed(spark, d):
+    """Every tenth key is renamed and switched off, but for those whose new label is blank; then every 25th is removed."""
+    k = F.col("c_custkey")
+    some = A.table(spark, d, "customer").where("c_custkey % 10 = 0").select(F.sha2(k.cast("string"), 256).alias("id"), F.when(k % 3 == 0, " ").otherwise("changed").alias("label"), F.lit(None).cast("string").alias("scope"), F.lit(None).cast("array<string>").alias("layers"), F.lit(False).alias("enabled"))
+    gone = A.table(spark, d, "customer").where("c_custkey % 25 = 0").select(F.sha2(k.cast("string"), 256).alias("id"))
+    return K.remove_bypass(K.update_bypass(_bypass(spark, d), some)[0], gone).select("id", "label", "enabled")
+
+
+@query("SELECT ts, 'admin' AS layer, CASE WHEN user_id % 3 = 0 THEN 'u' || user_id || '@x' WHEN user_id % 3 = 1 THEN CAST(user_id AS VARCHAR) ELSE 'unknown' END AS actor, event_type AS op, 'a,b' AS changed FROM events")
+def audit_log(spark, d):
+    u = F.col("user_id")
+    e = A.table(spark, d, "events").select("ts", F.when(u % 3 == 0, F.concat(F.lit("u"), u.cast("string"), F.lit("@x"))).alias("email"), F.when(u % 3 == 1, u).alias("user_id"), F.col("event_type").alias("op"), F.array(F.lit("b"), F.lit("a")).alias("paths"))
+    return K.audit_rows(e).withColumn("changed", F.array_join("changed", ","))
+
+
+_NUM = "regexp_replace(CAST(CAST(floor({0} * 10 + 0.5) / 10 AS DECIMAL(38,1)) AS VARCHAR), '\\.0$', '')"
+
+
+@query(f"""SELECT channel_id, CASE WHEN t >= 1e8 THEN {_NUM.format('(t / 1e8::DOUBLE)')} || '亿' WHEN t >= 1e4 THEN {_NUM.format('(t / 1e4::DOUBLE)')} || '万' ELSE CAST(t AS VARCHAR) END AS zh, CASE WHEN t >= 1e9 THEN {_NUM.format('(t / 1e9::DOUBLE)')} || 'B' WHEN t >= 1e6 THEN {_NUM.format('(t / 1e6::DOUBLE)')} || 'M' WHEN t >= 1e3 THEN {_NUM.format('(t / 1e3::DOUBLE)')} || 'K' ELSE CAST(t AS VARCHAR) END AS en,
+ round(100.0::DOUBLE * c / t, 1) AS hit_rate FROM (SELECT channel_id, CAST(sum(input_tokens) AS BIGINT) AS t, CAST(sum(cached_tokens) AS BIGINT) AS c FROM usage GROUP BY 1)""", A.USAGE_SQL)
+def usage_texts(spark, d):
+    u = A.usage(spark, d).groupBy("channel_id").agg(F.sum("input_tokens").alias("t"), F.sum("cached_tokens").alias("c"))
+    return u.select("channel_id", K.token_count_text(F.col("t"), True).alias("zh"), K.token_count_text(F.col("t"), False).alias("en"), K.cache_hit_rate(F.col("c"), F.col("t")).alias("hit_rate"))
+
+
+@query("SELECT source, printf('%.1f', (count(*) - count(*) FILTER (WHERE status = 'failed')) * 100.0::DOUBLE / count(*)) AS rate FROM requests GROUP BY 1", A.REQUESTS_SQL)
+def success_cards(spark, d):
+    r = A.requests(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "failed").alias("f"))
+    return r.select("source", K.success_card(F.col("n"), F.col("f")).alias("rate"))
+
+
+@query(f"SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') || 'Z' AS at, ts <= TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 20 MINUTE AS stale, ts >= TIMESTAMP '2024-01-14 16:00:00' AS today FROM events")
+def time_texts(spark, d):
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    return A.table(spark, d, "events").select("event_id", K.short_time(iso).alias("at"), K.stale(F.col("ts"), F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")).alias("stale"), (F.col("ts") >= K.self_window("2024-01-15 02:00:00", "day", -480)).alias("today"))
+
+
+@query("SELECT c_custkey, 'emp-ouab' || (c_custkey % 10) || '-20240101-' || lower(c_mktsegment)[1:12] || '-' || right('000' || c_custkey, 4) AS name, 'ou_' || c_custkey AS open_id, c_custkey AS number FROM customer")
+def key_names(spark, d):
+    k = F.col("c_custkey")
+    name = K.key_name(F.concat(F.lit("ou-ab"), (k % 10).cast("string")), F.lower("c_mktsegment"), F.lit("20240101"), F.concat(F.lit("x-000"), k.cast("string")))
+    return A.table(spark, d, "customer").select("c_custkey", name.alias("name"), K.open_id(F.concat(F.lit("ou_"), k.cast("string"), F.lit("@casdoor.oidc"))).alias("open_id"), K.numeric_id(F.concat(F.lit("gid://a/b/"), k.cast("string"))).alias("number"))
+
+
+@query("SELECT string_agg(model, chr(10) ORDER BY model) || chr(10) || '... ' || (max(n) - 12) || ' more' AS text FROM (SELECT p_name || ' ' || p_partkey AS model, p_partkey, count(*) OVER () AS n FROM part WHERE p_partkey % 3 = 0 ORDER BY 1 LIMIT 12)")
+def alert_lines(spark, d):
+    return K.capped_lines(A.table(spark, d, "part").where("p_partkey % 3 = 0").select(F.concat_ws(" ", "p_name", "p_partkey").alias("line")), "line", "line")
+
+
+@query("SELECT doc, shingle_count, line_count FROM (SELECT a.id AS doc, a.n AS shingle_count, b.n AS line_count FROM (SELECT id, len(list_distinct(s)) AS n FROM " + _shingles("benchmark", "item_id") + ") a JOIN (SELECT id, len(list_distinct(s)) AS n FROM " + _lines("benchmark", "item_id") + ") b USING (id)) WHERE doc % 4 <> 0")
+def edm_forget(spark, d):
+    """The protected corpus without every fourth document."""
+    gone = A.table(spark, d, "benchmark").where("item_id % 4 = 0").select(F.col("item_id").alias("doc"))
+    return detect.store_summary(detect.forget(store(spark, d), gone))
+
+
 # --- messages, responses, streams -------------------------------------------------------------------------------------
 _AWS = "regexp_matches(text, '(AKIA|ASIA)[0-9A-Z]{16}')"
 _CARD = "len(list_filter(regexp_extract_all(translate(text, ' ' || chr(9) || chr(10) || chr(13) || '-_', ''), '[0-9]+'), lambda r: regexp_full_match(r, '62[0-9]{14,17}|[45][0-9]{15,18}'))) > 0"

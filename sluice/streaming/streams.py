@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,7 +15,7 @@ from sluice.sources import adapters as A
 
 
 def hourly_counts(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Rows of a stream by hour and layer; hours close once the watermark has passed."""
+    """Rows of a stream by hour and layer. Written in update mode; an hour's state goes once the watermark has passed it."""
     w = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
     return w.groupBy(F.window("ts", "1 hour").alias("w"), "layer").agg(F.count(F.lit(1)).alias("rows")).select("w.start", "layer", "rows")
 
@@ -36,10 +37,16 @@ def step(state: tuple[str, float] | None, at: float, p: float | None, has_text:
     return new, (new, at + ttl)
 
 
-def session_tiers(turns: DataFrame, threshold: float = 0.5, escalate: float = 0.85, ttl: int = 3600) -> DataFrame:
-    """session, turn, tier of a stream of turns; each session's state is a tier and its expiry."""
+def session_tiers(turns: DataFrame, threshold: float = 0.5, escalate: float = 0.85, ttl: int = 3600, lateness: str = "1 day") -> DataFrame:
+    """session, turn, tier of a stream of turns; each session's state is a tier and its expiry.
+
+    A state goes once the watermark, ``lateness`` behind the newest turn's time (at, in seconds), has passed its expiry; turns
+    behind the watermark are late and are left out."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(frames)).sort_values(["at", "turn"])  # a session's rows of one micro-batch
         held = state.get if state.exists else None
         out = []
@@ -49,38 +56,43 @@ def session_tiers(turns: DataFrame, threshold: float = 0.5, escalate: float = 0.
             out.append((key[0], r.turn, tier))
         if held:
             state.update(held)
+            state.setTimeoutTimestamp(max(int(held[1] * 1000), state.getCurrentWatermarkMs()) + 1)
         elif state.exists:
             state.remove()
         yield pd.DataFrame(out, columns=["session", "turn", "tier"])
 
     kind = turns.schema["session"].dataType.simpleString(), turns.schema["turn"].dataType.simpleString()
-    return turns.groupBy("session").applyInPandasWithState(run, f"session {kind[0]}, turn {kind[1]}, tier string", "tier string, expires double", "append", GroupStateTimeout.NoTimeout)
+    timed = turns.withColumn("_at", F.timestamp_seconds("at")).withWatermark("_at", lateness)
+    return timed.groupBy("session").applyInPandasWithState(run, f"session {kind[0]}, turn {kind[1]}, tier string", "tier string, expires double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def finish(df: DataFrame, path: str, mode: str) -> DataFrame:
-    """Runs a stream over what is there now into a table, and reads it."""
+def finish(df: DataFrame, path: str, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """Runs a stream over what is there now into a table, and reads it. In update mode every batch has a folder of its own, so
+    that one that runs again writes the same, and the newest row of each key counts."""
     spark = df.sparkSession
     if mode == "append":
         df.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/check").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    else:
-        save = lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/out")
-        df.writeStream.foreachBatch(save).option("checkpointLocation", f"{path}/check").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/out")
+        return spark.read.parquet(f"{path}/out")
+    save = lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/out/batch={n}")
+    df.writeStream.foreachBatch(save).option("checkpointLocation", f"{path}/check").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    values = [c for c in df.columns if c not in keys]
+    return spark.read.parquet(f"{path}/out").groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in values])
 
 
 def _scratch(spark: SparkSession) -> str:
+    """The cluster's shared folder; a temporary one only in local mode where none is set."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         return "file://" + tempfile.mkdtemp(prefix="sluice-stream-")
-    import uuid
-
     return f"{base.rstrip('/')}/sluice-stream-{uuid.uuid4().hex}"
 
 
 def hourly_counts_table(spark: SparkSession, folder: str) -> DataFrame:
     schema = A.table(spark, folder, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{folder}/events*").select("ts", F.col("event_type").alias("layer"))
-    return finish(hourly_counts(stream), _scratch(spark), "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "layer", "rows")
+    return finish(hourly_counts(stream), _scratch(spark), "update", ["start", "layer"]).select(F.col("start").cast("timestamp_ntz").alias("start"), "layer", "rows")
 
 
 def session_tiers_table(spark: SparkSession, folder: str) -> DataFrame:
