@@ -56,18 +56,19 @@ def components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> Data
     """edges: (doc, ref) of distinct ids. Returns (id, component), the smallest id reachable, for every id in an edge.
 
     Each round an id takes the smallest label among its neighbours' and its own, then its label's label; rounds end
-    when none changes. Labels are written to the shared folder each round."""
+    when none changes. Labels are written to the shared folder each round, in place of the round before."""
     both = stage(edges.select(F.col("doc").alias("a"), F.col("ref").alias("b")).unionByName(edges.select(F.col("ref").alias("a"), F.col("doc").alias("b"))).distinct(), f"{name}-edges")
-    labels = stage(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), f"{name}-0")
+    held = stage(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), f"{name}-0")
     for k in range(1, max_rounds + 1):
-        near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        new = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
+        near = both.join(held.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+        new = held.select("id", "component").join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         new = stage(new, f"{name}-{k}a")
         jump = new.select(F.col("id").alias("component"), F.col("component").alias("root"))
-        new = stage(new.join(jump, "component", "left").select("id", "old", F.coalesce("root", "component").alias("component")), f"{name}-{k}b")
-        changed = not new.where(F.col("component") != F.col("old")).isEmpty()
-        labels = new.select("id", "component")
+        then = stage(new.join(jump, "component", "left").select("id", "old", F.coalesce("root", "component").alias("component")), f"{name}-{k}b")
+        changed = not then.where(F.col("component") != F.col("old")).isEmpty()
+        discard(held, new)
+        held = then
         if not changed:
             discard(both)
-            return labels
+            return held.select("id", "component")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
