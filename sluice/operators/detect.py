@@ -218,6 +218,15 @@ def fingerprint_matches(docs: DataFrame, store: DataFrame, id_col: str, text: st
     return rows.select(id_col, "shingle_hits", "line_hits", F.greatest("shingle_hits", "line_hits").alias("hits")).where(F.col("hits") >= min_hits)
 
 
+def published_matches(docs: DataFrame, store: DataFrame, id_col: str, text: str, min_hits: int = 2) -> DataFrame:
+    """fingerprint_matches against a store of SHA-256 fingerprints (kind, fp), as files hold it. Rows' hashes shuffle to it."""
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col), F.col(text).alias("_t"))
+    kind = lambda k, a: F.transform(F.array_distinct(a), lambda x: F.struct(F.lit(k).alias("kind"), X.fingerprint(x).alias("fp")))
+    probe = rows.select("_row", id_col, F.explode(F.concat(kind("s", X.shingles(F.col("_t"))), kind("l", X.long_lines(F.col("_t"))))).alias("x")).select("_row", id_col, "x.kind", "x.fp")
+    hits = probe.join(store.select("kind", "fp").distinct(), ["kind", "fp"], "left_semi").groupBy("_row", id_col).agg(F.count_if(F.col("kind") == "s").alias("shingle_hits"), F.count_if(F.col("kind") == "l").alias("line_hits"))
+    return hits.select(id_col, "shingle_hits", "line_hits", F.greatest("shingle_hits", "line_hits").alias("hits")).where(F.col("hits") >= min_hits)
+
+
 def store_summary(store: DataFrame) -> DataFrame:
     return store.groupBy("doc").agg(F.count_if(F.col("kind") == "s").alias("shingle_count"), F.count_if(F.col("kind") == "l").alias("line_count"))
 

@@ -54,6 +54,28 @@ def recognizers(spark: SparkSession, path: str) -> list[R.Recognizer]:
     return [R.Recognizer(x.name, x.entity, p.regex, x.replacement, p.score or 0.0, tuple(x.context or ())) for x in got for p in x.patterns or []]
 
 
+def fold_table(spark: SparkSession, path: str) -> dict[str, str]:
+    """A table of single characters by what they are read as: a JSON object {"鳳": "凤", ...}, for the ``fold`` of normalization;
+    entries that aren't one character each are left out, a missing or malformed file gives none."""
+    try:
+        rows = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m")).collect()  # a rule file
+    except AnalysisException:
+        return {}
+    return {k: v for r in rows for k, v in (r.m or {}).items() if k and v and len(k) == len(v) == 1}
+
+
+def fingerprints(spark: SparkSession, path: str) -> DataFrame:
+    """(doc, kind, fp) of a published store of SHA-256 fingerprints, {"docs": {name: value}}: a value is a list of shingles'
+    (kind s) or an object of shingles and lines (l). What can't be read gives no rows."""
+    docs = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "struct<docs:map<string,string>>")["docs"]).alias("doc", "v"))
+    plain, parted = F.from_json("v", "array<string>"), F.from_json("v", "struct<shingles:array<string>,lines:array<string>>")
+    none = F.array().cast("array<string>")
+    kind = lambda k, a: F.transform(F.coalesce(a, none), lambda x: F.struct(F.lit(k).alias("kind"), x.alias("fp")))
+    listed = F.startswith(F.ltrim("v"), F.lit("["))
+    rows = F.when(listed, kind("s", plain)).otherwise(F.concat(kind("s", parted["shingles"]), kind("l", parted["lines"])))
+    return docs.select("doc", F.explode(rows).alias("x")).select("doc", "x.kind", "x.fp").where("fp is not null").distinct()
+
+
 def append_log(records: DataFrame, path: str) -> None:
     """Appends verdict records as JSON lines; absent values aren't written."""
     records.write.mode("append").option("ignoreNullFields", True).json(path)

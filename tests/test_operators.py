@@ -70,6 +70,63 @@ def test_fingerprints_count_over_the_whole_store(spark):
     assert {r.doc for r in detect.store_summary(more).collect()} == {"a", "b", "d"}
 
 
+def test_published_store_in_both_layouts(spark, tmp_path):
+    import hashlib
+    import json
+
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    text = "the quick brown fox jumps over the lazy dog again and again"
+    windows = [text[i : i + 50] for i in range(len(text) - 49)]
+    (tmp_path / "fp.json").write_text(json.dumps({"docs": {"a": [sha(w) for w in windows[:4]], "b": {"shingles": [sha(windows[4])], "lines": [sha("one protected line")]}, "c": 3}}))
+    store = files.fingerprints(spark, str(tmp_path / "fp.json"))
+    assert sorted((r.doc, r.kind) for r in store.collect()) == [("a", "s")] * 4 + [("b", "l"), ("b", "s")]
+    docs = texts(spark, f"he said: {text}", "One  protected LINE\nother", "nothing", None, f"he said: {text}")
+    got = sorted((r.doc_id, r.shingle_hits, r.line_hits) for r in detect.published_matches(docs, store, "doc_id", "text", 1).collect())
+    assert got == [(0, 5, 0), (1, 0, 1), (4, 5, 0)]
+    (tmp_path / "fold.json").write_text('{"鳳": "凤", "xy": "z", "а": "a"}')
+    assert files.fold_table(spark, str(tmp_path / "fold.json")) == {"鳳": "凤", "а": "a"} and files.fold_table(spark, str(tmp_path / "no.json")) == {}
+
+
+def test_positions_by_narrowing(spark, monkeypatch):
+    from sluice.operators import ordering
+
+    monkeypatch.setattr(ordering, "SMALL", 5)
+    r = random.Random(6)
+    rows = [(r.choice([1, 2, 2, 2, 3, r.randrange(1000)]), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "a long, b long")
+    for k in (0, 1, 57, 199, 200, 398, 399):
+        assert ordering.nth(df, ["a", "b"], k) == sorted(rows)[k]
+    log = spark.createDataFrame([(i * 3,) for i in range(31)], "seq long")
+    assert sorted(x.seq for x in O.retained(log).collect()) == [i * 3 for i in range(15, 31)] and O.retained(log.limit(0)).count() == 0
+    p = spark.createDataFrame([("k", v) for v in [5, 1, 1, 9, 9, 9, 2]] + [("one", 4), ("one", None)], "k string, v long")
+    assert {x.k: x.percentile for x in O.nearest_percentile(p, "k", "v", 0.5).collect()} == {"k": 5, "one": 4}
+
+
+def test_bypass_lists_and_audits(spark):
+    from sluice.operators import console as K
+
+    kind = "id string, label string, scope string, layers array<string>, enabled boolean, added_by string, added_at double"
+    one = spark.createDataFrame([("x", "old", "all", [], True, "", 1.0)], kind)
+    new = spark.createDataFrame([("t1", " a ", "layers", ["l2", "l1", "l2"], None, 2.0), ("t1", "again", "all", [], None, 3.0), ("", "b", "all", [], None, 2.0), ("t2", "", "all", [], None, 2.0), ("t3", "c", "some", [], None, 2.0), ("t4", "c", "layers", [], None, 2.0), ("t5", "c", "layers", ["zz"], None, 2.0), ("t6", "c" * 65, "all", None, None, 2.0)], "token string, label string, scope string, layers array<string>, added_by string, added_at double")
+    kept, gone = K.add_bypass(one, new)
+    assert sorted((r.label, r.layers, r.enabled) for r in kept.collect()) == [("a", ["l1", "l2"], True), ("old", [], True)]
+    assert {(r.token, r.error) for r in gone.collect()} == {("t1", "known token"), ("", "no token"), ("t2", "no label"), ("t3", "unknown scope"), ("t4", "no layers"), ("t5", "unknown layer"), ("t6", "label too long")}
+    change = spark.createDataFrame([("x", None, "layers", ["edm"], False), ("y", "n", None, None, None)], "id string, label string, scope string, layers array<string>, enabled boolean")
+    kept, bad = K.update_bypass(one, change)
+    assert [(r.label, r.scope, r.layers, r.enabled) for r in kept.collect()] == [("old", "layers", ["edm"], False)] and [(r.id, r.error) for r in bad.collect()] == [("y", "unknown id")]
+    assert K.remove_bypass(one, spark.createDataFrame([("x",), ("z",)], "id string")).count() == 0
+
+
+def test_texts_before_scoring(spark):
+    from sluice.operators import console as K
+
+    once = base64.b64encode(b"a hidden sentence").decode()
+    rows = [f"x {once} y {once}", "​ｆｕｌｌ ﬁ", base64.b64encode(bytes(range(128, 200))).decode(), base64.b64encode(once.encode()).decode(), None]
+    got = column(K.with_scoring_text(texts(spark, *rows), "text", "s"), "s")
+    assert got == ["x a hidden sentence y a hidden sentence", "full fi", rows[2], once, None]
+    assert K.day_range("2024-01-02", "2024-01-03", "99:xx", "7:05:61") == ("2024-01-02 23:00:00.000", "2024-01-03 07:05:59.999")
+
+
 def test_decoding(spark):
     once = base64.b64encode(f"the key is {KEY}".encode()).decode()
     twice = base64.b64encode(once.encode()).decode()
