@@ -140,8 +140,16 @@ class Transducer:
         return self.states[state], total
 
     def count(self, word: bytes) -> int:
-        if len(word) <= CHUNK_BYTES:
-            return self.run(START, word)[1]
+        if len(word) <= CHUNK_BYTES:  # one chunk from the start state: only its count is wanted
+            if len(self.move) > TRANSITIONS:
+                self._reset()
+            state = total = 0
+            move = self.move
+            for b in word:
+                at = move.get(state << 8 | b)
+                state, emitted = at if at is not None else self._step(state, b)
+                total += emitted
+            return total
         maps: list[StateMap] = []
         for i in range(0, len(word), CHUNK_BYTES):
             m = StateMap(lambda s, part=word[i : i + CHUNK_BYTES]: self.run(s, part))
