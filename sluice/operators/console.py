@@ -49,6 +49,47 @@ def with_scoring_text(df: DataFrame, text: str, out: str) -> DataFrame:
     return both.withColumn(out, pre_decoded(F.col(out)))
 
 
+# --- judges' answers ----------------------------------------------------------------------------------------------------
+def _answer(reply: Column) -> Column:
+    """The JSON object of a model's reply, without its code fence, as a variant; null for what is none."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(reply), "^(```json|```)", ""), "```$", "")
+    v = F.try_parse_json(F.trim(bare))
+    return F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), v)
+
+
+def _sure(v: Column) -> Column:
+    """Its confidence, 0 if absent; null, for the whole answer, if it is no number."""
+    raw = F.try_variant_get(v, "$.confidence", "string")
+    return F.when(raw.isNull() | (raw == ""), 0.0).otherwise(raw.try_cast("double"))
+
+
+def _truth(v: Column, path: str) -> Column:
+    """Whether a value is true, a number but 0 or a text that isn't empty."""
+    t = F.try_variant_get(v, path, "string")
+    return F.coalesce(~t.isin("", "false", "0", "0.0", "[]", "{}"), F.lit(False))
+
+
+def judged_text(reply: Column) -> Column:
+    """struct(confidential, entities, confidence) of a judge's reply; null where it has no usable one, which lets a text pass."""
+    v = _answer(reply)
+    entities = F.coalesce(F.try_variant_get(v, "$.entities", "array<string>"), F.array().cast("array<string>"))
+    return X.let(_sure(v), lambda c: F.when(v.isNotNull() & c.isNotNull(), F.struct(_truth(v, "$.confidential").alias("confidential"), entities.alias("entities"), c.alias("confidence"))))
+
+
+def judged_injection(reply: Column) -> Column:
+    """struct(injection, confidence, attack_type), as judged_text."""
+    v = _answer(reply)
+    kind = F.coalesce(F.try_variant_get(v, "$.attack_type", "string"), F.lit(""))
+    return X.let(_sure(v), lambda c: F.when(v.isNotNull() & c.isNotNull(), F.struct(_truth(v, "$.injection").alias("injection"), c.alias("confidence"), kind.alias("attack_type"))))
+
+
+def known_gaps(vectors: DataFrame) -> DataFrame:
+    """Test rows that are documented to slip through the rules, to be tried on a judge instead: they pass, with a note, and aren't
+    negatives."""
+    slips = (F.col("expect") == "pass") & (F.coalesce("note", F.lit("")) != "") & ~F.coalesce(F.col("layer") == "negative", F.lit(False))
+    return vectors.where(slips).select("name", "content", F.lit("confidential").alias("expect"))
+
+
 # --- routing inputs -----------------------------------------------------------------------------------------------------
 def session_key(header: Column, metadata: Column, messages: Column) -> Column:
     """h: and the header's id, else m: and the metadata's, else u: and the SHA-256 of the first user message with text, else null.
@@ -300,6 +341,15 @@ def trace_usage(usage: DataFrame, trace: str = "trace_id") -> DataFrame:
     return usage.groupBy(trace).agg(t("input_tokens"), t("output_tokens"), (F.coalesce(F.sum("input_tokens"), F.lit(0)) + F.coalesce(F.sum("output_tokens"), F.lit(0))).cast("long").alias("total_tokens"), t("cached_tokens"), F.coalesce(F.sum("cost"), F.lit(0)).cast("double").alias("cost"))
 
 
+def request_filter(requests: DataFrame, statuses: list | None = None, sources: list | None = None, model: str = "", traced: DataFrame | None = None) -> DataFrame:
+    """Requests of some statuses and sources, whose model's name holds a text in any case, and that have a trace; what isn't given
+    doesn't filter."""
+    for column, values in (("status", statuses), ("source", sources)):
+        requests = requests.where(F.col(column).isin(list(values))) if values else requests
+    requests = requests.where(F.contains(F.lower("model"), F.lit(model.lower()))) if model else requests
+    return requests.join(traced.select("request_id"), "request_id", "left_semi") if traced is not None else requests
+
+
 def in_thread(requests: DataFrame, traces: DataFrame, thread) -> DataFrame:
     """Requests that have a trace of a thread."""
     return requests.join(traces.where(F.col("thread_id") == thread).select("request_id"), "request_id", "left_semi")

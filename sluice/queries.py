@@ -685,6 +685,37 @@ def judge_pre_decode(spark, d):
     return docs(spark, d).where("doc_id % 3 = 0").select("doc_id", K.pre_decoded(coded).alias("scored"))
 
 
+@query("SELECT p_partkey, p_partkey % 4 <> 3 AS answered, CASE WHEN p_partkey % 4 <> 3 THEN p_partkey % 2 = 0 END AS confidential, CASE WHEN p_partkey % 4 <> 3 THEN p_name END AS entities, CASE WHEN p_partkey % 4 <> 3 THEN CASE WHEN p_partkey % 4 = 2 THEN 0 ELSE p_size / 100.0::DOUBLE END END AS confidence FROM part")
+def judge_answers(spark, d):
+    """Replies of a judge: fenced, plain, without a confidence, and such as are no JSON object."""
+    k = F.col("p_partkey")
+    body = F.to_json(F.struct((k % 2 == 0).alias("confidential"), F.array("p_name").alias("entities"), F.when(k % 4 != 2, F.col("p_size") / 100).alias("confidence")))
+    reply = F.when(k % 4 == 3, "no idea").when(k % 4 == 0, F.concat(F.lit("```json"), body, F.lit("```"))).otherwise(body)
+    j = K.judged_text(reply)
+    return A.table(spark, d, "part").withColumn("j", j).select("p_partkey", F.col("j").isNotNull().alias("answered"), "j.confidential", F.array_join("j.entities", ",").alias("entities"), "j.confidence")
+
+
+@query("SELECT event_id, k % 2 = 1 AS injection, k / 100.0::DOUBLE AS confidence, CASE WHEN k % 3 = 0 THEN '' ELSE event_type END AS attack_type FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)")
+def judge_injections(spark, d):
+    k = F.get_json_object("props", "$.k").cast("int")
+    reply = F.to_json(F.struct((k % 2 == 1).alias("injection"), (k / 100).cast("string").alias("confidence"), F.when(k % 3 != 0, F.col("event_type")).alias("attack_type")))
+    return A.table(spark, d, "events").select("event_id", K.judged_injection(reply).alias("j")).select("event_id", "j.*")
+
+
+@query("SELECT 'v' || doc_id AS name, 'confidential' AS expect, length(text) AS n FROM documents WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0 AND doc_id % 5 <> 0")
+def vector_gaps(spark, d):
+    k = F.col("doc_id")
+    v = docs(spark, d).select(F.concat(F.lit("v"), k.cast("string")).alias("name"), F.col("text").alias("content"), F.when(k % 2 == 0, "pass").otherwise("reject").alias("expect"), F.when(k % 3 != 0, "gap").alias("note"), F.when(k % 5 == 0, "negative").otherwise("evasion").alias("layer"))
+    return K.known_gaps(v).select("name", "expect", F.length("content").cast("long").alias("n"))
+
+
+@query("SELECT request_id FROM requests WHERE status = 'failed' AND source IN ('1-URGENT', '5-LOW') AND request_id % 10 IN (1, 3) AND request_id IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 40)", A.REQUESTS_SQL)
+def request_filter(spark, d):
+    r = A.requests(spark, d).withColumn("model", F.concat(F.lit("GPT-"), (F.col("request_id") % 10).cast("string"), F.when(F.col("request_id") % 10 % 2 == 1, "-Mini").otherwise("")))
+    traced = A.usage(spark, d).where("input_tokens > 4000").select("request_id")
+    return K.request_filter(r.where("request_id % 10 in (1, 3, 4)"), ["failed"], ["1-URGENT", "5-LOW"], "mini", traced).select("request_id")
+
+
 _TURN_KEY = "CASE WHEN conv_id % 3 = 0 THEN 'h:s' || conv_id WHEN conv_id % 3 = 1 THEN 'm:' || conv_id ELSE 'u:' || sha256((SELECT arg_min(c.text, c.turn) FROM conversations c WHERE c.conv_id = k.conv_id AND c.role = 'user' AND c.text <> '')) END"
 
 
