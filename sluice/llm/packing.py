@@ -24,6 +24,7 @@ get the smallest one; an empty table gives no pieces.
 from __future__ import annotations
 
 import os
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -198,32 +199,24 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     placed = tokens.select("_row", "id", "n", "ids").join(places, "_row").select("id", "n", "ids", "parts.from", "parts.len", "parts.pos")
 
     def run(b):
-        import zlib
-
-        out = []
-        lists = [b.column(i) for i in (3, 4, 5)]
-        flat = [x.flatten().to_pylist() for x in lists]
-        ends = lists[0].value_lengths().to_pylist()
-        at = 0
-        for k, n, ids, many in zip(*(b.column(i).to_pylist() for i in range(3)), ends, strict=True):
-            for i in range(at, at + many):
-                begin, left, pos = flat[0][i], flat[1][i], flat[2][i]
-                while left:
-                    seq, off = divmod(pos, window)
-                    take = min(left, window - off)
-                    piece = ids[4 * begin : 4 * (begin + take)]
-                    out.append((k, begin, take, zlib.crc32(piece), n, seq, off, piece if with_ids else None))
-                    begin, left, pos = begin + take, left - take, pos + take
-            at += many
-            if len(out) > 10_000:
-                yield batch(out, b)
-                out = []
-        if out:
-            yield batch(out, b)
-
-    def batch(out, b):
-        cols = list(zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), *(pa.array(c, pa.int64()) for c in cols[1:7]), *([pa.array(cols[7], pa.binary())] if with_ids else [])], names=names)
+        many = b.column(3).value_lengths().to_numpy()
+        begin, left, pos = (b.column(i).flatten().to_numpy() for i in (3, 4, 5))
+        # parts are cut where windows end
+        first = pos // window
+        pieces = (pos + left - 1) // window - first + 1
+        at = np.repeat(np.arange(len(pos)), pieces)
+        seq = first[at] + np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        lo, hi = np.maximum(pos[at], seq * window), np.minimum((pos + left)[at], (seq + 1) * window)
+        start, row = begin[at] + lo - pos[at], np.repeat(np.arange(b.num_rows), many)[at]
+        ids = b.column(2).cast(pa.large_binary())
+        raw = memoryview(ids.buffers()[2])
+        offsets = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids)]
+        here = offsets[row] + 4 * start
+        spans = list(zip(here.tolist(), (here + 4 * (hi - lo)).tolist(), strict=True))
+        crcs = np.fromiter((zlib.crc32(raw[x:y]) for x, y in spans), np.int64, len(spans))
+        took = pa.array(row)
+        cols = [b.column(0).take(took), pa.array(start), pa.array(hi - lo), pa.array(crcs), b.column(1).take(took), pa.array(seq), pa.array(lo - seq * window)]
+        return pa.RecordBatch.from_arrays([*cols, *([pa.array([bytes(raw[x:y]) for x, y in spans], pa.binary())] if with_ids else [])], names=names)
 
     schema = f"{id_col} {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
     names = [x.split()[0] for x in schema.split(", ")]
