@@ -51,6 +51,17 @@ RECOGNIZERS = [
     Recognizer("zh_id_card", "ZH_ID_CARD", r"(?<!\d)(?:\d ?){17}[\dXx](?!\d)", "【PII:身份证号】", 0.7, ("身份证", "证件号", "公民身份")),
     Recognizer("zh_bank_card", "ZH_BANK_CARD", r"(?<!\d)(?:62\d{14,17}|[45]\d{15,18})(?!\d)", "【PII:银行卡号】", 0.6, ("银行卡", "卡号", "账号", "借记卡", "信用卡")),
 ]
+# Labels of an external recognizer, the entities they stand for and what replaces them.
+EXTERNAL_LABELS = {
+    "private_person": ("姓名", "【PII:姓名】"),
+    "private_phone": ("电话", "【PII:电话】"),
+    "private_email": ("邮箱", "【PII:邮箱】"),
+    "private_address": ("地址", "【PII:地址】"),
+    "private_date": ("日期", "【PII:日期】"),
+    "account_number": ("证件/账号", "【PII:证件/账号】"),
+    "private_url": ("链接", "【PII:链接】"),
+    "secret": ("密钥", "【PII:密钥】"),
+}
 # Characters dropped before matching, and characters that are written differently for the same reading.
 SEPARATORS = " \t\r\n-_"
 ZERO_WIDTH = "\u200b\u200c\u200d\ufeff"

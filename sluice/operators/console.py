@@ -237,6 +237,22 @@ def audit_rows(changes: DataFrame) -> DataFrame:
     return changes.select("ts", F.lit("admin").alias("layer"), who.alias("actor"), "op", F.array_sort("paths").alias("changed"))
 
 
+def usage_percent(used: Column, limit: Column) -> Column:
+    """Percent of a limit; null without a positive one."""
+    return F.when(limit > 0, used * 100.0 / limit)
+
+
+def percent_text(pct: Column) -> Column:
+    """Whole percent; <1% for what rounds to nothing but isn't."""
+    return F.when(pct.isNull(), F.lit(None)).when((pct > 0) & (pct < 1), "<1%").otherwise(F.concat(F.floor(pct + 0.5).cast("string"), F.lit("%")))
+
+
+def head_tier(probabilities: Column, hard: list[str], threshold: float = 0.5) -> Column:
+    """struct(p, tier) of a local classifier: the sum of the probabilities of the hard categories. probabilities: map<string, double>."""
+    p = F.aggregate(F.filter(F.map_entries(probabilities), lambda e: e["key"].isin(hard)), F.lit(0.0), lambda a, e: a + F.coalesce(e["value"], F.lit(0.0)))
+    return X.let(p, lambda x: F.struct(x.alias("p"), F.when(x >= threshold, "complex").otherwise("simple").alias("tier")))
+
+
 # --- numbers and short texts --------------------------------------------------------------------------------------------
 def token_count_text(n: Column, chinese: bool) -> Column:
     """A count in 万 and 亿, or K, M and B, to one place."""

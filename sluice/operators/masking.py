@@ -87,6 +87,17 @@ def recognizer_spans(df: DataFrame, text: str, recognizers: list[R.Recognizer] =
     return df.mapInArrow(run, schema)
 
 
+def external_spans(text: Column, answer: Column, labels: dict[str, tuple[str, str]] | None = None) -> Column:
+    """Spans that an external recognizer reported as JSON, {"spans": [{"label", "start", "end"}]}, in code points: those of known
+    labels within the text. What isn't such an answer gives none, so that the text passes."""
+    known = labels or R.EXTERNAL_LABELS
+    names = F.create_map(*[x for k, (entity, replacement) in known.items() for x in (F.lit(k), F.struct(F.lit(replacement).alias("replacement"), F.lit(entity).alias("entity")))])
+    got = F.from_json(answer, "struct<spans:array<struct<label:string,start:int,end:int>>>")["spans"]
+    fits = lambda s: F.coalesce((s["start"] >= 0) & (s["start"] < s["end"]) & (s["end"] <= F.length(text)) & F.map_contains_key(names, F.coalesce(s["label"], F.lit(""))), F.lit(False))
+    made = lambda s: X.let(F.try_element_at(names, s["label"]), lambda n: F.struct(s["start"].alias("start"), s["end"].alias("end"), n["replacement"].alias("replacement"), n["entity"].alias("entity")))
+    return F.coalesce(F.transform(F.filter(got, fits), made), F.array().cast(SPAN)).cast(SPAN)
+
+
 def merge_spans(spans: Column) -> Column:
     """Longest first, the earlier start at ties, those that overlap a kept one dropped; latest start first."""
     order = F.array_sort(spans, lambda a, b: F.when(a["end"] - a["start"] != b["end"] - b["start"], (b["end"] - b["start"]) - (a["end"] - a["start"])).otherwise(a["start"] - b["start"]))

@@ -116,6 +116,37 @@ def tokens_per_second() -> Column:
     return F.when((latency > 0) & (out > 0), out * 1000.0 / effective)
 
 
+def window_of(now: str, name: str) -> tuple[str | None, str | None]:
+    """Bounds, as text, of a named window up to ``now``: day, week, month, allTime, or custom:<from>,<to> with the epoch and now for
+    what is left out. Either end may be None."""
+    if name.startswith("custom:"):
+        start, _, end = name.removeprefix("custom:").partition(",")
+        return start or "1970-01-01 00:00:00", end or now
+    if name == "allTime":
+        return None, None
+    import datetime
+
+    day = datetime.datetime.fromisoformat(now).replace(hour=0, minute=0, second=0, microsecond=0)
+    back = {"day": 0, "week": day.weekday(), "month": day.day - 1}[name]
+    return str(day - datetime.timedelta(days=back)), None
+
+
+def performance(speeds: DataFrame, key: str, at: str = "created_at") -> DataFrame:
+    """date, key, mean throughput (null if no request has one), mean time to the first token, requests."""
+    return speeds.groupBy(F.to_date(at).alias("date"), key).agg(F.round(F.avg("tps"), 4).alias("throughput"), F.round(F.avg("ttft_ms"), 4).alias("ttft_ms"), F.count(F.lit(1)).alias("requests"))
+
+
+def fastest(speeds: DataFrame, key: str, n: int = 5) -> DataFrame:
+    """key, throughput (output tokens a second over all its requests), tokens, mean latency and requests of the n fastest."""
+    per = speeds.where((F.col("latency_ms") > 0) & (F.col("output_tokens") > 0)).groupBy(key).agg(F.round(F.sum("output_tokens") * 1000.0 / F.sum("latency_ms"), 4).alias("throughput"), F.sum("output_tokens").alias("tokens"), F.round(F.avg("latency_ms"), 4).alias("latency_ms"), F.count(F.lit(1)).alias("requests"))
+    return top(per, "throughput", key, n)
+
+
+def channel_rates(executions: DataFrame, channels: DataFrame, key: str = "channel_id") -> DataFrame:
+    """success_rates with the channels' type and whether they are off; channels without executions are left out."""
+    return success_rates(executions, key).join(channels.select(key, "type", "disabled"), key, "left")
+
+
 def weighted_mean(value: str, weight: str) -> Column:
     """Mean by weight; a missing value counts as 0 with its whole weight; 0 where the weights sum to 0."""
     return F.coalesce(F.try_divide(F.sum(F.coalesce(F.col(value), F.lit(0.0)) * F.col(weight)), F.sum(weight)), F.lit(0.0))

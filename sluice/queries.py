@@ -754,6 +754,57 @@ def channel_counts(spark, d):
     return K.channel_counts(_channels(spark, d))
 
 
+@query("SELECT CAST(created_at AS DATE) AS date, channel_id, round(avg(tps), 4) AS throughput, round(avg(ttft_ms), 4) AS ttft_ms, count(*) AS requests FROM (SELECT speed.*, request_id % 8 AS channel_id FROM speed) GROUP BY 1, 2", *_BOTH, _SPEED)
+def channel_performance(spark, d):
+    return U.performance(speed(spark, d).withColumn("channel_id", F.col("request_id") % 8), "channel_id")
+
+
+@query("SELECT model_id, throughput, CAST(tokens AS BIGINT) AS tokens, latency_ms, requests FROM (SELECT request_id % 50 AS model_id, round(sum(output_tokens) * 1000.0::DOUBLE / sum(latency_ms), 4) AS throughput, sum(output_tokens) AS tokens, round(avg(latency_ms), 4) AS latency_ms, count(*) AS requests FROM speed WHERE latency_ms > 0 AND output_tokens > 0 GROUP BY 1) ORDER BY throughput DESC, model_id LIMIT 5", *_BOTH, _SPEED)
+def fastest_models(spark, d):
+    return U.fastest(speed(spark, d).withColumn("model_id", F.col("request_id") % 50), "model_id")
+
+
+@query("""SELECT channel_id, count(*) FILTER (WHERE status = 'completed') AS success, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status IN ('completed', 'failed')) AS finished, round(100.0::DOUBLE * count(*) FILTER (WHERE status = 'completed') / nullif(count(*) FILTER (WHERE status IN ('completed', 'failed')), 0), 4) AS success_rate,
+ 'type' || (channel_id % 4) AS type, channel_id % 10 = 0 AS disabled FROM (SELECT DISTINCT o_orderkey, l_suppkey AS channel_id, status FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN requests ON request_id = o_orderkey WHERE created_at >= TIMESTAMP '1998-08-01') GROUP BY 1""", A.REQUESTS_SQL)
+def channel_rates(spark, d):
+    start, _ = U.window_of(NOW, "month")
+    r = U.filtered(A.requests(spark, d), start)
+    e = A.usage(spark, d).select("request_id", "channel_id").distinct().join(r.select("request_id", "status"), "request_id")
+    return U.channel_rates(e, _channels(spark, d))
+
+
+@query("SELECT CAST(created_at AS DATE) AS date, count(DISTINCT request_id) AS requests, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS tokens, CAST(sum(cost) AS DOUBLE) AS cost FROM usage WHERE created_at >= TIMESTAMP '1998-01-01 00:00:00' AND created_at <= TIMESTAMP '1998-08-02 12:00:00' GROUP BY 1", A.USAGE_SQL)
+def daily_stats(spark, d):
+    u = U.filtered(A.usage(spark, d), *U.window_of(NOW, "custom:1998-01-01 00:00:00,"))
+    return u.groupBy(F.to_date("created_at").alias("date")).agg(F.count_distinct("request_id").alias("requests"), F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"), F.sum("cost").cast("double").alias("cost"))
+
+
+@query("SELECT key_id, CASE WHEN key_id % 4 > 0 THEN round(used_requests * 1000 * 100.0::DOUBLE / ((key_id % 4) * 5000), 6) END AS pct, CASE WHEN key_id % 4 = 0 THEN NULL ELSE CAST(CAST(floor(used_requests * 1000 * 100.0::DOUBLE / ((key_id % 4) * 5000) + 0.5) AS BIGINT) AS VARCHAR) || '%' END AS text FROM per", _QUOTA)
+def usage_percents(spark, d):
+    p = K.usage_percent(F.col("used_tokens"), F.col("quota_tokens"))
+    return quota_usage(spark, d).select("key_id", F.round(p, 6).alias("pct"), K.percent_text(p).alias("text"))
+
+
+@query("SELECT c_custkey, round((c_custkey % 10) / 20.0::DOUBLE + (c_custkey % 7) / 20.0::DOUBLE, 6) AS p, CASE WHEN (c_custkey % 10) / 20.0::DOUBLE + (c_custkey % 7) / 20.0::DOUBLE >= 0.52 THEN 'complex' ELSE 'simple' END AS tier FROM customer")
+def head_tiers(spark, d):
+    k = F.col("c_custkey")
+    m = F.create_map(F.lit("chat"), F.lit(0.3), F.lit("code"), k % 10 / 20, F.lit("math"), k % 7 / 20)
+    return A.table(spark, d, "customer").select("c_custkey", K.head_tier(m, ["code", "math"], 0.52).alias("h")).select("c_custkey", F.round("h.p", 6).alias("p"), "h.tier")
+
+
+@query("SELECT c_custkey, '【PII:姓名】 and ' || CASE WHEN c_custkey % 2 = 0 THEN '【PII:邮箱】' ELSE 'x@y.z' END AS masked_text, CASE WHEN c_custkey % 2 = 0 THEN '姓名,邮箱' ELSE '姓名' END AS entities FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, c_name || ' and x@y.z', '' FROM customer WHERE c_custkey % 3 = 0")
+def mask_external_spans(spark, d):
+    """Spans of an external recognizer: unknown labels, bounds beyond the text and broken answers are left out."""
+    k, n = F.col("c_custkey"), F.length("c_name")
+    text = F.concat("c_name", F.lit(" and x@y.z"))
+    span = lambda label, a, b: F.struct(label.alias("label"), a.alias("start"), b.alias("end"))
+    mail = span(F.when(k % 2 == 0, "private_email").otherwise("unknown"), n + 5, n + 10)
+    answer = F.to_json(F.struct(F.array(span(F.lit("private_person"), F.lit(0), n), mail, span(F.lit("secret"), n + 5, n + 11), span(F.lit("private_url"), F.lit(-1), F.lit(3))).alias("spans")))
+    df = A.table(spark, d, "customer").select("c_custkey", text.alias("text"), F.when(k % 3 == 0, "{broken").otherwise(answer).alias("answer"))
+    df = df.withColumn("spans", masking.merge_spans(masking.external_spans(F.col("text"), F.col("answer"))))
+    return df.select("c_custkey", masking.apply_spans(F.col("text"), F.col("spans")).alias("masked_text"), F.array_join(masking.entities_of(F.col("spans")), ",").alias("entities"))
+
+
 @query("SELECT DISTINCT unnest(['tag' || (s_suppkey % 7), 'all']) AS tag FROM supplier")
 def channel_tags(spark, d):
     return K.distinct_tags(_channels(spark, d))
