@@ -40,7 +40,7 @@ def step(state: tuple[str, float] | None, at: float, p: float | None, has_text:
 def session_tiers(turns: DataFrame, threshold: float = 0.5, escalate: float = 0.85, ttl: int = 3600, lateness: str = "1 day") -> DataFrame:
     """session, turn, tier of a stream of turns; each session's state is a tier and its expiry.
 
-    A state goes once the watermark, ``lateness`` behind the newest turn's time (at, in seconds), has passed its expiry; turns
+    Times are seconds since 1970, and later than that. A state goes once the watermark, ``lateness`` behind the newest turn's time (at, in seconds), has passed its expiry; turns
     behind the watermark are late and are left out."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -99,5 +99,5 @@ def session_tiers_table(spark: SparkSession, folder: str) -> DataFrame:
     schema = A.table(spark, folder, "conversations").schema
     n = F.length("text")
     stream = spark.readStream.schema(schema).parquet(f"{folder}/conversations*")
-    turns = stream.select(F.col("conv_id").alias("session"), "turn", (F.col("turn") * F.when(F.col("conv_id") % 4 == 0, 1900).otherwise(600)).alias("at"), F.when(n % 13 != 0, (n % 101) / 100).alias("p"), (n > 0).alias("has_text"), (n % 17 == 0).alias("thinking"), (n % 19 == 0).alias("tool_loop"))
+    turns = stream.select(F.col("conv_id").alias("session"), "turn", (1_700_000_000 + F.col("turn") * F.when(F.col("conv_id") % 4 == 0, 1900).otherwise(600)).alias("at"), F.when(n % 13 != 0, (n % 101) / 100).alias("p"), (n > 0).alias("has_text"), (n % 17 == 0).alias("thinking"), (n % 19 == 0).alias("tool_loop"))
     return finish(session_tiers(turns), _scratch(spark), "append")
