@@ -114,6 +114,20 @@ def _holds(norm: Column, wide: Column, literals: tuple[str, ...]) -> Column:
     return hit | (wide & rest) if other else hit
 
 
+def block_excerpts(norm: Column, terms: Column, codes: Column, rules: list[R.FormatRule] = R.FORMAT_RULES, most: int = 5) -> Column:
+    """What a block was for: distinct (rule, text), terms first, then of each secret code the first pattern's first match in the
+    normalized text, cut for display; ``most`` at most. terms: array<struct<rule, text>> of hits; codes: their sorted codes."""
+    kind = "array<struct<rule:string,text:string>>"
+
+    def of(rule: R.FormatRule) -> Column:
+        found = [F.when(norm.rlike(p), F.regexp_extract(norm, p, 0)) for p in rule.norm]
+        return F.when(F.array_contains(codes, rule.code), F.struct(F.lit(rule.code).alias("rule"), X.excerpt(F.coalesce(*found)).alias("text")))
+
+    secrets = F.array(*[of(r) for r in sorted(rules, key=lambda r: r.code) if r.action == "reject" and r.norm]).cast(kind)
+    every = F.concat(F.coalesce(terms.cast(kind), F.array().cast(kind)), F.array_compact(secrets))
+    return F.slice(F.array_distinct(F.filter(every, lambda x: F.coalesce(x["text"], F.lit("")) != "")), 1, most)
+
+
 def near_pattern(n: R.Near) -> str:
     gap = f".{{0,{n.width}}}"
     return f"(?:{n.a}){gap}(?:{n.b})|(?:{n.b}){gap}(?:{n.a})"

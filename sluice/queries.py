@@ -149,6 +149,18 @@ def secret_rules_planted(spark, d):
     return df.select("doc_id", F.array_join(detect.secret_codes(F.col("text"), F.col("norm")), ",").alias("codes")).where("codes <> ''")
 
 
+@query("""SELECT doc_id, array_to_string(list_concat(CASE WHEN contains(lower(n), 'thething') THEN ['t.phrase: The Thing'] ELSE [] END, CASE doc_id % 8 WHEN 0 THEN ['secrets.anthropic_sk: skantapi03' || repeat('aB3', 8), 'secrets.openai_sk: skantapi03' || repeat('aB3', 8)] WHEN 1 THEN ['secrets.openai_sk: sk' || repeat('aB3', 8)] WHEN 2 THEN ['secrets.github_token: ghp' || repeat('aB3', 8)] WHEN 3 THEN ['secrets.aws_key: AKIA' || repeat('A1', 8)]
+ WHEN 4 THEN ['secrets.private_key: BEGINRSAPRIVATEKEY'] WHEN 5 THEN ['secrets.aliyun_ak: LTAI' || repeat('aB3', 6)] WHEN 7 THEN ['secrets.github_token: ghp' || repeat('aB3', 8)] ELSE [] END), '; ') AS excerpts FROM (SELECT doc_id, translate(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13) || '-_', '') AS n FROM documents) WHERE excerpts <> ''""")
+def block_excerpts(spark, d):
+    """What planted secrets and a term are shown as; the secret is split from the text before it."""
+    end = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("doc_id") % 8 + 1).cast("int"))
+    df = docs(spark, d).select("doc_id", F.concat_ws(". ", F.coalesce("text", F.lit("")), end).alias("text"))
+    df = X.with_hard_normalized(df, "text", "norm")
+    terms = F.transform(detect.term_hits(F.lower("norm"), F.lit(""), TERMS[:1]), lambda t: F.struct(F.lit("t.phrase").alias("rule"), t.alias("text")))
+    found = detect.block_excerpts(F.col("norm"), terms, detect.secret_codes(None, F.col("norm")))
+    return df.select("doc_id", F.array_join(F.transform(found, lambda x: F.concat(x["rule"], F.lit(": "), x["text"])), "; ").alias("excerpts")).where("excerpts <> ''")
+
+
 _PII = ["13812345678", "11010519491231002X", "6222020200012345678", "138-1234-5678", "1381234567", "110105 19491231 0021", "4123456789012345", "none"]
 _PII_TEXT = "(SELECT doc_id, 'call ' || CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(_PII)) + " END || ' now. ' || coalesce(text, '') AS text FROM documents)"
 
