@@ -7,6 +7,7 @@ application ends.
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,6 +23,9 @@ BROADCAST_ROWS = 50_000
 BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
 
 _LOCAL: list[str] = []
+#: Scratch tables of the pipeline stage that ran last, and whether one is being built.
+_HELD: list[DataFrame] = []
+_BUILDING: list[bool] = []
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -55,9 +59,28 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     out = spark.read.schema(schema).parquet(path)
     out._scratch = path
+    if _BUILDING:
+        _HELD.append(out)
     return out
 
 
+def frees_scratch(step: Callable) -> Callable:
+    """For stages of a pipeline: the scratch tables of the stage before go when the next one begins, for its result has been
+    written by then. Tables made outside of stages aren't touched."""
+
+    @functools.wraps(step)
+    def run(*args):
+        old, _HELD[:] = list(_HELD), []
+        discard(*old)
+        _BUILDING.append(True)
+        try:
+            return step(*args)
+        finally:
+            _BUILDING.pop()
+
+    return run
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes scratch tables that nothing reads any more."""
     for t in tables:
