@@ -33,7 +33,7 @@ from sluice.llm._common import discard, hash_sample, join_bounded, map_arrow, me
 
 TRAIN_ROWS, CALIBRATION, ROUNDS, STEPS, SHAPES, METAS = 5_000, 0.3, 3, 2, 512, 256
 #: Share of the unlabelled documents that a view labels in a round, and what they weigh together against all labelled rows.
-SURE, PSEUDO = 0.1, 0.5
+SURE, PSEUDO = 0.1, 0.1
 MEMO = 400_000
 _RUNS = re.compile(r"(.)\1+")
 
