@@ -38,7 +38,9 @@ def query(sql: str | None = None, *with_tables: str, name: str | None = None):
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return A.table(spark, d, "documents")
+    """The documents; a table in fewer splits than there are cores, as one small file is, is dealt over the cores."""
+    df, cores = A.table(spark, d, "documents"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 # --- protected texts --------------------------------------------------------------------------------------------------
