@@ -5,8 +5,8 @@ of a group are linked with each other. A pair's count is the number of documents
 
 Every document gives the multiplicities of its pairs. They are written as postings by the first side's id, blocks of a few
 thousand documents, and dealt to tasks by that id: a task reads, in sorted order that Spark's sorter may spill, first the
-counts of an id's pairs and then its postings, takes the maximum of the counts, and emits what each posting contributes to
-its document; contributions are summed by document. Ids with many postings are dealt over several groups, each with the
+counts of an id's pairs and then its postings, takes the maximum of the counts, and emits what the postings contribute to
+their documents, at most one entry a posting, in blocks like theirs; tasks that are dealt these blocks sum them by document. Ids with many postings are dealt over several groups, each with the
 id's counts, which are at most one for each id of the other side. Counts are summed by pair before, partially in each task,
 so no pair and no id has to meet whole in one task.
 
@@ -278,7 +278,7 @@ def _side(pieces: str) -> type:
 
 
 def contributions(postings: DataFrame, counts: DataFrame, pieces: str, group_postings: int = GROUP_POSTINGS) -> DataFrame:
-    """row, n_best, count_sum: sums by document, of partial sums of each task. counts: staged."""
+    """row, n_best, count_sum: sums by document, of each task's blocks of partial sums. counts: staged."""
     by_a = stage(counts.groupBy("a").agg(F.collect_list("b").alias("pair_b"), F.collect_list("n").alias("pair_n"), F.ceil(F.sum("n") / group_postings).cast("int").alias("parts")), "pairs-by-id")
     heads = by_a.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "pair_b", "pair_n")
     many = by_a.where("parts > 1").select("a", "parts")
@@ -294,9 +294,13 @@ def contributions(postings: DataFrame, counts: DataFrame, pieces: str, group_pos
 
         def emit():
             row, best, total = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            for lo in range(0, len(row), _EMIT_ROWS):
-                cut = slice(lo, lo + _EMIT_ROWS)
-                yield pa.RecordBatch.from_arrays([pa.array(row[cut]), pa.array(best[cut]), pa.array(total[cut])], names=["row", "n_best", "count_sum"])
+            block = row // SLOTS
+            starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            for lo in range(0, len(starts), 50):
+                s = starts[lo : lo + 50]
+                cut = slice(int(s[0]), int(starts[lo + 50]) if lo + 50 < len(starts) else len(row))
+                columns = [_binary(x[cut], s - s[0]) for x in ((row % SLOTS).astype(np.uint16), best, total)]
+                yield pa.RecordBatch.from_arrays([pa.array(block[s] * SLOTS), *columns], names=["base", "slots", "n_best", "count_sum"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -325,7 +329,31 @@ def contributions(postings: DataFrame, counts: DataFrame, pieces: str, group_pos
         if held:
             yield from emit()
 
-    return both.mapInArrow(run, "row long, n_best long, count_sum long").groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    blocks = both.mapInArrow(run, "base long, slots binary, n_best binary, count_sum binary")
+
+    def add(batches):
+        at, sums = None, np.zeros((2, SLOTS), np.int64)
+
+        def emit():
+            used = np.flatnonzero(sums[1])
+            return pa.RecordBatch.from_arrays([pa.array(at + used), *(pa.array(x[used]) for x in sums)], names=["row", "n_best", "count_sum"])
+
+        for batch in batches:
+            slots, ends = _values(batch.column(1), np.uint16)
+            best, total = (_values(batch.column(k), np.int64)[0] for k in (2, 3))
+            for k, base in enumerate(batch.column(0).to_pylist()):
+                if base != at:
+                    if at is not None:
+                        yield emit()
+                    at = base
+                    sums[:] = 0
+                cut = slice(int(ends[k]), int(ends[k + 1]))
+                sums[0, slots[cut]] += best[cut]  # a row's slots differ
+                sums[1, slots[cut]] += total[cut]
+        if at is not None:
+            yield emit()
+
+    return blocks.repartition("base").sortWithinPartitions("base").mapInArrow(add, "row long, n_best long, count_sum long")
 
 
 def cross_align(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_id", text_col: str = "text", group_postings: int = GROUP_POSTINGS) -> DataFrame:
