@@ -1207,3 +1207,20 @@ def stream_session_tier(spark, d):
     from sluice.streaming import streams
 
     return streams.session_tiers_table(spark, d)
+
+
+@query("SELECT layer, day, CASE WHEN bad THEN 'alert' ELSE 'recover' END AS action FROM (SELECT *, lag(bad, 1, false) OVER (PARTITION BY layer ORDER BY day) AS was FROM (SELECT layer, CAST(ts AS DATE) AS day, count(error) / count(*)::DOUBLE >= 0.15 AS bad FROM log GROUP BY 1, 2)) WHERE bad <> was", A.LOG_SQL)
+def stream_flip_alerts(spark, d):
+    """Alerts of flip_alerts as a stream delivers them."""
+    from sluice.streaming import streams
+
+    return streams.flip_alerts_table(spark, d)
+
+
+@query("""SELECT request_id, CASE WHEN decided AND late <= 72 THEN 'approved' ELSE 'expired' END AS status, epoch_ms(made) + 3600000 * CASE WHEN decided AND late <= 72 THEN late ELSE 72 END AS ms FROM req, (SELECT max(CASE WHEN decided THEN made + to_hours(late) ELSE made END) AS newest FROM req)
+ WHERE decided OR made + INTERVAL 72 HOUR < newest""", "req AS (SELECT o_orderkey AS request_id, o_orderdate AS made, o_orderstatus <> 'P' AS decided, o_orderkey % 96 AS late FROM orders)")
+def stream_request_outcomes(spark, d):
+    """Decided and expired requests; those that still wait at the newest event have no row."""
+    from sluice.streaming import streams
+
+    return streams.request_outcomes_table(spark, d)

@@ -1,17 +1,16 @@
-"""Streaming twins of the log counts and of session routing."""
+"""Streaming twins of batch queries: log counts, session routing, expiry of requests, alerts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sluice.sources import adapters as A
+from sluice.sources import scratch
+from sluice.streaming.alerts import SLICES, Ledger, alert_stream
+from sluice.streaming.stateful import request_outcomes, session_tiers, step
+
+__all__ = ["alert_stream", "hourly_counts", "request_outcomes", "session_tiers", "step"]
 
 
 def hourly_counts(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
@@ -20,52 +19,6 @@ def hourly_counts(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
     return w.groupBy(F.window("ts", "1 hour").alias("w"), "layer").agg(F.count(F.lit(1)).alias("rows")).select("w.start", "layer", "rows")
 
 
-def step(state: tuple[str, float] | None, at: float, p: float | None, has_text: bool, thinking: bool, tool_loop: bool, threshold: float, escalate: float, ttl: int) -> tuple[str | None, tuple[str, float] | None]:
-    """One turn: its tier, and the session's (tier, expiry) after it. Looking at a live state renews it."""
-    tier = state[0] if state and at <= state[1] else None
-    held = (tier, at + ttl) if tier else None
-    usable = has_text and p is not None and 0 <= p <= 1
-    if tool_loop or tier == "complex":
-        return tier, held
-    if not usable:
-        return None, held
-    if tier == "simple":
-        return ("complex", ("complex", at + ttl)) if p >= escalate and not thinking else ("simple", held)
-    if p < threshold and thinking:
-        return None, None
-    new = "complex" if p >= threshold else "simple"
-    return new, (new, at + ttl)
-
-
-def session_tiers(turns: DataFrame, threshold: float = 0.5, escalate: float = 0.85, ttl: int = 3600, lateness: str = "1 day") -> DataFrame:
-    """session, turn, tier of a stream of turns; each session's state is a tier and its expiry.
-
-    Times are seconds since 1970, and later than that. A state goes once the watermark, ``lateness`` behind the newest turn's time (at, in seconds), has passed its expiry; turns
-    behind the watermark are late and are left out."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values(["at", "turn"])  # a session's rows of one micro-batch
-        held = state.get if state.exists else None
-        out = []
-        for r in rows.itertuples():
-            p = None if pd.isna(r.p) else float(r.p)
-            tier, held = step(held, float(r.at), p, bool(r.has_text), bool(r.thinking), bool(r.tool_loop), threshold, escalate, ttl)
-            out.append((key[0], r.turn, tier))
-        if held:
-            state.update(held)
-            state.setTimeoutTimestamp(max(int(held[1] * 1000), state.getCurrentWatermarkMs()) + 1)
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=["session", "turn", "tier"])
-
-    kind = turns.schema["session"].dataType.simpleString(), turns.schema["turn"].dataType.simpleString()
-    timed = turns.withColumn("_at", F.timestamp_seconds("at")).withWatermark("_at", lateness)
-    return timed.groupBy("session").applyInPandasWithState(run, f"session {kind[0]}, turn {kind[1]}, tier string", "tier string, expires double", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def finish(df: DataFrame, path: str, mode: str, keys: list[str] | None = None) -> DataFrame:
     """Runs a stream over what is there now into a table, and reads it. In update mode every batch has a folder of its own, so
     that one that runs again writes the same, and the newest row of each key counts."""
@@ -79,20 +32,10 @@ def finish(df: DataFrame, path: str, mode: str, keys: list[str] | None = None) -
     return spark.read.parquet(f"{path}/out").groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in values])
 
 
-def _scratch(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only in local mode where none is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        return "file://" + tempfile.mkdtemp(prefix="sluice-stream-")
-    return f"{base.rstrip('/')}/sluice-stream-{uuid.uuid4().hex}"
-
-
 def hourly_counts_table(spark: SparkSession, folder: str) -> DataFrame:
     schema = A.table(spark, folder, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{folder}/events*").select("ts", F.col("event_type").alias("layer"))
-    return finish(hourly_counts(stream), _scratch(spark), "update", ["start", "layer"]).select(F.col("start").cast("timestamp_ntz").alias("start"), "layer", "rows")
+    return finish(hourly_counts(stream), scratch.folder(spark, "stream"), "update", ["start", "layer"]).select(F.col("start").cast("timestamp_ntz").alias("start"), "layer", "rows")
 
 
 def session_tiers_table(spark: SparkSession, folder: str) -> DataFrame:
@@ -100,4 +43,26 @@ def session_tiers_table(spark: SparkSession, folder: str) -> DataFrame:
     n = F.length("text")
     stream = spark.readStream.schema(schema).parquet(f"{folder}/conversations*")
     turns = stream.select(F.col("conv_id").alias("session"), "turn", (1_700_000_000 + F.col("turn") * F.when(F.col("conv_id") % 4 == 0, 1900).otherwise(600)).alias("at"), F.when(n % 13 != 0, (n % 101) / 100).alias("p"), (n > 0).alias("has_text"), (n % 17 == 0).alias("thinking"), (n % 19 == 0).alias("tool_loop"))
-    return finish(session_tiers(turns), _scratch(spark), "append")
+    return finish(session_tiers(turns), scratch.folder(spark, "stream"), "append")
+
+
+def request_outcomes_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as requests: those that aren't in progress are decided 0 to 95 hours later."""
+    schema = A.table(spark, folder, "orders").schema
+    made, key = F.col("o_orderdate").cast("timestamp"), F.col("o_orderkey")
+    event = lambda name, at: F.struct(F.lit(name).alias("event"), at.alias("at"))
+    decided = event("approved", F.timestamp_seconds(F.unix_timestamp(made) + key % 96 * 3600))
+    events = F.when(F.col("o_orderstatus") == "P", F.array(event("pending", made))).otherwise(F.array(event("pending", made), decided))
+    stream = spark.readStream.schema(schema).parquet(f"{folder}/orders*").select(key.alias("request_id"), F.explode(events).alias("e")).select("request_id", "e.event", "e.at")
+    return finish(request_outcomes(stream), scratch.folder(spark, "stream"), "append")
+
+
+def flip_alerts_table(spark: SparkSession, folder: str, least: float = 0.15) -> DataFrame:
+    """Layers whose error rate of a day reaches ``least``, and their recoveries, as delivered to a table."""
+    found = A.verdict_log(spark, folder).groupBy("layer", F.to_date("ts").alias("day")).agg((F.count("error") / F.count(F.lit(1)) >= least).alias("bad"))
+    path = scratch.folder(spark, "alerts")
+    found.write.parquet(f"{path}/found")
+    stream = spark.readStream.schema(found.schema).parquet(f"{path}/found")
+    alert_stream(stream, path, lambda rows: None, "layer", "day").trigger(availableNow=True).start().awaitTermination()
+    sent = Ledger(spark, f"{path}/ledger").read("delivered", *range(SLICES))  # all files are there, so one batch takes them
+    return found.limit(0).select("layer", "day", F.lit("").alias("action")) if sent is None else sent.select("layer", "day", "action")

@@ -1,0 +1,125 @@
+"""Streams with state: session tiers with a bound, requests that expire, alerts that go out once."""
+
+import random
+from collections import OrderedDict
+
+import pytest
+from pyspark.sql import functions as F
+
+from sluice.streaming import stateful, streams
+from sluice.streaming.alerts import Ledger, alert_stream
+
+TURNS = "session string, turn long, at long, p double, has_text boolean, thinking boolean, tool_loop boolean"
+
+
+def run_in_batches(spark, tmp_path, batches, schema, make):
+    """Writes one file a batch, each followed by a run of the stream made by ``make``; all rows written."""
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        make(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "check")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+def some_turns(seed, sessions, n):
+    r, at, rows, turn = random.Random(seed), 1_000_000, [], {}
+    for _ in range(n):
+        at += r.choice([1, 5, 60, 900])
+        s = r.choice([None, *[f"s{i}" for i in range(sessions)]])
+        turn[s] = turn.get(s, 0) + 1
+        rows.append((s, turn[s], at, r.choice([None, 0.1, 0.4, 0.5, 0.9, 1.5]), r.random() < 0.9, r.random() < 0.3, r.random() < 0.2))
+    return rows
+
+
+@pytest.mark.parametrize(("capacity", "ttl"), [(3, 3600), (1024, 600)])
+def test_session_tiers_keep_the_sessions_of_latest_use(spark, tmp_path, capacity, ttl):
+    """One shard over three batches equals a loop over one ordered dictionary."""
+    rows = some_turns(1, 7, 240)
+    make = lambda s: stateful.session_tiers(s, ttl=ttl, lateness="0 seconds", shards=1, capacity=capacity)
+    got = {(x.session, x.turn): x.tier for x in run_in_batches(spark, tmp_path, [rows[:80], rows[80:160], rows[160:]], TURNS, make).collect()}
+    kept = OrderedDict()
+    for s, turn, at, p, *flags in rows:
+        tier, new = stateful.step(kept.get(s) if s else None, at, p, *flags, 0.5, 0.85, ttl)
+        assert got[s, turn] == tier, (s, turn)
+        if s:
+            kept.pop(s, None)
+            if new:
+                kept[s] = new
+                if len(kept) > capacity:
+                    kept.popitem(last=False)
+    state = spark.read.format("state-metadata").load(str(tmp_path / "check"))
+    assert state.count() > 0
+
+
+def test_ended_sessions_leave_no_state(spark, tmp_path):
+    """A batch two hours later: timers end the sessions before it."""
+    early = [(f"s{i}", 1, 1_000_000 + i, 0.9, True, False, False) for i in range(20)]
+    late = [("z", 1, 1_020_000, 0.9, True, False, False)]
+    make = lambda s: stateful.session_tiers(s, lateness="0 seconds", shards=2)
+    run_in_batches(spark, tmp_path, [early, late, [("z", 2, 1_020_001, 0.2, True, False, False)]], TURNS, make)
+    held = spark.read.format("statestore").option("stateVarName", "sessions").load(str(tmp_path / "check"))
+    assert [r.user_map_key.session for r in held.collect()] == ["z"]
+
+
+EVENTS = "request_id long, event string, at timestamp"
+
+
+def test_requests_expire_unless_decided_in_time(spark, tmp_path):
+    hour = lambda h: F.timestamp_seconds(F.lit(1_000_000_800 + int(h * 3600)))
+    at = lambda h: spark.range(1).select(hour(h)).first()[0]
+    first = [(1, "pending", at(0)), (2, "pending", at(0)), (3, "pending", at(0)), (4, "pending", at(0)), (5, "pending", at(1)), (5, "approved", at(2)), (6, "approved", at(1)), (7, "pending", at(60))]
+    second = [(2, "approved", at(72)), (3, "executing", at(61)), (4, "rejected", at(72.5)), (8, "pending", at(72.6))]
+    third = [(1, "approved", at(73)), (3, "approved", at(90)), (9, "pending", at(90))]
+    make = lambda s: stateful.request_outcomes(s)
+    got = {r.request_id: r.status for r in run_in_batches(spark, tmp_path, [first, second, third], EVENTS, make).collect()}
+    assert got == {1: "expired", 2: "approved", 3: "approved", 4: "expired", 5: "approved"}
+
+
+FOUND = "key string, day long, bad boolean"
+
+
+def test_alerts_go_out_once_though_a_batch_fails_half_way(spark, tmp_path):
+    src, sent, fail = str(tmp_path / "in"), [], [True]
+    batches = [[(f"k{i}", 1, True) for i in range(12)], [(f"k{i}", 2, i % 2 == 0) for i in range(12)] + [("new", 2, None)], [(f"k{i}", 3, False) for i in range(12)]]
+
+    def deliver(rows):
+        rows = rows.collect()
+        if fail[0] and len(sent) > 3:
+            raise OSError("the receiver is away")
+        sent.extend((r.key, r.day, r.action) for r in rows)
+
+    def run():
+        alert_stream(spark.readStream.schema(FOUND).parquet(src), str(tmp_path), deliver, "key", "day", 4).trigger(availableNow=True).start().awaitTermination()
+
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, FOUND).coalesce(1).write.mode("append").parquet(src)
+        if n == 0:
+            with pytest.raises(Exception, match="receiver is away"):
+                run()
+            assert 3 < len(sent) < 12
+            fail[0] = False
+        run()
+    want = [(f"k{i}", 1, "alert") for i in range(12)] + [(f"k{i}", 2, "recover") for i in range(1, 12, 2)] + [(f"k{i}", 3, "recover") for i in range(0, 12, 2)]
+    assert sorted(sent) == sorted(want)
+
+
+def test_alerts_that_did_not_go_out_are_raised_again(spark, tmp_path):
+    """The state of a key whose alert was refused stays, so that its next finding alerts again."""
+    src, refused, sent = str(tmp_path / "in"), {("a", 1)}, []
+
+    def deliver(rows):
+        ok = [(r.key, r.day) for r in rows.collect() if (r.key, r.day) not in refused]
+        sent.extend(ok)
+        return spark.createDataFrame(ok, "key string, day long")
+
+    for rows in ([("a", 1, True), ("b", 1, True)], [("a", 2, True), ("b", 2, True)], [("a", 3, False), ("b", 3, True)]):
+        spark.createDataFrame(rows, FOUND).coalesce(1).write.mode("append").parquet(src)
+        alert_stream(spark.readStream.schema(FOUND).parquet(src), str(tmp_path), deliver, "key", "day").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(sent) == [("a", 2), ("a", 3), ("b", 1)]
+    state = Ledger(spark, str(tmp_path / "ledger")).read("state", 2).collect()
+    assert {r.key: r.bad for r in state} == {"a": False, "b": True}
+
+
+def test_step_machine_is_shared():
+    assert streams.step is stateful.step
