@@ -747,3 +747,18 @@ def test_nearest_neighbours_beside_copies(spark):
     for q in range(0, 3000, 100):
         d = np.sqrt(((x - x[q]) ** 2).sum(1))
         assert got[q] == [i for i in np.lexsort((np.arange(3000), d)) if i != q][:10], q
+
+
+def test_every_copy_inside_a_document_is_found(spark):
+    """A passage that a document holds three times, words apart, is found at the first, the middle and the last place."""
+    text = lambda k, n: " ".join(f"{k}w{i}" for i in range(n))
+    rows, want = [], {}
+    for g in range(6):
+        p = text(f"p{g}", 60)
+        rows.append((10 * g, f"{text(f'a{g}', 90)} {p} {text(f'b{g}', 50)}"))
+        rows.append((10 * g + 1, " ".join([text(f"c{g}", 100), p, text(f"d{g}", 150), p, text(f"e{g}", 150), p, text(f"f{g}", 30)])))
+        want[10 * g + 1] = [(100, 160), (310, 370), (520, 580)]
+    found = defaultdict(list)
+    for r in substring_dedup.merge_passages(substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))).collect():
+        found[r.doc_id].append((r.start_word, r.end_word))
+    assert {k: sorted(v) for k, v in found.items()} == want
