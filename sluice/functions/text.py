@@ -39,9 +39,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of ``shingles`` of an already normalized text: sums of code points times powers of an
-    odd base, taken as differences of running sums, so the cost doesn't depend on ``size``."""
+def shingle_hashes(text: str | None, size: int = SHINGLE, distinct: bool = True) -> np.ndarray:
+    """64-bit hashes of ``shingles`` of an already normalized text, sorted and distinct unless told otherwise: sums of code
+    points times powers of an odd base, taken as differences of running sums, so the cost doesn't depend on ``size``."""
     c = np.frombuffer((text or "").encode("utf-32-le"), "<u4").astype(np.uint64)
     n = len(c)
     if not n:
@@ -53,7 +53,8 @@ def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
             _POWERS[k] = np.multiply.accumulate(steps)
     w = min(size, n)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(c * np.uint64(_BASE)) * _POWERS[0][:n], dtype=np.uint64)])
-    return np.unique(_mixed(_mixed((sums[w:] - sums[:-w]) * _POWERS[1][: n - w + 1] ^ np.uint64(w))))
+    hashes = _mixed(_mixed((sums[w:] - sums[:-w]) * _POWERS[1][: n - w + 1] ^ np.uint64(w)))
+    return np.unique(hashes) if distinct else hashes
 
 
 def long_lines(text: Column, min_length: int = MIN_LINE) -> Column:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from sluice.functions import rules as R
 from sluice.functions import text as X
+from sluice.operators import bloom
+from sluice.sources.scratch import staged
 
 
 def _codes(pairs: list[tuple[Column, str]]) -> Column:
@@ -195,35 +197,44 @@ def with_fingerprint_hits(df: DataFrame, text: Column, store: DataFrame, store_r
     """Adds shingle_hits and line_hits: a row's distinct shingles and long lines that the store holds (all its documents
     together). A null text has none.
 
-    The store's hashes go to the tasks while they are within the bound, and rows stay where they are; beyond it the rows'
-    hashes shuffle to the store's and their counts back, by the row's number in its partition."""
-    fps = store.select("kind", "fp").distinct()
-    held = fps.limit(store_rows + 1).toPandas()
-    if len(held) <= store_rows:
-        known = {k: np.sort(held.loc[held["kind"] == k, "fp"].to_numpy(np.int64)) for k in "sl"}
-        ctx = df.sparkSession.sparkContext.broadcast(known)
-        src = df.withColumns({"_sluice_norm": X.fp_normalize(text), "_sluice_lines": F.transform(X.long_lines(text), lambda x: F.xxhash64(x))})
-
-        def count(found: np.ndarray, kept: np.ndarray) -> int:
-            if not len(kept) or not len(found):
-                return 0
-            return int((kept[np.minimum(np.searchsorted(kept, found), len(kept) - 1)] == found).sum())
-
-        def run(batches):
-            known = ctx.value
-            for b in batches:
-                s = [count(X.shingle_hashes(t).view(np.int64), known["s"]) for t in b.column(b.num_columns - 2).to_pylist()]
-                lines = [count(np.unique(np.array(x or [], np.int64)), known["l"]) for x in b.column(b.num_columns - 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(s, pa.int64()), pa.array(lines, pa.int64())], names=[*b.schema.names[:-2], "shingle_hits", "line_hits"])
-
-        schema = df.withColumns({"shingle_hits": F.lit(0).cast("long"), "line_hits": F.lit(0).cast("long")}).schema
-        return src.mapInArrow(run, schema)
-    rows = _with_hashes(df, text, "_sluice_x").withColumn("_sluice_row", F.monotonically_increasing_id())
-    one = lambda k: rows.select("_sluice_row", F.explode(f"_sluice_x.{k}").alias("fp")).join(fps.where(F.col("kind") == k).select("fp"), "fp", "left_semi").groupBy("_sluice_row").agg(F.count(F.lit(1)).alias("n"))
-    out = rows.drop("_sluice_x")
-    for k, name in (("s", "shingle_hits"), ("l", "line_hits")):
-        out = out.join(one(k).withColumnRenamed("n", name), "_sluice_row", "left").fillna(0, [name])
-    return out.select(*df.columns, "shingle_hits", "line_hits")
+    Tasks try a row's hashes against a Bloom filter of the store. While the store's hashes are within the bound they are
+    broadcast too and decide there; beyond it, rows are written once with the few hashes that the filter accepts, which alone
+    shuffle to the store, and their counts come back by the row's number."""
+    fps = staged(store.select("kind", "fp").distinct(), "fingerprints")
+    rows = {r.kind: r["count"] for r in fps.groupBy("kind").count().collect()}  # two kinds
+    of = lambda k: fps.where(F.col("kind") == k).select("fp")
+    small = sum(rows.values()) <= store_rows
+    known = {k: np.sort(of(k).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)) for k in "sl"} if small else None
+    filters = {k: bloom.of_array(known[k]) if small else bloom.build(of(k), rows.get(k, 0)) for k in "sl"}
+    ctx = df.sparkSession.sparkContext.broadcast((filters, known))
+    lines = F.transform(X.long_lines(text), lambda x: F.xxhash64(x))
+    src = df.withColumns({"_sluice_norm": X.fp_normalize(text), "_sluice_lines": lines})
+
+    def run(batches):
+        filters, known = ctx.value
+
+        def hits(k: str, hashes: np.ndarray) -> np.ndarray:
+            found = np.unique(bloom.accepted(filters[k], hashes))
+            if known is None or not len(found) or not len(known[k]):
+                return found if known is None else found[:0]
+            return found[known[k][np.minimum(np.searchsorted(known[k], found), len(known[k]) - 1)] == found]
+
+        for b in batches:
+            s = [hits("s", X.shingle_hashes(t, distinct=False)) for t in b.column(b.num_columns - 2).to_pylist()]
+            x = [hits("l", np.array(x or [], np.int64).view(np.uint64)) for x in b.column(b.num_columns - 1).to_pylist()]
+            made = [pa.array([len(y) for y in part], pa.int64()) if small else pa.array([y.view(np.int64) for y in part], pa.list_(pa.int64())) for part in (s, x)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], *made], names=[*b.schema.names[:-2], "shingle_hits", "line_hits"])
+
+    kind = "bigint" if small else "array<bigint>"
+    schema = df.withColumns({c: F.lit(None).cast(kind) for c in ("shingle_hits", "line_hits")}).schema
+    out = src.mapInArrow(run, schema)
+    if small:
+        return out
+    held = staged(out.withColumn("_sluice_row", F.monotonically_increasing_id()), "accepted")
+    tagged = lambda k, c: F.transform(c, lambda v: F.struct(F.lit(k).alias("kind"), v.alias("fp")))
+    asked = held.select("_sluice_row", F.explode(F.concat(tagged("s", "shingle_hits"), tagged("l", "line_hits"))).alias("x")).select("_sluice_row", "x.kind", "x.fp")
+    found = asked.join(fps, ["kind", "fp"], "left_semi").groupBy("_sluice_row").agg(*[F.count_if(F.col("kind") == k).alias(f"_sluice_{k}") for k in "sl"])
+    return held.join(found, "_sluice_row", "left").select(*df.columns, *[F.coalesce(f"_sluice_{k}", F.lit(0)).cast("long").alias(c) for k, c in (("s", "shingle_hits"), ("l", "line_hits"))])
 
 
 def fingerprint_matches(docs: DataFrame, store: DataFrame, id_col: str, text: str, min_hits: int = 2, broadcast_rows: int = 2_000_000) -> DataFrame:
