@@ -3,6 +3,7 @@ applying spans are array expressions."""
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
 from collections.abc import Callable
@@ -72,8 +73,21 @@ def masked(df: DataFrame, text: str, rules: list[R.FormatRule] = R.FORMAT_RULES,
     return no.unionByName(df.where(may).mapInArrow(run, no.schema))
 
 
-def recognizer_spans(df: DataFrame, text: str, recognizers: list[R.Recognizer] = R.RECOGNIZERS, out: str = "spans") -> DataFrame:
-    """Adds all spans of the recognizers, in code points."""
+def longest_apart(spans: list[tuple[int, int]]) -> list[int]:
+    """Numbers of the spans (start, end) that stay, by their start: longest first, the earlier start at ties, those that overlap
+    a kept one dropped. Kept spans are disjoint, so a span is held only against the two beside it."""
+    starts, kept = [], []
+    for k in sorted(range(len(spans)), key=lambda k: (spans[k][0] - spans[k][1], spans[k][0])):
+        start, end = spans[k]
+        at = bisect.bisect_left(starts, start)
+        if (at == 0 or spans[kept[at - 1]][1] <= start) and (at == len(kept) or end <= starts[at]):
+            starts.insert(at, start)
+            kept.insert(at, k)
+    return kept
+
+
+def recognizer_spans(df: DataFrame, text: str, recognizers: list[R.Recognizer] = R.RECOGNIZERS, out: str = "spans", merged: bool = False) -> DataFrame:
+    """Adds all spans of the recognizers, in code points; merged: those that merge_spans keeps, latest start first."""
     place = df.columns.index(text)
 
     def run(batches):
@@ -81,6 +95,8 @@ def recognizer_spans(df: DataFrame, text: str, recognizers: list[R.Recognizer] =
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("replacement", pa.string()), ("entity", pa.string())]))
         for b in batches:
             spans = [[{"start": m.start(), "end": m.end(), "replacement": r.replacement, "entity": r.entity} for r, p in known for m in p.finditer(t or "")] for t in b.column(place).to_pylist()]
+            if merged:
+                spans = [[x[k] for k in reversed(longest_apart([(s["start"], s["end"]) for s in x]))] for x in spans]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, kind)], names=[*b.schema.names, out])
 
     schema = df.withColumn(out, F.lit(None).cast(SPAN)).schema
@@ -119,11 +135,8 @@ def entities_of(spans: Column) -> Column:
 def recognized_text(text: str, known: list[tuple[R.Recognizer, re.Pattern]]) -> tuple[str, list[str]]:
     """Masks what recognizers find; where spans overlap the longest stays, the earlier at ties."""
     found = [(m.start(), m.end(), r) for r, p in known for m in p.finditer(text)]
-    kept: list[tuple[int, int, R.Recognizer]] = []
-    for s in sorted(found, key=lambda x: (x[0] - x[1], x[0])):
-        if all(s[1] <= k[0] or k[1] <= s[0] for k in kept):
-            kept.append(s)
-    for start, end, r in sorted(kept, key=lambda x: -x[0]):
+    kept = [found[k] for k in longest_apart([(start, end) for start, end, _ in found])]
+    for start, end, r in reversed(kept):
         text = text[:start] + r.replacement + text[end:]
     return text, [r.entity for *_, r in kept]
 

@@ -233,8 +233,7 @@ def mask_bank_card(spark, d):
 
 @query()
 def mask_merge_longest(spark, d):
-    df = masking.recognizer_spans(docs(spark, d).select("doc_id", "text"), "text").where("size(spans) > 0")
-    kept = df.withColumn("spans", masking.merge_spans(F.col("spans")))
+    kept = masking.recognizer_spans(docs(spark, d).select("doc_id", "text"), "text", merged=True).where("size(spans) > 0")
     return kept.select("doc_id", masking.apply_spans(F.col("text"), F.col("spans")).alias("masked_text"), F.array_join(masking.entities_of(F.col("spans")), ",").alias("entities"))
 
 
@@ -1229,6 +1228,22 @@ def stream_request_outcomes(spark, d):
     return streams.request_outcomes_table(spark, d)
 
 
+@query("""SELECT session, min("at") + 1700000000 AS first_at, max("at") + 1700000000 AS last_at, count(*) AS turns FROM isl GROUP BY session, island HAVING max("at") + 3600 < (SELECT max("at") FROM turns)""", A.TURNS_SQL, "isl AS (SELECT *, sum(CASE WHEN \"at\" - prev > 3600 THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY \"at\", turn) AS island FROM (SELECT *, lag(\"at\") OVER (PARTITION BY session ORDER BY \"at\", turn) AS prev FROM turns))")
+def stream_session_islands(spark, d):
+    """Runs of turns that are over by the newest turn, as growing windows of a stream."""
+    from sluice.streaming import streams
+
+    return streams.session_islands_table(spark, d)
+
+
+@query("SELECT date_trunc('hour', o_orderdate) AS hour, o_orderpriority AS source, count(*) AS rows, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens FROM usage JOIN orders ON o_orderkey = request_id WHERE created_at >= o_orderdate AND created_at <= o_orderdate + INTERVAL 125 DAY GROUP BY 1, 2", A.USAGE_SQL)
+def stream_request_usage(spark, d):
+    """Usage by hour and source of its requests, both sides streams that are joined within a bound of time."""
+    from sluice.streaming import streams
+
+    return streams.request_usage_table(spark, d)
+
+
 # --- large lists, filters, roll-ups and the log store -------------------------------------------------------------------
 @query("SELECT id AS doc_id, shingle_hits, line_hits, greatest(shingle_hits, line_hits) AS hits FROM hit WHERE greatest(shingle_hits, line_hits) >= 2", _PROBE)
 def edm_large_store(spark, d):

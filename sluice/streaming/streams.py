@@ -9,8 +9,9 @@ from sluice.sources import adapters as A
 from sluice.sources import scratch
 from sluice.streaming.alerts import SLICES, Ledger, alert_stream
 from sluice.streaming.stateful import request_outcomes, session_tiers, step
+from sluice.streaming.windows import requests_with_usage, session_islands
 
-__all__ = ["alert_stream", "hourly_counts", "request_outcomes", "session_tiers", "step"]
+__all__ = ["alert_stream", "hourly_counts", "request_outcomes", "requests_with_usage", "session_islands", "session_tiers", "step"]
 
 
 def hourly_counts(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
@@ -38,12 +39,31 @@ def hourly_counts_table(spark: SparkSession, folder: str) -> DataFrame:
     return finish(hourly_counts(stream), scratch.folder(spark, "stream"), "update", ["start", "layer"]).select(F.col("start").cast("timestamp_ntz").alias("start"), "layer", "rows")
 
 
-def session_tiers_table(spark: SparkSession, folder: str) -> DataFrame:
+def _turns(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations as a stream of turns, in seconds since 1970."""
     schema = A.table(spark, folder, "conversations").schema
     n = F.length("text")
     stream = spark.readStream.schema(schema).parquet(f"{folder}/conversations*")
     turns = stream.select(F.col("conv_id").alias("session"), "turn", (1_700_000_000 + F.col("turn") * F.when(F.col("conv_id") % 4 == 0, 1900).otherwise(600)).alias("at"), F.when(n % 13 != 0, (n % 101) / 100).alias("p"), (n > 0).alias("has_text"), (n % 17 == 0).alias("thinking"), (n % 19 == 0).alias("tool_loop"))
-    return finish(session_tiers(turns), scratch.folder(spark, "stream"), "append")
+    return turns
+
+
+def session_tiers_table(spark: SparkSession, folder: str) -> DataFrame:
+    return finish(session_tiers(_turns(spark, folder)), scratch.folder(spark, "stream"), "append")
+
+
+def session_islands_table(spark: SparkSession, folder: str) -> DataFrame:
+    return finish(session_islands(_turns(spark, folder)), scratch.folder(spark, "stream"), "append")
+
+
+def request_usage_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders and their lines as two streams; what was joined, summed by hour and source."""
+    read = lambda name: spark.readStream.schema(A.table(spark, folder, name).schema).parquet(f"{folder}/{name}*")
+    made = read("orders").select(F.col("o_orderkey").alias("request_id"), F.col("o_orderdate").alias("created_at"), F.col("o_orderpriority").alias("source"))
+    q = F.col("l_quantity").cast("long")
+    used = read("lineitem").select(F.col("l_orderkey").alias("request_id"), F.col("l_shipdate").alias("created_at"), (q * 100).alias("input_tokens"), (q * 10 + F.col("l_linenumber")).alias("output_tokens"))
+    rows = finish(requests_with_usage(made, used), scratch.folder(spark, "stream"), "append")
+    return rows.groupBy(F.col("hour").cast("timestamp_ntz").alias("hour"), "source").agg(F.count(F.lit(1)).alias("rows"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
 
 
 def request_outcomes_table(spark: SparkSession, folder: str) -> DataFrame:
