@@ -3,8 +3,8 @@
 Every document of a source asks for the same real number of copies, target / source size. Its whole part is
 taken; the fractions are rounded by the pivotal method: two documents pass mass (words) to each other, at odds
 that keep each one's expectation, until one fraction is 0 or 1. Buckets of a source do this on their own, largest
-documents first, and hand their one open fraction, now a small document's, up a tree of coarser buckets, so a source's
-total differs from its target by less than one small document. Buckets and draws come from hashes of the row's contents,
+documents first, and hand their one open fraction up a tree of coarser buckets, so a source's total differs from its target
+by less than the one document that stays open to the end, which may be a large one. Buckets and draws come from hashes of the row's contents,
 not from the cluster's layout.
 
 Defined results: a null or wordless text has size 0 and takes 0; a null source sorts last and is a source of
