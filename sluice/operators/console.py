@@ -352,9 +352,9 @@ def distinct_tags(channels: DataFrame) -> DataFrame:
 
 
 def trace_usage(usage: DataFrame, trace: str = "trace_id") -> DataFrame:
-    """Tokens by kind and cost of every trace."""
+    """Tokens by kind, with cached ones that were read and written, and cost of every trace."""
     t = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
-    return usage.groupBy(trace).agg(t("input_tokens"), t("output_tokens"), (F.coalesce(F.sum("input_tokens"), F.lit(0)) + F.coalesce(F.sum("output_tokens"), F.lit(0))).cast("long").alias("total_tokens"), t("cached_tokens"), F.coalesce(F.sum("cost"), F.lit(0)).cast("double").alias("cost"))
+    return usage.groupBy(trace).agg(t("input_tokens"), t("output_tokens"), (F.coalesce(F.sum("input_tokens"), F.lit(0)) + F.coalesce(F.sum("output_tokens"), F.lit(0))).cast("long").alias("total_tokens"), t("cached_tokens"), t("written_tokens"), F.coalesce(F.sum("cost"), F.lit(0)).cast("double").alias("cost"))
 
 
 def request_filter(requests: DataFrame, statuses: list | None = None, sources: list | None = None, model: str = "", traced: DataFrame | None = None) -> DataFrame:

@@ -844,9 +844,9 @@ def snapshot_top_models(spark, d):
     return K.snapshot_top(A.usage(spark, d).groupBy("model_id").agg(F.count(F.lit(1)).alias("requests")), "model_id", "requests")
 
 
-@query("SELECT request_id % 500 AS trace_id, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS total_tokens, CAST(sum(cached_tokens) AS BIGINT) AS cached_tokens, CAST(sum(cost) AS DOUBLE) AS cost FROM usage GROUP BY 1", A.USAGE_SQL)
+@query("SELECT request_id % 500 AS trace_id, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS total_tokens, CAST(sum(cached_tokens) AS BIGINT) AS cached_tokens, CAST(sum(cached_tokens // 4) AS BIGINT) AS written_tokens, CAST(sum(cost) AS DOUBLE) AS cost FROM usage GROUP BY 1", A.USAGE_SQL)
 def trace_usage(spark, d):
-    return K.trace_usage(A.usage(spark, d).withColumn("trace_id", F.col("request_id") % 500))
+    return K.trace_usage(A.usage(spark, d).withColumns({"trace_id": F.col("request_id") % 500, "written_tokens": F.expr("cached_tokens div 4")}))
 
 
 @query("SELECT request_id, status FROM requests WHERE request_id IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey % 50 = 7)", A.REQUESTS_SQL)
