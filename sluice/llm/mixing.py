@@ -1,11 +1,13 @@
 """Operator 10: mixing sources to target weights by pivotal dependent rounding.
 
 Every document of a source asks for the same real number of copies, target / source size. Its whole part is
-taken; the fractions are rounded by the pivotal method: two documents pass mass (words) to each other, at odds
-that keep each one's expectation, until one fraction is 0 or 1. Buckets of a source do this on their own, largest
-documents first, and hand their one open fraction up a tree of coarser buckets, so a source's total differs from its target
-by less than the one document that stays open to the end, which may be a large one. Buckets and draws come from hashes of the row's contents,
-not from the cluster's layout.
+taken; the fractions are rounded by the pivotal method: a document and a pool of the next smaller ones pass mass (words)
+to each other, at odds that keep each one's expectation, until the document's fraction or one of the pool's is 0 or 1.
+A pool, instead of one partner, has room for a large document's whole rest, so that large documents settle first and
+the small ones take up what they leave. Buckets of a source do this on their own, largest documents first, and hand
+their one open fraction up a tree of coarser buckets. A source has as many buckets as its own documents need; its total
+differs from its target by less than the document that stays open to the end, one of its smallest where the small ones
+together outweigh the large. Buckets and draws come from hashes of the row's contents, not from the cluster's layout.
 
 Defined results: a null or wordless text has size 0 and takes 0; a null source sorts last and is a source of
 its own; a source without words has target 0; null ids are documents; rows of equal id, source and size are told apart by
@@ -14,6 +16,7 @@ their place in the table, so that only which of them is taken depends on it; rep
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +26,10 @@ from sluice.llm._common import join_bounded, prefix_sum, stage
 WEIGHTS, SHARE, MAX_COPIES = (3, 1, 2), 1.5, 2
 #: Documents of a bucket, and buckets that meet in one of the next level.
 BUCKET_DOCS, FAN_IN = 2048, 64
+#: Smaller documents that pass mass to one document together.
+POOL = 64
+#: Fractions this near to 0 or 1 count as whole.
+WHOLE = 1e-9
 #: Sources of a range partition in the running sums.
 SOURCES_PER_PARTITION = 20_000
 
@@ -51,86 +58,89 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return x.join(F.broadcast(final), F.lit(True)).select("source", "source_size", F.least(F.col("source_size") * cap, F.col("w") * F.col("final")).alias("target"))
 
 
-def _round_bucket(rows: list[tuple], last: bool) -> tuple[list[tuple], tuple | None]:
-    """rows: (key, size, fraction, draw). Returns settled (key, extra copies) and the open row, if any.
-
-    The open row a meets the next row b: words move until a or b is at 0 or 1. a's fraction rises with
-    probability (what b's move allows the other way) / (both), so both expectations stay."""
-    done, a = [], None
-    for b in rows:
-        if b[1] <= 0 or b[2] <= 1e-12:
-            done.append((b[0], 0))
-            continue
-        if b[2] >= 1 - 1e-12:
-            done.append((b[0], 1))
-            continue
-        if a is None:
-            a = b
-            continue
-        up = min((1 - a[2]) * a[1], b[2] * b[1])  # words from b to a
-        down = min(a[2] * a[1], (1 - b[2]) * b[1])  # words from a to b
-        move = up if b[3] < down / (up + down) else -down
-        fa, fb = a[2] + move / a[1], b[2] - move / b[1]
-        draw = (a[3] * 7919.0 + b[3] * 104729.0) % 1.0
-        ends = [(x, f) for x, f in ((a, fa), (b, fb)) if f <= 1e-9 or f >= 1 - 1e-9]
-        done += [(x[0], int(f > 0.5)) for x, f in ends]
-        open_ = [(x, f) for x, f in ((a, fa), (b, fb)) if not (f <= 1e-9 or f >= 1 - 1e-9)]
-        a = (open_[0][0][0], open_[0][0][1], open_[0][1], draw) if open_ else None
-    if a is not None and last:
-        done.append((a[0], int(a[3] < a[2])))
-        a = None
-    return done, a
+def _round_bucket(rows: list[tuple], last: bool, pool: int = POOL) -> tuple[list[tuple], tuple | None]:
+    """rows: (key, size, fraction, draw), largest first. Returns settled (key, extra copies) and the open row, if any.
+
+    The first open row a meets the next ``pool`` ones: words move between a and them, each of fraction g taking a part
+    in proportion to size * g * (1 - g), until a or one of them is at 0 or 1. a's fraction rises with probability (what
+    the move down allows) / (both), so all expectations and the sum of words stay."""
+    size, f = np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], float)
+    f[size <= 0] = 0.0
+    rng = np.random.default_rng([int(r[3] * (1 << 52)) for r in (rows[0], rows[-1])] + [len(rows)])
+    live = np.flatnonzero((f > WHOLE) & (f < 1 - WHOLE))
+    while live.size > 1:
+        head = live[: pool + 1]
+        a, rest = head[0], head[1:]
+        g = f[rest]
+        share = g * (1 - g)
+        room = float(size[rest] @ share)
+        up = min((1 - f[a]) * size[a], room / (1 - g.min()))
+        down = min(f[a] * size[a], room / g.max())
+        move = up if rng.random() < down / (up + down) else -down
+        f[a] += move / size[a]
+        f[rest] = g - move / room * share
+        open_ = (f[head] > WHOLE) & (f[head] < 1 - WHOLE)
+        live = np.concatenate([head[open_], live[pool + 1 :]])
+    left = None
+    if live.size:
+        k = int(live[0])
+        if last:
+            f[k] = float(rng.random() < f[k])
+        else:
+            left = (rows[k][0], rows[k][1], float(f[k]), rows[k][3])
+    return [(r[0], int(x > 0.5)) for i, (r, x) in enumerate(zip(rows, f, strict=True)) if left is None or i != k], left
 
 
 def pivotal_round(rows: DataFrame, fan_in: int = FAN_IN, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
-    """rows: key binary, grp string, size long, fraction double, draw double, mix long. Returns key, extra.
+    """rows, a staged table: key binary, grp string, size long, fraction double, draw double, mix long. Returns key, extra.
 
-    A reduction tree by ``grp``: level 0 has 2**bits buckets of about bucket_docs rows; each level joins fan_in of them."""
-    n = rows.count()
-    bits = max(0, (max(1, n) // bucket_docs)).bit_length()
+    A reduction tree for each ``grp``: level 0 has 2**bits buckets of about bucket_docs rows; each level joins fan_in of them."""
+    per = rows.groupBy("grp").agg(F.expr(f"count(*) div {bucket_docs}").alias("_q"))
+    per = stage(per.select("grp", F.when(F.col("_q") > 0, F.length(F.bin("_q"))).otherwise(0).alias("bits")), "buckets")
+    deepest = per.agg(F.max("bits")).first()[0] or 0
     step = fan_in.bit_length() - 1
-    outs, open_rows = [], rows
-    while True:
-        last = bits == 0
-
-        def run(batches, last=last):
-            held, tag = [], None
-
-            def flush():
-                done, left = _round_bucket(held, last)
-                out = [(k, e, None, None, None, None, None) for k, e in done]
-                if left is not None:
-                    out.append((left[0], None, tag[0], left[1], left[2], left[3], mixes[left[0]]))
-                return out
-
-            def emit(x):
-                cols = list(zip(*x, strict=True)) or [[]] * 7
-                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int32(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.int64()), strict=True)], names=["key", "extra", "grp", "size", "fraction", "draw", "mix"])
-
-            mixes, out = {}, []
-            for b in batches:
-                for key, grp, size, f, draw, mix, bucket in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    if tag is not None and tag != (grp, bucket):
-                        out += flush()
-                        held, mixes = [], {}
-                        if len(out) > 5000:
-                            yield emit(out)
-                            out = []
-                    tag = (grp, bucket)
-                    held.append((key, size, f, draw))
-                    mixes[key] = mix
-            if held:
-                out += flush()
-            if out:
-                yield emit(out)
-
-        src = open_rows.withColumn("bucket", F.shiftrightunsigned("mix", 63 - bits) if bits else F.lit(0).cast("long")).select("key", "grp", "size", "fraction", "draw", "mix", "bucket")
-        res = stage(src.repartition("grp", "bucket").sortWithinPartitions("grp", "bucket", F.desc("size"), "mix", "key").mapInArrow(run, "key binary, extra int, grp string, size long, fraction double, draw double, mix long"), "pivot")
+    names = ["key", "grp", "size", "fraction", "draw", "mix", "bits"]
+    types = (pa.binary(), pa.int32(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int32())
+
+    def run(batches):
+        """Rows of a bucket follow each other, also over batches; settled rows have an extra, open ones the other columns."""
+        held, mixes, tag, out = [], {}, None, []
+
+        def flush():
+            done, left = _round_bucket(held, tag[2] == 0)
+            out.extend((k, e, None, None, None, None, None, None) for k, e in done)
+            if left is not None:
+                out.append((left[0], None, tag[0], *left[1:], mixes[left[0]], tag[2]))
+
+        def emit():
+            cols = list(zip(*out, strict=True)) or [[]] * len(types)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["key", "extra", *names[1:]])
+
+        for b in batches:
+            for key, grp, size, f, draw, mix, bits, bucket in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if tag is not None and tag != (grp, bucket, bits):
+                    flush()
+                    held, mixes = [], {}
+                    if len(out) > 5000:
+                        yield emit()
+                        out.clear()
+                tag = (grp, bucket, bits)
+                held.append((key, size, f, draw))
+                mixes[key] = mix
+        if held:
+            flush()
+        if out:
+            yield emit()
+
+    outs, open_rows = [], join_bounded(rows, per, ["grp"], "inner")
+    for depth in range(0, deepest + step, step):
+        src = open_rows.withColumn("bucket", F.expr("shiftrightunsigned(mix, 63 - bits)")).select(*names, "bucket")
+        ordered = src.repartition("grp", "bucket").sortWithinPartitions("grp", "bucket", F.desc("size"), "mix", "key")
+        res = stage(ordered.mapInArrow(run, "key binary, extra int, grp string, size long, fraction double, draw double, mix long, bits int"), "pivot")
         outs.append(res.where("extra is not null").select("key", "extra"))
-        if last:
+        open_rows = res.where("extra is null").select(*names[:-1], F.greatest(F.col("bits") - step, F.lit(0)).alias("bits"))
+        if depth >= deepest:
             break
-        open_rows = res.where("extra is null").drop("extra")
-        bits = max(0, bits - step)
     out = outs[0]
     for x in outs[1:]:
         out = out.unionByName(x)

@@ -576,7 +576,7 @@ def test_mixing(docs, monkeypatch):
         assert g.taken == n * g.copies and 0 <= g.taken <= 2 * n
         taken[s.source] += g.taken
     largest = max(len(words(s.text)) for s in src.values())
-    assert all(abs(taken[s] - want[s]) <= largest for s in want)
+    assert all(abs(taken[s] - want[s]) <= largest for s in want)  # five documents a source
     again = {r.doc_id: r.taken for r in mixing.mix_sources(docs.repartition(3)).collect()}
     assert again == {k: g.taken for k, g in got.items()}
     mixed = mixing.mixed_corpus(docs)
@@ -617,6 +617,39 @@ def test_mixing_tree_of_many_buckets(spark):
     assert all(abs(r[1] - r[2]) <= 60 for r in total)
 
 
+def test_mixing_misses_by_less_than_a_median_document(spark):
+    src = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source")
+    got = mixing.mix_sources(src).join(src.select("doc_id", "source"), "doc_id")
+    per = got.groupBy("source").agg(F.median("size"), F.abs(F.sum("taken") - F.first("target"))).collect()
+    assert len(per) == 20 and all(miss < middle for _, middle, miss in per)
+
+
+def test_large_documents_of_small_sources_settle_first(spark):
+    """Sources of 40 documents, of which one holds a third of the words, beside a source that needs many buckets."""
+    rows = spark.range(6000).selectExpr("id", "if(id < 4000, 'hot', concat('s', id % 50)) grp", "cast(case when id >= 4000 and id < 4050 then 4000 else 150 + id * 37 % 100 end as long) size", "if(id < 4000, 0.25D, 0.6D) fraction", "pmod(xxhash64(id, 1), 1000003) / 1000003D draw", "shiftrightunsigned(xxhash64(id), 1) mix")
+    rows = rows.selectExpr("unhex(md5(cast(id as string))) key", "grp", "size", "fraction", "draw", "mix")
+    got = mixing.pivotal_round(rows, fan_in=4, bucket_docs=100)
+    sums = rows.join(got, "key").selectExpr("grp", "size * extra t", "size * fraction f").groupBy("grp").sum("t", "f").collect()
+    assert got.count() == 6000 and len(sums) == 51
+    assert max(abs(r[1] - r[2]) for r in sums) < 250
+
+
+def test_pools_keep_expectations():
+    """Each row is taken as often as its fraction says, over many draws; the sum of a bucket stays but for its open row."""
+    r = random.Random(5)
+    base = [(900, 0.7), (400, 0.2), (380, 0.9), (120, 0.5), (90, 0.35), (60, 0.5), (20, 0.15)]
+    hits, n = [0] * len(base), 4000
+    for _ in range(n):
+        rows = [(i, size, f, r.random()) for i, (size, f) in enumerate(base)]
+        done, left = mixing._round_bucket(rows, False, pool=3)
+        assert len(done) + (left is not None) == len(base)
+        whole = sum(base[k][0] * e for k, e in done) + (left[1] * left[2] if left else 0)
+        assert whole == pytest.approx(sum(size * f for size, f in base))
+        for k, e in mixing._round_bucket(rows, True, pool=3)[0]:
+            hits[k] += e
+    assert all(abs(h / n - f) < 0.035 for h, (_, f) in zip(hits, base, strict=True)), [h / n for h in hits]
+
+
 def test_empty_tables(docs):
     none = docs.limit(0)
     assert quality_rules.host_quality(none).count() == 0
