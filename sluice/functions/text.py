@@ -183,3 +183,19 @@ def model_pattern(name: Column, pattern: str, is_filter: bool = False) -> Column
 def excerpt(text: Column, width: int = 200) -> Column:
     t = F.trim(text)
     return F.when(F.length(t) > width, F.concat(F.substring(t, 1, width), F.lit("…"))).otherwise(t)
+
+
+# --- times at a fixed offset ------------------------------------------------------------------------------------------
+def zoned_text(at: Column, offset: str = "+08:00", pattern: str = "yyyy-MM-dd HH:mm:ss 'UTC+8'") -> Column:
+    """A time as text at an offset from UTC, whatever the session's zone; times without a zone are taken as the session's."""
+    return F.date_format(F.convert_timezone(None, F.lit(offset), at), pattern)
+
+
+def day_key(at: Column, offset: str = "+08:00") -> Column:
+    return zoned_text(at, offset, "yyyyMMdd")
+
+
+def iso_zoned(text: Column, offset: str = "+08:00") -> Column:
+    """An ISO time as zoned_text; a null as an empty text, other texts as they are."""
+    at = F.when(text.rlike(r"^\d{4}-\d\d-\d\d"), F.try_to_timestamp(text).cast("timestamp"))
+    return F.coalesce(zoned_text(at, offset), text, F.lit(""))

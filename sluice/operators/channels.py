@@ -77,6 +77,46 @@ def used_percent(provider: Column, quota: Column, used_at: dict = USED_AT) -> Co
     return out
 
 
+# The words of a quota's detail line.
+DETAIL = {"used": "用量", "reset": "重置", "window": "主窗口用量", "plan": "套餐", "next": "下次重置", "apart": "；"}
+
+
+def _minutes(t: Column) -> Column:
+    """An ISO time up to its minutes; shorter texts as they are."""
+    return F.when(F.length(t) >= 16, F.concat(F.replace(F.substring(t, 1, 16), F.lit("T"), F.lit(" ")), F.lit("Z"))).otherwise(t)
+
+
+def _stated(v: Column, path: str) -> Column:
+    """A value as text; null where it is absent, null, empty, zero or false."""
+    text = field(v, path, "string")
+    return F.when(~text.isin("", "false") & ~F.coalesce(field(v, path, "double") == 0, F.lit(False)), text)
+
+
+def _whole_percent(share: Column) -> Column:
+    """Halves go to the even percent."""
+    return F.concat(F.bround(share * 100, 0).cast("long").cast("string"), F.lit("%"))
+
+
+def quota_detail(status: Column, words: dict[str, str] = DETAIL) -> Column:
+    """A line that tells what a provider's quota status (JSON) says: its rows, else its limits, main window and plan, else when
+    it is reset next; empty if it says nothing. Malformed entries are left out and fail nothing."""
+    v = F.try_parse_json(status)
+    data = field(v, "quotaData")
+    objects = lambda path: F.filter(items(field(data, path)), lambda e: F.schema_of_variant(e).startswith("OBJECT"))
+    reset = lambda e, path: F.coalesce(F.concat(F.lit(f"，{words['reset']} "), _minutes(_stated(e, path))), F.lit(""))
+    show = lambda e, path: F.coalesce(field(e, path, "string"), F.lit("-"))
+    number = lambda e, path: F.when(~kind(field(e, path)).isin("text", "tree"), field(e, path, "double"))
+    full = lambda e: F.coalesce(_whole_percent(F.try_divide(number(e, "used"), number(e, "limit"))), F.lit("-"))
+    rows = F.transform(objects("rows"), lambda e: F.concat(show(e, "label"), F.lit(" "), show(e, "used"), F.lit("/"), show(e, "limit"), F.lit("（"), full(e), F.lit("）"), reset(e, "resetAt")))
+    limits = F.transform(objects("_limits"), lambda e: F.concat(show(e, "type"), F.lit(f" {words['used']} "), _whole_percent(field(e, "usageRatio", "double")), reset(e, "nextResetAt")))
+    window = F.concat(F.lit(f"{words['window']} "), field(data, "rate_limit.primary_window.used_percent", "string"), F.lit("%"))
+    plan = F.concat(F.lit(f"{words['plan']} "), _stated(data, "plan_type"))
+    other = F.array_compact(F.concat(limits, F.array(window, plan)))
+    after = F.array_compact(F.array(F.concat(F.lit(f"{words['next']} "), _minutes(_stated(v, "nextResetAt")))))
+    parts = F.when(F.size(items(field(data, "rows"))) > 0, rows).when(F.size(other) > 0, other).otherwise(after)
+    return F.coalesce(F.array_join(parts, words["apart"]), F.lit(""))
+
+
 # --- series and previews ----------------------------------------------------------------------------------------------
 def probe_series(rows: DataFrame, channel: str, at: str, ok: Column, tps: str, ttft: str, every: str = "1 day") -> DataFrame:
     """(channel, points): per channel and span of time all and successful requests and mean speeds, in order of time."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions import rules as R
 from sluice.functions import text as X
+from sluice.operators import cards
 from sluice.operators import channels as C
 from sluice.operators import console as K
 from sluice.operators import detect, masking, rollups, term_index
@@ -1335,3 +1336,52 @@ def injection_all_groups(spark, d):
     text = F.concat(said, F.lit(". "), F.coalesce("text", F.lit("")))
     g = detect.injection_groups(X.rule_normalize(text))
     return docs(spark, d).select("doc_id", F.array_join(g, ",").alias("hit")).where("hit <> ''")
+
+
+# --- cards, quota lines, times at an offset ----------------------------------------------------------------------------
+_CARDS = """offer AS (SELECT CAST(model_id AS VARCHAR) AS model, channel_id AS cid, channel_id % 3 <> 0 AS "on" FROM usage WHERE channel_id % 17 <> 0 GROUP BY model_id, channel_id),
+want AS (SELECT model, coalesce(list(cid ORDER BY cid) FILTER (WHERE "on"), []) AS offered, coalesce(list('c' || cid ORDER BY 'c' || cid) FILTER (WHERE NOT "on"), []) AS off FROM offer GROUP BY 1),
+card AS (SELECT CAST(model_id AS VARCHAR) AS model, model_id AS m, 'card' || model_id AS card_id, CASE WHEN model_id % 8 = 1 THEN 'archived' WHEN model_id % 4 < 2 THEN 'disabled' ELSE 'enabled' END AS status, list(DISTINCT channel_id) FILTER (WHERE line % 2 = 0 OR model_id % 3 = 0) AS had FROM usage WHERE model_id % 5 <> 0 GROUP BY model_id),
+j AS (SELECT coalesce(want.model, card.model) AS model, want.model IS NOT NULL AS wanted, card_id, m, status, coalesce(had, []) AS h, coalesce(offered, []) AS o, off, list_filter(coalesce(offered, []), lambda x: NOT list_contains(coalesce(had, []), x)) AS miss FROM want FULL JOIN card USING (model)),
+k AS (SELECT *, coalesce(m % 7 = 0 AND len(h) > 0, false) AS retype, m % 11 = 0 AS forgn, m % 13 = 0 AND len(h) > 0 AS deep FROM j),
+r AS (SELECT *, CASE WHEN card_id IS NULL THEN 'create' WHEN wanted AND (status = 'archived' OR (len(miss) > 0 OR retype) AND (forgn OR deep)) THEN 'skip' WHEN wanted AND (len(miss) > 0 OR retype) THEN 'attach' WHEN status = 'disabled' AND len(list_filter(h, lambda x: x % 3 <> 0 AND x % 17 <> 0)) > 0 THEN 'enable' END AS kind FROM k)"""
+
+
+@query("""SELECT kind, model, card_id, kind = 'enable' OR kind = 'create' AND len(o) > 0 OR kind = 'attach' AND len(miss) > 0 AND status <> 'enabled' AS enable, CASE WHEN kind = 'skip' THEN CASE WHEN status = 'archived' THEN 'archived' WHEN forgn THEN 'foreign' ELSE 'deep' END WHEN kind = 'attach' AND retype THEN 'type' END AS reason,
+ CASE WHEN kind IN ('create', 'attach') THEN array_to_string(miss, ',') END AS added, CASE WHEN kind = 'create' AND len(o) = 0 THEN array_to_string(off, ',') WHEN kind IN ('create', 'attach') THEN array_to_string(list_transform(miss, lambda x: 'c' || x), ',') END AS names, CASE WHEN kind IN ('create', 'attach') THEN len(h) + len(miss) END AS links FROM r WHERE kind IS NOT NULL""", A.USAGE_SQL, _CARDS)
+def card_actions(spark, d):
+    """Cards of models against the channels that served them: of every fifth model none, others with some of the links, among
+    them old types, links of another kind, deep conditions, disabled and archived cards; channels without a number."""
+    u = A.usage(spark, d).select(F.col("model_id").alias("m"), F.col("channel_id").alias("c"), "line")
+    gid = F.when(F.col("c") % 17 != 0, F.concat(F.lit("gid://hub/Channel/"), "c")).otherwise(F.concat(F.lit("channel-"), "c"))
+    pairs = u.select("m", "c").distinct().select(F.col("m").cast("string").alias("model"), gid.alias("channel_gid"), F.concat(F.lit("c"), "c").alias("channel_name"), F.when(F.col("c") % 3 != 0, "enabled").otherwise("disabled").alias("status"))
+    kept = F.collect_set(F.when((F.col("line") % 2 == 0) | (F.col("m") % 3 == 0), F.col("c")))
+    link = F.concat(F.lit('{"type":"'), F.when(F.col("m") % 7 == 0, "channelModel").otherwise(cards.LINK_TYPE), F.lit('","channelModel":{"channelId":'), F.lit("{c}"), F.lit(',"modelId":"'), F.col("m"), F.lit('"}'), F.when(F.col("m") % 13 == 0, ',"when":{"condition":{"conditions":[{"conditions":[{"conditions":[{"conditions":[{"field":"x"}]}]}]}]}}').otherwise(',"priority":2,"when":{"condition":{"conditions":[{"field":"x"}]}}'), F.lit("}"))
+    listed = F.concat(F.transform("had", lambda c: F.replace(link, F.lit("{c}"), c.cast("string"))), F.when(F.col("m") % 11 == 0, F.array(F.lit('{"type":"regex","pattern":"a.*"}'))).otherwise(F.array().cast("array<string>")))
+    have = u.where("m % 5 <> 0").groupBy("m").agg(kept.alias("had"))
+    status = F.when(F.col("m") % 8 == 1, "archived").when(F.col("m") % 4 < 2, "disabled").otherwise("enabled")
+    have = have.select(F.concat(F.lit("card"), "m").alias("card_id"), F.col("m").cast("string").alias("model"), status.alias("status"), F.parse_json(F.concat(F.lit('{"associations":['), F.array_join(listed, ","), F.lit("]}"))).alias("settings"))
+    got = cards.card_actions(pairs, have, pairs.select("channel_gid", "status").distinct())
+    return got.select("kind", "model", "card_id", "enable", "reason", F.array_join("added", ",").alias("added"), F.array_join("names", ",").alias("names"), F.when(F.col("links").isNotNull(), F.size("links").cast("long")).alias("links"))
+
+
+@query("""SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'week ' || (o_custkey % 101) || '/100（' || (o_custkey % 101) || '%），重置 ' || strftime(o_orderdate, '%Y-%m-%d') || ' 13:18Z；day -/0（-）' WHEN 1 THEN '5h 用量 ' || (o_custkey % 101) || '%；主窗口用量 ' || (o_custkey % 7) || '%；套餐 pro'
+ WHEN 2 THEN '下次重置 ' || strftime(o_orderdate, '%Y-%m-%d') || ' 00:00Z' ELSE '' END AS detail FROM orders""")
+def quota_details(spark, d):
+    """Lines of quota states in five shapes, one of them no JSON, from orders."""
+    n, day = (F.col("o_custkey") % 101).cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    bodies = [
+        F.concat(F.lit('{"quotaData":{"rows":[{"label":"week","used":'), n, F.lit(',"limit":100,"resetAt":"'), day, F.lit('T13:18:57.085Z"},7,{"label":"day","limit":0}]}}')),
+        F.concat(F.lit('{"quotaData":{"_limits":[{"type":"5h","usageRatio":'), (F.col("o_custkey") % 101 / 100.0).cast("string"), F.lit('},{"type":"7d"}],"plan_type":"pro","rate_limit":{"primary_window":{"used_percent":'), (F.col("o_custkey") % 7).cast("string"), F.lit("}}}}")),
+        F.concat(F.lit('{"quotaData":{"rows":[],"plan_type":""},"nextResetAt":"'), day, F.lit('T00:00:00Z"}')),
+        F.lit('{"quotaData":[1]}'), F.lit("no json"),
+    ]
+    body = F.element_at(F.array(*bodies), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    return A.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), C.quota_detail(body).alias("detail"))
+
+
+@query("""SELECT event_id AS id, strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S UTC+8') AS shown, strftime(ts + INTERVAL 8 HOUR, '%Y%m%d') AS day, CASE WHEN event_id % 3 = 0 THEN 'soon' ELSE strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S UTC+8') END AS iso FROM events""")
+def zoned_times(spark, d):
+    """Times of events at +08:00, also from ISO texts; other texts stay."""
+    iso = F.when(F.col("event_id") % 3 == 0, "soon").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return A.table(spark, d, "events").select(F.col("event_id").alias("id"), X.zoned_text(F.col("ts")).alias("shown"), X.day_key(F.col("ts")).alias("day"), X.iso_zoned(iso).alias("iso"))
