@@ -23,20 +23,23 @@ def channel_number(gid: Column) -> Column:
 
 def too_deep(condition: Column, level: int = 1) -> Column:
     """Whether a condition (a variant) has conditions on its last level that is read, so that deeper ones may be missing."""
-    below = F.filter(items(field(condition, "conditions")), lambda c: F.schema_of_variant(c).startswith("OBJECT"))
-    return F.size(below) > 0 if level == CONDITION_LEVELS else F.exists(below, lambda c: too_deep(c, level + 1))
+    below = items(field(condition, "conditions"))
+    return F.exists(below, lambda c: F.schema_of_variant(c).startswith("OBJECT") if level == CONDITION_LEVELS else too_deep(c, level + 1))
+
+
+def _linked_channel(a: Column) -> Column:
+    """The channel of a link of a channel's model; null of links of another kind or shape."""
+    kind = F.lower(F.replace(F.coalesce(field(a, "type", "string"), F.lit("")), F.lit("_"), F.lit("")))
+    return F.when((kind == "channelmodel") & field(a, "channelModel.modelId", "string").isNotNull(), field(a, "channelModel.channelId", "long"))
 
 
 def _links(associations: Column) -> Column:
     """Links of a card as structs; ``channel_id`` is null for those of another kind or shape. ``deep``: see too_deep."""
 
     def one(a: Column) -> Column:
-        kind = F.lower(F.replace(F.coalesce(field(a, "type", "string"), F.lit("")), F.lit("_"), F.lit("")))
-        cid, mid = field(a, "channelModel.channelId", "long"), field(a, "channelModel.modelId", "string")
-        ours = (kind == "channelmodel") & cid.isNotNull() & mid.isNotNull()
         return F.struct(
             field(a, "type", "string").alias("type"), F.coalesce(field(a, "priority", "long"), F.lit(0)).cast("long").alias("priority"), F.coalesce(field(a, "disabled", "boolean"), F.lit(False)).alias("disabled"),
-            F.when(ours, cid).alias("channel_id"), F.when(ours, mid).alias("model_id"), F.to_json(field(a, "when")).alias("when"), F.coalesce(too_deep(field(a, "when.condition")), F.lit(False)).alias("deep"),
+            _linked_channel(a).alias("channel_id"), field(a, "channelModel.modelId", "string").alias("model_id"), F.to_json(field(a, "when")).alias("when"), F.coalesce(too_deep(field(a, "when.condition")), F.lit(False)).alias("deep"),
         )
 
     return F.transform(items(associations), one)
@@ -63,7 +66,8 @@ def card_actions(offers: DataFrame, cards: DataFrame, channels: DataFrame) -> Da
     disabled card that needs no links and has one to an enabled channel; without channels none is enabled."""
     live = channels.where(F.col("status") == "enabled").select(channel_number(F.col("channel_gid")).alias("channel_id")).where("channel_id is not null").distinct()
     have = cards.select("card_id", "model", "status", _links(field(F.col("settings"), "associations")).alias("have"))
-    reached = have.select("card_id", F.explode("have.channel_id").alias("channel_id")).join(live, "channel_id", "left_semi").select("card_id").distinct()
+    idle = cards.where("status = 'disabled'").select("card_id", F.transform(items(field(F.col("settings"), "associations")), _linked_channel).alias("to"))
+    reached = idle.select("card_id", F.explode("to").alias("channel_id")).join(live, "channel_id", "left_semi").select("card_id").distinct()
     have = have.join(reached.withColumn("reached", F.lit(True)), "card_id", "left")
     rows = wanted_links(offers).withColumn("is_wanted", F.lit(True)).join(have, "model", "full")
 

@@ -97,10 +97,7 @@ def _whole_percent(share: Column) -> Column:
     return F.concat(F.bround(share * 100, 0).cast("long").cast("string"), F.lit("%"))
 
 
-def quota_detail(status: Column, words: dict[str, str] = DETAIL) -> Column:
-    """A line that tells what a provider's quota status (JSON) says: its rows, else its limits, main window and plan, else when
-    it is reset next; empty if it says nothing. Malformed entries are left out and fail nothing."""
-    v = F.try_parse_json(status)
+def _detail_line(v: Column, words: dict[str, str]) -> Column:
     data = field(v, "quotaData")
     objects = lambda path: F.filter(items(field(data, path)), lambda e: F.schema_of_variant(e).startswith("OBJECT"))
     reset = lambda e, path: F.coalesce(F.concat(F.lit(f"，{words['reset']} "), _minutes(_stated(e, path))), F.lit(""))
@@ -117,6 +114,12 @@ def quota_detail(status: Column, words: dict[str, str] = DETAIL) -> Column:
     return F.coalesce(F.array_join(parts, words["apart"]), F.lit(""))
 
 
+def quota_detail(status: Column, words: dict[str, str] = DETAIL) -> Column:
+    """A line that tells what a provider's quota status (JSON) says: its rows, else its limits, main window and plan, else when
+    it is reset next; empty if it says nothing. Malformed entries are left out and fail nothing."""
+    return F.transform(F.array(F.try_parse_json(status)), lambda v: _detail_line(v, words))[0]  # parsed once
+
+
 # --- series and previews ----------------------------------------------------------------------------------------------
 def probe_series(rows: DataFrame, channel: str, at: str, ok: Column, tps: str, ttft: str, every: str = "1 day") -> DataFrame:
     """(channel, points): per channel and span of time all and successful requests and mean speeds, in order of time."""
