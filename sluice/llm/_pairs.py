@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,23 +22,56 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(text: bytes | None) -> np.ndarray:
-    """64-bit hashes of a text's words, A-Z lower-cased; words are cut at ASCII white space."""
-    import xxhash
+#: ASCII white space, by which words are cut, and a value of each byte (odd, so that no byte counts for nothing).
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * _P) | np.uint64(1)
+_BASE = 0xD6E8FEB86659FD93
+#: Bytes of a text that are hashed at once; a longer word is hashed whole.
+PIECE = 1 << 16
+
 
-    words = text.lower().split() if text else []
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+@functools.lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _BASE modulo 2**64 and their inverses."""
+    up, down = (np.cumprod(np.full(n, x, np.uint64)) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+    return up, down
 
 
-def window_hashes(w: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all k-word windows; of the whole sequence, if it has fewer words but any."""
+def _piece_hashes(text: bytes) -> np.ndarray:
+    """Polynomials of the words' bytes: differences of a running sum over the piece, moved to power 0 of each word's begin."""
+    b = np.frombuffer(b" " + text.lower() + b" ", np.uint8)
+    edges = np.flatnonzero(np.diff(_IS_SPACE[b]))
+    start, end = edges[0::2], edges[1::2]
+    up, down = _powers(PIECE + 2) if len(b) <= PIECE + 2 else _powers.__wrapped__(len(b))
+    total = np.cumsum(_BYTE[b] * up[: len(b)])
+    return _mix((total[end] - total[start]) * down[start])
+
+
+def word_hashes(text: bytes | None) -> np.ndarray:
+    """64-bit hashes of a text's words, A-Z lower-cased; words are cut at ASCII white space."""
+    out, at = [], 0
+    while text and at < len(text):
+        end = at + PIECE
+        if end < len(text):
+            cut = _SPACE.search(text, end)
+            end = cut.start() if cut else len(text)
+        out.append(_piece_hashes(text[at:end]))
+        at = end
+    return np.concatenate(out) if len(out) > 1 else out[0] if out else np.empty(0, np.uint64)
+
+
+def window_hashes(w: np.ndarray, k: int, mixed: bool = True) -> np.ndarray:
+    """Hashes of all k-word windows; of the whole sequence, if it has fewer words but any. Without ``mixed`` their bits aren't
+    spread, which is enough to compare them."""
     if not len(w):
         return w
     n = max(1, len(w) - k + 1)
     h = np.full(n, len(w) if len(w) < k else k, np.uint64)
     for i in range(min(k, len(w))):
-        h = h * _P + w[i : i + n]
-    return _mix(h)
+        h *= _P
+        h += w[i : i + n]
+    return _mix(h) if mixed else h
 
 
 def shingle_set(text: bytes | None, k: int = 5) -> np.ndarray:

@@ -795,3 +795,20 @@ def test_every_copy_inside_a_document_is_found(spark):
     for r in substring_dedup.merge_passages(substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))).collect():
         found[r.doc_id].append((r.start_word, r.end_word))
     assert {k: sorted(v) for k, v in found.items()} == want
+
+
+def test_word_hashes_over_pieces(monkeypatch):
+    """A word has one hash wherever it stands, also where texts are hashed in pieces and words are longer than a piece."""
+    from sluice.llm import _pairs
+
+    r = random.Random(4)
+    words = ["".join(r.choice("abcXYZé,0") for _ in range(r.choice([1, 2, 5, 9, 40, 300]))) for _ in range(400)]
+    text = "".join(w + r.choice([" ", "\n", "\t ", "\x0b\x0c\r"]) for w in words).encode()
+    want = [_pairs.word_hashes(w.encode())[0] for w in words]
+    assert _pairs.word_hashes(text).tolist() == want and len(set(want)) == len({w.encode().lower() for w in words})
+    for piece in (1, 7, 64):
+        monkeypatch.setattr(_pairs, "PIECE", piece)
+        _pairs._powers.cache_clear()
+        assert _pairs.word_hashes(b"  " + text).tolist() == want
+    _pairs._powers.cache_clear()
+    assert [len(_pairs.word_hashes(t)) for t in (None, b"", b" \n")] == [0, 0, 0]
