@@ -3,13 +3,15 @@
 A page is read as a sequence of tags and text nodes. A text node has features: the elements it stands in, the words of
 their class, id and role, its innermost block, and its block's length and share of links. A logistic model of these gives
 every word a score, positive for main text; every tag scores negative. One linear scan finds the contiguous stretch of the
-highest sum; its text, without the nodes in it whose containers score negative, is the result.
+highest sum, which alone decides where the text begins and ends. Boilerplate within it is found by the same kind of scan with
+signs turned: all maximal stretches of negative words between text that stays, in which a word of text counts KEEP times, so
+that no paragraph is lost between two adverts; those of at least LEAST_CUT are cut, weaker ones stay.
 
 Weights are fitted on labelled pages, those whose publisher marked exactly one article or main element: words inside against
 words outside. The mark is a label only; no feature says whether a node stands in one, so pages without it are read alike.
 The fit starts from PRIOR (what common element and class names usually hold) and departs from it as far as pages say
 otherwise; nodes inside a marked element that the prior calls boilerplate (adverts and comments within articles) have no sure
-label and aren't fitted. A tag costs more the more often it stands outside.
+label and aren't fitted, nor are those of over MOST_FEATURES features. A tag costs more the more often it stands outside.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one space.
 
@@ -53,13 +55,40 @@ PRIOR = {"bias": 0.3, "block:p": 1.5, "block:li": -0.5, "links:most": -5.0, "lin
 #: Words that the labelled pages weigh together; the prior's precision is that of one.
 EVIDENCE = 10_000.0
 MOST = 4.0
+#: What a word of text counts against a cut, the least score of a cut, and the features of a node that is fitted.
+KEEP, LEAST_CUT, MOST_FEATURES = 4.0, 2.0, 64
 
 
 class Node:
-    __slots__ = ("tag", "features", "article", "link", "header")
+    """An open element. ``own`` are the features that no element around it has; iterating gives all of them."""
 
-    def __init__(self, tag: str, features: frozenset[str], article: bool, link: bool, header: bool):
-        self.tag, self.features, self.article, self.link, self.header = tag, features, article, link, header
+    __slots__ = ("tag", "parent", "own", "article", "link", "header", "nested", "block", "base")
+
+    def __init__(self, tag: str, parent: Node | None = None, own: tuple[str, ...] = ()):
+        def above(name):
+            return parent is not None and getattr(parent, name)
+
+        self.tag, self.parent, self.own, self.base = tag, parent, own, None
+        self.article, self.link, self.header = above("article") or tag in ("article", "main"), above("link") or tag == "a", above("header") or tag == "header"
+        self.nested = above("nested") or tag == "article"
+        self.block = tag if tag not in INLINE else above("block") or "body"
+
+    def __iter__(self):
+        node = self
+        while node is not None:
+            yield from node.own
+            node = node.parent
+
+    def weigh(self, w: dict[str, float]) -> float:
+        """Bias and weights of all features; elements around it are weighed once a page."""
+        todo, node = [], self
+        while node is not None and node.base is None:
+            todo.append(node)
+            node = node.parent
+        base = w["bias"] if node is None else node.base
+        for node in reversed(todo):
+            base = node.base = base + sum(w.get(f, 0.0) for f in node.own)
+        return base
 
 
 def _name(word: str) -> str:
@@ -68,12 +97,18 @@ def _name(word: str) -> str:
 
 def tokens(page: str):
     """(kind, value, node, block): kind 't' a tag with its name, 'w' a text node with where it stands, 'b' a block's edge."""
-    root = Node("body", frozenset(), False, False, False)
-    stack = [root]
+    stack, active, opened = [Node("body")], set(), {}
+
+    def leave(i: int) -> None:
+        for n in stack[i:]:
+            active.difference_update(n.own)
+            opened[n.tag] -= 1
+        del stack[i:]
+
     for m in _TOKEN.finditer(page):
         s = m.group()
         if s[0] != "<" or s == "<":
-            yield "w", s, stack[-1], next((n.tag for n in reversed(stack) if n.tag not in INLINE), "body")
+            yield "w", s, stack[-1], stack[-1].block
             continue
         tag = m[3] or m[6]
         if tag is None:
@@ -87,9 +122,9 @@ def tokens(page: str):
             yield "b", "", None, None
         yield "t", tag, None, None
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened.get(tag) else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    leave(i)
                     break
                 if stack[i].tag in ("article", "main", "body") and tag in INLINE:
                     break
@@ -98,18 +133,20 @@ def tokens(page: str):
             continue
         if tag in ("article", "main") and not stack[-1].article:
             while len(stack) > 1 and stack[-1].tag in ("nav", "header", "ul", "ol", "li", "p", "a", "footer", "aside"):
-                stack.pop()  # left open
+                leave(len(stack) - 1)  # left open
         elif tag not in INLINE and stack[-1].tag == "p" or tag in ("li", "tr", "td", "th", "dd", "dt", "option") and stack[-1].tag == tag:
-            stack.pop()
-        top = stack[-1]
+            if len(stack) > 1:
+                leave(len(stack) - 1)
         new = set()
         if tag not in INLINE and tag not in TEXT_BLOCKS and tag not in ("html", "body", "article", "main"):
             new.add(f"in:{tag}")
         if attrs and tag not in ("html", "body"):
             new.update(_name(w) for g in _NAMES.findall(attrs) for w in _WORDS.findall("".join(g).lower()))
-        if tag == "article" and any(n.tag == "article" for n in stack):  # reader comments
+        if tag == "article" and stack[-1].nested:  # reader comments
             new.add("nested")
-        stack.append(Node(tag, top.features | new if new else top.features, top.article or tag in ("article", "main"), top.link or tag == "a", top.header or tag == "header"))
+        stack.append(Node(tag, stack[-1], tuple(new - active)))
+        active |= new
+        opened[tag] = opened.get(tag, 0) + 1
 
 
 def read_blocks(page: str) -> list[tuple]:
@@ -123,7 +160,7 @@ def read_blocks(page: str) -> list[tuple]:
         shape += ("short",) if total < 4 else ()
         for at, n, node, block in held:
             extra = (f"block:{block}", *shape, *(("heading",) if node.header and block in ("h1", "h2") else ()))
-            out[at] = ("w", out[at], n, (node.features, extra), node.article)
+            out[at] = ("w", out[at], n, (node, extra), node.article)
         held.clear()
 
     for kind, value, node, block in tokens(page):
@@ -148,6 +185,8 @@ def page_counts(page: str) -> dict[str, list[int]] | None:
     for x in read_blocks(page):
         if x[0] == "w" and x[2]:
             features = [*x[3][0], *x[3][1]]
+            if len(features) > MOST_FEATURES:
+                continue
             if x[4] and any(PRIOR.get(f, 0) <= -BOILER for f in features) and "heading" not in features:
                 continue
             out.setdefault("w " + " ".join(sorted(features)), [0, 0])[not x[4]] += x[2]
@@ -198,35 +237,70 @@ def best_stretch(scores: list[float]) -> tuple[int, int]:
     return span
 
 
+def all_stretches(scores: list[float]) -> list[tuple[int, int, float]]:
+    """(start, end, sum) of all maximal stretches of positive sum, in order: each begins and ends with what adds to it, and none
+    can be joined with its neighbours to a higher sum than both have."""
+    held: list[tuple] = []  # start, end, sum before, sum at the end, the nearest earlier one that begins lower
+    total = 0.0
+    for i, x in enumerate(scores):
+        before, total = total, total + x
+        if x <= 0:
+            continue
+        start, low = i, before
+        while True:
+            j = len(held) - 1
+            while j >= 0 and held[j][2] >= low:
+                j = held[j][4]
+            if j < 0 or held[j][3] >= total:
+                break
+            start, low = held[j][0], held[j][2]
+            del held[j:]
+        held.append((start, i + 1, low, total, j))
+    return [(s, e, high - low) for s, e, low, high, _ in held]
+
+
+def cuts(words: list[int], container: list[float]) -> list[bool]:
+    """Which entries of a stretch are boilerplate between text that stays. words: of each entry, 0 for tags; container: its
+    score a word."""
+    drop = [False] * len(words)
+    text = [i for i, (n, z) in enumerate(zip(words, container, strict=True)) if n and z > 0]
+    if text:
+        first, last = text[0], text[-1]
+        turned = [-n * max(-MOST, min(MOST, z)) * (KEEP if z > 0 else 1.0) for n, z in zip(words[first:last], container[first:last], strict=True)]
+        for s, e, total in all_stretches(turned):
+            if total >= LEAST_CUT:
+                drop[first + s : first + e] = [True] * (e - s)
+    return drop
+
+
 def extract(page: str | None, weights: dict[str, float] | None = None) -> str:
     """The main text of one page."""
     if not page:
         return ""
     w = PRIOR if weights is None else weights
     seq = read_blocks(page)
-    scores, container, known = [], [], {}
+    scores, container = [], []
     for x in seq:
         score = z = 0.0
         if x[0] == "w":
-            inherited, own = x[3]
-            base = known.get(inherited)
-            if base is None:
-                base = known[inherited] = w["bias"] + sum(w.get(f, 0.0) for f in inherited)
-            z = base + sum(w.get(f, 0.0) for f in own)
+            node, own = x[3]
+            z = node.weigh(w) + sum(w.get(f, 0.0) for f in own)
             score = x[2] * max(-MOST, min(MOST, z))
             z -= w["short"] if "short" in own else 0.0  # a short line in a good place is text
         elif x[0] == "t":
             score = w.get(f"tag:{x[1]}", -0.3)
         scores.append(score)
         container.append(z)
-    span = best_stretch(scores)
+    start, end = best_stretch(scores)
+    seq = seq[start:end]
+    drop = cuts([x[2] if x[0] == "w" else 0 for x in seq], container[start:end])
     blocks, line = [], []
-    for x, z in zip(seq[span[0] : span[1]], container[span[0] : span[1]], strict=True):
+    for x, gone in zip(seq, drop, strict=True):
         if x[0] == "b":
             blocks.append("".join(line))
             line = []
         elif x[0] == "w":
-            if z > 0 or not x[2]:
+            if not gone:
                 line.append(x[1])
         elif x[1] == "br":
             line.append(" ")

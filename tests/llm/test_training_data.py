@@ -812,3 +812,54 @@ def test_word_hashes_over_pieces(monkeypatch):
         assert _pairs.word_hashes(b"  " + text).tolist() == want
     _pairs._powers.cache_clear()
     assert [len(_pairs.word_hashes(t)) for t in (None, b"", b" \n")] == [0, 0, 0]
+
+
+def test_all_maximal_stretches_by_brute_force():
+    """Splitting at the best stretch, first and longest at ties, again and again gives the same stretches."""
+    r = random.Random(11)
+
+    def want(x, at=0):
+        spans = [(sum(x[i:j]), i, j) for i in range(len(x)) for j in range(i + 1, len(x) + 1)]
+        spans = [(v, i, j) for v, i, j in spans if v > 0 and all(sum(x[i:k]) > 0 for k in range(i + 1, j)) and all(sum(x[k:j]) > 0 for k in range(i + 1, j))]
+        if not spans:
+            return []
+        v, i, j = max(spans, key=lambda t: (t[0], -t[1], t[2]))
+        return [*want(x[:i], at), (at + i, at + j, v), *want(x[j:], at + j)]
+
+    for _ in range(400):
+        x = [r.choice([-3.25, -1.5, 0, 1.125, 2.0625]) + r.randrange(64) / 4096 for _ in range(r.randrange(14))]
+        assert html_extraction.all_stretches(x) == want(x)
+
+
+def test_the_stretch_decides_where_the_text_begins_and_ends(monkeypatch):
+    pages, texts = labelled_pages()
+    counts = defaultdict(lambda: [0, 0])
+    for p in pages:
+        for k, v in html_extraction.page_counts(p).items():
+            counts[k] = [counts[k][0] + v[0], counts[k][1] + v[1]]
+    weights = html_extraction.fit_weights(counts)
+    assert [html_extraction.extract(p, weights) for p in pages] == texts
+    # an advert between paragraphs is cut, a paragraph between adverts stays
+    ad, p = "<div class='ad'>" + "buy it now " * 9 + "</div>", "<p>a line of four or five more words here</p>"
+    page = f"<nav><a href='/'>home</a></nav><article><p>{texts[0]}</p>{ad}{p}{ad}<p>{texts[1]}</p></article><footer>the end of it</footer>"
+    assert html_extraction.extract(page, weights) == f"{texts[0]} a line of four or five more words here {texts[1]}"
+    monkeypatch.setattr(html_extraction, "best_stretch", lambda scores: (0, len(scores)))
+    assert all(html_extraction.extract(p, weights) != t for p, t in zip(pages, texts, strict=True))
+
+
+def test_names_are_learned_where_the_prior_has_none(monkeypatch):
+    pages, texts = labelled_pages()
+    monkeypatch.setattr(html_extraction, "PRIOR", {k: v for k, v in html_extraction.PRIOR.items() if not k.startswith("name:")})
+    counts = defaultdict(lambda: [0, 0])
+    for p in pages:
+        for k, v in html_extraction.page_counts(p).items():
+            counts[k] = [counts[k][0] + v[0], counts[k][1] + v[1]]
+    weights = html_extraction.fit_weights(counts)
+    assert weights["name:ad"] < 0 and [html_extraction.extract(p, weights) for p in pages] == texts
+
+
+def test_deep_pages_keep_features_once():
+    names = "".join(f"<div class='{'ab'[i % 2] * (i % 60 + 1)} {'c' * (i % 50 + 1)}'>" for i in range(5_000))
+    page = names + "<p>" + "some words of a text " * 20 + "</p>" + "</i>" * 5_000
+    assert html_extraction.extract(page).startswith("some words of a text")
+    assert html_extraction.page_counts(f"<article>{names}<p>some words</p></article>").keys() == {"t article", "t div", "t p"}
