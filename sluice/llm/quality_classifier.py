@@ -201,7 +201,7 @@ def _features(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return xt, xm
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", rows: int = TRAIN_ROWS, held_out_mod: int = 5) -> CoTrained | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", rows: int = TRAIN_ROWS, held_out_mod: int = 5, rounds: int = ROUNDS) -> CoTrained | None:
     """Fits on at most ``rows`` labelled documents and all unlabelled ones, both outside the held-out fold."""
     fold = F.crc32(F.col("id").cast("string").cast("binary")) % held_out_mod != 0
     known = stage(labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y is not null and id is not null").groupBy("id").agg(F.max("y").alias("y")), "labels")
@@ -234,7 +234,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     if len(set(y[fit].tolist())) < 2 or len(set(y[last].tolist())) < 2:
         fit = last = slice(None)  # too few labels to part
     pool = stage(join_bounded(made, known.select("id"), ["id"], "left_anti").select("ti", "tv", "mi"), "pool")
-    wt, wm = co_train(dense[0][fit], dense[1][fit], y[fit], None if pool.isEmpty() else Pool(pool))
+    wt, wm = co_train(dense[0][fit], dense[1][fit], y[fit], None if pool.isEmpty() else Pool(pool), rounds)
     discard(made, pool)
     return calibrated(wt, wm, dense[0][last], dense[1][last], y[last])
 
