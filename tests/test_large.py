@@ -20,6 +20,28 @@ def some_docs(r, n):
     return [(i, " ".join(r.choice(vocabulary) for _ in range(r.randrange(0, 25)))) for i in range(n)] + [(n, None), (n + 1, ""), (0, "the same id again: zq-9")], vocabulary
 
 
+@pytest.mark.parametrize("depth", [2, 32])
+def test_terms_in_tasks_by_regexes(depth, monkeypatch):
+    """Terms that overlap, repeat, are longer than what is followed of them, at ends of texts and of chunks."""
+    monkeypatch.setattr(term_index, "DEPTH", depth)
+    r = random.Random(depth)
+    needles = ["".join(r.choice("ab_é-") for _ in range(r.randrange(1, 7))) for _ in range(80)]
+    rows = [(k, n, k % 3 == 0) for k, n in enumerate([*needles, *needles[:20]])]
+    texts = ["".join(r.choice("ab_é- ") for _ in range(r.randrange(0, 30))) for _ in range(200)]
+    t, p = term_index.Terms(rows).found(texts)
+    want = {(i, k) for i, x in enumerate(texts) for k, n, whole in rows if (re.search(rf"(?<!\w){re.escape(n)}(?!\w)", x, re.ASCII) if whole else n in x)}
+    assert list(zip(t.tolist(), p.tolist(), strict=True)) == sorted(want) and len(want) > 1000
+    assert len(term_index.Terms([]).found(texts)[0]) == 0
+
+
+def test_texts_do_not_shuffle_to_a_list(spark):
+    """Beyond the rows themselves only a row an id moves: runs of all texts, exploded, took the time at size."""
+    docs = spark.createDataFrame([(1, "some text with word7 in it")], "doc_id long, norm string")
+    terms = spark.createDataFrame([(1, "word7", "r")], "place long, value string, rule_id string")
+    plan = term_index.term_list_hits(docs, "doc_id", "norm", None, terms)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "MapInArrow" in plan
+
+
 @pytest.mark.parametrize("shuffled", [False, True])
 def test_term_lists_by_brute_force(spark, monkeypatch, shuffled):
     """Whatever run stands for a term, and with the index broadcast or shuffled, the terms are those of the short list."""
