@@ -15,6 +15,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Shards that sessions are dealt over, and sessions that a shard keeps.
 SHARDS, CAPACITY = 64, 1024
+#: Shards that requests are dealt over.
+REQUEST_SHARDS = 512
 
 
 def stateful_session(spark: SparkSession) -> SparkSession:
@@ -120,57 +122,77 @@ def session_tiers(turns: DataFrame, threshold: float = 0.5, escalate: float = 0.
 
 
 class Expiry(StatefulProcessor):
-    """Of one request: when it was made and whether it still waits, and a timer at its end."""
+    """Of one shard of requests: when the open ones were made and which still wait, and a timer at the earliest end.
 
-    def __init__(self, limit_ms: int):
-        self.limit = limit_ms
+    Open requests are one list, read and written as a whole: there are as many as were made within the limit or are executing."""
+
+    def __init__(self, id_type: str, limit_ms: int):
+        self.id_type, self.limit = id_type, limit_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("request", "created long, status string")
+        self.open = handle.getValueState("requests", f"ids array<{self.id_type}>, created array<long>, executing array<boolean>")
+
+    def _read(self) -> dict:
+        """(created, whether it executes) by request."""
+        if not self.open.exists():
+            return {}
+        ids, created, executing = self.open.get()
+        return dict(zip(ids, zip(created, executing, strict=True), strict=True))
 
-    def _end(self) -> None:
-        self.open.clear()
+    def _write(self, requests: dict) -> None:
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
+        if not requests:
+            self.open.clear()
+            return
+        self.open.update((list(requests), [c for c, _ in requests.values()], [e for _, e in requests.values()]))
+        waiting = [c for c, e in requests.values() if not e]
+        if waiting:
+            self.handle.registerTimer(min(waiting) + self.limit + 1)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        out, state = [], tuple(self.open.get()) if self.open.exists() else None
-        events = pd.concat(list(rows)).sort_values(["ms", "place"], kind="stable")
-        for kind, ms in zip(events["event"], events["ms"], strict=True):
-            if kind == "pending":
-                state = state or (int(ms), "pending")
-            elif state and state[1] == "pending" and ms > state[0] + self.limit:
-                out.append((key[0], "expired", state[0] + self.limit))
-                state = None
-            elif state and kind == "executing":
-                state = (state[0], "executing")
-            elif state:
-                out.append((key[0], kind, int(ms)))
-                state = None
-        self._end()
-        if state:
-            self.open.update(state)
-            if state[1] == "pending":
-                self.handle.registerTimer(state[0] + self.limit + 1)
+        out, requests = [], self._read()
+        events = pd.concat(list(rows)).sort_values(["ms", "place"], kind="stable")  # a shard's rows of one micro-batch
+        for request, event, ms in zip(*(events[c].tolist() for c in ("request_id", "event", "ms")), strict=True):
+            created, executing = requests.get(request, (None, False))
+            if event == "pending":
+                if created is None:
+                    requests[request] = (ms, False)
+            elif created is None:
+                continue
+            elif not executing and ms > created + self.limit:
+                out.append((request, "expired", created + self.limit))
+                del requests[request]
+            elif event == "executing":
+                requests[request] = (created, True)
+            else:
+                out.append((request, event, ms))
+                del requests[request]
+        self._write(requests)
         yield pd.DataFrame(out, columns=["request_id", "status", "ms"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        created = self.open.get()[0]
-        self._end()
-        yield pd.DataFrame([(key[0], "expired", created + self.limit)], columns=["request_id", "status", "ms"])
+        requests, now = self._read(), timerValues.getCurrentWatermarkInMs()
+        over = {r: c for r, (c, executing) in requests.items() if not executing and c + self.limit < now}
+        self._write({r: x for r, x in requests.items() if r not in over})
+        yield pd.DataFrame([(r, "expired", c + self.limit) for r, c in over.items()], columns=["request_id", "status", "ms"])
 
     def close(self) -> None:
         pass
 
 
-def request_outcomes(events: DataFrame, hours: int = 72, lateness: str = "0 seconds") -> DataFrame:
+def request_outcomes(events: DataFrame, hours: int = 72, lateness: str = "0 seconds", shards: int = REQUEST_SHARDS) -> DataFrame:
     """request_id, status, ms (of the outcome, since 1970) of a stream of (request_id, event, at): the first decision about a
     pending request, or ``expired`` once the watermark, ``lateness`` behind the newest event, is more than ``hours`` past the
-    request. A decision in time cancels the timer; one that comes later changes nothing; while it executes a request doesn't
-    expire. Decisions about requests that aren't open are left out. An event is pending, executing or a decision."""
+    request. A decision in time cancels the expiry; one that comes later changes nothing; while it executes a request doesn't
+    expire. Decisions about requests that aren't open are left out. An event is pending, executing or a decision. Requests are
+    dealt over ``shards``: a call a shard, not a request, and a task holds one shard's rows of a batch."""
     stateful_session(events.sparkSession)
     kind = events.schema["request_id"].dataType.simpleString()
+    held = "string" if kind in ("tinyint", "smallint", "int", "bigint") else kind  # pandas would make numbers beside a null doubles
     at = F.col("at").cast("timestamp")
-    rows = events.select("request_id", "event", at.alias("_at"), F.unix_millis(at).alias("ms"), F.when(F.col("event") == "pending", 0).when(F.col("event") == "executing", 1).otherwise(2).alias("place"))
-    return rows.withWatermark("_at", lateness).groupBy("request_id").transformWithStateInPandas(Expiry(hours * 3_600_000), f"request_id {kind}, status string, ms long", "Append", "EventTime")
+    rows = events.select(F.col("request_id").cast(held).alias("request_id"), "event", at.alias("_at"), F.unix_millis(at).alias("ms"), F.when(F.col("event") == "pending", 0).when(F.col("event") == "executing", 1).otherwise(2).alias("place"))
+    rows = rows.withWatermark("_at", lateness).withColumn("shard", F.pmod(F.xxhash64("request_id"), F.lit(shards)))
+    out = rows.groupBy("shard").transformWithStateInPandas(Expiry(held, hours * 3_600_000), f"request_id {held}, status string, ms long", "Append", "EventTime")
+    return out.select(F.col("request_id").cast(kind).alias("request_id"), "status", "ms")

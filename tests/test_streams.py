@@ -1,5 +1,6 @@
 """Streams with state: session tiers with a bound, requests that expire, alerts that go out once."""
 
+import datetime
 import random
 from collections import OrderedDict
 
@@ -76,6 +77,27 @@ def test_requests_expire_unless_decided_in_time(spark, tmp_path):
     assert got == {1: "expired", 2: "approved", 3: "approved", 4: "expired", 5: "approved"}
 
 
+def test_many_requests_are_a_call_a_shard(spark, tmp_path):
+    """Thousands of requests, null ids and such that pandas would round among them, over three batches against a loop."""
+    r, big = random.Random(5), 1 << 60
+    made = {i: r.randrange(0, 200) for i in [None, *range(big, big + 3000)]}
+    events = sorted([(t, 0, i, "pending") for i, t in made.items()] + [(t + r.randrange(1, 100), 2, i, "approved") for i, t in made.items() if r.random() < 0.7], key=lambda x: x[:2])
+    events.append((10_000, 0, 7, "pending"))
+    at = spark.range(1).select(F.timestamp_seconds(F.lit(1_000_000_800))).first()[0]
+    rows = [(i, e, at + datetime.timedelta(hours=t)) for t, _, i, e in events]
+    cuts = [[x for x, e in zip(rows, events, strict=True) if lo <= e[0] < hi] for lo, hi in ((0, 60), (60, 150), (150, 1 << 20))]
+    make = lambda s: stateful.request_outcomes(s, shards=3)
+    got = sorted((str(x.request_id), x.status, x.ms - 1_000_000_800_000) for x in run_in_batches(spark, tmp_path, cuts, EVENTS, make).collect())
+    done = {}
+    for t, _, i, e in events:
+        if e == "approved" and t - made[i] <= 72:
+            done[i] = (str(i), "approved", t * 3_600_000)
+    want = sorted(done.get(i, (str(i), "expired", (t + 72) * 3_600_000)) for i, t in made.items())
+    assert got == want and 1000 < len(done) < 3000
+    held = spark.read.format("statestore").option("stateVarName", "requests").load(str(tmp_path / "check"))
+    assert [x.value.ids for x in held.collect()] == [["7"]]
+
+
 FOUND = "key string, day long, bad boolean"
 
 
