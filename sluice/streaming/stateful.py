@@ -47,9 +47,10 @@ class SessionTiers(StatefulProcessor):
 
     A map state holds tier, expiry and the place in the order of use. A batch reads a shard's sessions once, at most
     ``capacity`` of them, and writes those that changed. With ``live`` the store's own TTL ends sessions by the clock; else a
-    timer at the earliest expiry does it once the watermark has passed."""
+    timer at the earliest expiry does it once the watermark has passed. Without a capacity no session ends before its time: a
+    batch reads its own sessions alone, and the timer takes what is over every ``ttl`` seconds at most."""
 
-    def __init__(self, session_type: str, threshold: float, escalate: float, ttl: int, capacity: int, live: bool):
+    def __init__(self, session_type: str, threshold: float, escalate: float, ttl: int, capacity: int | None, live: bool):
         self.session_type, self.threshold, self.escalate, self.ttl, self.capacity, self.live = session_type, threshold, escalate, ttl, capacity, live
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -60,6 +61,19 @@ class SessionTiers(StatefulProcessor):
         """Sessions by last use, the oldest first."""
         return OrderedDict(sorted(((k[0], tuple(v)) for k, v in self.kept.iterator()), key=lambda x: x[1][2]))
 
+    def _read_own(self, sessions: list) -> OrderedDict:
+        """Those of the given sessions that are kept."""
+        held = ((s, self.kept.getValue((s,))) for s in sessions) if self.kept.exists() else ()
+        return OrderedDict((s, tuple(v)) for s, v in held if v is not None)
+
+    def _time_own(self, sessions: dict) -> None:
+        """A timer for the earliest expiry, if none is set before it."""
+        held, at = list(self.handle.listTimers()), min((int(v[1] * 1000) + 1 for v in sessions.values()), default=None)
+        if at is not None and all(t > at for t in held):
+            for t in held:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(at)
+
     def _time(self, sessions: dict) -> None:
         """One timer, a millisecond after the earliest expiry."""
         for t in list(self.handle.listTimers()):
@@ -68,9 +82,9 @@ class SessionTiers(StatefulProcessor):
             self.handle.registerTimer(int(min(v[1] for v in sessions.values()) * 1000) + 1)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = self._read()
-        sessions, used = OrderedDict(before), max((v[2] for v in before.values()), default=0)
         turns = pd.concat(list(rows)).sort_values(["at", "session", "turn"])  # a shard's rows of one micro-batch
+        before = self._read() if self.capacity else self._read_own(turns["session"].dropna().unique().tolist())
+        sessions, used = OrderedDict(before), max((v[2] for v in before.values()), default=0)
         out = []
         for session, turn, at, p, *flags in turns[["session", "turn", "at", "p", "has_text", "thinking", "tool_loop"]].itertuples(index=False):
             own = None if pd.isna(session) else sessions.get(session)
@@ -82,7 +96,7 @@ class SessionTiers(StatefulProcessor):
             if new:
                 used += 1
                 sessions[session] = (*new, used)
-                if len(sessions) > self.capacity:
+                if self.capacity and len(sessions) > self.capacity:
                     sessions.popitem(last=False)
         for s in before.keys() - sessions.keys():
             self.kept.removeKey((s,))
@@ -90,11 +104,24 @@ class SessionTiers(StatefulProcessor):
             if before.get(s) != v:
                 self.kept.updateValue((s,), v)
         if not self.live:
-            self._time(sessions)
+            (self._time if self.capacity else self._time_own)(sessions)
         yield pd.DataFrame(out, columns=["session", "turn", "tier"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        sessions, now = self._read(), timerValues.getCurrentWatermarkInMs()
+        now = timerValues.getCurrentWatermarkInMs()
+        if not self.capacity:
+            over, left = [], None
+            for k, v in self.kept.iterator():
+                if v[1] * 1000 < now:
+                    over.append(k[0])
+                else:
+                    left = min(left or v[1], v[1])
+            for s in over:
+                self.kept.removeKey((s,))
+            if left is not None:  # Spark drops the timer that fired
+                self.handle.registerTimer(int(max(left * 1000, now + self.ttl * 1000)) + 1)
+            return iter(())
+        sessions = self._read()
         over = [s for s, v in sessions.items() if v[1] * 1000 < now]
         for s in over:
             self.kept.removeKey((s,))
@@ -106,11 +133,11 @@ class SessionTiers(StatefulProcessor):
         pass
 
 
-def session_tiers(turns: DataFrame, threshold: float = 0.5, escalate: float = 0.85, ttl: int = 3600, lateness: str = "1 day", shards: int = SHARDS, capacity: int = CAPACITY, live: bool = False) -> DataFrame:
+def session_tiers(turns: DataFrame, threshold: float = 0.5, escalate: float = 0.85, ttl: int = 3600, lateness: str = "1 day", shards: int = SHARDS, capacity: int | None = CAPACITY, live: bool = False) -> DataFrame:
     """session, turn, tier of a stream of turns.
 
     Sessions are dealt over ``shards``; a shard keeps its ``capacity`` sessions of latest use, so memory is bounded whatever
-    the number of sessions, and one evicted begins anew. ``at`` is seconds since 1970. A session ends ``ttl`` seconds after its
+    the number of sessions, and one evicted begins anew; with None every session is kept for its time. ``at`` is seconds since 1970. A session ends ``ttl`` seconds after its
     last use: by event time once the watermark, ``lateness`` behind the newest turn, has passed (turns behind it are late and
     left out); with ``live`` also by the store's clock. A null session keeps nothing."""
     stateful_session(turns.sparkSession)

@@ -63,6 +63,18 @@ def test_ended_sessions_leave_no_state(spark, tmp_path):
     assert [r.user_map_key.session for r in held.collect()] == ["z"]
 
 
+def test_without_a_capacity_no_session_is_evicted(spark, tmp_path):
+    """More sessions than the default capacity in one shard: each goes on as if it were alone, and ends in time."""
+    first = [(f"s{i:04}", 1, 1_000_000 + i, (i % 10) / 10, True, False, False) for i in range(1500)]
+    second = [(f"s{i:04}", 2, 1_001_500 + i, 0.1, True, False, False) for i in range(1500)]
+    third = [("z", 1, 1_020_000, 0.2, True, False, False)]
+    make = lambda s: stateful.session_tiers(s, lateness="0 seconds", shards=1, capacity=None)
+    got = {(x.session, x.turn): x.tier for x in run_in_batches(spark, tmp_path, [first, second, third, [("s0000", 3, 1_020_001, None, True, False, False)]], TURNS, make).collect()}
+    assert [got[f"s{i:04}", 2] for i in range(1500)] == ["complex" if i % 10 >= 5 else "simple" for i in range(1500)] and got["s0000", 3] is None
+    held = spark.read.format("statestore").option("stateVarName", "sessions").load(str(tmp_path / "check"))
+    assert [r.user_map_key.session for r in held.collect()] == ["z"]
+
+
 EVENTS = "request_id long, event string, at timestamp"
 
 
