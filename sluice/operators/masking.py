@@ -23,19 +23,21 @@ _COMPOUND = r"[\p{No}\p{Nl}\x{3200}-\x{33FF}]"
 CARRIERS = {"tool_use": "input", "tool_result": "content"}
 
 
-def mask_text(text: str | None, rules: list[R.FormatRule], fold: dict[str, str], compiled: list | None = None) -> tuple[str | None, list[str]]:
+def mask_text(text: str | None, rules: list[R.FormatRule], fold: dict[str, str], compiled: list | None = None, all_found: bool = False) -> tuple[str | None, list[str]]:
     """Masks what mask rules find in the normalized text, the latest start first; a span that reaches into one already
-    masked is skipped. Returns the text and the entities in the order of masking."""
+    masked is skipped. Returns the text and the entities in the order of masking; with ``all_found`` also those of skipped
+    spans, as of a number that is both a card's and an identity's."""
     if not text:
         return text, []
     norm, at = X.hard_normalize_text(text, fold)
     found = [(at[m.start()], at[m.end() - 1] + 1, r) for r, ps in compiled or compile_rules(rules) for p in ps for m in p.finditer(norm) if m.end() > m.start()]
     bound, entities = len(text) + 1, []
     for start, end, r in sorted(found, key=lambda s: -s[0]):
-        if end <= bound:
-            entity = r.entity or r.code or "PII"
+        entity, free = r.entity or r.code or "PII", end <= bound
+        if free:
             text = text[:start] + (r.replacement or f"【PII:{entity}】") + text[end:]
             bound = start
+        if free or all_found:
             entities.append(entity)
     return text, entities
 
@@ -55,8 +57,8 @@ def compile_rules(rules: list[R.FormatRule]) -> list[tuple[R.FormatRule, list[re
     return out
 
 
-def masked(df: DataFrame, text: str, rules: list[R.FormatRule] = R.FORMAT_RULES, fold: dict[str, str] | None = None, only_digits: bool = True) -> DataFrame:
-    """Adds masked_text and entities. Rows without a run of 11 digits (separators aside) can't match the default rules and
+def masked(df: DataFrame, text: str, rules: list[R.FormatRule] = R.FORMAT_RULES, fold: dict[str, str] | None = None, only_digits: bool = True, all_found: bool = False) -> DataFrame:
+    """Adds masked_text and entities, as mask_text gives them. Rows without a run of 11 digits (separators aside) can't match the default rules and
     skip Python; with ``only_digits`` off every row goes."""
     table = X.folding(fold)
     may = F.col(text).rlike(rf"(?U)(?:\d{_BETWEEN}*){{11}}|{_COMPOUND}") if only_digits else F.lit(True)
@@ -67,7 +69,7 @@ def masked(df: DataFrame, text: str, rules: list[R.FormatRule] = R.FORMAT_RULES,
     def run(batches):
         compiled = compile_rules(rules)
         for b in batches:
-            rows = [mask_text(t, rules, table, compiled) for t in b.column(place).to_pylist()]
+            rows = [mask_text(t, rules, table, compiled, all_found) for t in b.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.string()))], names=[*b.schema.names, "masked_text", "entities"])
 
     return no.unionByName(df.where(may).mapInArrow(run, no.schema))

@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from sluice import queries as Q
 from sluice.functions import rules as R
 from sluice.functions import text as X
 from sluice.operators import detect, masking
@@ -320,3 +321,12 @@ def test_masking_and_gap_queries_keep_all_rows(spark, tmp_path):
     spark.createDataFrame(orders, "o_orderkey long, o_orderdate date, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
     got = {(x.source, x.month.month): x.n for x in Q.perf_gap_fill(spark, str(tmp_path)).collect()}
     assert got == {("a", 1): 2, ("a", 2): None, ("a", 3): 1, ("a", 4): 0, ("b", 1): 0, ("b", 2): 1, ("b", 3): None, ("b", 4): 1}
+
+
+def test_a_number_of_two_kinds_has_both_entities(spark, tmp_path):
+    """An identity's number that could be a card's is masked once and found twice."""
+    spark.createDataFrame([(7, "no 445171802488779927."), (15, "no 440000 18024887-79927")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x.entities for x in Q.pii_rules_planted(spark, str(tmp_path)).collect()}
+    assert got == {7: "ZH_BANK_CARD,ZH_ID_CARD", 15: "ZH_BANK_CARD"}
+    v = verdicts(texts(spark, "no 445171802488779927."), "doc_id", "text", Layers(fingerprints=False)).first()
+    assert v.action == "mask" and v.entities == ["ZH_BANK_CARD", "ZH_ID_CARD"] and v.masked_text.count("【PII") == 1
