@@ -163,7 +163,7 @@ def injection_match(text: Column) -> Column:
     level = lambda texts, d: F.flatten(F.transform(texts, lambda t: F.transform(injection_groups(X.rule_normalize(t)), lambda g: F.concat(g, F.lit(f"@b64L{d}")))))
 
     def match(first: Column) -> Column:
-        pair = F.struct(level(first, 1).alias("one"), level(F.flatten(F.transform(first, X.decode_base64)), 2).alias("two"))
+        pair = F.struct(level(first, 1).alias("one"), level(F.flatten(F.transform(first, lambda t: X.decode_base64(t))), 2).alias("two"))
         return X.let(pair, lambda p: F.struct(F.array_sort(F.array_distinct(F.concat(injection_groups(X.rule_normalize(text)), p["one"], p["two"]))).alias("groups"), F.when(F.size(p["two"]) > 0, 2).when(F.size(p["one"]) > 0, 1).otherwise(0).alias("depth")))
 
     m = X.let(X.decode_base64(text), match)
