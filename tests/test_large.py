@@ -151,3 +151,12 @@ def test_every_injection_group_meets_a_text(spark, tmp_path):
     got = {x.doc_id: set(x.hit.split(",")) for x in Q.injection_all_groups(spark, str(tmp_path)).collect()}
     assert set().union(*got.values()) == {*R.INJECTION_GROUPS, "emotion", "apikey-exfil"}
     assert "apikey-exfil" not in got.get(16, set()) and 19 not in got
+
+
+@pytest.mark.parametrize("name", ["block_excerpts", "injection_decoded"])
+def test_detection_runs_once_a_row(spark, tmp_path, name):
+    """A filter on a computed column would run all patterns again."""
+    spark.createDataFrame([(0, "plain"), (6, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = Q.QUERIES[name](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x and x.count("RLIKE") > 1] and df.count() > 0
