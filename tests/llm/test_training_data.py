@@ -886,3 +886,28 @@ def test_rounds_spread_what_few_labels_show(spark):
         got = quality_classifier.score_quality(docs, model).where("doc_id >= 30").collect()
         wrong[rounds] = sum(x.kept != bool(truth[x.doc_id]) for x in got)
     assert wrong[6] <= wrong[2] < wrong[0] / 4
+
+
+def test_passages_whose_parts_stand_in_many_documents_between_their_holders(spark):
+    r = random.Random(11)
+    text = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    rows, want = [], {}
+    for n in range(12):  # the parts of a passage in ten documents, in two places of each; the whole in the third and the last
+        parts, first = [text(20), text(20), text(20)], 100 * n
+        for i in range(12):
+            whole = i in (2, 11)
+            rows.append((first + i, " ".join([text(30), *parts, text(30)] if whole else [text(30), parts[0], text(90), parts[2], text(90), parts[1], text(30)])))
+        want[first + 11] = (30, 90)
+    got = defaultdict(set)
+    for x in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id % 100 = 11").collect():
+        got[x.doc_id].update(range(x.start_word, x.end_word))
+    assert [d for d, (a, b) in want.items() if not got[d] >= set(range(a, b))] == []
+
+
+def test_full_windows_hold_seeds_of_many_holders_but_two():
+    seed = np.ones(60, bool)
+    assert substring_dedup.full_windows(np.arange(60), seed).tolist() == list(range(24))
+    assert substring_dedup.full_windows(np.delete(np.arange(60), [30, 31]), seed).tolist() == list(range(24))
+    assert substring_dedup.full_windows(np.delete(np.arange(60), [36, 37, 38]), seed).tolist() == [0, 1]
+    assert substring_dedup.full_windows(np.array([1, 2]), np.isin(np.arange(60), [1, 2])).tolist() == []
+    assert substring_dedup.full_windows(np.arange(3), seed[:36]).tolist() == []
