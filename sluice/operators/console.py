@@ -52,15 +52,14 @@ def with_scoring_text(df: DataFrame, text: str, out: str) -> DataFrame:
 # --- judges' answers ----------------------------------------------------------------------------------------------------
 def _answer(reply: Column) -> Column:
     """The JSON object of a model's reply, without its code fence, as a variant; null for what is none."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(reply), "^(```json|```)", ""), "```$", "")
-    v = F.try_parse_json(F.trim(bare))
-    return F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), v)
+    fenced = lambda r: F.regexp_replace(F.regexp_replace(F.trim(r), "^(```json|```)", ""), "```$", "")
+    bare = X.let(reply, lambda r: F.when(F.contains(r, F.lit("```")), fenced(r)).otherwise(r))
+    return X.let(F.try_parse_json(F.trim(bare)), lambda v: F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), v))
 
 
 def _sure(v: Column) -> Column:
     """Its confidence, 0 if absent; null, for the whole answer, if it is no number."""
-    raw = F.try_variant_get(v, "$.confidence", "string")
-    return F.when(raw.isNull() | (raw == ""), 0.0).otherwise(raw.try_cast("double"))
+    return X.let(F.try_variant_get(v, "$.confidence", "string"), lambda raw: F.when(raw.isNull() | (raw == ""), 0.0).otherwise(raw.try_cast("double")))
 
 
 def _truth(v: Column, path: str) -> Column:
@@ -69,18 +68,21 @@ def _truth(v: Column, path: str) -> Column:
     return F.coalesce(~t.isin("", "false", "0", "0.0", "[]", "{}"), F.lit(False))
 
 
+def _judged(reply: Column, fields) -> Column:
+    """struct of fields(answer, confidence); null without a usable answer. A reply is parsed once however many fields are read."""
+    return X.let(_answer(reply), lambda v: X.let(_sure(v), lambda c: F.when(v.isNotNull() & c.isNotNull(), F.struct(*fields(v, c)))))
+
+
 def judged_text(reply: Column) -> Column:
     """struct(confidential, entities, confidence) of a judge's reply; null where it has no usable one, which lets a text pass."""
-    v = _answer(reply)
-    entities = F.coalesce(F.try_variant_get(v, "$.entities", "array<string>"), F.array().cast("array<string>"))
-    return X.let(_sure(v), lambda c: F.when(v.isNotNull() & c.isNotNull(), F.struct(_truth(v, "$.confidential").alias("confidential"), entities.alias("entities"), c.alias("confidence"))))
+    entities = lambda v: F.coalesce(F.try_variant_get(v, "$.entities", "array<string>"), F.array().cast("array<string>"))
+    return _judged(reply, lambda v, c: (_truth(v, "$.confidential").alias("confidential"), entities(v).alias("entities"), c.alias("confidence")))
 
 
 def judged_injection(reply: Column) -> Column:
     """struct(injection, confidence, attack_type), as judged_text."""
-    v = _answer(reply)
-    kind = F.coalesce(F.try_variant_get(v, "$.attack_type", "string"), F.lit(""))
-    return X.let(_sure(v), lambda c: F.when(v.isNotNull() & c.isNotNull(), F.struct(_truth(v, "$.injection").alias("injection"), c.alias("confidence"), kind.alias("attack_type"))))
+    kind = lambda v: F.coalesce(F.try_variant_get(v, "$.attack_type", "string"), F.lit(""))
+    return _judged(reply, lambda v, c: (_truth(v, "$.injection").alias("injection"), c.alias("confidence"), kind(v).alias("attack_type")))
 
 
 def known_gaps(vectors: DataFrame) -> DataFrame:
