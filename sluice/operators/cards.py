@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.functions import text as X
 from sluice.operators.traffic import field, items
 
 # How a link of a channel's model is written, and the levels of a condition that are read.
@@ -71,28 +72,33 @@ def card_actions(offers: DataFrame, cards: DataFrame, channels: DataFrame) -> Da
     have = have.join(reached.withColumn("reached", F.lit(True)), "card_id", "left")
     rows = wanted_links(offers).withColumn("is_wanted", F.lit(True)).join(have, "model", "full")
 
-    ours = F.filter("have", lambda a: a["channel_id"].isNotNull())
-    held = F.transform(F.filter(ours, lambda a: a["model_id"] == F.col("model")), lambda a: a["channel_id"])
-    rows = rows.withColumn("missing", F.filter("offered", lambda o: F.col("card_id").isNull() | ~F.coalesce(F.array_contains(held, o["channel_id"]), F.lit(False))))
-    retype = F.coalesce(F.exists(ours, lambda a: ~F.coalesce(a["type"] == LINK_TYPE, F.lit(False))), F.lit(False))
-    rows = rows.withColumns({"retype": retype, "foreign": F.exists("have", lambda a: a["channel_id"].isNull()), "deep": F.exists(ours, lambda a: a["deep"])})
-
-    work = F.col("is_wanted") & ((F.size("missing") > 0) | F.col("retype"))
-    reason = F.when(F.col("status") == "archived", "archived").when(work & F.col("foreign"), "foreign").when(work & F.col("deep"), "deep")
-    kind = (
-        F.when(F.col("card_id").isNull(), "create")
-        .when(F.col("is_wanted") & reason.isNotNull(), "skip")
-        .when(work, "attach")
-        .when((F.col("status") == "disabled") & F.col("reached"), "enable")
-    )
-    rows = rows.withColumn("kind", kind).where("kind is not null")
+    def facts(ours: Column) -> Column:
+        held = F.transform(F.filter(ours, lambda a: a["model_id"] == F.col("model")), lambda a: a["channel_id"])
+        missing = X.let(F.coalesce(held, F.array().cast("array<long>")), lambda h: F.filter("offered", lambda o: F.col("card_id").isNull() | ~F.array_contains(h, o["channel_id"])))
+        retype = F.coalesce(F.exists(ours, lambda a: ~F.coalesce(a["type"] == LINK_TYPE, F.lit(False))), F.lit(False))
+        return F.struct(missing.alias("missing"), retype.alias("retype"), F.exists("have", lambda a: a["channel_id"].isNull()).alias("foreign"), F.exists(ours, lambda a: a["deep"]).alias("deep"))
+
+    def judged(f: Column) -> Column:
+        work = F.col("is_wanted") & ((F.size(f["missing"]) > 0) | f["retype"])
+        reason = F.when(F.col("status") == "archived", "archived").when(work & f["foreign"], "foreign").when(work & f["deep"], "deep")
+        kind = (
+            F.when(F.col("card_id").isNull(), "create")
+            .when(F.col("is_wanted") & reason.isNotNull(), "skip")
+            .when(work, "attach")
+            .when((F.col("status") == "disabled") & F.col("reached"), "enable")
+        )
+        return F.struct(kind.alias("kind"), reason.alias("reason"), f["missing"].alias("missing"), f["retype"].alias("retype"))
+
+    # exploded, since a filter on the kind would compare all links again
+    found = X.let(X.let(F.filter("have", lambda a: a["channel_id"].isNotNull()), facts), judged)
+    rows = rows.select("model", "card_id", "status", "offered", "off", "have", F.explode(F.filter(F.array(found), lambda x: x["kind"].isNotNull())).alias("x")).select("*", "x.*")
     made = F.col("kind").isin("create", "attach")
     new = F.transform("missing", lambda o: F.struct(F.lit(LINK_TYPE).alias("type"), F.lit(0).cast("long").alias("priority"), F.lit(False).alias("disabled"), o["channel_id"].alias("channel_id"), F.col("model").alias("model_id"), F.lit(None).cast("string").alias("when")))
     old = F.transform("have", lambda a: F.struct(F.lit(LINK_TYPE).alias("type"), *[a[c].alias(c) for c in ("priority", "disabled", "channel_id", "model_id", "when")]))
     enable = F.when(F.col("kind") == "create", F.size("offered") > 0).when(F.col("kind") == "attach", (F.size("missing") > 0) & ~F.coalesce(F.col("status") == "enabled", F.lit(False))).otherwise(F.col("kind") == "enable")
     return rows.select(
         "kind", "model", "card_id", enable.alias("enable"),
-        F.when(F.col("kind") == "skip", reason).when((F.col("kind") == "attach") & F.col("retype"), "type").alias("reason"),
+        F.when(F.col("kind") == "skip", F.col("reason")).when((F.col("kind") == "attach") & F.col("retype"), "type").alias("reason"),
         F.when(made, F.transform("missing", lambda o: o["channel_id"])).alias("added"),
         F.when((F.col("kind") == "create") & (F.size("offered") == 0), F.col("off")).when(made, F.transform("missing", lambda o: o["name"])).alias("names"),
         F.when(made, F.concat(F.coalesce(old, F.array().cast(LINK)), new)).alias("links"),

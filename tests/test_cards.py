@@ -77,3 +77,11 @@ def test_times_at_an_offset(spark):
             assert [r.d for r in rows[:2]] == ["20260902", "20260903"]
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_links_are_compared_once_a_card(spark):
+    """A filter on what an action is would compare all of a card's links again, for each time it is mentioned."""
+    df = spark.createDataFrame([("c1", "m1", "disabled", "{}")], "card_id string, model string, status string, settings string").withColumn("settings", F.parse_json("settings"))
+    got = cards.card_actions(spark.createDataFrame([("m1", "gid/1", "one", "enabled")], OFFER), df, spark.createDataFrame([("gid/1", "enabled")], "channel_gid string, status string"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_contains(") == 1 and [tuple(x) for x in got.select("kind", "added").collect()] == [("attach", [1])]
