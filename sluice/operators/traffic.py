@@ -195,9 +195,13 @@ def _piece(what: Column | str, rank: int, text: Column, slot: Column | None = No
 
 
 def pieces(event: Column) -> Column:
-    """What one stream event adds: pieces of content, reasoning, blocks or tool calls, of five stream formats."""
-    e, s = event, lambda path: field(event, path, "string")
-    t = s("type")
+    """What one stream event adds: pieces of content, reasoning, blocks or tool calls, of five stream formats. An event that is
+    parsed here is parsed once, though many of its fields are looked at."""
+    return X.let(event, lambda e: X.let(field(e, "type", "string"), lambda t: _pieces(e, t)))
+
+
+def _pieces(e: Column, t: Column) -> Column:
+    s = lambda path: field(e, path, "string")
     padded = lambda path: F.lpad(F.coalesce(s(path), F.lit("0")), 9, "0")
     none = F.array().cast(f"array<{_PIECE}>")
     added = F.when(s("item.type") == "function_call", F.array(_piece("tool", 1, s("item.arguments"), F.coalesce(s("item.id"), s("item.call_id")), True, F.coalesce(s("item.call_id"), s("item.id")), F.coalesce(s("item.name"), F.lit("unknown"))))).otherwise(none)

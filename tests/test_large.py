@@ -13,6 +13,7 @@ from sluice.functions import rules as R
 from sluice.functions import text as X
 from sluice.operators import bloom, detect, rollups, term_index
 from sluice.operators import console as K
+from sluice.operators import traffic as T
 from sluice.sources.logstore import LogStore
 
 
@@ -171,3 +172,10 @@ def test_a_judges_reply_is_parsed_once(spark):
         assert plan.count("parseJson") == 1
     got = [x.j and tuple(x.j) for x in df.select(K.judged_injection(F.col("r")).alias("j")).collect()]
     assert got == [(True, 0.5, "x"), (False, 0.0, ""), (False, 0.0, ""), None, None, None, None]
+
+
+def test_a_stream_event_is_parsed_once(spark):
+    df = spark.createDataFrame([(1, 0, '{"choices":[{"delta":{"content":"a"}}]}'), (1, 1, "no"), (1, 2, '{"type":"response.output_text.delta","delta":"b"}'), (2, 0, None)], "k long, seq int, data string")
+    got = T.assembled(df, "k", "seq", "data")
+    assert {r.k: (r.content, r.reasoning, r.calls) for r in got.collect()} == {1: ("ab", "", []), 2: ("", "", [])}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
