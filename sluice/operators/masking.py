@@ -57,22 +57,26 @@ def compile_rules(rules: list[R.FormatRule]) -> list[tuple[R.FormatRule, list[re
     return out
 
 
-def masked(df: DataFrame, text: str, rules: list[R.FormatRule] = R.FORMAT_RULES, fold: dict[str, str] | None = None, only_digits: bool = True, all_found: bool = False) -> DataFrame:
+def masked(df: DataFrame, text: str, rules: list[R.FormatRule] = R.FORMAT_RULES, fold: dict[str, str] | None = None, only_digits: bool = True, all_found: bool = False, apart: bool = True) -> DataFrame:
     """Adds masked_text and entities, as mask_text gives them. Rows without a run of 11 digits (separators aside) can't match the default rules and
-    skip Python; with ``only_digits`` off every row goes."""
+    skip Python; with ``only_digits`` off every row goes. These are two branches over ``df``; with ``apart`` off all rows go in one,
+    for a ``df`` that costs more to compute twice."""
     table = X.folding(fold)
     may = F.col(text).rlike(rf"(?U)(?:\d{_BETWEEN}*){{11}}|{_COMPOUND}") if only_digits else F.lit(True)
     may = F.coalesce(may, F.lit(False))
-    place = df.columns.index(text)
-    no = df.where(~may).withColumn("masked_text", F.col(text)).withColumn("entities", F.array().cast("array<string>"))
+    place, width = df.columns.index(text), len(df.columns)
+    no = df.withColumn("masked_text", F.col(text)).withColumn("entities", F.array().cast("array<string>"))
 
     def run(batches):
         compiled = compile_rules(rules)
         for b in batches:
-            rows = [mask_text(t, rules, table, compiled, all_found) for t in b.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.string()))], names=[*b.schema.names, "masked_text", "entities"])
+            tried = b.column(width).to_pylist() if b.num_columns > width else [True] * b.num_rows
+            rows = [mask_text(t, rules, table, compiled, all_found) if x else (t, []) for t, x in zip(b.column(place).to_pylist(), tried, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.string()))], names=[*b.schema.names[:width], "masked_text", "entities"])
 
-    return no.unionByName(df.where(may).mapInArrow(run, no.schema))
+    if not apart:
+        return df.withColumn("_sluice_may", may).mapInArrow(run, no.schema)
+    return no.where(~may).unionByName(df.where(may).mapInArrow(run, no.schema))
 
 
 def longest_apart(spans: list[tuple[int, int]]) -> list[int]:

@@ -57,6 +57,6 @@ def verdicts(docs: DataFrame, id_col: str, text: str, layers: Layers, store: Dat
         df = df.withColumn("_pre", F.when(F.greatest("shingle_hits", "line_hits") >= layers.min_hits, F.array(F.lit("edm.fingerprint"))).otherwise(F.col("_pre")))
     groups = F.when((F.size("_pre") == 0) & on("rules"), detect.injection_match(F.col("_t"))["groups"]).otherwise(none) if layers.injection else none
     df = df.withColumn("groups", F.coalesce(groups, none))
-    df = masking.masked(df.select(id_col, "_t", "_pre", "groups"), "_t", layers.rules, all_found=True)
+    df = masking.masked(df.select(id_col, "_t", "_pre", "groups"), "_t", layers.rules, all_found=True, apart=False)  # in one branch: all layers are above it
     action = F.when(F.size("_pre") > 0, "block").when(F.size("groups") > 0, "block").when(F.size("entities") > 0, "mask").otherwise("pass")
     return df.select(id_col, action.alias("action"), F.col("_pre").alias("rule_ids"), "groups", F.when(action == "block", F.lit(None)).otherwise(F.col("masked_text")).alias("masked_text"), F.array_sort(F.array_distinct("entities")).alias("entities"))

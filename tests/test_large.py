@@ -14,6 +14,7 @@ from sluice.functions import text as X
 from sluice.operators import bloom, detect, rollups, term_index
 from sluice.operators import console as K
 from sluice.operators import traffic as T
+from sluice.plans.verdicts import Layers, verdicts
 from sluice.sources.logstore import LogStore
 
 
@@ -179,3 +180,13 @@ def test_a_stream_event_is_parsed_once(spark):
     got = T.assembled(df, "k", "seq", "data")
     assert {r.k: (r.content, r.reasoning, r.calls) for r in got.collect()} == {1: ("ab", "", []), 2: ("", "", [])}
     assert got._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+
+
+def test_verdicts_compute_their_layers_once(spark):
+    """Masking in two branches would run all layers before it twice."""
+    df = spark.createDataFrame([(1, "call 13812345678 now"), (2, "plain words"), (3, None)], "doc_id long, text string")
+    store = detect.fingerprint_store(spark.createDataFrame([(9, "a protected text of some length")], "item_id long, text string"), "item_id", "text")
+    got = verdicts(df, "doc_id", "text", Layers(), store)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 3
+    assert {r.doc_id: (r.action, bool(r.entities), r.masked_text) for r in got.where("doc_id > 1").collect()} == {2: ("pass", False, "plain words"), 3: ("pass", False, None)}
+    assert got.where("doc_id = 1").first().action == "mask"
