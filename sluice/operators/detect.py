@@ -170,6 +170,15 @@ def injection_match(text: Column) -> Column:
     return X.let(m, lambda x: F.struct((F.size(x["groups"]) > 0).alias("hit"), x["groups"].alias("groups"), x["depth"].alias("depth")))
 
 
+#: Rows whose texts and hashes a task holds as Python objects at a time.
+SLICE_ROWS = 500
+
+
+def sliced(batches):
+    """Arrow batches in parts of SLICE_ROWS rows, which share the batch's memory."""
+    return (b.slice(i, SLICE_ROWS) for b in batches for i in range(0, b.num_rows, SLICE_ROWS))
+
+
 def _with_hashes(df: DataFrame, text: Column, out: str) -> DataFrame:
     """Adds struct(s, l): hashes of a text's distinct shingles and long lines."""
     lines = F.transform(X.long_lines(text), lambda x: F.xxhash64(x))
@@ -177,7 +186,7 @@ def _with_hashes(df: DataFrame, text: Column, out: str) -> DataFrame:
     kind = pa.struct([("s", pa.list_(pa.int64())), ("l", pa.list_(pa.int64()))])
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             found = [X.shingle_hashes(t).view(np.int64) for t in b.column(b.num_columns - 2).to_pylist()]
             made = pa.StructArray.from_arrays([pa.array(found, pa.list_(pa.int64())), b.column(b.num_columns - 1).cast(pa.list_(pa.int64()))], fields=[kind.field(0), kind.field(1)])
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], made], names=[*b.schema.names[:-2], out])
@@ -219,7 +228,7 @@ def with_fingerprint_hits(df: DataFrame, text: Column, store: DataFrame, store_r
                 return found if known is None else found[:0]
             return found[known[k][np.minimum(np.searchsorted(known[k], found), len(known[k]) - 1)] == found]
 
-        for b in batches:
+        for b in sliced(batches):
             s = [hits("s", X.shingle_hashes(t, distinct=False)) for t in b.column(b.num_columns - 2).to_pylist()]
             x = [hits("l", np.array(x or [], np.int64).view(np.uint64)) for x in b.column(b.num_columns - 1).to_pylist()]
             made = [pa.array([len(y) for y in part], pa.int64()) if small else pa.array([y.view(np.int64) for y in part], pa.list_(pa.int64())) for part in (s, x)]

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,3 +191,12 @@ def test_verdicts_compute_their_layers_once(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 3
     assert {r.doc_id: (r.action, bool(r.entities), r.masked_text) for r in got.where("doc_id > 1").collect()} == {2: ("pass", False, "plain words"), 3: ("pass", False, None)}
     assert got.where("doc_id = 1").first().action == "mask"
+
+
+def test_fingerprints_are_made_by_slices(spark, monkeypatch):
+    monkeypatch.setattr(detect, "SLICE_ROWS", 3)
+    parts = list(detect.sliced(iter([pa.RecordBatch.from_pydict({"a": list(range(n))}) for n in (7, 0, 3)])))
+    assert [b.column(0).to_pylist() for b in parts] == [[0, 1, 2], [3, 4, 5], [6], [0, 1, 2]]
+    df = spark.createDataFrame([(i, f"text {i} of a store " * 4) for i in range(10)], "item_id long, text string").coalesce(1)
+    got = detect.fingerprint_matches(df, detect.fingerprint_store(df, "item_id", "text"), "item_id", "text", 1).collect()
+    assert sorted(r.item_id for r in got) == list(range(10))
