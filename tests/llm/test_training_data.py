@@ -911,3 +911,49 @@ def test_full_windows_hold_seeds_of_many_holders_but_two():
     assert substring_dedup.full_windows(np.delete(np.arange(60), [36, 37, 38]), seed).tolist() == [0, 1]
     assert substring_dedup.full_windows(np.array([1, 2]), np.isin(np.arange(60), [1, 2])).tolist() == []
     assert substring_dedup.full_windows(np.arange(3), seed[:36]).tolist() == []
+
+
+def test_pairs_of_a_batch_stay_apart():
+    """Anchors and stretches of many pairs in one pass: those of each pair alone, also where pairs share words, repeat them or have none."""
+    r = np.random.default_rng(21)
+    some = lambda most: r.integers(0, 3, r.integers(0, most)).astype(np.uint64)
+    pairs = [(some(40), some(40)) for _ in range(60)] + [(np.arange(9, dtype=np.uint64),) * 2] * 3
+    for (a, b), got in zip(pairs, substring_dedup.anchors_of(*map(list, zip(*pairs, strict=True))), strict=True):
+        left = {}
+        for j in range(len(b) - 3):
+            left.setdefault(tuple(b[j : j + 4]), []).append(j)
+        runs, seen = [], {}
+        for i in range(len(a) - 3):
+            if places := left.get(w := tuple(a[i : i + 4])):
+                j = places[min(seen.get(w, 0), len(places) - 1)]
+                seen[w] = seen.get(w, 0) + 1
+                if runs and i == runs[-1][0] + runs[-1][2] - 3 and j == runs[-1][1] + runs[-1][2] - 3:
+                    runs[-1][2] += 1
+                else:
+                    runs.append([i, j, 4])
+        assert got == [tuple(x) for x in runs]
+    n = np.array([0, 5, 40, 2, 0, 30, 30])
+    p, rp = (r.integers(0, 900, n.sum()) | r.integers(0, 2, n.sum()) * r.integers(1, 50, n.sum()) << 31 for _ in range(2))
+    got, want, end = list(zip(*(x.tolist() for x in substring_dedup.stretches_of(p, rp, n)), strict=True)), [], 0
+    for pair, size in enumerate(n.tolist()):
+        end += size
+        at = [(x & 0x7FFFFFFF, x >> 31, y & 0x7FFFFFFF, y >> 31) for x, y in zip(p[end - size : end].tolist(), rp[end - size : end].tolist(), strict=True)]
+        seeds = sorted((i + di, j + dj, big) for i, x, j, y in at for di in {0, x} for dj in {0, y} for big in [x > 0])
+        parts = []
+        for x in seeds:
+            if not parts or x[0] - parts[-1][-1][0] > substring_dedup.MARGIN:
+                parts.append([])
+            parts[-1].append(x)
+        for part in parts:
+            good = [x for x in part if sum(abs(x[1] - x[0] - y[1] + y[0]) <= substring_dedup.DRIFT for y in part) >= substring_dedup.MIN_SEEDS]
+            if good:
+                i, j, big = zip(*good, strict=True)
+                want.append((pair, min(i), max(i), min(j), max(j), any(big)))
+    assert len(want) > 5 and got == want
+
+
+def test_only_copies_words_are_counted(docs):
+    """Words of whole copies are counted after the join that finds them, not in a filter on all texts before it."""
+    plan = substring_dedup._units(docs, "doc_id", "text")[1].where("words >= 40")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in plan or "regexp_count" in plan
+    assert not any("regexp" in line for line in plan.partition("Join")[2].split("\n")[1:])
