@@ -109,6 +109,22 @@ def test_only_accepted_hashes_shuffle(spark):
     assert sum(x[1] for x in sorted(map(tuple, detect.with_fingerprint_hits(docs, F.col("text"), store, 0).select("doc_id", "shingle_hits").collect()))) > 100
 
 
+def test_request_dimension_report(spark):
+    """Sums before the join equal those after it, also where requests are missing, stand twice or have no id; and where each stands once,
+    usage is joined only as sums by request."""
+    r = random.Random(5)
+    n = lambda: r.choice([None, r.randrange(100)])
+    usage = spark.createDataFrame([(r.choice([None, *range(12)]), r.choice([None, 1, 2]), r.randrange(4), n(), n(), n(), n(), n(), n()) for _ in range(200)], "request_id long, c long, m long, input_tokens long, cached_tokens long, output_tokens long, reasoning_tokens long, written_tokens long, cost long")
+    usage = usage.withColumn("cost", F.col("cost").cast("decimal(18,4)"))
+    known = [(i, i % 3 or None, f"s{i % 2}") for i in range(12)]
+    for rows, of in ((known, usage.where("request_id is not null")), (known, usage), (known[2:], usage), (known[1:] + known[:3] + [(3, 9, None), (None, 1, "x")], usage), (known[:0], usage)):
+        asked = spark.createDataFrame(rows, "request_id long, k long, s string")
+        got = rollups.request_dimension_report(of, asked, {"channel": "c", "model": "m"}, {"key": "k", "source": "s"})
+        want = rollups.dimension_report(of.join(asked, "request_id"), {"channel": "c", "model": "m", "key": "k", "source": "s"})
+        assert got.schema.names == want.schema.names and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        assert ("Join" in got._jdf.queryExecution().optimizedPlan().toString()) == (of is usage)
+
+
 def test_dimension_report(spark):
     kind = "c long, m string, input_tokens long, cached_tokens long, output_tokens long, reasoning_tokens long, written_tokens long, cost double"
     rows = [(1, "a", 10, 2, 5, None, 1, 0.5), (1, None, 20, 0, 5, 3, None, 1.5), (2, "a", 30, 1, None, 2, 1, None)]
