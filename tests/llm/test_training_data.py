@@ -957,3 +957,22 @@ def test_only_copies_words_are_counted(docs):
     plan = substring_dedup._units(docs, "doc_id", "text")[1].where("words >= 40")._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" in plan or "regexp_count" in plan
     assert not any("regexp" in line for line in plan.partition("Join")[2].split("\n")[1:])
+
+
+def test_many_texts_are_hashed_as_each_alone(monkeypatch):
+    """Texts hashed together give each its own words, also empty ones and those about as long as a piece; and long windows have the
+    value that adding word by word gives."""
+    from sluice.llm import _pairs
+
+    monkeypatch.setattr(_pairs, "PIECE", 64)
+    r = random.Random(22)
+    texts = [None, b"", b" ", b"a"] + [b"".join(r.choice([b"x", b"Y", b" ", b"\n", b"zz"]) for _ in range(r.randrange(70))) for _ in range(300)] + [b"w " * 31 + b"ww", b"w" * 63, b"w" * 64, b" " * 64, b"v"]
+    got = _pairs.many_word_hashes(texts)
+    assert [x.tolist() for x in got] == [_pairs.word_hashes(t).tolist() for t in texts] and _pairs.many_word_hashes([]) == []
+    w = np.random.default_rng(3).integers(0, 1 << 63, 90).astype(np.uint64)
+    for k in (7, 8, 12, 40, 90):
+        for i, h in enumerate(_pairs.window_hashes(w, k, mixed=False).tolist()):
+            want = k
+            for x in w[i : i + k].tolist():
+                want = (want * int(_pairs._P) + x) % (1 << 64)
+            assert h == want
