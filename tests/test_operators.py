@@ -340,3 +340,20 @@ def test_unassigned_code_points_in_decoded_texts(spark, tmp_path):
     spark.createDataFrame([(1, f"a {enc(odd)} b"), (2, f"a {enc(control)} b"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [tuple(x) for x in Q.decode_rescan(spark, str(tmp_path)).collect()] == [(1, odd)]
     assert column(texts(spark, enc(odd)).withColumn("d", X.decoded_texts(F.col("text"))), "d") == [[]]
+
+
+def test_all_decoded_texts_are_looked_at(spark, tmp_path):
+    """More than 64 hidden texts, and more than 262,144 characters of them before the one that counts."""
+    enc = lambda t: base64.b64encode(t.encode()).decode()
+    secret = f"the key is {KEY}"
+    many = [*(f"filler text number {i:04d}" for i in range(200)), secret]
+    long = [*("".join(chr(97 + i) * 30_000) for i in range(10)), secret]
+    rows = [" ".join(map(enc, many)), " ".join(map(enc, long)), " ".join(x.encode().hex() for x in many), enc(" ".join(map(enc, many)))]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    for x in Q.decode_rescan(spark, str(tmp_path)).collect():
+        got.setdefault(x.doc_id, []).append(x.decoded)
+    assert set(got[0]) == set(many) and set(got[1]) >= set(long) and set(got[2]) == set(many) and set(got[3]) == {" ".join(map(enc, many)), *many}
+    v = {x.doc_id: x for x in verdicts(df, "doc_id", "text", Layers(fingerprints=False)).collect()}
+    assert [v[i].action for i in range(4)] == ["block"] * 4 and all(v[i].rule_ids for i in range(4))
