@@ -976,3 +976,33 @@ def test_many_texts_are_hashed_as_each_alone(monkeypatch):
             for x in w[i : i + k].tolist():
                 want = (want * int(_pairs._P) + x) % (1 << 64)
             assert h == want
+
+
+def test_changed_passages_whose_parts_stand_in_many_documents_between_their_holders(spark, monkeypatch):
+    """As above, but every twelfth word of the last document's passage is changed: no window of 40 words is the same. Also where the seeds are common ones."""
+    r = random.Random(31)
+    text = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    rows, want = [], []
+    for n in range(12):
+        p, first = text(60), 100 * n
+        changed = [text(1)[0] if i % 12 == 8 else x for i, x in enumerate(p)]
+        for i in range(12):
+            whole = {2: p, 11: changed}.get(i)
+            rows.append((first + i, " ".join(text(30) + (whole or p[:20] + text(90) + p[40:] + text(90) + p[20:40]) + text(30))))
+        want.append(first + 11)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for least in (substring_dedup.COMMON, 5):
+        monkeypatch.setattr(substring_dedup.common_seeds, "__defaults__", (substring_dedup.SEED_SAMPLE, least))
+        got = defaultdict(set)
+        for x in substring_dedup.repeated_passages(df).where("doc_id % 100 = 11").collect():
+            got[x.doc_id].update(range(x.start_word, x.end_word))
+        assert [d for d in want if not got[d] >= set(range(31, 86))] == []
+
+
+def test_open_places():
+    """Seeds outside of the passages found and two beside each; stretches of fewer than three seeds don't count."""
+    p = np.array([0, 5, 10, 15, 20, 25, 300 | 100 << 31])
+    got = lambda spans: [(x.tolist(), a.tolist()) for x, a in substring_dedup.open_places(p, spans)]
+    assert got([]) == [([0, 1, 2, 3, 4, 5], [0, 5, 10, 15, 20, 25])]
+    assert got([(0, 29), (300, 404)]) == [] and got([(0, 19)]) == [([2, 3, 4, 5], [10, 15, 20, 25])]
+    assert got([(0, 17), (15, 29), (300, 304), (400, 404)]) == [] and got(None) == got([])
