@@ -111,3 +111,17 @@ def test_near_duplicates_and_passages_by_brute_force(spark, folder):
     holders = [i for i, t, *_ in rows if " ".join(passage) in t]
     left = {x.doc_id: x.text for x in STAGES["repeated_passages"](spark, docs, folder).collect()}
     assert [i for i in holders if " ".join(passage[5:50]) in left.get(i, "")] == holders[:1]
+
+
+def test_changed_passages_of_many_partial_holders_are_cut(spark):
+    """The third and the last of twelve documents hold a passage, the last with every twelfth word changed; the others hold its parts apart."""
+    r = random.Random(31)
+    some = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    p, rows = some(60), []
+    changed = [some(1)[0] if i % 12 == 8 else x for i, x in enumerate(p)]
+    for i in range(12):
+        whole = {2: p, 11: changed}.get(i)
+        rows.append((i, " ".join(some(30) + (whole or p[:20] + some(90) + p[40:] + some(90) + p[20:40]) + some(30)), "en", "a", 1))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = {x.doc_id: len(x.text.split()) for x in STAGES["repeated_passages"](spark, docs, "").collect()}
+    assert kept[2] == 120 and 60 <= kept[11] <= 65
